@@ -86,7 +86,7 @@ LEFT JOIN (SELECT p_brand AS sku_id, min(p_type) AS category FROM part GROUP BY
 view("consumer_sentiment", ("sales_demand",), """
 SELECT cal.date,
        last_value(w.cci IGNORE NULLS) OVER (ORDER BY cal.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cci_current,
-       100.0 AS cci_baseline,
+       CAST(100.0 AS DOUBLE) AS cci_baseline,
        last_value(w.gt IGNORE NULLS) OVER (ORDER BY cal.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS google_trends_score
 FROM (SELECT DISTINCT date FROM sales_demand) cal
 LEFT JOIN (
