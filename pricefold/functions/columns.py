@@ -1,4 +1,11 @@
-"""Column-expression helpers (all JVM-side, codegen friendly)."""
+"""Expression helpers.
+
+Operators build Spark SQL *expression strings* and apply them with
+``selectExpr`` / ``F.expr``: the whole expression is parsed JVM-side in one
+call, which keeps plan construction cheap (building large Column trees one
+py4j call at a time is far slower than parsing one string), and the result is
+the same Catalyst expression tree, fully inside whole-stage codegen.
+"""
 
 from __future__ import annotations
 
@@ -9,43 +16,39 @@ from pyspark.sql import functions as F
 
 # 97.5 % standard normal quantile (fixed value used for 95 % two-sided intervals).
 Z975 = 1.959963984540054
+TWO_PI = 2.0 * math.pi
 
 
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def E(s: str) -> Column:
+    return F.expr(s)
 
 
-def clip(c: Column | str, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), col(c)))
+def D(x: float) -> str:
+    """A DOUBLE literal in Spark SQL text (plain 1.5 would parse as DECIMAL)."""
+    return f"{float(x)!r}D"
 
 
-def sdiv(num: Column | str, den: Column | str) -> Column:
-    """Division that yields NULL instead of raising (ANSI mode) when den = 0."""
-    return F.try_divide(col(num), col(den))
+def clip(x: str, lo: float, hi: float) -> str:
+    return f"greatest({D(lo)}, least({D(hi)}, {x}))"
 
 
-def sig(c: Column | str, digits: int = 6) -> Column:
-    """Round a DOUBLE to ``digits`` significant digits.
+def sig(x: str, digits: int = 6) -> str:
+    """Round a DOUBLE expression to ``digits`` significant digits (Spark SQL text).
 
-    Reported outputs are rounded so that results do not depend on the order
-    in which partial sums were combined. Only exact operations are used
-    (powers of ten up to 1e22, floor(x + 0.5)), so any IEEE engine that
-    evaluates the same expression gets the same bits.
+    Reported outputs are rounded so results do not depend on the order in
+    which partial sums were combined. Only exact operations are used (powers
+    of ten, floor(x + 0.5)), so every IEEE engine gets the same bits.
     """
-    x = col(c)
-    e = F.floor(F.log10(F.abs(x)))
-    k = F.lit(digits - 1) - e
-    up = F.floor(x * F.pow(F.lit(10.0), k) + 0.5) / F.pow(F.lit(10.0), k)
-    down = F.floor(x / F.pow(F.lit(10.0), -k) + 0.5) * F.pow(F.lit(10.0), -k)
+    k = f"({digits - 1} - floor(log10(abs({x}))))"
     return (
-        F.when(x.isNull() | F.isnan(x) | (x == 0) | (F.abs(x) == F.lit(float("inf"))), x)
-        .when(k >= 0, up)
-        .otherwise(down)
+        f"(CASE WHEN ({x}) IS NULL OR isnan({x}) OR ({x}) = 0 OR abs({x}) = double('Infinity') THEN ({x}) "
+        f"WHEN {k} >= 0 THEN floor(({x}) * pow(10.0D, {k}) + 0.5D) / pow(10.0D, {k}) "
+        f"ELSE floor(({x}) / pow(10.0D, -{k}) + 0.5D) * pow(10.0D, -{k}) END)"
     )
 
 
 def sig_sql(expr: str, digits: int = 6) -> str:
-    """The same rounding as :func:`sig`, as SQL text for the DuckDB oracle."""
+    """The same rounding as :func:`sig`, as DuckDB SQL text for the oracle."""
     e = f"floor(log10(abs({expr})))"
     k = f"({digits - 1} - {e})"
     return (
@@ -55,36 +58,33 @@ def sig_sql(expr: str, digits: int = 6) -> str:
     )
 
 
-def t975(df_col: Column | str) -> Column:
-    """Student-t 97.5 % quantile for ``df_col`` degrees of freedom.
-
-    Cornish-Fisher expansion around the normal quantile (4 terms); accurate
-    to ~1e-4 for df >= 8, which is all the elasticity fit ever uses (n >= 10).
-    """
-    v = col(df_col).cast("double")
+def _t_terms() -> tuple[float, float, float, float]:
     z = Z975
     t1 = (z**3 + z) / 4.0
     t2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96.0
     t3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384.0
     t4 = (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160.0
-    return F.lit(z) + F.lit(t1) / v + F.lit(t2) / (v * v) + F.lit(t3) / (v * v * v) + F.lit(t4) / (v * v * v * v)
+    return t1, t2, t3, t4
 
 
-def t975_sql(v: str) -> str:
-    z = Z975
-    t1 = (z**3 + z) / 4.0
-    t2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96.0
-    t3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384.0
-    t4 = (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160.0
+def t975(v: str) -> str:
+    """Student-t 97.5 % quantile for ``v`` degrees of freedom (Spark SQL text).
+
+    Cornish-Fisher expansion around the normal quantile (4 terms); accurate
+    to ~1e-4 for df >= 8, which is all the elasticity fit uses (n >= 10).
+    """
+    t1, t2, t3, t4 = _t_terms()
     vv = f"CAST({v} AS DOUBLE)"
     return (
-        f"({z!r} + {t1!r} / {vv} + {t2!r} / ({vv} * {vv}) + {t3!r} / ({vv} * {vv} * {vv})"
-        f" + {t4!r} / ({vv} * {vv} * {vv} * {vv}))"
+        f"({Z975!r}D + {t1!r}D / {vv} + {t2!r}D / ({vv} * {vv}) + {t3!r}D / ({vv} * {vv} * {vv})"
+        f" + {t4!r}D / ({vv} * {vv} * {vv} * {vv}))"
     )
 
 
-def iso_week(c: Column | str) -> Column:
-    return F.weekofyear(col(c)).cast("bigint")
-
-
-TWO_PI = 2.0 * math.pi
+def t975_sql(v: str) -> str:
+    t1, t2, t3, t4 = _t_terms()
+    vv = f"CAST({v} AS DOUBLE)"
+    return (
+        f"({Z975!r} + {t1!r} / {vv} + {t2!r} / ({vv} * {vv}) + {t3!r} / ({vv} * {vv} * {vv})"
+        f" + {t4!r} / ({vv} * {vv} * {vv} * {vv}))"
+    )

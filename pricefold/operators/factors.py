@@ -16,13 +16,11 @@ Weights are 0.9868^(weeks before the series' last week) × re-baseline weight.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricefold.functions.columns import clip
-from pricefold.operators.regress import FACTOR_DECAY, decay_weight, moment_aggs, r2_simple
+from pricefold.functions.columns import TWO_PI, D, clip
+from pricefold.operators.regress import FACTOR_DECAY, decay_weight, moment_aggs, r2_simple, slope_simple
 from pricefold.operators.spikes import SERIES
 
 FACTORS = ("elasticity", "seasonality", "competitor", "promotions", "inventory", "lifecycle", "sentiment")
@@ -58,255 +56,206 @@ CCI_DROP_FLOOR = 0.97
 DEFAULT_PROMO_LIFT = 0.1275
 
 
-def comp_gap(own: Column, comp: Column) -> Column:
+def comp_gap(own: str, comp: str) -> str:
     """clip((own − comp) / comp, −0.5, 0.5)."""
-    return clip(F.try_divide(own - comp, comp), -GAP_CLIP, GAP_CLIP)
+    return clip(f"try_divide({own} - {comp}, {comp})", -GAP_CLIP, GAP_CLIP)
 
 
-def stock_coverage(stock: Column, daily: Column) -> Column:
-    return stock.cast("double") / F.greatest(F.lit(0.1), daily)
+def stock_coverage(stock: str, daily: str) -> str:
+    return f"(CAST({stock} AS DOUBLE) / greatest(0.1D, {daily}))"
 
 
-def age_months(date: Column, launch: Column) -> Column:
-    return F.datediff(date, launch).cast("double") / MONTH_DAYS
+def age_months(date: str, launch: str) -> str:
+    return f"(CAST(datediff({date}, {launch}) AS DOUBLE) / {D(MONTH_DAYS)})"
 
 
-def phase_of(age: Column) -> Column:
-    out = F.when(age.isNull(), F.lit(None).cast("string"))
-    for name, bound, _ in PHASES:
-        out = out.when(age < bound, F.lit(name)) if bound is not None else out.otherwise(F.lit(name))
-    return out
+def phase_of(age: str) -> str:
+    parts = [f"WHEN {age} IS NULL THEN NULL"]
+    for name, bound, _ in PHASES[:-1]:
+        parts.append(f"WHEN {age} < {D(bound)} THEN '{name}'")
+    return f"(CASE {' '.join(parts)} ELSE '{PHASES[-1][0]}' END)"
 
 
-def phase_multiplier(age: Column) -> Column:
-    out = F.when(age.isNull(), F.lit(None).cast("double"))
-    for _, bound, mult in PHASES:
-        out = out.when(age < bound, F.lit(mult)) if bound is not None else out.otherwise(F.lit(mult))
-    return out
+def phase_multiplier(age: str) -> str:
+    parts = [f"WHEN {age} IS NULL THEN NULL"]
+    for _, bound, mult in PHASES[:-1]:
+        parts.append(f"WHEN {age} < {D(bound)} THEN {D(mult)}")
+    return f"(CASE {' '.join(parts)} ELSE {D(PHASES[-1][2])} END)"
 
 
-def sentiment_signal(cur: Column, base: Column) -> Column:
-    return F.try_divide(cur - base, base)
+def sentiment_signal(cur: str, base: str) -> str:
+    return f"try_divide({cur} - {base}, {base})"
 
 
 def factor_moments(panel: DataFrame, decay: float = FACTOR_DECAY, series: str = SERIES) -> DataFrame:
-    """One row per series with every moment the six factor fits need.
+    """One row per series with every moment the six factor fits need, plus the
+    base state (mean price, units, cost of the last 4 weeks) and latest-week values.
 
     ``panel`` = spiked panel with ``residual`` and the side-table columns.
     """
-    wser = Window.partitionBy(series).orderBy("date")
-    part = Window.partitionBy(series)
-    staged = panel.select(
-        series, "date", "residual", "rebaseline_weight_multiplier", "unit_price",
-        "comp_price_avg", "is_promo", "units_in_stock", "avg_daily_sales_14d", "launch_date",
-        "cci_current", "cci_baseline",
-        "t_idx", "units_sold", "cost_per_unit",
-        F.max("date").over(part).alias("_maxd"),
-        F.count(F.lit(1)).over(part).alias("_n"),
-        F.lag("cci_current", 4).over(wser).alias("_cci_lag4"),
+    part = f"OVER (PARTITION BY {series})"
+    staged = panel.selectExpr(
+        series, "date", "residual", "rebaseline_weight_multiplier", "unit_price", "units_sold", "cost_per_unit", "t_idx",
+        f"{decay_weight(decay, f'max(date) {part}')} * coalesce(rebaseline_weight_multiplier, 1.0D) AS _w",
+        f"count(1) {part} AS _n",
+        f"lag(cci_current, 4) OVER (PARTITION BY {series} ORDER BY date) AS _cci_lag4",
+        f"sin({D(TWO_PI)} * CAST(weekofyear(date) AS DOUBLE) / 52.0D) AS _sin",
+        f"cos({D(TWO_PI)} * CAST(weekofyear(date) AS DOUBLE) / 52.0D) AS _cos",
+        f"{comp_gap('unit_price', 'comp_price_avg')} AS _gap",
+        f"{stock_coverage('units_in_stock', 'avg_daily_sales_14d')} AS _cov",
+        f"{age_months('date', 'launch_date')} AS _age",
+        f"{sentiment_signal('cci_current', 'cci_baseline')} AS _sig",
+        "CAST(is_promo AS DOUBLE) AS _promo",
+        "cci_current",
+    ).selectExpr(
+        "*",
+        f"CASE WHEN _cov IS NOT NULL THEN CAST(_cov < {D(LOW_STOCK_DAYS)} AS DOUBLE) END AS _low",
+        f"{phase_of('_age')} AS _phase",
     )
-    tail4 = F.col("t_idx") >= F.col("_n") - 4
-    w = decay_weight(decay, F.col("_maxd")) * F.coalesce(F.col("rebaseline_weight_multiplier"), F.lit(1.0))
-    r = F.col("residual")
-    wk = F.weekofyear("date").cast("double")
-    sin_ = F.sin(F.lit(2.0 * math.pi) * wk / 52.0)
-    cos_ = F.cos(F.lit(2.0 * math.pi) * wk / 52.0)
-    gap = comp_gap(F.col("unit_price"), F.col("comp_price_avg"))
-    cov = stock_coverage(F.col("units_in_stock"), F.col("avg_daily_sales_14d"))
-    low = F.when(cov.isNotNull(), (cov < LOW_STOCK_DAYS).cast("double"))
-    age = age_months(F.col("date"), F.col("launch_date"))
-    phase = phase_of(age)
-    sig = sentiment_signal(F.col("cci_current"), F.col("cci_baseline"))
-    promo = F.col("is_promo").cast("double")
-
-    sok = r.isNotNull() & w.isNotNull()
-    sw = F.when(sok, w)
+    ok = "residual IS NOT NULL AND _w IS NOT NULL"
+    sw = f"(CASE WHEN {ok} THEN _w END)"
     season = [
-        F.sum(sw).alias("s_sw"), F.sum(sw * sin_).alias("s_s1"), F.sum(sw * cos_).alias("s_s2"),
-        F.sum(sw * r).alias("s_sy"), F.sum(sw * sin_ * sin_).alias("s_s11"), F.sum(sw * cos_ * cos_).alias("s_s22"),
-        F.sum(sw * sin_ * cos_).alias("s_s12"), F.sum(sw * sin_ * r).alias("s_s1y"),
-        F.sum(sw * cos_ * r).alias("s_s2y"), F.sum(sw * r * r).alias("s_syy"),
+        f"sum({sw}) AS s_sw", f"sum({sw} * _sin) AS s_s1", f"sum({sw} * _cos) AS s_s2", f"sum({sw} * residual) AS s_sy",
+        f"sum({sw} * _sin * _sin) AS s_s11", f"sum({sw} * _cos * _cos) AS s_s22", f"sum({sw} * _sin * _cos) AS s_s12",
+        f"sum({sw} * _sin * residual) AS s_s1y", f"sum({sw} * _cos * residual) AS s_s2y", f"sum({sw} * residual * residual) AS s_syy",
     ]
-    lok = r.isNotNull() & phase.isNotNull() & w.isNotNull()
-    life = [F.sum(F.when(lok, w)).alias("l_sw"), F.sum(F.when(lok, w * r)).alias("l_sy"), F.sum(F.when(lok, w * r * r)).alias("l_syy")]
+    lok = f"{ok} AND _phase IS NOT NULL"
+    life = [f"sum(CASE WHEN {lok} THEN _w END) AS l_sw", f"sum(CASE WHEN {lok} THEN _w * residual END) AS l_sy",
+            f"sum(CASE WHEN {lok} THEN _w * residual * residual END) AS l_syy"]
     for name, _, _ in PHASES:
-        inph = lok & (phase == name)
-        life += [
-            F.sum(F.when(inph, w)).alias(f"l_w_{name}"),
-            F.sum(F.when(inph, w * r)).alias(f"l_y_{name}"),
-        ]
-    last = lambda c: F.max_by(c, F.col("date"))
+        life += [f"sum(CASE WHEN {lok} AND _phase = '{name}' THEN _w END) AS l_w_{name}",
+                 f"sum(CASE WHEN {lok} AND _phase = '{name}' THEN _w * residual END) AS l_y_{name}"]
+    tail4 = "t_idx >= _n - 4"
+    plain = [
+        "count(1) AS n_rows",
+        f"avg(CASE WHEN {tail4} THEN unit_price END) AS p_base",
+        f"avg(CASE WHEN {tail4} THEN units_sold END) AS q_base",
+        f"avg(CASE WHEN {tail4} THEN cost_per_unit END) AS cost_base",
+        *season, *life,
+        "max_by(CAST(weekofyear(date) AS BIGINT), date) AS last_week",
+        "max_by(_gap, date) AS last_gap",
+        "max_by(_promo, date) AS last_promo",
+        "max_by(_cov, date) AS last_coverage",
+        "max_by(_age, date) AS last_age",
+        "max_by(_sig, date) AS last_signal",
+        "max_by(cci_current, date) AS last_cci",
+        "max_by(_cci_lag4, date) AS cci_lag4",
+    ]
     return staged.groupBy(series).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.avg(F.when(tail4, F.col("unit_price"))).alias("p_base"),
-        F.avg(F.when(tail4, F.col("units_sold"))).alias("q_base"),
-        F.avg(F.when(tail4, F.col("cost_per_unit"))).alias("cost_base"),
-        *season,
-        *moment_aggs("c", gap, r, w),
-        *moment_aggs("p", promo, r, w),
-        *moment_aggs("i", low, r, w),
-        *moment_aggs("x", sig, r, w),
-        *life,
-        last(F.weekofyear("date").cast("bigint")).alias("last_week"),
-        last(gap).alias("last_gap"),
-        last(F.col("unit_price")).alias("last_price"),
-        last(F.col("comp_price_avg")).alias("last_comp"),
-        last(promo).alias("last_promo"),
-        last(cov).alias("last_coverage"),
-        last(age).alias("last_age"),
-        last(sig).alias("last_signal"),
-        last(F.col("cci_current")).alias("last_cci"),
-        last(F.col("_cci_lag4")).alias("cci_lag4"),
+        *[F.expr(x) for x in plain],
+        *moment_aggs("c", "_gap", "residual", "_w"),
+        *moment_aggs("p", "_promo", "residual", "_w"),
+        *moment_aggs("i", "_low", "residual", "_w"),
+        *moment_aggs("x", "_sig", "residual", "_w"),
     )
 
 
-def _season_solution() -> dict[str, Column]:
-    sw = F.col("s_sw")
-    m1, m2, my = F.col("s_s1") / sw, F.col("s_s2") / sw, F.col("s_sy") / sw
-    S11 = F.col("s_s11") - F.col("s_s1") * m1
-    S22 = F.col("s_s22") - F.col("s_s2") * m2
-    S12 = F.col("s_s12") - F.col("s_s1") * m2
-    S1y = F.col("s_s1y") - F.col("s_s1") * my
-    S2y = F.col("s_s2y") - F.col("s_s2") * my
-    Syy = F.col("s_syy") - F.col("s_sy") * my
-    det = S11 * S22 - S12 * S12
-    b1 = (S22 * S1y - S12 * S2y) / det
-    b2 = (S11 * S2y - S12 * S1y) / det
-    b0 = my - b1 * m1 - b2 * m2
-    ok = (det > 0) & (sw > 0)
-    r2 = F.when(ok & (Syy > 0), (b1 * S1y + b2 * S2y) / Syy).otherwise(F.lit(0.0))
-    return {"b0": b0, "b1": b1, "b2": b2, "r2": r2, "ok": ok}
-
-
-def _lifecycle_r2() -> Column:
-    sw, sy = F.col("l_sw"), F.col("l_sy")
-    syy = F.col("l_syy") - sy * sy / sw
-    between = F.lit(0.0)
-    nphase = F.lit(0)
-    for name, _, _ in PHASES:
-        wg, yg = F.col(f"l_w_{name}"), F.col(f"l_y_{name}")
-        between = between + F.when(wg > 0, yg * yg / wg).otherwise(F.lit(0.0))
-        nphase = nphase + F.when(wg > 0, F.lit(1)).otherwise(F.lit(0))
-    between = between - sy * sy / sw
-    return F.when((nphase >= 2) & (syy > 0), between / syy).otherwise(F.lit(0.0))
+def _season_exprs() -> list[str]:
+    """Weighted-centred 2×2 solve of r ~ 1 + sin + cos (intermediate columns)."""
+    return [
+        "s_s1 / s_sw AS _m1", "s_s2 / s_sw AS _m2", "s_sy / s_sw AS _my",
+    ]
 
 
 def factor_values(moments: DataFrame, present: dict[str, bool], promo_model: str = "reference",
                   series: str = SERIES) -> DataFrame:
-    """Wide per-series factor results: <factor>_value, _r2, _status, _reliability.
+    """Wide per-series factor results: <factor>_value, _r2, _status, plus base state.
 
     ``promo_model="reference"`` reproduces the reference run, whose promotion
     fit always fails ("Left Out (Error)"; a simulated promotion then uses the
     0.1275 default lift). ``promo_model="fit"`` returns the intended lift
     max(0, exp(b) − 1) when the latest week is a promotion week.
     """
-    cols: list[Column] = [F.col(series)]
-
-    def emit(name: str, value: Column, r2: Column, status: Column) -> None:
-        cols.extend([value.alias(f"{name}_value"), r2.alias(f"{name}_r2"), status.alias(f"{name}_status")])
-
-    missing = F.lit("Left Out (Missing Data)")
-    # seasonality (sales-only, never missing)
-    s = _season_solution()
-    wk = F.col("last_week").cast("double")
-    pred = s["b0"] + s["b1"] * F.sin(F.lit(2.0 * math.pi) * wk / 52.0) + s["b2"] * F.cos(F.lit(2.0 * math.pi) * wk / 52.0)
-    few = F.col("n_rows") < SEASON_MIN_ROWS
-    s_status = (
-        F.when(few, F.lit("Left Out"))
-        .when(~s["ok"], F.lit("Left Out (Error)"))
-        .when(s["r2"] < SEASON_R2_MIN, F.lit("Left Out (Low Explanatory Power)"))
-        .otherwise(F.lit("Used"))
+    m = moments.selectExpr("*", *_season_exprs()).selectExpr(
+        "*",
+        "s_s11 - s_s1 * _m1 AS _S11", "s_s22 - s_s2 * _m2 AS _S22", "s_s12 - s_s1 * _m2 AS _S12",
+        "s_s1y - s_s1 * _my AS _S1y", "s_s2y - s_s2 * _my AS _S2y", "s_syy - s_sy * _my AS _Syy",
+    ).selectExpr("*", "_S11 * _S22 - _S12 * _S12 AS _det").selectExpr(
+        "*", "(_S22 * _S1y - _S12 * _S2y) / _det AS _b1", "(_S11 * _S2y - _S12 * _S1y) / _det AS _b2",
+        "(_det > 0 AND s_sw > 0) AS _sok",
+    ).selectExpr(
+        "*", "_my - _b1 * _m1 - _b2 * _m2 AS _b0",
+        "CASE WHEN _sok AND _Syy > 0 THEN (_b1 * _S1y + _b2 * _S2y) / _Syy ELSE 0.0D END AS _sr2",
     )
-    s_r2 = F.when(few | ~s["ok"], F.lit(0.0)).otherwise(s["r2"])
-    emit("seasonality", F.when(s_status == "Used", clip(F.exp(pred), *SEASON_CLAMP)).otherwise(F.lit(1.0)), s_r2, s_status)
-    cols.extend([
-        F.when(s_status == "Used", s["b0"]).alias("season_b0"),
-        F.when(s_status == "Used", s["b1"]).alias("season_b_sin"),
-        F.when(s_status == "Used", s["b2"]).alias("season_b_cos"),
-    ])
-
-    # competitor
+    missing = "'Left Out (Missing Data)'"
+    s_status = (f"CASE WHEN n_rows < {SEASON_MIN_ROWS} THEN 'Left Out' WHEN NOT _sok THEN 'Left Out (Error)' "
+                f"WHEN _sr2 < {D(SEASON_R2_MIN)} THEN 'Left Out (Low Explanatory Power)' ELSE 'Used' END")
+    wk = "CAST(last_week AS DOUBLE)"
+    pred = f"(_b0 + _b1 * sin({D(TWO_PI)} * {wk} / 52.0D) + _b2 * cos({D(TWO_PI)} * {wk} / 52.0D))"
+    exprs = [
+        series, "p_base", "q_base", "cost_base", "n_rows", "last_coverage", "last_age", "last_gap", "cci_lag4", "last_cci",
+        f"CASE WHEN {s_status} = 'Used' THEN {clip(f'exp({pred})', *SEASON_CLAMP)} ELSE 1.0D END AS seasonality_value",
+        f"CASE WHEN n_rows < {SEASON_MIN_ROWS} OR NOT _sok THEN 0.0D ELSE _sr2 END AS seasonality_r2",
+        f"{s_status} AS seasonality_status",
+        f"CASE WHEN {s_status} = 'Used' THEN _b0 END AS season_b0",
+        f"CASE WHEN {s_status} = 'Used' THEN _b1 END AS season_b_sin",
+        f"CASE WHEN {s_status} = 'Used' THEN _b2 END AS season_b_cos",
+    ]
     if present.get("competitor", False):
-        g = F.col("last_gap")
-        c_val = F.coalesce(F.lit(1.0) + F.lit(COMP_SENSITIVITY) * F.signum(g) * F.least(F.abs(g), F.lit(GAP_CLIP)), F.lit(1.0))
-        emit("competitor", c_val, r2_simple("c"), F.lit("Used"))
+        exprs += [
+            f"coalesce(1.0D + {D(COMP_SENSITIVITY)} * signum(last_gap) * least(abs(last_gap), {D(GAP_CLIP)}), 1.0D) AS competitor_value",
+            f"{r2_simple('c')} AS competitor_r2", "'Used' AS competitor_status"]
     else:
-        emit("competitor", F.lit(1.0), F.lit(0.0), missing)
-
-    # promotions
+        exprs += ["1.0D AS competitor_value", "0.0D AS competitor_r2", f"{missing} AS competitor_status"]
     if not present.get("promotions", False):
-        emit("promotions", F.lit(0.0), F.lit(0.0), missing)
+        exprs += ["0.0D AS promotions_value", "0.0D AS promotions_r2", f"{missing} AS promotions_status"]
     elif promo_model == "reference":
-        emit("promotions", F.lit(0.0), F.lit(0.0), F.lit("Left Out (Error)"))
+        exprs += ["0.0D AS promotions_value", "0.0D AS promotions_r2", "'Left Out (Error)' AS promotions_status"]
     else:
-        from pricefold.operators.regress import slope_simple
-
-        b = F.coalesce(slope_simple("p"), F.lit(0.0))
-        lift = F.greatest(F.lit(0.0), F.exp(b) - 1.0)
-        emit("promotions", F.when(F.col("last_promo") == 1.0, lift).otherwise(F.lit(0.0)), r2_simple("p"), F.lit("Used"))
-
-    # inventory
+        lift = f"greatest(0.0D, exp(coalesce({slope_simple('p')}, 0.0D)) - 1.0D)"
+        exprs += [f"CASE WHEN last_promo = 1.0D THEN {lift} ELSE 0.0D END AS promotions_value",
+                  f"{r2_simple('p')} AS promotions_r2", "'Used' AS promotions_status"]
     if present.get("inventory", False):
         r2 = r2_simple("i")
-        st = F.when(r2 < INVENTORY_R2_MIN, F.lit("Left Out (Low Explanatory Power)")).otherwise(F.lit("Used"))
-        val = F.when(st == "Used", F.when(F.col("last_coverage") < LOW_STOCK_DAYS, F.lit(LOW_STOCK_MULTIPLIER)).otherwise(F.lit(1.0))).otherwise(F.lit(1.0))
-        emit("inventory", val, r2, st)
+        exprs += [
+            f"CASE WHEN {r2} < {D(INVENTORY_R2_MIN)} THEN 1.0D WHEN last_coverage < {D(LOW_STOCK_DAYS)} THEN {D(LOW_STOCK_MULTIPLIER)} ELSE 1.0D END AS inventory_value",
+            f"{r2} AS inventory_r2",
+            f"CASE WHEN {r2} < {D(INVENTORY_R2_MIN)} THEN 'Left Out (Low Explanatory Power)' ELSE 'Used' END AS inventory_status"]
     else:
-        emit("inventory", F.lit(1.0), F.lit(0.0), missing)
-
-    # lifecycle
+        exprs += ["1.0D AS inventory_value", "0.0D AS inventory_r2", f"{missing} AS inventory_status"]
     if present.get("lifecycle", False):
-        emit("lifecycle", F.coalesce(phase_multiplier(F.col("last_age")), F.lit(1.0)), _lifecycle_r2(), F.lit("Used"))
+        between = " + ".join(f"(CASE WHEN l_w_{n} > 0 THEN l_y_{n} * l_y_{n} / l_w_{n} ELSE 0.0D END)" for n, _, _ in PHASES)
+        nph = " + ".join(f"(CASE WHEN l_w_{n} > 0 THEN 1 ELSE 0 END)" for n, _, _ in PHASES)
+        syy = "(l_syy - l_sy * l_sy / l_sw)"
+        exprs += [
+            f"coalesce({phase_multiplier('last_age')}, 1.0D) AS lifecycle_value",
+            f"CASE WHEN ({nph}) >= 2 AND {syy} > 0 THEN (({between}) - l_sy * l_sy / l_sw) / {syy} ELSE 0.0D END AS lifecycle_r2",
+            "'Used' AS lifecycle_status"]
     else:
-        emit("lifecycle", F.lit(1.0), F.lit(0.0), missing)
-
-    # sentiment
+        exprs += ["1.0D AS lifecycle_value", "0.0D AS lifecycle_r2", f"{missing} AS lifecycle_status"]
     if present.get("sentiment", False):
         r2 = r2_simple("x")
-        st = F.when(r2 < SENTIMENT_R2_MIN, F.lit("Left Out (Low Explanatory Power)")).otherwise(F.lit("Used"))
-        x = F.lit(1.0) + F.lit(SENTIMENT_SENSITIVITY) * F.col("last_signal")
-        dropped = (F.col("n_rows") >= 5) & ((F.col("cci_lag4") - F.col("last_cci")) > CCI_DROP_POINTS)
-        x = F.when(dropped, F.greatest(F.lit(CCI_DROP_FLOOR), x)).otherwise(x)
-        emit("sentiment", F.when(st == "Used", F.coalesce(x, F.lit(1.0))).otherwise(F.lit(1.0)), r2, st)
+        x = f"1.0D + {D(SENTIMENT_SENSITIVITY)} * last_signal"
+        xd = f"(CASE WHEN n_rows >= 5 AND (cci_lag4 - last_cci) > {D(CCI_DROP_POINTS)} THEN greatest({D(CCI_DROP_FLOOR)}, {x}) ELSE {x} END)"
+        exprs += [
+            f"CASE WHEN {r2} < {D(SENTIMENT_R2_MIN)} THEN 1.0D ELSE coalesce({xd}, 1.0D) END AS sentiment_value",
+            f"{r2} AS sentiment_r2",
+            f"CASE WHEN {r2} < {D(SENTIMENT_R2_MIN)} THEN 'Left Out (Low Explanatory Power)' ELSE 'Used' END AS sentiment_status"]
     else:
-        emit("sentiment", F.lit(1.0), F.lit(0.0), missing)
-
-    cols.extend([F.col("p_base"), F.col("q_base"), F.col("cost_base"), F.col("last_coverage"), F.col("last_age"), F.col("cci_lag4"), F.col("last_cci"), F.col("last_gap"), F.col("n_rows")])
-    return moments.select(*cols)
+        exprs += ["1.0D AS sentiment_value", "0.0D AS sentiment_r2", f"{missing} AS sentiment_status"]
+    return m.selectExpr(*exprs)
 
 
 def factor_table(efit: DataFrame, fvals: DataFrame, series: str = SERIES) -> DataFrame:
     """Long table: one row per (series, factor) with value, r2, reliability, status."""
     j = efit.join(fvals, series)
-    entries = [
-        F.struct(F.lit("elasticity").alias("factor"), F.col("elasticity").alias("factor_value"), F.col("r2").alias("r2"),
-                 F.col("reliability").alias("reliability"), F.col("status").alias("status"))
-    ]
+    entries = ["named_struct('factor', 'elasticity', 'factor_value', elasticity, 'r2', r2, 'reliability', reliability, 'status', status)"]
     for name in FACTORS[1:]:
-        entries.append(F.struct(
-            F.lit(name).alias("factor"), F.col(f"{name}_value").alias("factor_value"), F.col(f"{name}_r2").alias("r2"),
-            F.lit(RELIABILITY[name]).alias("reliability"), F.col(f"{name}_status").alias("status"),
-        ))
-    return j.select(series, F.explode(F.array(*entries)).alias("f")).select(series, "f.*")
+        entries.append(f"named_struct('factor', '{name}', 'factor_value', {name}_value, 'r2', {name}_r2, "
+                       f"'reliability', '{RELIABILITY[name]}', 'status', {name}_status)")
+    return j.selectExpr(series, f"inline(array({', '.join(entries)}))")
 
 
 def factor_weights(ftable: DataFrame, series: str = SERIES) -> DataFrame:
     """weight = r2 / Σ r2 over factors whose status contains "Used" and r2 > 0;
     when nothing qualifies the elasticity takes weight 1."""
-    active = F.when(F.col("status").contains("Used") & (F.col("r2") > 0), F.col("r2")).otherwise(F.lit(0.0))
-    tot = F.sum(active).over(Window.partitionBy(series))
-    return ftable.withColumn(
-        "weight",
-        F.when(tot > 0, active / tot).otherwise(F.when(F.col("factor") == "elasticity", F.lit(1.0)).otherwise(F.lit(0.0))),
-    )
+    act = "(CASE WHEN status LIKE '%Used%' AND r2 > 0 THEN r2 ELSE 0.0D END)"
+    tot = f"sum({act}) OVER (PARTITION BY {series})"
+    return ftable.selectExpr(
+        "*", f"CASE WHEN {tot} > 0 THEN {act} / {tot} WHEN factor = 'elasticity' THEN 1.0D ELSE 0.0D END AS weight")
 
 
-def reliability_score(rel: Column) -> Column:
+def reliability_score(rel: str) -> str:
     """Reliability label → score (HIGH .88, MEDIUM .60, LOW .38, PROVISIONAL .50)."""
-    return (
-        F.when(rel.startswith("PROVISIONAL"), F.lit(0.50))
-        .when(rel.contains("HIGH"), F.lit(0.88))
-        .when(rel.contains("MEDIUM"), F.lit(0.60))
-        .when(rel.contains("LOW"), F.lit(0.38))
-        .otherwise(F.lit(0.50))
-    )
+    return (f"(CASE WHEN {rel} LIKE 'PROVISIONAL%' THEN 0.50D WHEN {rel} LIKE '%HIGH%' THEN 0.88D "
+            f"WHEN {rel} LIKE '%MEDIUM%' THEN 0.60D WHEN {rel} LIKE '%LOW%' THEN 0.38D ELSE 0.50D END)")

@@ -3,8 +3,9 @@
 Side tables are matched on the (series, week) key — never by position — and
 absent tables leave NULL columns that the factor code treats as "missing".
 The market-wide sentiment table has one row per week (bounded by the time
-span), so it is broadcast; everything else is an equi-join on the series key
-that AQE plans (broadcast when small, sort-merge otherwise).
+span, not by data volume), so it is broadcast; everything else is an
+equi-join on the series key that AQE plans (broadcast when small,
+sort-merge otherwise).
 """
 
 from __future__ import annotations
@@ -33,11 +34,7 @@ NULL_TYPES = {
 
 def join_competitor(panel: DataFrame, competitor: DataFrame) -> DataFrame:
     """Competitor rows averaged per (series, week), then LEFT JOIN (``join_competitor``)."""
-    comp = competitor.groupBy(SERIES, "date").agg(
-        F.avg("comp_price_avg").alias("comp_price_avg"),
-        F.avg("comp_price_min").alias("comp_price_min"),
-        F.avg("comp_price_max").alias("comp_price_max"),
-    )
+    comp = competitor.groupBy(SERIES, "date").agg(*[F.expr(f"avg({c}) AS {c}") for c in SIDE_COLUMNS["competitor"]])
     return panel.join(comp, [SERIES, "date"], "left")
 
 
@@ -53,13 +50,9 @@ def join_side_tables(panel: DataFrame, bundle: Bundle) -> DataFrame:
     if bundle.lifecycle is not None:
         out = out.join(bundle.lifecycle.select(SERIES, "launch_date"), SERIES, "left")
     if bundle.sentiment is not None:
-        sent = bundle.sentiment.select("date", *SIDE_COLUMNS["sentiment"])
-        out = out.join(F.broadcast(sent), "date", "left")
-    for key, cols in SIDE_COLUMNS.items():
-        if getattr(bundle, key) is None:
-            for c in cols:
-                out = out.withColumn(c, F.lit(None).cast(NULL_TYPES[c]))
-    return out
+        out = out.join(F.broadcast(bundle.sentiment.select("date", *SIDE_COLUMNS["sentiment"])), "date", "left")
+    missing = [f"CAST(NULL AS {NULL_TYPES[c]}) AS {c}" for k, cols in SIDE_COLUMNS.items() if getattr(bundle, k) is None for c in cols]
+    return out.selectExpr("*", *missing) if missing else out
 
 
 def present(bundle: Bundle) -> dict[str, bool]:

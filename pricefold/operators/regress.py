@@ -9,11 +9,11 @@ exchange on the group key — no per-group Python, no collect.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricefold.functions.columns import t975
-from pricefold.operators.spikes import SERIES, is_clean
+from pricefold.functions.columns import D, t975
+from pricefold.operators.spikes import CLEAN, SERIES
 
 # Fixed constants of the elasticity model.
 ELASTICITY_DECAY = 0.92
@@ -28,130 +28,111 @@ DEFAULT_MAPE = 15.0
 ELASTICITY_RELIABILITY = "88% HIGH"
 
 
-def moment_aggs(p: str, x: Column, y: Column, w: Column, cond: Column | None = None) -> list[Column]:
-    """Aggregate expressions for weighted moments; rows with null x/y/w are skipped."""
-    ok = x.isNotNull() & y.isNotNull() & w.isNotNull()
-    if cond is not None:
-        ok = ok & cond
-    ww = F.when(ok, w)
-    return [
-        F.count(F.when(ok, F.lit(1))).alias(f"{p}_n"),
-        F.sum(ww).alias(f"{p}_sw"),
-        F.sum(ww * x).alias(f"{p}_sx"),
-        F.sum(ww * y).alias(f"{p}_sy"),
-        F.sum(ww * x * x).alias(f"{p}_sxx"),
-        F.sum(ww * x * y).alias(f"{p}_sxy"),
-        F.sum(ww * y * y).alias(f"{p}_syy"),
-    ]
-
-
-def centred(p: str) -> dict[str, Column]:
-    """Centred weighted sums Sxx, Sxy, Syy and weighted means from moment_aggs."""
-    sw = F.col(f"{p}_sw")
-    mx = F.try_divide(F.col(f"{p}_sx"), sw)
-    my = F.try_divide(F.col(f"{p}_sy"), sw)
+def moment_aggs(p: str, x: str, y: str, w: str, cond: str | None = None) -> list:
+    """Aggregate expressions (Columns) for weighted moments; rows with null x/y/w skipped."""
+    ok = f"({x}) IS NOT NULL AND ({y}) IS NOT NULL AND ({w}) IS NOT NULL" + (f" AND ({cond})" if cond else "")
+    ww = f"(CASE WHEN {ok} THEN {w} END)"
+    return [F.expr(s) for s in (
+        f"count(CASE WHEN {ok} THEN 1 END) AS {p}_n",
+        f"sum({ww}) AS {p}_sw",
+        f"sum({ww} * ({x})) AS {p}_sx",
+        f"sum({ww} * ({y})) AS {p}_sy",
+        f"sum({ww} * ({x}) * ({x})) AS {p}_sxx",
+        f"sum({ww} * ({x}) * ({y})) AS {p}_sxy",
+        f"sum({ww} * ({y}) * ({y})) AS {p}_syy",
+    )]
+
+
+def centred(p: str) -> dict[str, str]:
+    """Centred weighted sums Sxx, Sxy, Syy and weighted means (SQL text) from moment_aggs."""
+    mx = f"try_divide({p}_sx, {p}_sw)"
+    my = f"try_divide({p}_sy, {p}_sw)"
     return {
-        "mx": mx,
-        "my": my,
-        "Sxx": F.col(f"{p}_sxx") - F.col(f"{p}_sx") * mx,
-        "Sxy": F.col(f"{p}_sxy") - F.col(f"{p}_sx") * my,
-        "Syy": F.col(f"{p}_syy") - F.col(f"{p}_sy") * my,
+        "mx": mx, "my": my,
+        "Sxx": f"({p}_sxx - {p}_sx * {mx})",
+        "Sxy": f"({p}_sxy - {p}_sx * {my})",
+        "Syy": f"({p}_syy - {p}_sy * {my})",
     }
 
 
-def r2_simple(p: str) -> Column:
+def r2_simple(p: str) -> str:
     """Weighted-centred R² of y ~ 1 + x; 0 when x or y has no spread."""
     c = centred(p)
-    return F.when((c["Sxx"] > 0) & (c["Syy"] > 0), (c["Sxy"] * c["Sxy"]) / (c["Sxx"] * c["Syy"])).otherwise(F.lit(0.0))
+    return f"(CASE WHEN {c['Sxx']} > 0 AND {c['Syy']} > 0 THEN ({c['Sxy']} * {c['Sxy']}) / ({c['Sxx']} * {c['Syy']}) ELSE 0.0D END)"
 
 
-def slope_simple(p: str) -> Column:
+def slope_simple(p: str) -> str:
     c = centred(p)
-    return F.when(c["Sxx"] > 0, c["Sxy"] / c["Sxx"])
+    return f"(CASE WHEN {c['Sxx']} > 0 THEN {c['Sxy']} / {c['Sxx']} END)"
 
 
-def decay_weight(decay: float, max_date: Column, date: Column | None = None) -> Column:
+def decay_weight(decay: float, max_date: str, date: str = "date") -> str:
     """decay ^ (weeks before the latest date)."""
-    date = F.col("date") if date is None else date
-    return F.pow(F.lit(decay), F.datediff(max_date, date).cast("double") / 7.0)
+    return f"pow({D(decay)}, CAST(datediff({max_date}, {date}) AS DOUBLE) / 7.0D)"
 
 
 def elasticity_fit(spiked: DataFrame, decay: float = ELASTICITY_DECAY, series: str = SERIES) -> DataFrame:
     """WLS ln(units) ~ 1 + ln(price) per series over clean rows (``wls_elasticity``).
 
     Output: sku_id, n_obs, elasticity, intercept, r2, ci_low, ci_high,
-    reliability, status, has_model. Proxy (-1.5) when fewer than 10 clean rows
+    has_model, reliability, status. Proxy (-1.5) when fewer than 10 clean rows
     or no price variation; reliability follows the reference rules.
     """
-    part = Window.partitionBy(series)
-    clean = is_clean()
-    x = F.log(F.col("unit_price"))
-    y = F.log(F.col("units_sold"))
-    staged = spiked.select(
-        series,
-        "date",
-        clean.alias("_clean"),
-        F.when(clean, x).alias("_x"),
-        F.when(clean, y).alias("_y"),
-        F.col("rebaseline_weight_multiplier").alias("_rb"),
-        F.max(F.when(clean, F.col("date"))).over(part).alias("_maxd"),
-        F.avg(F.when(clean, x)).over(part).alias("_cx"),
-        F.avg(F.when(clean, y)).over(part).alias("_cy"),
+    part = f"OVER (PARTITION BY {series})"
+    staged = spiked.selectExpr(
+        series, "date",
+        f"{CLEAN} AS _clean",
+        "ln(unit_price) AS _lx", "ln(units_sold) AS _ly",
+        "rebaseline_weight_multiplier AS _rb",
+        f"max(CASE WHEN {CLEAN} THEN date END) {part} AS _maxd",
+        f"avg(CASE WHEN {CLEAN} THEN ln(unit_price) END) {part} AS _cx",
+        f"avg(CASE WHEN {CLEAN} THEN ln(units_sold) END) {part} AS _cy",
     )
-    w = decay_weight(decay, F.col("_maxd")) * F.coalesce(F.col("_rb"), F.lit(1.0))
+    w = f"{decay_weight(decay, '_maxd')} * coalesce(_rb, 1.0D)"
     agg = staged.groupBy(series).agg(
-        *moment_aggs("e", F.col("_x") - F.col("_cx"), F.col("_y") - F.col("_cy"), w, F.col("_clean")),
-        F.first("_cx", ignorenulls=True).alias("_cx"),
-        F.first("_cy", ignorenulls=True).alias("_cy"),
+        *moment_aggs("e", "_lx - _cx", "_ly - _cy", w, "_clean"),
+        F.expr("first(_cx, true) AS _cx"), F.expr("first(_cy, true) AS _cy"),
     )
     c = centred("e")
-    n = F.col("e_n")
-    fit_ok = (n >= MIN_OBS) & (c["Sxx"] > 0)
-    slope = c["Sxy"] / c["Sxx"]
-    ssr = c["Syy"] - slope * c["Sxy"]
-    se = F.sqrt(F.greatest(F.lit(0.0), ssr) / (n - 2) / c["Sxx"])
-    half = t975(n - 2) * se
-    e = F.when(fit_ok, slope).otherwise(F.lit(DEFAULT_ELASTICITY))
-    out = agg.select(
+    ok = f"(e_n >= {MIN_OBS} AND {c['Sxx']} > 0)"
+    slope = f"({c['Sxy']} / {c['Sxx']})"
+    half = f"({t975('e_n - 2')} * sqrt(greatest(0.0D, {c['Syy']} - {slope} * {c['Sxy']}) / (e_n - 2) / {c['Sxx']}))"
+    out = agg.selectExpr(
         series,
-        n.cast("bigint").alias("n_obs"),
-        e.alias("elasticity"),
-        F.when(fit_ok, F.col("_cy") + c["my"] - slope * (F.col("_cx") + c["mx"])).alias("intercept"),
-        F.when(fit_ok, r2_simple("e")).otherwise(F.lit(0.0)).alias("r2"),
-        F.when(fit_ok, slope - half).otherwise(e - PROXY_CI_HALF_WIDTH).alias("ci_low"),
-        F.when(fit_ok, slope + half).otherwise(e + PROXY_CI_HALF_WIDTH).alias("ci_high"),
-        fit_ok.alias("has_model"),
+        "CAST(e_n AS BIGINT) AS n_obs",
+        f"CASE WHEN {ok} THEN {slope} ELSE {D(DEFAULT_ELASTICITY)} END AS elasticity",
+        f"CASE WHEN {ok} THEN _cy + {c['my']} - {slope} * (_cx + {c['mx']}) END AS intercept",
+        f"CASE WHEN {ok} THEN {r2_simple('e')} ELSE 0.0D END AS r2",
+        f"CASE WHEN {ok} THEN {slope} - {half} ELSE {D(DEFAULT_ELASTICITY - PROXY_CI_HALF_WIDTH)} END AS ci_low",
+        f"CASE WHEN {ok} THEN {slope} + {half} ELSE {D(DEFAULT_ELASTICITY + PROXY_CI_HALF_WIDTH)} END AS ci_high",
+        f"{ok} AS has_model",
     )
-    width = F.col("ci_high") - F.col("ci_low")
-    reliability = (
-        F.when(~F.col("has_model"), F.lit("PROVISIONAL"))
-        .when((F.abs(F.col("elasticity")) > MAX_ABS_ELASTICITY) | (width > MAX_CI_WIDTH), F.lit("PROVISIONAL (High Uncertainty)"))
-        .when(F.col("n_obs") < THIN_OBS, F.lit("PROVISIONAL"))
-        .otherwise(F.lit(ELASTICITY_RELIABILITY))
+    return out.selectExpr(
+        "*",
+        f"""CASE WHEN NOT has_model THEN 'PROVISIONAL'
+                 WHEN abs(elasticity) > {D(MAX_ABS_ELASTICITY)} OR (ci_high - ci_low) > {D(MAX_CI_WIDTH)} THEN 'PROVISIONAL (High Uncertainty)'
+                 WHEN n_obs < {THIN_OBS} THEN 'PROVISIONAL'
+                 ELSE '{ELASTICITY_RELIABILITY}' END AS reliability""",
+        "CASE WHEN has_model THEN 'Used' ELSE 'Used (Proxy)' END AS status",
     )
-    status = F.when(F.col("has_model"), F.lit("Used")).otherwise(F.lit("Used (Proxy)"))
-    return out.withColumn("reliability", reliability).withColumn("status", status)
 
 
 def with_residuals(spiked: DataFrame, fit: DataFrame, series: str = SERIES) -> DataFrame:
     """Attach ``residual`` = ln q − fitted on regression rows, 0.0 on excluded rows
-    (and everywhere when the fit is a proxy); NULL on non-positive rows."""
-    j = spiked.join(fit.select(series, "elasticity", "intercept", "has_model"), series, "left")
-    fitted = F.col("intercept") + F.col("elasticity") * F.log(F.col("unit_price"))
-    res = (
-        F.when(~F.coalesce(F.col("has_model"), F.lit(False)), F.lit(0.0))
-        .when(F.col("exclude_from_regression"), F.lit(0.0))
-        .when((F.col("units_sold") > 0) & (F.col("unit_price") > 0), F.log(F.col("units_sold")) - fitted)
+    (and everywhere when the fit is a proxy); NULL on non-positive rows.
+    ``fitted_units`` = exp(fitted) on regression rows."""
+    j = spiked.join(fit.selectExpr(series, "elasticity AS _e", "intercept AS _a", "has_model AS _hm"), series, "left")
+    fitted = "(_a + _e * ln(unit_price))"
+    return j.selectExpr(
+        *spiked.columns,
+        f"""CASE WHEN NOT coalesce(_hm, false) THEN 0.0D WHEN exclude_from_regression THEN 0.0D
+                 WHEN units_sold > 0 AND unit_price > 0 THEN ln(units_sold) - {fitted} END AS residual""",
+        f"CASE WHEN _hm AND {CLEAN} THEN exp({fitted}) END AS fitted_units",
     )
-    return j.withColumn("residual", res).withColumn(
-        "fitted_units", F.when(F.col("has_model") & is_clean(), F.exp(fitted))
-    ).drop("elasticity", "intercept", "has_model")
 
 
 def in_sample_mape(resid_panel: DataFrame, series: str = SERIES) -> DataFrame:
     """Mean |q − exp(fit)| / q × 100 over regression rows; 15.0 without a model."""
-    q = F.exp(F.log(F.col("units_sold")))
-    ape = F.abs((q - F.col("fitted_units")) / q)
-    return resid_panel.groupBy(series).agg(
-        F.coalesce(F.avg(ape) * 100.0, F.lit(DEFAULT_MAPE)).alias("mape")
-    )
+    return resid_panel.groupBy(series).agg(F.expr(
+        f"coalesce(avg(abs((exp(ln(units_sold)) - fitted_units) / exp(ln(units_sold)))) * 100.0D, {D(DEFAULT_MAPE)}) AS mape"
+    ))

@@ -20,8 +20,9 @@ exchange on the series key, and each partition holds one series' weeks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from pricefold.functions.columns import D
 
 SERIES = "sku_id"
 
@@ -32,43 +33,29 @@ REVERSION_THRESHOLD = 1.20
 STRUCTURAL_THRESHOLD = 1.80
 REBASELINE_WEIGHT = 0.2
 
-
-def _sum(cols: list[Column]) -> Column:
-    out = cols[0]
-    for c in cols[1:]:
-        out = out + c
-    return out
-
-
-def spike_columns(q: Column, prev: list[Column], nxt: list[Column], idx: Column,
-                  z_threshold: float, wow_threshold: float,
-                  reversion_threshold: float, structural_threshold: float) -> dict[str, Column]:
-    """Spike rule columns from lags ``prev`` (q₋₁..q₋₄) and leads ``nxt`` (q₊₁..q₊₄)."""
-    mean4 = _sum(prev) / 4.0
-    var4 = _sum([(p - mean4) * (p - mean4) for p in prev]) / 3.0
-    std4 = F.sqrt(var4)
-    z = F.when(std4 > 0, (q - mean4) / F.greatest(F.lit(0.1), std4)).otherwise(F.lit(0.0))
-    wow = (q - prev[0]) / F.greatest(F.lit(0.1), prev[0])
-    eligible = idx >= 4
-    is_spike = eligible & ((z > z_threshold) | (wow > wow_threshold))
-    median4 = (_sum(prev) - F.greatest(*prev) - F.least(*prev)) / 2.0
-    baseline = F.greatest(F.lit(1.0), median4)
-    rev_lim = F.lit(reversion_threshold) * baseline
-    reverts = F.when(
-        nxt[2].isNotNull(), (nxt[0] <= rev_lim) | (nxt[1] <= rev_lim) | (nxt[2] <= rev_lim)
-    ).otherwise(F.lit(True))
-    st_lim = F.lit(structural_threshold) * baseline
-    structural = nxt[3].isNotNull() & (nxt[0] >= st_lim) & (nxt[1] >= st_lim) & (nxt[2] >= st_lim) & (nxt[3] >= st_lim)
-    return {
-        "z_score": F.when(eligible, z),
-        "wow_change": F.when(eligible, wow),
-        "pre_spike_baseline": F.when(eligible, baseline),
-        "reverts": F.when(is_spike, reverts),
-        "structural_shift": F.when(is_spike, structural),
-        "is_spike": F.coalesce(is_spike, F.lit(False)),
-        "spike_type": F.when(is_spike, F.when(structural, F.lit("Type B")).otherwise(F.lit("Type A"))),
-        "exclude_from_regression": F.coalesce(is_spike & ~structural, F.lit(False)),
-    }
+CLEAN = "(NOT exclude_from_regression AND units_sold > 0 AND unit_price > 0)"
+
+
+def spike_exprs(q: str, prev: list[str], nxt: list[str], idx: str, z_threshold: float, wow_threshold: float,
+                reversion_threshold: float, structural_threshold: float) -> dict[str, str]:
+    """Spike rule expressions from lag names ``prev`` (q₋₁..q₋₄) and lead names ``nxt`` (q₊₁..q₊₄)."""
+    p1, p2, p3, p4 = prev
+    n1, n2, n3, n4 = nxt
+    s4 = f"((({p1} + {p2}) + {p3}) + {p4})"
+    m4 = f"({s4} / 4.0D)"
+    var4 = f"(((({p1} - {m4}) * ({p1} - {m4}) + ({p2} - {m4}) * ({p2} - {m4})) + ({p3} - {m4}) * ({p3} - {m4})) + ({p4} - {m4}) * ({p4} - {m4})) / 3.0D"
+    sd4 = f"sqrt({var4})"
+    z = f"(CASE WHEN {sd4} > 0 THEN ({q} - {m4}) / greatest(0.1D, {sd4}) ELSE 0.0D END)"
+    wow = f"(({q} - {p1}) / greatest(0.1D, {p1}))"
+    elig = f"({idx} >= 4)"
+    spike = f"coalesce({elig} AND ({z} > {D(z_threshold)} OR {wow} > {D(wow_threshold)}), false)"
+    base = f"greatest(1.0D, ({s4} - greatest({p1}, {p2}, {p3}, {p4}) - least({p1}, {p2}, {p3}, {p4})) / 2.0D)"
+    rl = f"({D(reversion_threshold)} * {base})"
+    reverts = f"(CASE WHEN {n3} IS NOT NULL THEN ({n1} <= {rl} OR {n2} <= {rl} OR {n3} <= {rl}) ELSE true END)"
+    sl = f"({D(structural_threshold)} * {base})"
+    structural = f"({n4} IS NOT NULL AND {n1} >= {sl} AND {n2} >= {sl} AND {n3} >= {sl} AND {n4} >= {sl})"
+    return {"z_score": z, "wow_change": wow, "pre_spike_baseline": base, "eligible": elig,
+            "is_spike": spike, "reverts": reverts, "structural": structural}
 
 
 def detect_spikes(
@@ -82,35 +69,36 @@ def detect_spikes(
 ) -> DataFrame:
     """Add t_idx, z_score, wow_change, pre_spike_baseline, reverts, structural_shift,
     is_spike, spike_type, exclude_from_regression, rebaseline_start,
-    rebaseline_weight_multiplier to a sales panel."""
-    w = Window.partitionBy(series).orderBy("date")
-    q = F.col("units_sold")
-    staged = sales.select(
-        "*",
-        (F.row_number().over(w) - 1).cast("bigint").alias("t_idx"),
-        *[F.lag(q, k).over(w).alias(f"_lag{k}") for k in range(1, 5)],
-        *[F.lead(q, k).over(w).alias(f"_lead{k}") for k in range(1, 5)],
+    rebaseline_weight_multiplier to a sales panel (one row per series-week)."""
+    w = f"OVER (PARTITION BY {series} ORDER BY date)"
+    lags = [f"lag(units_sold, {k}) {w} AS _lag{k}" for k in range(1, 5)]
+    leads = [f"lead(units_sold, {k}) {w} AS _lead{k}" for k in range(1, 5)]
+    staged = sales.selectExpr("*", f"CAST(row_number() {w} - 1 AS BIGINT) AS t_idx", *lags, *leads)
+    e = spike_exprs("units_sold", [f"_lag{k}" for k in range(1, 5)], [f"_lead{k}" for k in range(1, 5)], "t_idx",
+                    z_threshold, wow_threshold, reversion_threshold, structural_threshold)
+    flagged = staged.selectExpr(
+        *sales.columns, "t_idx",
+        f"CASE WHEN {e['eligible']} THEN {e['z_score']} END AS z_score",
+        f"CASE WHEN {e['eligible']} THEN {e['wow_change']} END AS wow_change",
+        f"CASE WHEN {e['eligible']} THEN {e['pre_spike_baseline']} END AS pre_spike_baseline",
+        f"{e['is_spike']} AS is_spike",
+        f"{e['reverts']} AS _rev",
+        f"{e['structural']} AS _str",
     )
-    cols = spike_columns(
-        q,
-        [F.col(f"_lag{k}") for k in range(1, 5)],
-        [F.col(f"_lead{k}") for k in range(1, 5)],
-        F.col("t_idx"),
-        z_threshold, wow_threshold, reversion_threshold, structural_threshold,
-    )
-    flagged = staged.select(*sales.columns, "t_idx", *[c.alias(n) for n, c in cols.items()])
-    whole = Window.partitionBy(series)
-    rb = F.max(F.when(F.col("spike_type") == "Type B", F.col("t_idx"))).over(whole)
-    return flagged.withColumn("rebaseline_start", rb).withColumn(
-        "rebaseline_weight_multiplier",
-        F.when(F.col("t_idx") < F.col("rebaseline_start"), F.lit(rebaseline_weight)).otherwise(F.lit(1.0)),
+    part = f"OVER (PARTITION BY {series})"
+    return flagged.selectExpr(
+        *sales.columns, "t_idx", "z_score", "wow_change", "pre_spike_baseline",
+        "CASE WHEN is_spike THEN _rev END AS reverts",
+        "CASE WHEN is_spike THEN _str END AS structural_shift",
+        "is_spike",
+        "CASE WHEN is_spike THEN (CASE WHEN _str THEN 'Type B' ELSE 'Type A' END) END AS spike_type",
+        "(is_spike AND NOT _str) AS exclude_from_regression",
+        f"max(CASE WHEN is_spike AND _str THEN t_idx END) {part} AS rebaseline_start",
+        f"CASE WHEN t_idx < max(CASE WHEN is_spike AND _str THEN t_idx END) {part} THEN {D(rebaseline_weight)} ELSE 1.0D END"
+        " AS rebaseline_weight_multiplier",
     )
 
 
 def clean_rows(panel: DataFrame) -> DataFrame:
     """Rows usable in regressions: not excluded, positive units and price."""
-    return panel.filter(~F.col("exclude_from_regression") & (F.col("units_sold") > 0) & (F.col("unit_price") > 0))
-
-
-def is_clean() -> Column:
-    return ~F.col("exclude_from_regression") & (F.col("units_sold") > 0) & (F.col("unit_price") > 0)
+    return panel.filter(CLEAN)

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pricefold.operators.factors import factor_moments, factor_table, factor_values, factor_weights
 from pricefold.operators.joins import join_side_tables, present
@@ -31,18 +31,29 @@ class Analysis:
         return factor_weights(factor_table(self.fit, self.factors))
 
 
-def analyse(bundle: Bundle, promo_model: str = "reference") -> Analysis:
-    spiked = detect_spikes(bundle.sales)
+def bound_panel(bundle: Bundle, partitions: int | None = None, persist: bool = True) -> DataFrame:
+    """Sales panel with every side table bound (``bind_optional``), hash-partitioned
+    by series and persisted: every later window / aggregate / join keyed by
+    series reuses this partitioning instead of adding an exchange."""
+    panel = join_side_tables(bundle.sales, bundle)
+    spark = panel.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    panel = panel.repartition(n, SERIES)
+    return panel.persist(StorageLevel.MEMORY_AND_DISK) if persist else panel
+
+
+def analyse(bundle: Bundle, promo_model: str = "reference", panel: DataFrame | None = None) -> Analysis:
+    panel = bound_panel(bundle) if panel is None else panel
+    spiked = detect_spikes(panel)
     fit = elasticity_fit(spiked)
     resid = with_residuals(spiked, fit)
-    panel = join_side_tables(resid, bundle)
-    moments = factor_moments(panel)
+    moments = factor_moments(resid)
     fvals = factor_values(moments, present(bundle), promo_model)
     mape = in_sample_mape(resid)
     summary = (
-        fit.select(SERIES, F.col("elasticity").alias("e_base"), "ci_low", "ci_high", F.col("r2").alias("e_r2"),
-                   F.col("status").alias("elasticity_status"), "n_obs")
+        fit.selectExpr(SERIES, "elasticity AS e_base", "ci_low", "ci_high", "r2 AS e_r2",
+                       "status AS elasticity_status", "n_obs")
         .join(fvals, SERIES)
         .join(mape, SERIES)
     )
-    return Analysis(spiked, fit, panel, fvals, summary)
+    return Analysis(spiked, fit, resid, fvals, summary)

@@ -15,8 +15,19 @@ from pricefold.plans.registry import register
 from pricefold.sources.panel import build_bundle
 
 
+_PLANS: dict[tuple, Analysis] = {}
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
-    return analyse(build_bundle(spark, sf_dir))
+    """The analysis plan for a data folder, built once per session.
+
+    Only the bound weekly panel is cached data; the returned DataFrames are
+    plans, re-executed by each query from that panel.
+    """
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _PLANS:
+        _PLANS[key] = analyse(build_bundle(spark, sf_dir))
+    return _PLANS[key]
 
 
 # ------------------------------------------------------------------ spikes
@@ -27,52 +38,52 @@ SPIKE_COLS = "sku_id, date, units_sold, t_idx"
           doubles=["units_sold", "z_score"])
 def q_spike_zscore(spark, sf):
     s = analysis(spark, sf).spiked
-    return s.select(SERIES, "date", "units_sold", "t_idx", "z_score", (F.coalesce("z_score", F.lit(0.0)) > 2.0).alias("s1_trigger"))
+    return s.selectExpr(SERIES, "date", "units_sold", "t_idx", "z_score", "coalesce(z_score, 0.0D) > 2.0D AS s1_trigger")
 
 
 @register("spike_wow", with_views(f"SELECT {SPIKE_COLS}, wow_change, (coalesce(wow_change, 0.0) > 0.8) AS s2_trigger FROM spiked", "spiked"),
           doubles=["units_sold", "wow_change"])
 def q_spike_wow(spark, sf):
     s = analysis(spark, sf).spiked
-    return s.select(SERIES, "date", "units_sold", "t_idx", "wow_change", (F.coalesce("wow_change", F.lit(0.0)) > 0.8).alias("s2_trigger"))
+    return s.selectExpr(SERIES, "date", "units_sold", "t_idx", "wow_change", "coalesce(wow_change, 0.0D) > 0.8D AS s2_trigger")
 
 
 @register("spike_baseline", with_views(f"SELECT {SPIKE_COLS}, pre_spike_baseline FROM spiked", "spiked"),
           doubles=["units_sold", "pre_spike_baseline"])
 def q_spike_baseline(spark, sf):
-    return analysis(spark, sf).spiked.select(SERIES, "date", "units_sold", "t_idx", "pre_spike_baseline")
+    return analysis(spark, sf).spiked.selectExpr(SERIES, "date", "units_sold", "t_idx", "pre_spike_baseline")
 
 
 @register("spike_reversion", with_views(f"SELECT {SPIKE_COLS}, reverts FROM spiked WHERE is_spike", "spiked"),
           doubles=["units_sold"])
 def q_spike_reversion(spark, sf):
-    return analysis(spark, sf).spiked.filter("is_spike").select(SERIES, "date", "units_sold", "t_idx", "reverts")
+    return analysis(spark, sf).spiked.filter("is_spike").selectExpr(SERIES, "date", "units_sold", "t_idx", "reverts")
 
 
 @register("spike_structural", with_views(f"SELECT {SPIKE_COLS}, structural_shift FROM spiked WHERE is_spike", "spiked"),
           doubles=["units_sold"])
 def q_spike_structural(spark, sf):
-    return analysis(spark, sf).spiked.filter("is_spike").select(SERIES, "date", "units_sold", "t_idx", "structural_shift")
+    return analysis(spark, sf).spiked.filter("is_spike").selectExpr(SERIES, "date", "units_sold", "t_idx", "structural_shift")
 
 
 @register("spike_classify", with_views(f"SELECT {SPIKE_COLS}, is_spike, spike_type, exclude_from_regression FROM spiked", "spiked"),
           doubles=["units_sold"])
 def q_spike_classify(spark, sf):
-    return analysis(spark, sf).spiked.select(SERIES, "date", "units_sold", "t_idx", "is_spike", "spike_type", "exclude_from_regression")
+    return analysis(spark, sf).spiked.selectExpr(SERIES, "date", "units_sold", "t_idx", "is_spike", "spike_type", "exclude_from_regression")
 
 
 @register("rebaseline", with_views(
     "SELECT sku_id, date, t_idx, rebaseline_start, rebaseline_weight_multiplier FROM spiked", "spiked"),
     doubles=["rebaseline_weight_multiplier"])
 def q_rebaseline(spark, sf):
-    return analysis(spark, sf).spiked.select(SERIES, "date", "t_idx", "rebaseline_start", "rebaseline_weight_multiplier")
+    return analysis(spark, sf).spiked.selectExpr(SERIES, "date", "t_idx", "rebaseline_start", "rebaseline_weight_multiplier")
 
 
 @register("spike_report", with_views(
     "SELECT sku_id, date, units_sold, unit_price, spike_type, exclude_from_regression FROM spiked WHERE is_spike", "spiked"),
     doubles=["units_sold", "unit_price"])
 def q_spike_report(spark, sf):
-    return analysis(spark, sf).spiked.filter("is_spike").select(
+    return analysis(spark, sf).spiked.filter("is_spike").selectExpr(
         SERIES, "date", "units_sold", "unit_price", "spike_type", "exclude_from_regression")
 
 
@@ -82,7 +93,7 @@ def q_spike_report(spark, sf):
 def q_clean_filter(spark, sf):
     from pricefold.operators.spikes import clean_rows
 
-    return clean_rows(analysis(spark, sf).spiked).select(SERIES, "date", "unit_price", "units_sold")
+    return clean_rows(analysis(spark, sf).spiked).selectExpr(SERIES, "date", "unit_price", "units_sold")
 
 
 # ------------------------------------------------------------------ fit
@@ -101,7 +112,7 @@ def q_wls(spark, sf):
     doubles=["elasticity", "ci_width"])
 def q_rel(spark, sf):
     f = analysis(spark, sf).fit
-    return f.select(SERIES, "n_obs", "elasticity", (F.col("ci_high") - F.col("ci_low")).alias("ci_width"), "reliability")
+    return f.selectExpr(SERIES, "n_obs", "elasticity", "ci_high - ci_low AS ci_width", "reliability")
 
 
 @register("wls_residuals", with_views("SELECT sku_id, date, exclude_from_regression, residual FROM resid", "resid"),
@@ -110,12 +121,12 @@ def q_resid(spark, sf):
     a = analysis(spark, sf)
     from pricefold.operators.regress import with_residuals
 
-    return with_residuals(a.spiked, a.fit).select(SERIES, "date", "exclude_from_regression", "residual")
+    return with_residuals(a.spiked, a.fit).selectExpr(SERIES, "date", "exclude_from_regression", "residual")
 
 
 @register("in_sample_mape", with_views("SELECT sku_id, mape FROM mape", "mape"), doubles=["mape"])
 def q_mape(spark, sf):
-    return analysis(spark, sf).summary.select(SERIES, "mape")
+    return analysis(spark, sf).summary.selectExpr(SERIES, "mape")
 
 
 # ------------------------------------------------------------------ factors
@@ -126,8 +137,7 @@ def _factor_query(name: str, extra_sql: str = "", extra_cols: tuple = ()):
 
     def build(spark, sf):
         v = analysis(spark, sf).factors
-        return v.select(SERIES, F.col(f"{name}_value").alias("factor_value"), F.col(f"{name}_r2").alias("r2"),
-                        F.col(f"{name}_status").alias("status"), *extra_cols)
+        return v.selectExpr(SERIES, f"{name}_value AS factor_value", f"{name}_r2 AS r2", f"{name}_status AS status", *extra_cols)
 
     return sql, build
 
@@ -144,8 +154,8 @@ for _qid, _fname, _xs, _xc in [
     if _qid == "factor_sentiment":
         def _build(spark, sf, _f=_fname):  # noqa: E306
             v = analysis(spark, sf).factors
-            return v.select(SERIES, F.col(f"{_f}_value").alias("factor_value"), F.col(f"{_f}_r2").alias("r2"),
-                            F.col(f"{_f}_status").alias("status"), (F.col("cci_lag4") - F.col("last_cci")).alias("cci_drop"))
+            return v.selectExpr(SERIES, f"{_f}_value AS factor_value", f"{_f}_r2 AS r2", f"{_f}_status AS status",
+                                "cci_lag4 - last_cci AS cci_drop")
     dbl = ["factor_value", "r2"] + [c for c in ("season_b0", "season_b_sin", "season_b_cos", "last_gap", "last_coverage", "last_age") if c in _xs]
     if _qid == "factor_sentiment":
         dbl.append("cci_drop")
@@ -180,7 +190,7 @@ def q_factor_table(spark, sf):
 
 @register("factor_weights", with_views("SELECT sku_id, factor, weight FROM fweights", "fweights"), doubles=["weight"])
 def q_factor_weights(spark, sf):
-    return analysis(spark, sf).factor_table().select(SERIES, "factor", "weight")
+    return analysis(spark, sf).factor_table().selectExpr(SERIES, "factor", "weight")
 
 
 _view("confidence", ("fweights",), """
@@ -193,9 +203,8 @@ FROM (SELECT sku_id, sum(weight * (CASE WHEN reliability LIKE 'PROVISIONAL%' THE
 @register("confidence_score", with_views("SELECT sku_id, score, confidence_band FROM confidence", "confidence"), doubles=["score"])
 def q_confidence(spark, sf):
     t = analysis(spark, sf).factor_table()
-    agg = t.groupBy(SERIES).agg((F.sum(F.col("weight") * fx.reliability_score(F.col("reliability"))) * 100.0).alias("score"))
-    band = F.when(F.col("score") >= 75.0, "HIGH").when(F.col("score") >= 50.0, "MEDIUM").otherwise("LOW")
-    return agg.withColumn("confidence_band", band)
+    agg = t.groupBy(SERIES).agg(F.expr(f"sum(weight * {fx.reliability_score('reliability')}) * 100.0D AS score"))
+    return agg.selectExpr("*", "CASE WHEN score >= 75.0D THEN 'HIGH' WHEN score >= 50.0D THEN 'MEDIUM' ELSE 'LOW' END AS confidence_band")
 
 
 @register("r2_importance", with_views("""
@@ -204,19 +213,17 @@ FROM (SELECT *, sum(act) OVER (PARTITION BY sku_id) AS tot
       FROM (SELECT sku_id, factor, CASE WHEN status LIKE '%Used%' AND factor <> 'elasticity' THEN r2 ELSE 0.0 END AS act FROM ftable) a) b""",
     "ftable"), doubles=["importance"])
 def q_r2_importance(spark, sf):
-    from pyspark.sql import Window
-
     t = analysis(spark, sf).factor_table()
-    act = F.when(F.col("status").contains("Used") & (F.col("factor") != "elasticity"), F.col("r2")).otherwise(F.lit(0.0))
-    tot = F.sum(act).over(Window.partitionBy(SERIES))
-    return t.select(SERIES, "factor", F.when(tot > 0, act / tot).otherwise(F.lit(0.0)).alias("importance"))
+    act = "(CASE WHEN status LIKE '%Used%' AND factor <> 'elasticity' THEN r2 ELSE 0.0D END)"
+    tot = f"sum({act}) OVER (PARTITION BY {SERIES})"
+    return t.selectExpr(SERIES, "factor", f"CASE WHEN {tot} > 0 THEN {act} / {tot} ELSE 0.0D END AS importance")
 
 
 # ------------------------------------------------------------------ projection
 @register("base_state", with_views("SELECT sku_id, p_base, q_base, cost_base FROM fvals", "fvals"),
           doubles=["p_base", "q_base", "cost_base"])
 def q_base_state(spark, sf):
-    return analysis(spark, sf).summary.select(SERIES, "p_base", "q_base", "cost_base")
+    return analysis(spark, sf).summary.selectExpr(SERIES, "p_base", "q_base", "cost_base")
 
 
 CURVE_D = ["price_change_pct", "p_new", "q_new", "q_p10", "q_p50", "q_p90", "e_eff", "rev_new", "profit_new"]
@@ -227,14 +234,14 @@ CURVE_D = ["price_change_pct", "p_new", "q_new", "q_p10", "q_p50", "q_p90", "e_e
     "curve121"), doubles=CURVE_D)
 def q_price_curve(spark, sf):
     c = project_curve(analysis(spark, sf).summary, GRID_121)
-    return c.select(SERIES, F.col("grid_idx").cast("bigint").alias("grid_idx"), *CURVE_D)
+    return c.selectExpr(SERIES, "CAST(grid_idx AS BIGINT) AS grid_idx", *CURVE_D)
 
 
 @register("price_grid", with_views("SELECT sku_id, grid_idx, price_change_pct, p_new FROM curve121", "curve121"),
           doubles=["price_change_pct", "p_new"])
 def q_price_grid(spark, sf):
     c = project_curve(analysis(spark, sf).summary, GRID_121)
-    return c.select(SERIES, F.col("grid_idx").cast("bigint").alias("grid_idx"), "price_change_pct", "p_new")
+    return c.selectExpr(SERIES, "CAST(grid_idx AS BIGINT) AS grid_idx", "price_change_pct", "p_new")
 
 
 PD = ["price_change_pct", "p_new", "q_new", "e_eff", "C", "L", "X", "S", "I", "lift_m"]
@@ -245,14 +252,14 @@ PD = ["price_change_pct", "p_new", "q_new", "e_eff", "C", "L", "X", "S", "I", "l
     doubles=PD)
 def q_project_demand(spark, sf):
     c = project_curve(analysis(spark, sf).summary, GRID_121)
-    return c.select(SERIES, F.col("grid_idx").cast("bigint").alias("grid_idx"), *PD)
+    return c.selectExpr(SERIES, "CAST(grid_idx AS BIGINT) AS grid_idx", *PD)
 
 
 @register("demand_band", with_views("SELECT sku_id, grid_idx, q_p10, q_p50, q_p90 FROM curve121", "curve121"),
           doubles=["q_p10", "q_p50", "q_p90"])
 def q_demand_band(spark, sf):
     c = project_curve(analysis(spark, sf).summary, GRID_121)
-    return c.select(SERIES, F.col("grid_idx").cast("bigint").alias("grid_idx"), "q_p10", "q_p50", "q_p90")
+    return c.selectExpr(SERIES, "CAST(grid_idx AS BIGINT) AS grid_idx", "q_p10", "q_p50", "q_p90")
 
 
 FK = ["rev_base", "rev_new", "rev_increase", "rev_increase_pct", "profit_base", "profit_new", "profit_increase", "profit_increase_pct"]
@@ -263,7 +270,7 @@ FK = ["rev_base", "rev_new", "rev_increase", "rev_increase_pct", "profit_base",
     "curve121"), doubles=FK)
 def q_finance(spark, sf):
     c = project_curve(analysis(spark, sf).summary, GRID_121)
-    return c.select(SERIES, F.col("grid_idx").cast("bigint").alias("grid_idx"), *FK)
+    return c.selectExpr(SERIES, "CAST(grid_idx AS BIGINT) AS grid_idx", *FK)
 
 
 OPT_D = ["p_base", "opt_pct", "opt_price", "opt_profit", "opt_quantity", "e_eff", "revenue_at_profit_opt", "base_profit",
@@ -278,12 +285,12 @@ def q_optimize(spark, sf):
 @register("argmax_price", with_views("SELECT sku_id, opt_pct, opt_profit, opt_rev_pct, opt_revenue FROM optimum121", "optimum121"),
           doubles=["opt_pct", "opt_profit", "opt_rev_pct", "opt_revenue"])
 def q_argmax(spark, sf):
-    return optimal_prices(analysis(spark, sf).summary, GRID_121).select(SERIES, "opt_pct", "opt_profit", "opt_rev_pct", "opt_revenue")
+    return optimal_prices(analysis(spark, sf).summary, GRID_121).selectExpr(SERIES, "opt_pct", "opt_profit", "opt_rev_pct", "opt_revenue")
 
 
 @register("verdict", with_views("SELECT sku_id, opt_pct, verdict FROM optimum121", "optimum121"), doubles=["opt_pct"])
 def q_verdict(spark, sf):
-    return optimal_prices(analysis(spark, sf).summary, GRID_121).select(SERIES, "opt_pct", "verdict")
+    return optimal_prices(analysis(spark, sf).summary, GRID_121).selectExpr(SERIES, "opt_pct", "verdict")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pricefold.functions.columns import sig, sig_sql
 
@@ -27,7 +26,7 @@ class Query:
         df = self.build(spark, sf_dir)
         if not self.doubles:
             return df
-        return df.select(*[sig(F.col(c)).alias(c) if c in self.doubles else F.col(c) for c in df.columns])
+        return df.selectExpr(*[f"{sig(c)} AS {c}" if c in self.doubles else c for c in df.columns])
 
     def oracle(self) -> str | None:
         if self.sql is None or not self.doubles:

@@ -17,10 +17,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricefold.functions.columns import sdiv
+from pricefold.functions.columns import D
 from pricefold.sources.tables import read_table
 
 SERIES = "sku_id"
@@ -34,11 +35,11 @@ LAUNCH_STAGGER_MOD = 25
 FESTIVAL_MONTHS = (10, 11, 1, 2)
 
 
-def _series_expr(level: str):
+def _series_expr(level: str) -> str:
     if level == "brand":
-        return F.col("p_brand")
+        return "p_brand"
     if level == "part":
-        return F.concat(F.lit("Part#"), F.col("l_partkey").cast("string"))
+        return "concat('Part#', CAST(l_partkey AS STRING))"
     raise ValueError(f"unknown series level {level!r}")
 
 
@@ -47,53 +48,47 @@ def weekly_base(spark: SparkSession, sf_dir: str, level: str = "brand") -> DataF
     li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_retailprice"])
     joined = li.join(part, li.l_partkey == part.p_partkey)  # part is a dimension; AQE broadcasts it when small
-    return (
-        joined.groupBy(
-            _series_expr(level).alias(SERIES),
-            F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"),
-        ).agg(
-            F.sum("l_extendedprice").alias("sum_ext"),
-            F.sum("l_quantity").alias("sum_qty"),
-            F.sum(F.col("l_quantity") * F.col("p_retailprice")).alias("sum_qty_retail"),
-            F.sum(F.col("l_discount")).alias("sum_disc"),
-            F.count(F.lit(1)).alias("n_lines"),
-            F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("marketing_spend"),
-        )
-    )
+    return joined.groupBy(
+        F.expr(f"{_series_expr(level)} AS {SERIES}"), F.expr("to_date(date_trunc('week', l_shipdate)) AS date")
+    ).agg(*[F.expr(x) for x in (
+        "sum(l_extendedprice) AS sum_ext",
+        "sum(l_quantity) AS sum_qty",
+        "sum(l_quantity * p_retailprice) AS sum_qty_retail",
+        "sum(l_discount) AS sum_disc",
+        "count(1) AS n_lines",
+        "sum(l_extendedprice * l_discount) AS marketing_spend",
+    )])
 
 
 def sales_demand(base: DataFrame) -> DataFrame:
     """sales_demand(sku_id, date, unit_price, units_sold, cost_per_unit)."""
-    return base.select(
-        SERIES,
-        "date",
-        sdiv("sum_ext", "sum_qty").alias("unit_price"),
-        F.col("sum_qty").alias("units_sold"),
-        (F.lit(COST_SHARE_OF_RETAIL) * sdiv("sum_qty_retail", "sum_qty")).alias("cost_per_unit"),
+    return base.selectExpr(
+        SERIES, "date",
+        "try_divide(sum_ext, sum_qty) AS unit_price",
+        "sum_qty AS units_sold",
+        f"{D(COST_SHARE_OF_RETAIL)} * try_divide(sum_qty_retail, sum_qty) AS cost_per_unit",
     )
 
 
 def marketing_promotions(base: DataFrame) -> DataFrame:
     """marketing_promotions(sku_id, date, is_promo, marketing_spend)."""
-    return base.select(
-        SERIES,
-        "date",
-        (sdiv("sum_disc", "n_lines") > PROMO_DISCOUNT_THRESHOLD).cast("int").alias("is_promo"),
+    return base.selectExpr(
+        SERIES, "date",
+        f"CAST(try_divide(sum_disc, n_lines) > {D(PROMO_DISCOUNT_THRESHOLD)} AS INT) AS is_promo",
         "marketing_spend",
     )
 
 
 def inventory_status(sales: DataFrame) -> DataFrame:
     """inventory_status(sku_id, date, units_in_stock, avg_daily_sales_14d)."""
-    w = Window.partitionBy(SERIES).orderBy("date")
-    whole = Window.partitionBy(SERIES)
-    mean_units = F.sum("units_sold").over(whole) / F.count(F.lit(1)).over(whole)
-    stock = F.lit(STOCK_WEEKS_OF_DEMAND) * mean_units - F.sum("units_sold").over(w.rowsBetween(-2, 0))
-    return sales.select(
-        SERIES,
-        "date",
-        F.greatest(F.lit(0.0), F.floor(stock).cast("double")).cast("bigint").alias("units_in_stock"),
-        (F.sum("units_sold").over(w.rowsBetween(-1, 0)) / 14.0).alias("avg_daily_sales_14d"),
+    whole = f"OVER (PARTITION BY {SERIES})"
+    w = f"PARTITION BY {SERIES} ORDER BY date"
+    mean_units = f"(sum(units_sold) {whole} / count(1) {whole})"
+    stock = f"{D(STOCK_WEEKS_OF_DEMAND)} * {mean_units} - sum(units_sold) OVER ({w} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+    return sales.selectExpr(
+        SERIES, "date",
+        f"CAST(greatest(0.0D, CAST(floor({stock}) AS DOUBLE)) AS BIGINT) AS units_in_stock",
+        f"sum(units_sold) OVER ({w} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) / 14.0D AS avg_daily_sales_14d",
     )
 
 
@@ -102,82 +97,73 @@ def competitor_band(sales: DataFrame) -> DataFrame:
 
     Rival prices of the same week, excluding the series itself. Computed from
     per-week aggregates (sum, count, two smallest / largest) instead of a
-    self-join, so a week with many series costs O(series), never O(series²).
+    self-join, so a week with many series costs O(series), never O(series²),
+    and a hot week is pre-aggregated map-side before its shuffle.
     """
     p = "unit_price"
-    wk = sales.groupBy("date").agg(
-        F.sum(p).alias("_s"), F.count(p).alias("_n"), F.min(p).alias("_mn"), F.max(p).alias("_mx")
-    )
+    wk = sales.groupBy("date").agg(*[F.expr(x) for x in (
+        f"sum({p}) AS _s", f"count({p}) AS _n", f"min({p}) AS _mn", f"max({p}) AS _mx")])
     j = sales.select(SERIES, "date", p).join(wk, "date")
-    wk2 = j.groupBy("date").agg(
-        F.min(F.when(F.col(p) > F.col("_mn"), F.col(p))).alias("_mn2"),
-        F.count_if(F.col(p) == F.col("_mn")).alias("_nmn"),
-        F.max(F.when(F.col(p) < F.col("_mx"), F.col(p))).alias("_mx2"),
-        F.count_if(F.col(p) == F.col("_mx")).alias("_nmx"),
-    )
-    j = j.join(wk2, "date")
-    rivals = F.col("_n") - 1
-    return j.select(
-        SERIES,
-        "date",
-        F.when(rivals > 0, (F.col("_s") - F.col(p)) / rivals).alias("comp_price_avg"),
-        F.when(rivals > 0, F.when((F.col(p) == F.col("_mn")) & (F.col("_nmn") == 1), F.col("_mn2")).otherwise(F.col("_mn"))).alias("comp_price_min"),
-        F.when(rivals > 0, F.when((F.col(p) == F.col("_mx")) & (F.col("_nmx") == 1), F.col("_mx2")).otherwise(F.col("_mx"))).alias("comp_price_max"),
+    wk2 = j.groupBy("date").agg(*[F.expr(x) for x in (
+        f"min(CASE WHEN {p} > _mn THEN {p} END) AS _mn2",
+        f"count_if({p} = _mn) AS _nmn",
+        f"max(CASE WHEN {p} < _mx THEN {p} END) AS _mx2",
+        f"count_if({p} = _mx) AS _nmx")])
+    return j.join(wk2, "date").selectExpr(
+        SERIES, "date",
+        f"CASE WHEN _n > 1 THEN (_s - {p}) / (_n - 1) END AS comp_price_avg",
+        f"CASE WHEN _n > 1 THEN (CASE WHEN {p} = _mn AND _nmn = 1 THEN _mn2 ELSE _mn END) END AS comp_price_min",
+        f"CASE WHEN _n > 1 THEN (CASE WHEN {p} = _mx AND _nmx = 1 THEN _mx2 ELSE _mx END) END AS comp_price_max",
     )
 
 
 def product_lifecycle(spark: SparkSession, sf_dir: str, sales: DataFrame, level: str = "brand") -> DataFrame:
     """product_lifecycle(sku_id, launch_date, category): one row per series."""
-    first = sales.groupBy(SERIES).agg(F.min("date").alias("_first"))
+    first = sales.groupBy(SERIES).agg(F.expr("min(date) AS _first"))
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type"])
     if level == "brand":
-        cat = part.groupBy(F.col("p_brand").alias(SERIES)).agg(F.min("p_type").alias("category"))
+        cat = part.groupBy(F.expr(f"p_brand AS {SERIES}")).agg(F.expr("min(p_type) AS category"))
     else:
-        cat = part.select(F.concat(F.lit("Part#"), F.col("p_partkey").cast("string")).alias(SERIES), F.col("p_type").alias("category"))
-    num = F.regexp_extract(F.col(SERIES), r"(\d+)$", 1).cast("int")
-    return first.join(cat, SERIES, "left").select(
-        SERIES,
-        F.add_months("_first", F.lit(LAUNCH_STAGGER_MONTHS) * (num % LAUNCH_STAGGER_MOD)).alias("launch_date"),
-        "category",
-    )
+        cat = part.selectExpr(f"concat('Part#', CAST(p_partkey AS STRING)) AS {SERIES}", "p_type AS category")
+    num = f"CAST(regexp_extract({SERIES}, '(\\\\d+)$', 1) AS INT)"
+    return first.join(cat, SERIES, "left").selectExpr(
+        SERIES, f"add_months(_first, {LAUNCH_STAGGER_MONTHS} * ({num} % {LAUNCH_STAGGER_MOD})) AS launch_date", "category")
 
 
 def consumer_sentiment(spark: SparkSession, sf_dir: str, weeks: DataFrame) -> DataFrame:
     """consumer_sentiment(date, cci_current, cci_baseline, google_trends_score).
 
     A market-wide weekly series from ``orders``; weeks without orders carry
-    the last known value forward. ``weeks`` is the calendar (distinct dates).
-    The carry-forward window runs over the calendar only (one row per week,
-    bounded by the time span, not by data volume).
+    the last known value forward. ``weeks`` supplies the calendar (its dates).
+    The global windows run over the weekly calendar only: one row per week,
+    bounded by the time span (a few thousand rows for a century), never by
+    data volume.
     """
     o = read_table(spark, sf_dir, "orders", ["o_totalprice", "o_orderdate"])
-    per_week = o.groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("date")).agg(
-        F.sum("o_totalprice").alias("_tp"), F.count(F.lit(1)).alias("_n")
-    )
-    # Market-wide means over the weekly rows (one row per week: a bounded table).
-    whole = Window.partitionBy()
-    avg_tp = F.sum("_tp").over(whole) / F.sum("_n").over(whole)
-    avg_n = F.sum("_n").over(whole) / F.count(F.lit(1)).over(whole)
-    scored = per_week.select(
+    per_week = o.groupBy(F.expr("to_date(date_trunc('week', o_orderdate)) AS date")).agg(
+        F.expr("sum(o_totalprice) AS _tp"), F.expr("count(1) AS _n"))
+    scored = per_week.selectExpr(
         "date",
-        (F.lit(100.0) * (F.col("_tp") / F.col("_n")) / avg_tp).alias("_cci"),
-        F.least(F.lit(100.0), F.lit(50.0) * F.col("_n") / avg_n).alias("_gt"),
+        "100.0D * (_tp / _n) / (sum(_tp) OVER () / sum(_n) OVER ()) AS _cci",
+        "least(100.0D, 50.0D * _n / (sum(_n) OVER () / count(1) OVER ())) AS _gt",
     )
     cal = weeks.select("date").distinct().join(scored, "date", "left")
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return cal.select(
+    fr = "OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return cal.selectExpr(
         "date",
-        F.last("_cci", ignorenulls=True).over(w).alias("cci_current"),
-        F.lit(100.0).alias("cci_baseline"),
-        F.last("_gt", ignorenulls=True).over(w).alias("google_trends_score"),
+        f"last(_cci, true) {fr} AS cci_current",
+        "100.0D AS cci_baseline",
+        f"last(_gt, true) {fr} AS google_trends_score",
     )
 
 
 def series_index(sales: DataFrame) -> DataFrame:
-    """Position of each series in name order (0-based) and the series count."""
-    names = sales.select(SERIES).distinct()
-    w = Window.orderBy(SERIES)
-    return names.select(SERIES, (F.row_number().over(w) - 1).alias("series_idx"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n_series"))
+    """Position of each series in name order (0-based) and the series count.
+
+    Runs over the distinct series names only (a dimension, one row per series).
+    """
+    return sales.select(SERIES).distinct().selectExpr(
+        SERIES, f"CAST(row_number() OVER (ORDER BY {SERIES}) - 1 AS BIGINT) AS series_idx", "count(1) OVER () AS n_series")
 
 
 def brand_panel(sales: DataFrame, promos: DataFrame, comp: DataFrame, n_comp: int = 3) -> DataFrame:
@@ -188,24 +174,20 @@ def brand_panel(sales: DataFrame, promos: DataFrame, comp: DataFrame, n_comp: in
     series did not sell that week. Built with equi-joins on (week, index).
     """
     idx = series_index(sales)
-    base = sales.join(idx, SERIES).join(promos.select(SERIES, "date", "is_promo"), [SERIES, "date"], "left").join(
-        comp.select(SERIES, "date", "comp_price_avg"), [SERIES, "date"], "left"
-    )
-    out = base.withColumn(
-        "is_festival", F.month("date").isin(*FESTIVAL_MONTHS).cast("int")
-    ).withColumn("is_promo", F.coalesce("is_promo", F.lit(0)))
-    prices = base.select(F.col("date").alias("_d"), F.col("series_idx").alias("_i"), F.col("unit_price").alias("_p"))
+    base = (sales.join(idx, SERIES)
+            .join(promos.select(SERIES, "date", "is_promo"), [SERIES, "date"], "left")
+            .join(comp.select(SERIES, "date", "comp_price_avg"), [SERIES, "date"], "left"))
+    prices = sales.join(idx.select(SERIES, "series_idx"), SERIES).selectExpr("date AS _d", "series_idx AS _i", "unit_price AS _p")
+    out = base.selectExpr(*base.columns, *[f"(series_idx + {k}) % n_series AS _t{k}" for k in range(1, n_comp + 1)])
     for k in range(1, n_comp + 1):
-        pk = prices.select(F.col("_d"), F.col("_i").alias(f"_i{k}"), F.col("_p").alias(f"_p{k}"))
-        out = out.join(
-            pk,
-            (out.date == pk._d) & (((out.series_idx + k) % out.n_series) == pk[f"_i{k}"]),
-            "left",
-        ).drop("_d", f"_i{k}")
-        out = out.withColumn(f"comp_price_{k}", F.coalesce(f"_p{k}", "comp_price_avg", "unit_price")).drop(f"_p{k}")
-    cols = [SERIES, F.col(SERIES).alias("brand"), "date", "unit_price", "units_sold", "cost_per_unit", "is_promo", "is_festival"]
-    cols += [f"comp_price_{k}" for k in range(1, n_comp + 1)]
-    return out.select(*cols)
+        pk = prices.selectExpr(f"_d AS _d{k}", f"_i AS _t{k}", f"_p AS _p{k}")
+        out = out.join(pk, (out["date"] == pk[f"_d{k}"]) & (out[f"_t{k}"] == pk[f"_t{k}"]), "left").drop(pk[f"_t{k}"])
+    festival = ", ".join(str(m) for m in FESTIVAL_MONTHS)
+    return out.selectExpr(
+        SERIES, f"{SERIES} AS brand", "date", "unit_price", "units_sold", "cost_per_unit",
+        "coalesce(is_promo, 0) AS is_promo", f"CAST(month(date) IN ({festival}) AS INT) AS is_festival",
+        *[f"coalesce(_p{k}, comp_price_avg, unit_price) AS comp_price_{k}" for k in range(1, n_comp + 1)],
+    )
 
 
 @dataclass
@@ -220,8 +202,18 @@ class Bundle:
     sentiment: DataFrame | None = None
 
 
-def build_bundle(spark: SparkSession, sf_dir: str, level: str = "brand") -> Bundle:
+def build_bundle(spark: SparkSession, sf_dir: str, level: str = "brand", persist: bool = True) -> Bundle:
+    """Derive the six bundle tables.
+
+    The weekly aggregate is the only step that touches raw line items; it is
+    persisted (memory, spilling to disk) so every side table and every later
+    stage reads the small weekly table instead of rescanning ``lineitem``.
+    Spark's cache manager recognises an identical plan, so repeated calls
+    share one cached copy; lost blocks are recomputed from lineage.
+    """
     base = weekly_base(spark, sf_dir, level)
+    if persist:
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
     sales = sales_demand(base)
     return Bundle(
         sales=sales,
