@@ -102,7 +102,7 @@ SELECT sku_id, CAST(row_number() OVER (ORDER BY sku_id) - 1 AS BIGINT) AS series
 FROM (SELECT DISTINCT sku_id FROM sales_demand) d""")
 
 view("brand_panel", ("sales_demand", "series_index", "marketing_promotions", "competitor_pricing"), """
-SELECT s.sku_id, s.sku_id AS brand, s.date, s.unit_price, s.units_sold, s.cost_per_unit,
+SELECT s.sku_id, s.sku_id AS brand, s.date, i.series_idx, i.n_series, s.unit_price, s.units_sold, s.cost_per_unit,
        coalesce(m.is_promo, 0) AS is_promo,
        CAST(month(s.date) IN (10, 11, 1, 2) AS INTEGER) AS is_festival,
        coalesce(c1.unit_price, cp.comp_price_avg, s.unit_price) AS comp_price_1,

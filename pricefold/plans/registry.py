@@ -21,28 +21,29 @@ class Query:
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None = None
     doubles: tuple[str, ...] = field(default_factory=tuple)
+    digits: int = 6
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
         if not self.doubles:
             return df
-        return df.selectExpr(*[f"{sig(c)} AS {c}" if c in self.doubles else c for c in df.columns])
+        return df.selectExpr(*[f"{sig(c, self.digits)} AS {c}" if c in self.doubles else c for c in df.columns])
 
     def oracle(self) -> str | None:
         if self.sql is None or not self.doubles:
             return self.sql
-        rep = ", ".join(f"{sig_sql(c)} AS {c}" for c in self.doubles)
+        rep = ", ".join(f"{sig_sql(c, self.digits)} AS {c}" for c in self.doubles)
         return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) q"
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, sql: str | None = None, doubles: tuple[str, ...] | list[str] = ()):
+def register(name: str, sql: str | None = None, doubles: tuple[str, ...] | list[str] = (), digits: int = 6):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql, tuple(doubles))
+        REGISTRY[name] = Query(name, fn, sql, tuple(doubles), digits)
         return fn
 
     return deco

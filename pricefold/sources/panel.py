@@ -184,7 +184,7 @@ def brand_panel(sales: DataFrame, promos: DataFrame, comp: DataFrame, n_comp: in
         out = out.join(pk, (out["date"] == pk[f"_d{k}"]) & (out[f"_t{k}"] == pk[f"_t{k}"]), "left").drop(pk[f"_t{k}"])
     festival = ", ".join(str(m) for m in FESTIVAL_MONTHS)
     return out.selectExpr(
-        SERIES, f"{SERIES} AS brand", "date", "unit_price", "units_sold", "cost_per_unit",
+        SERIES, f"{SERIES} AS brand", "date", "series_idx", "n_series", "unit_price", "units_sold", "cost_per_unit",
         "coalesce(is_promo, 0) AS is_promo", f"CAST(month(date) IN ({festival}) AS INT) AS is_festival",
         *[f"coalesce(_p{k}, comp_price_avg, unit_price) AS comp_price_{k}" for k in range(1, n_comp + 1)],
     )

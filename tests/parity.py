@@ -21,6 +21,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
+    if isinstance(v, (list, tuple)) or (hasattr(v, "tolist") and getattr(v, "ndim", 0) > 0):
+        return tuple(_norm(x) for x in (v.tolist() if hasattr(v, "tolist") else v))
     if v is None or v is pd.NA or v is pd.NaT:
         return None
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
