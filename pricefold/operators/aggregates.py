@@ -86,11 +86,12 @@ def corr_matrix(panel: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def weekly_rollup(daily: DataFrame, cost_share: float = 0.75) -> DataFrame:
-    """Daily rows → week ending Saturday: volume-weighted price, summed units, cost = share × price."""
+    """Daily rows (series, date, revenue_cents, units_sold) → week ending Saturday:
+    volume-weighted price Σrevenue/Σunits, summed units, cost = share × price."""
     wk = daily.selectExpr("*", "next_day(date_sub(date, 1), 'SAT') AS week_end")
-    r = agg(wk, [SERIES, "week_end"], ["sum(unit_price * units_sold) AS _pq", "sum(units_sold) AS units_sold"])
-    return r.selectExpr(SERIES, "week_end", "try_divide(_pq, units_sold) AS unit_price", "units_sold",
-                        f"{D(cost_share)} * try_divide(_pq, units_sold) AS cost_per_unit")
+    r = agg(wk, [SERIES, "week_end"], ["sum(revenue_cents) AS _cents", "sum(units_sold) AS units_sold"])
+    price = "(CAST(_cents AS DOUBLE) / units_sold / 100.0D)"
+    return r.selectExpr(SERIES, "week_end", f"{price} AS unit_price", "units_sold", f"{D(cost_share)} * {price} AS cost_per_unit")
 
 
 def latest_row(panel: DataFrame, cols: list[str]) -> DataFrame:

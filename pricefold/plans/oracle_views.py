@@ -37,12 +37,12 @@ def with_views(final_sql: str, *names: str) -> str:
 view("weekly_base", (), """
 SELECT p.p_brand AS sku_id,
        CAST(date_trunc('week', l.l_shipdate) AS DATE) AS date,
-       sum(l.l_extendedprice) AS sum_ext,
+       CAST(CAST(sum(CAST(round(l.l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS DOUBLE) / 100.0 AS sum_ext,
        sum(l.l_quantity) AS sum_qty,
-       sum(l.l_quantity * p.p_retailprice) AS sum_qty_retail,
-       sum(l.l_discount) AS sum_disc,
+       CAST(CAST(sum(CAST(round(l.l_quantity * p.p_retailprice * 10) AS BIGINT)) AS BIGINT) AS DOUBLE) / 10.0 AS sum_qty_retail,
+       CAST(CAST(sum(CAST(round(l.l_discount * 100) AS BIGINT)) AS BIGINT) AS DOUBLE) / 100.0 AS sum_disc,
        count(*) AS n_lines,
-       sum(l.l_extendedprice * l.l_discount) AS marketing_spend
+       CAST(CAST(sum(CAST(round(l.l_extendedprice * l.l_discount * 10000) AS BIGINT)) AS BIGINT) AS DOUBLE) / 10000.0 AS marketing_spend
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 GROUP BY 1, 2""")
 

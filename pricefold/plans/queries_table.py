@@ -431,27 +431,25 @@ def q_corr_matrix(spark, sf):
     return A.corr_matrix(bpanel_for(spark, sf), CM_COLS)
 
 
-@register("weekly_rollup", f"""
-SELECT sku_id, week_end, {sig_sql('pq / units_sold', 9)} AS unit_price, units_sold,
-       0.75 * {sig_sql('pq / units_sold', 9)} AS cost_per_unit
-FROM (SELECT sku_id, week_end, sum(unit_price * units_sold) AS pq, sum(units_sold) AS units_sold
+@register("weekly_rollup", """
+SELECT sku_id, week_end, CAST(cents AS DOUBLE) / units_sold / 100.0 AS unit_price, units_sold,
+       0.75 * (CAST(cents AS DOUBLE) / units_sold / 100.0) AS cost_per_unit
+FROM (SELECT sku_id, week_end, CAST(sum(cents) AS BIGINT) AS cents, sum(units_sold) AS units_sold
       FROM (SELECT p.p_brand AS sku_id, CAST(l.l_shipdate AS DATE) AS d,
                    CAST(l.l_shipdate AS DATE) + CAST((6 - isodow(CAST(l.l_shipdate AS DATE)) + 7) % 7 AS INTEGER) AS week_end,
-                   sum(l.l_extendedprice) / sum(l.l_quantity) AS unit_price, sum(l.l_quantity) AS units_sold
+                   CAST(sum(CAST(round(l.l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, sum(l.l_quantity) AS units_sold
             FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2, 3) daily
       GROUP BY 1, 2) t""", doubles=["units_sold"])
 def q_weekly_rollup(spark, sf):
+    """Daily brand rows → weeks ending Saturday. Money is summed in integer
+    cents, so the volume-weighted price is exact and order-independent."""
     from pricefold.sources.tables import read_table
 
     li = read_table(spark, sf, "lineitem", ["l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"])
     part = read_table(spark, sf, "part", ["p_partkey", "p_brand"])
     daily = A.agg(li.join(part, li.l_partkey == part.p_partkey), [f"p_brand AS {SERIES}", "to_date(l_shipdate) AS date"],
-                  ["sum(l_extendedprice) / sum(l_quantity) AS unit_price", "sum(l_quantity) AS units_sold"])
-    r = A.weekly_rollup(daily)
-    # Reported at 9 significant digits; cost derived from the reported price so it
-    # carries no extra digits (0.75 × a cent-valued price would sit on rounding ties).
-    return r.selectExpr(SERIES, "week_end", f"{sig('unit_price', 9)} AS unit_price", "units_sold",
-                        f"0.75D * {sig('unit_price', 9)} AS cost_per_unit")
+                  ["sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS revenue_cents", "sum(l_quantity) AS units_sold"])
+    return A.weekly_rollup(daily)
 
 
 @register("anomaly_counts", with_views("""

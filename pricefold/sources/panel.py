@@ -51,12 +51,14 @@ def weekly_base(spark: SparkSession, sf_dir: str, level: str = "brand") -> DataF
     return joined.groupBy(
         F.expr(f"{_series_expr(level)} AS {SERIES}"), F.expr("to_date(date_trunc('week', l_shipdate)) AS date")
     ).agg(*[F.expr(x) for x in (
-        "sum(l_extendedprice) AS sum_ext",
+        # Money is summed in exact integer units (cents, tenths, basis points) so
+        # the weekly panel is bit-identical whatever order partial sums combine in.
+        "CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0D AS sum_ext",
         "sum(l_quantity) AS sum_qty",
-        "sum(l_quantity * p_retailprice) AS sum_qty_retail",
-        "sum(l_discount) AS sum_disc",
+        "CAST(sum(CAST(round(l_quantity * p_retailprice * 10) AS BIGINT)) AS DOUBLE) / 10.0D AS sum_qty_retail",
+        "CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / 100.0D AS sum_disc",
         "count(1) AS n_lines",
-        "sum(l_extendedprice * l_discount) AS marketing_spend",
+        "CAST(sum(CAST(round(l_extendedprice * l_discount * 10000) AS BIGINT)) AS DOUBLE) / 10000.0D AS marketing_spend",
     )])
 
 
