@@ -53,5 +53,6 @@ def load_all() -> dict[str, Query]:
     """Import every module that registers queries."""
     from pricefold.plans import queries_core  # noqa: F401
     from pricefold.plans import queries_table  # noqa: F401
+    from pricefold.plans import queries_models  # noqa: F401
     return REGISTRY
 
