@@ -106,7 +106,7 @@ def factor_moments(panel: DataFrame, decay: float = FACTOR_DECAY, series: str =
         f"{age_months('date', 'launch_date')} AS _age",
         f"{sentiment_signal('cci_current', 'cci_baseline')} AS _sig",
         "CAST(is_promo AS DOUBLE) AS _promo",
-        "cci_current",
+        "cci_current", "comp_price_avg",
     ).selectExpr(
         "*",
         f"CASE WHEN _cov IS NOT NULL THEN CAST(_cov < {D(LOW_STOCK_DAYS)} AS DOUBLE) END AS _low",
@@ -134,6 +134,8 @@ def factor_moments(panel: DataFrame, decay: float = FACTOR_DECAY, series: str =
         *season, *life,
         "max_by(CAST(weekofyear(date) AS BIGINT), date) AS last_week",
         "max_by(_gap, date) AS last_gap",
+        "max_by(unit_price, date) AS last_price",
+        "max_by(comp_price_avg, date) AS last_comp",
         "max_by(_promo, date) AS last_promo",
         "max_by(_cov, date) AS last_coverage",
         "max_by(_age, date) AS last_age",
@@ -184,6 +186,7 @@ def factor_values(moments: DataFrame, present: dict[str, bool], promo_model: str
     pred = f"(_b0 + _b1 * sin({D(TWO_PI)} * {wk} / 52.0D) + _b2 * cos({D(TWO_PI)} * {wk} / 52.0D))"
     exprs = [
         series, "p_base", "q_base", "cost_base", "n_rows", "last_coverage", "last_age", "last_gap", "cci_lag4", "last_cci",
+        "last_price", "last_comp",
         f"CASE WHEN {s_status} = 'Used' THEN {clip(f'exp({pred})', *SEASON_CLAMP)} ELSE 1.0D END AS seasonality_value",
         f"CASE WHEN n_rows < {SEASON_MIN_ROWS} OR NOT _sok THEN 0.0D ELSE _sr2 END AS seasonality_r2",
         f"{s_status} AS seasonality_status",

@@ -196,6 +196,8 @@ SELECT sku_id, count(*) AS n_rows,
        {_life},
        CAST(arg_max_null(weekofyear(date), date) AS BIGINT) AS last_week,
        arg_max_null(gap, date) AS last_gap,
+       arg_max_null(unit_price, date) AS last_price,
+       arg_max_null(comp_price_avg, date) AS last_comp,
        arg_max_null(promo, date) AS last_promo,
        arg_max_null(cover, date) AS last_coverage,
        arg_max_null(age, date) AS last_age,
@@ -223,6 +225,7 @@ _nph = " + ".join(f"(CASE WHEN l_w_{ph} > 0 THEN 1 ELSE 0 END)" for ph in ("laun
 
 view("fvals", ("fmom", "fseason"), f"""
 SELECT m.sku_id, m.p_base, m.q_base, m.cost_base, m.n_rows, m.last_coverage, m.last_age, m.last_gap, m.cci_lag4, m.last_cci,
+       m.last_price, m.last_comp,
        CASE WHEN ss.st = 'Used' THEN greatest(0.3, least(3.0, exp(ss.b0 + ss.b1 * sin({TWO_PI} * CAST(m.last_week AS DOUBLE) / 52.0)
             + ss.b2 * cos({TWO_PI} * CAST(m.last_week AS DOUBLE) / 52.0)))) ELSE 1.0 END AS seasonality_value,
        CASE WHEN m.n_rows < 52 OR NOT ss.ok THEN 0.0 ELSE ss.r2 END AS seasonality_r2,
@@ -259,11 +262,11 @@ SELECT e.sku_id, e.elasticity AS e_base, e.ci_low, e.ci_high, e.r2 AS e_r2, e.st
 FROM efit e JOIN fvals v USING (sku_id) JOIN mape m USING (sku_id)""")
 
 
-def curve_sql(lo: float, hi: float, n: int, promo_active: bool = False) -> str:
+def curve_sql(lo: float, hi: float, n: int, promo_active: bool = False, src: str = "summary", keys: str = "") -> str:
     step = (hi - lo) / (n - 1)
     promo = "true" if promo_active else "false"
     return f"""
-SELECT sku_id, grid_idx, pct AS price_change_pct, p_base, p_new, q_new,
+SELECT sku_id, {keys}grid_idx, pct AS price_change_pct, p_base, p_new, q_new,
        least(q_new, q_low, q_high) AS q_p10, q_new AS q_p50, greatest(q_new, q_low, q_high) AS q_p90,
        e_eff, C, L, X, S, I, lift_m, rev_base, rev_new, rev_new - rev_base AS rev_increase,
        CASE WHEN rev_base > 0 THEN (rev_new - rev_base) / rev_base * 100.0 ELSE 0.0 END AS rev_increase_pct,
@@ -288,36 +291,36 @@ FROM (
                CASE WHEN seasonality_status LIKE '%Used%' THEN seasonality_value ELSE 1.0 END AS S,
                CASE WHEN inventory_status LIKE '%Used%' THEN inventory_value ELSE 1.0 END AS I,
                CASE WHEN {promo} THEN (CASE WHEN promotions_status LIKE '%Used%' THEN promotions_value ELSE 0.1275 END) ELSE 0.0 END AS lift_m
-        FROM summary s CROSS JOIN (SELECT CAST(range AS BIGINT) AS grid_idx FROM range({n})) g
+        FROM {src} s CROSS JOIN (SELECT CAST(range AS BIGINT) AS grid_idx FROM range({n})) g
       ) a) b) c) d"""
 
 
 view("curve121", ("summary",), curve_sql(-30.0, 30.0, 121))
 
 
-def optimum_sql(curve: str, n: int) -> str:
+def optimum_sql(curve: str, n: int, keys: str = "") -> str:
     center = (n - 1) // 2 if n % 2 == 1 else n // 2
     return f"""
-SELECT sku_id, p_base, opt_pct, p_base * (1.0 + opt_pct / 100.0) AS opt_price, opt_profit, opt_quantity, e_eff,
+SELECT sku_id, {keys}p_base, opt_pct, p_base * (1.0 + opt_pct / 100.0) AS opt_price, opt_profit, opt_quantity, e_eff,
        revenue_at_profit_opt, base_profit, base_revenue, opt_rev_pct,
        p_base * (1.0 + opt_rev_pct / 100.0) AS opt_rev_price, opt_revenue,
        CASE WHEN base_profit <> 0 THEN (opt_profit - base_profit) / abs(base_profit) * 100.0 ELSE 0.0 END AS profit_increase_pct,
        CASE WHEN opt_pct > 1.0 THEN 'INCREASE' WHEN opt_pct < -1.0 THEN 'DECREASE' ELSE 'MAINTAIN' END AS verdict
 FROM (
-  SELECT b.sku_id, b.p_base, b.price_change_pct AS opt_pct, b.profit_new AS opt_profit, b.q_new AS opt_quantity,
+  SELECT b.sku_id, {''.join('b.' + k.strip() + ', ' for k in keys.split(',') if k.strip())}b.p_base, b.price_change_pct AS opt_pct, b.profit_new AS opt_profit, b.q_new AS opt_quantity,
          b.e_eff, b.rev_new AS revenue_at_profit_opt, r.price_change_pct AS opt_rev_pct, r.rev_new AS opt_revenue,
          CASE WHEN z.pb0 IS NULL OR z.pb0 = 0 THEN z.pbc ELSE z.pb0 END AS base_profit,
          CASE WHEN z.rb0 IS NULL OR z.rb0 = 0 THEN z.rbc ELSE z.rb0 END AS base_revenue
-  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY profit_new DESC, price_change_pct ASC) AS rk
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku_id{', ' + keys.rstrip(', ') if keys else ''} ORDER BY profit_new DESC, price_change_pct ASC) AS rk
                        FROM {curve}) WHERE rk = 1) b
-  JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY rev_new DESC, price_change_pct ASC) AS rk
-                       FROM {curve}) WHERE rk = 1) r USING (sku_id)
-  JOIN (SELECT sku_id,
+  JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku_id{', ' + keys.rstrip(', ') if keys else ''} ORDER BY rev_new DESC, price_change_pct ASC) AS rk
+                       FROM {curve}) WHERE rk = 1) r USING (sku_id{', ' + keys.rstrip(', ') if keys else ''})
+  JOIN (SELECT sku_id, {keys}
                max(CASE WHEN abs(price_change_pct) < 1e-5 THEN profit_base END) AS pb0,
                max(CASE WHEN abs(price_change_pct) < 1e-5 THEN rev_base END) AS rb0,
                max(CASE WHEN grid_idx = {center} THEN profit_new END) AS pbc,
                max(CASE WHEN grid_idx = {center} THEN rev_new END) AS rbc
-        FROM {curve} GROUP BY sku_id) z USING (sku_id)) t"""
+        FROM {curve} GROUP BY ALL) z USING (sku_id{', ' + keys.rstrip(', ') if keys else ''})) t"""
 
 
 view("optimum121", ("curve121",), optimum_sql("curve121", 121))

@@ -54,5 +54,6 @@ def load_all() -> dict[str, Query]:
     from pricefold.plans import queries_core  # noqa: F401
     from pricefold.plans import queries_table  # noqa: F401
     from pricefold.plans import queries_models  # noqa: F401
+    from pricefold.plans import queries_reports  # noqa: F401
     return REGISTRY
 
