@@ -56,5 +56,6 @@ def load_all() -> dict[str, Query]:
     from pricefold.plans import queries_models  # noqa: F401
     from pricefold.plans import queries_reports  # noqa: F401
     from pricefold.plans import queries_backtest  # noqa: F401
+    from pricefold.plans import queries_ml  # noqa: F401
     return REGISTRY
 
