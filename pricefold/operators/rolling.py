@@ -158,3 +158,11 @@ def rank_score_b(metrics: DataFrame, group: str = SERIES, exclude_model: str | N
     tail = metrics.filter(f"model = '{exclude_model}'").selectExpr(
         "*", "0.0D AS accuracy_score", "0.0D AS plausibility_score", "0.0D AS stability_score", "0.0D AS rank_score")
     return scored.unionByName(tail)
+
+
+def backtest_window_weights(panel: DataFrame, window: int = 104, decay: float = 0.95) -> DataFrame:
+    """0.95^(rank from newest) over the latest ``window`` rows of each series,
+    normalised to mean 1 (mean of a geometric sequence in closed form)."""
+    mean = f"((1.0D - pow({D(decay)}, {D(window)})) / (1.0D - {D(decay)}) / {D(window)})"
+    r = panel.selectExpr(SERIES, "date", f"row_number() OVER (PARTITION BY {SERIES} ORDER BY date DESC) - 1 AS rk").filter(f"rk < {window}")
+    return r.selectExpr(SERIES, "date", "CAST(rk AS BIGINT) AS rank_from_newest", f"pow({D(decay)}, CAST(rk AS DOUBLE)) / {mean} AS weight")

@@ -334,3 +334,14 @@ def q_top3(spark, sf):
     a = R.rank_score_a(metrics_for(spark, sf))
     return a.selectExpr(SERIES, "model", "rank_score",
                         f"CAST(row_number() OVER (PARTITION BY {SERIES} ORDER BY rank_score DESC, model) AS BIGINT) AS rank").filter("rank <= 3")
+
+
+@register("backtest_decay", with_views("""
+SELECT sku_id, date, CAST(rk AS BIGINT) AS rank_from_newest,
+       pow(0.95, CAST(rk AS DOUBLE)) / ((1.0 - pow(0.95, 104.0)) / (1.0 - 0.95) / 104.0) AS weight
+FROM (SELECT sku_id, date, row_number() OVER (PARTITION BY sku_id ORDER BY date DESC) - 1 AS rk FROM sales_demand) t
+WHERE rk < 104""", "sales_demand"), doubles=["weight"])
+def q_backtest_decay(spark, sf):
+    """Weights of the latest 104-week training window: 0.95^(rank from newest)
+    divided by their mean (closed form of the geometric mean weight)."""
+    return R.backtest_window_weights(analysis(spark, sf).spiked)
