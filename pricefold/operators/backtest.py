@@ -132,51 +132,137 @@ def _fit_predict(model: str, Xtr, ytr, w, xte, Ztr, zte):
     raise ValueError(model)
 
 
+def _bsolve(A: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Batched solve of A[o] x = b[o]; singular systems fall back to least squares."""
+    try:
+        return np.linalg.solve(A, b[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        return np.stack([np.linalg.lstsq(A[o], b[o], rcond=None)[0] for o in range(len(A))])
+
+
+def _bwls(X: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted least squares for every origin at once: X (o, W, p), y (o, W), w (W,) or (o, W)."""
+    ww = np.broadcast_to(w, y.shape)
+    Xt = np.swapaxes(X, 1, 2) * ww[:, None, :]
+    return _bsolve(Xt @ X, (Xt @ y[..., None])[..., 0])
+
+
+def _bhuber(X: np.ndarray, y: np.ndarray, w: np.ndarray, eps: float = HUBER_EPS, iters: int = 10) -> np.ndarray:
+    beta = _bwls(X, y, w)
+    r = y - (X @ beta[..., None])[..., 0]
+    scale = np.median(np.abs(r - np.median(r, axis=1, keepdims=True)), axis=1) / 0.6745
+    ok = np.isfinite(scale) & (scale > 0)
+    scale = np.where(ok, scale, 1.0)
+    for _ in range(iters):
+        u = np.abs(y - (X @ beta[..., None])[..., 0]) / scale[:, None]
+        hw = np.where(ok[:, None], np.minimum(1.0, eps / np.maximum(u, 1e-12)), 1.0)
+        new = _bwls(X, y, w * hw)
+        done = float(np.max(np.abs(new - beta))) < 1e-8
+        beta = new
+        if done:
+            break
+    return beta
+
+
+def _baicc(X0: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """AICc-optimal Fourier order (1..5) for every origin."""
+    n = y.shape[1]
+    best = np.full(len(y), np.inf)
+    best_k = np.ones(len(y), dtype=int)
+    for k in range(1, 6):
+        F_ = np.broadcast_to(fourier(t, 52.0, k), (len(y),) + fourier(t, 52.0, k).shape)
+        X = np.concatenate([X0, F_], axis=2)
+        beta = _bwls(X, y, w)
+        ssr = np.einsum("w,ow->o", w, (y - (X @ beta[..., None])[..., 0]) ** 2)
+        p = X.shape[2]
+        llf = -n / 2 * np.log(2 * np.pi) - n / 2 * np.log(ssr / n) - n / 2 + 0.5 * np.sum(np.log(w))
+        aic = -2 * llf + 2 * p
+        aicc = aic + (2 * p * (p + 1)) / (n - p - 1) if n - p - 1 > 0 else aic
+        better = aicc < best
+        best = np.where(better, aicc, best)
+        best_k = np.where(better, k, best_k)
+    return best_k
+
+
+def _bfit(model: str, X, y, w, xte, Z, zte):
+    """(elasticity, predicted ln q) for every origin; column 1 is ln p, Z swaps in ln cost."""
+    if model == "Linear":
+        b = _bwls(X, y, w)
+        return b[:, 1], np.einsum("op,op->o", xte, b)
+    if model == "IV_2SLS":
+        g = _bwls(Z, X[:, :, 1], w)
+        X2 = X.copy()
+        X2[:, :, 1] = (Z @ g[..., None])[..., 0]
+        b = _bwls(X2, y, w)
+        x2 = xte.copy()
+        x2[:, 1] = np.einsum("op,op->o", zte, g)
+        return b[:, 1], np.einsum("op,op->o", x2, b)
+    if model == "Ridge":
+        Xr = X[:, :, 1:]
+        sw = w.sum()
+        mx = np.einsum("w,owp->op", w, Xr) / sw
+        my = np.einsum("w,ow->o", w, y) / sw
+        Xc, yc = Xr - mx[:, None, :], y - my[:, None]
+        A = np.einsum("owp,w,owq->opq", Xc, w, Xc) + RIDGE_ALPHA * np.eye(Xr.shape[2])
+        b = _bsolve(A, np.einsum("owp,w,ow->op", Xc, w, yc))
+        return b[:, 0], my - np.einsum("op,op->o", mx, b) + np.einsum("op,op->o", xte[:, 1:], b)
+    if model == "Huber":
+        b = _bhuber(X, y, w)
+        return b[:, 1], np.einsum("op,op->o", xte, b)
+    raise ValueError(model)
+
+
 def backtest_series(pdf: pd.DataFrame, window: int = TRAIN_WINDOW, models=MODELS, seasonalities=SEASONALITIES) -> pd.DataFrame:
+    """All origins of one series at once: the W-row training windows are strided
+    views, every configuration is a batched normal-equation solve over origins."""
+    cols = ["sku_id", "model", "seasonality", "decay", "date", "actual", "predicted", "elasticity", "fourier_k"]
     pdf = pdf.sort_values("date").reset_index(drop=True)
     n = len(pdf)
-    out = []
     if n <= window:
-        return pd.DataFrame(columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")])
+        return pd.DataFrame(columns=cols)
     y_all = np.log(pdf["units_sold"].to_numpy(float))
-    base_cols = np.column_stack([np.log(pdf["unit_price"]), np.log(pdf["comp_price_1"]), np.log(pdf["comp_price_2"]),
-                                 pdf["is_promo"].to_numpy(float)])
+    base = np.column_stack([np.log(pdf["unit_price"].to_numpy(float)), np.log(pdf["comp_price_1"].to_numpy(float)),
+                            np.log(pdf["comp_price_2"].to_numpy(float)), pdf["is_promo"].to_numpy(float)])
     cost = np.log(pdf["cost_per_unit"].to_numpy(float))
-    t_tr = np.arange(window, dtype=float)
-    t_te = np.array([float(window)])
+    n_o = n - window
+    win = np.lib.stride_tricks.sliding_window_view(np.arange(n), window)[:n_o]
+    test = np.arange(window, n)
+    Y, B, C = y_all[win], base[win], cost[win]
+    X0 = np.concatenate([np.ones((n_o, window, 1)), B], axis=2)
+    xte0 = np.concatenate([np.ones((n_o, 1)), base[test]], axis=1)
+    t_tr, t_te = np.arange(window, dtype=float), np.array([float(window)])
     decay_w = DECAY ** np.arange(window)[::-1]
     decay_w = decay_w / decay_w.mean()
-    flat_w = np.ones(window)
-    sku = pdf[SERIES].iloc[0]
-    for idx in range(window, n):
-        tr = slice(idx - window, idx)
-        ytr = y_all[tr]
-        B = base_cols[tr]
-        actual = float(pdf["units_sold"].iloc[idx])
-        for decay_name, w in (("NoDecay", flat_w), ("WithDecay", decay_w)):
-            X0 = np.hstack([np.ones((window, 1)), B])
-            for seas in seasonalities:
-                k = aicc_order(X0, ytr, w, t_tr) if seas == "adaptive" else None
-                Str, Ste = season_terms(t_tr, seas, k), season_terms(t_te, seas, k)
-                Xtr = np.hstack([X0, Str])
-                xte = np.concatenate([[1.0], base_cols[idx], Ste[0]])
-                Ztr = Xtr.copy()
-                Ztr[:, 1] = cost[tr]
+    dates = pdf["date"].to_numpy()[test]
+    actual = pdf["units_sold"].to_numpy(float)[test]
+    fallback = np.exp(Y.mean(axis=1))
+    frames = []
+    for decay_name, w in (("NoDecay", np.ones(window)), ("WithDecay", decay_w)):
+        for seas in seasonalities:
+            ks = _baicc(X0, Y, w, t_tr) if seas == "adaptive" else np.zeros(n_o, dtype=int)
+            for k in np.unique(ks):
+                sel = np.nonzero(ks == k)[0]
+                S_tr, S_te = season_terms(t_tr, seas, int(k)), season_terms(t_te, seas, int(k))
+                X = np.concatenate([X0[sel], np.broadcast_to(S_tr, (len(sel),) + S_tr.shape)], axis=2)
+                xte = np.concatenate([xte0[sel], np.broadcast_to(S_te[0], (len(sel), S_te.shape[1]))], axis=1)
+                Z = X.copy()
+                Z[:, :, 1] = C[sel]
                 zte = xte.copy()
-                zte[1] = cost[idx]
+                zte[:, 1] = cost[test[sel]]
                 for model in models:
-                    try:
-                        e, pl = _fit_predict(model, Xtr, ytr, w, xte, Ztr, zte)
-                        pred = float(np.exp(pl))
-                        if not np.isfinite(pred) or not np.isfinite(e):
-                            raise FloatingPointError
-                    except Exception:
-                        pred, e = float(np.exp(ytr.mean())), -1.0
-                    out.append((sku, model, seas, decay_name, pdf["date"].iloc[idx], actual, pred,
-                                float(np.clip(e, -10.0, 2.0)), k))
-    res = pd.DataFrame(out, columns=["sku_id", "model", "seasonality", "decay", "date", "actual", "predicted", "elasticity", "fourier_k"])
+                    with np.errstate(all="ignore"):
+                        e, pl = _bfit(model, X, Y[sel], w, xte, Z, zte)
+                        pred = np.exp(pl)
+                    bad = ~(np.isfinite(pred) & np.isfinite(e))
+                    pred = np.where(bad, fallback[sel], pred)
+                    e = np.clip(np.where(bad, -1.0, e), -10.0, 2.0)
+                    frames.append(pd.DataFrame({
+                        "sku_id": pdf["sku_id"].iloc[0], "model": model, "seasonality": seas, "decay": decay_name,
+                        "date": dates[sel], "actual": actual[sel], "predicted": pred, "elasticity": e,
+                        "fourier_k": (k if seas == "adaptive" else None)}))
+    res = pd.concat(frames, ignore_index=True)
     res["fourier_k"] = res["fourier_k"].astype("Int32")
-    return res
+    return res[cols]
 
 
 def rolling_backtest(bpanel: DataFrame, window: int = TRAIN_WINDOW) -> DataFrame:

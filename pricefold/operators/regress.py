@@ -121,7 +121,9 @@ def with_residuals(spiked: DataFrame, fit: DataFrame, series: str = SERIES) -> D
     """Attach ``residual`` = ln q − fitted on regression rows, 0.0 on excluded rows
     (and everywhere when the fit is a proxy); NULL on non-positive rows.
     ``fitted_units`` = exp(fitted) on regression rows."""
-    j = spiked.join(fit.selectExpr(series, "elasticity AS _e", "intercept AS _a", "has_model AS _hm"), series, "left")
+    # Both sides are hash-partitioned by series: a merge join reuses that
+    # partitioning (no exchange, no broadcast job, any number of series).
+    j = spiked.join(fit.selectExpr(series, "elasticity AS _e", "intercept AS _a", "has_model AS _hm").hint("merge"), series, "left")
     fitted = "(_a + _e * ln(unit_price))"
     return j.selectExpr(
         *spiked.columns,

@@ -53,7 +53,7 @@ def analyse(bundle: Bundle, promo_model: str = "reference", panel: DataFrame | N
     summary = (
         fit.selectExpr(SERIES, "elasticity AS e_base", "ci_low", "ci_high", "r2 AS e_r2",
                        "status AS elasticity_status", "n_obs")
-        .join(fvals, SERIES)
-        .join(mape, SERIES)
+        .join(fvals.hint("merge"), SERIES)
+        .join(mape.hint("merge"), SERIES)
     )
     return Analysis(spiked, fit, resid, fvals, summary)

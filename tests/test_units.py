@@ -153,3 +153,37 @@ def test_sig_rounding_is_exact_and_engine_neutral(spark):
     want = [con.execute(f"SELECT {sig_sql('x')} FROM (SELECT CAST(? AS DOUBLE) AS x)", [v]).fetchone()[0] for v in vals]
     assert got == want
     assert got[0] == 1234.57 and math.isclose(got[1], -0.000123457)
+
+
+def test_batched_backtest_matches_per_origin_solves():
+    """Brute force: re-fit every origin separately with the scalar solvers."""
+    import pricefold.operators.backtest as BT
+
+    rng = np.random.default_rng(11)
+    n, W = 140, 104
+    p = np.exp(rng.normal(2.0, 0.2, n))
+    pdf = pd.DataFrame({"sku_id": "B", "date": pd.date_range("2020-01-06", periods=n, freq="7D").date, "unit_price": p,
+                        "units_sold": np.exp(4.0 - 1.2 * np.log(p) + 0.2 * np.sin(np.arange(n) / 8) + rng.normal(0, 0.05, n)),
+                        "cost_per_unit": p * rng.uniform(0.5, 0.7, n), "comp_price_1": np.exp(rng.normal(2.0, 0.1, n)),
+                        "comp_price_2": np.exp(rng.normal(2.0, 0.1, n)), "is_promo": rng.integers(0, 2, n)})
+    got = BT.backtest_series(pdf, W).set_index(["model", "seasonality", "decay", "date"]).sort_index()
+    y, base = np.log(pdf.units_sold.to_numpy()), np.column_stack([np.log(pdf.unit_price), np.log(pdf.comp_price_1),
+                                                                  np.log(pdf.comp_price_2), pdf.is_promo.to_numpy(float)])
+    cost = np.log(pdf.cost_per_unit.to_numpy())
+    t_tr, t_te = np.arange(W, dtype=float), np.array([float(W)])
+    dw = BT.DECAY ** np.arange(W)[::-1]
+    for idx in (W, W + 17, n - 1):
+        tr = slice(idx - W, idx)
+        for dname, w in (("NoDecay", np.ones(W)), ("WithDecay", dw / dw.mean())):
+            X0 = np.hstack([np.ones((W, 1)), base[tr]])
+            for seas in BT.SEASONALITIES:
+                k = BT.aicc_order(X0, y[tr], w, t_tr) if seas == "adaptive" else None
+                X = np.hstack([X0, BT.season_terms(t_tr, seas, k)])
+                xte = np.concatenate([[1.0], base[idx], BT.season_terms(t_te, seas, k)[0]])
+                Z, zte = X.copy(), xte.copy()
+                Z[:, 1], zte[1] = cost[tr], cost[idx]
+                for m in BT.MODELS:
+                    e, pl = BT._fit_predict(m, X, y[tr], w, xte, Z, zte)
+                    row = got.loc[(m, seas, dname, pdf.date.iloc[idx])]
+                    assert row.predicted == pytest.approx(np.exp(pl), rel=1e-6)
+                    assert row.elasticity == pytest.approx(np.clip(e, -10, 2), abs=1e-6)
