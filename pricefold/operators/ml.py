@@ -200,3 +200,81 @@ def joint_model(joint: DataFrame, feature_cols: list[str], decay: float = 0.95)
         "1.0D - sum((y - prediction) * (y - prediction)) / sum((y - ymean) * (y - ymean)) AS r2",
         "avg(abs(exp(prediction) - units_sold) / units_sold) * 100.0D AS mape")])
     return out.selectExpr(SERIES, "r2", "mape", f"{D(e)} AS elasticity"), lr
+
+
+# Fixed ML-factor definitions: (factor, learner, depth, feature columns).
+ML_FACTOR_SPECS = (
+    ("seasonality", "rf", 3, ("sin_52", "cos_52", "week")),
+    ("competitor", "gbt", 2, ("gap",)),
+    ("promotions", "rf", 2, ("is_promo", "marketing_spend")),
+    ("inventory", "gbt", 2, ("coverage", "low_stock")),
+    ("lifecycle", "rf", 3, ("age_months", "phase_idx")),
+    ("sentiment", "gbt", 2, ("signal", "trends")),
+)
+
+
+def ml_factor_inputs(panel: DataFrame, decay: float = 0.9868) -> DataFrame:
+    """Residual panel with the learners' feature columns and factor-decay weights."""
+    from pricefold.functions.columns import TWO_PI
+
+    part = f"OVER (PARTITION BY {SERIES})"
+    age = "CAST(datediff(date, launch_date) AS DOUBLE) / 30.4D"
+    return panel.filter("residual IS NOT NULL").selectExpr(
+        SERIES, "date", "residual", "CAST(series_idx AS DOUBLE) AS series_idx",
+        f"pow({D(decay)}, CAST(datediff(max(date) {part}, date) AS DOUBLE) / 7.0D) * coalesce(rebaseline_weight_multiplier, 1.0D) AS w",
+        f"sin({D(TWO_PI)} * CAST(weekofyear(date) AS DOUBLE) / 52.0D) AS sin_52", f"cos({D(TWO_PI)} * CAST(weekofyear(date) AS DOUBLE) / 52.0D) AS cos_52",
+        "CAST(weekofyear(date) AS DOUBLE) AS week",
+        "coalesce(greatest(-0.5D, least(0.5D, (unit_price - comp_price_avg) / comp_price_avg)), 0.0D) AS gap",
+        "CAST(coalesce(is_promo, 0) AS DOUBLE) AS is_promo", "coalesce(marketing_spend, 0.0D) AS marketing_spend",
+        "coalesce(CAST(units_in_stock AS DOUBLE) / greatest(0.1D, avg_daily_sales_14d), 15.0D) AS coverage",
+        "CAST(coalesce(CAST(units_in_stock AS DOUBLE) / greatest(0.1D, avg_daily_sales_14d), 15.0D) < 7.0D AS DOUBLE) AS low_stock",
+        f"coalesce({age}, 24.0D) AS age_months",
+        f"CASE WHEN coalesce({age}, 24.0D) < 6.0D THEN 0.0D WHEN coalesce({age}, 24.0D) < 18.0D THEN 1.0D "
+        f"WHEN coalesce({age}, 24.0D) < 36.0D THEN 2.0D ELSE 3.0D END AS phase_idx",
+        "coalesce((cci_current - cci_baseline) / cci_baseline, 0.0D) AS signal", "coalesce(google_trends_score, 50.0D) AS trends",
+        f"lag(cci_current, 4) OVER (PARTITION BY {SERIES} ORDER BY date) - cci_current AS cci_drop",
+    )
+
+
+def ml_factors(panel: DataFrame, series_idx: DataFrame, seed: int = 42) -> DataFrame:
+    """Tree models of the elasticity residual per factor (pooled over series, the
+    series index a feature), then the reference's adjustment of each factor at
+    the series' latest week. One row per (series, factor): value and R²."""
+    d = ml_factor_inputs(panel.join(series_idx.select(SERIES, "series_idx"), SERIES)).cache()
+    cols = [c for spec in ML_FACTOR_SPECS for c in spec[3]] + ["cci_drop"]
+    st = ", ".join(f"'{c}', {c}" for c in cols)
+    last = d.groupBy(SERIES).agg(F.expr(f"max_by(named_struct({st}), date) AS r"), F.expr("first(series_idx) AS series_idx")) \
+        .selectExpr(SERIES, "series_idx", *[f"r.{c} AS {c}" for c in cols])
+    out = None
+    for name, learner, depth, feats in ML_FACTOR_SPECS:
+        fcols = list(feats) + ["series_idx"]
+        est = (RandomForestRegressor(numTrees=50, maxDepth=depth, seed=seed) if learner == "rf"
+               else GBTRegressor(maxIter=50, maxDepth=depth, seed=seed))
+        est = est.setFeaturesCol("features").setLabelCol("residual").setWeightCol("w")
+        model = est.fit(assemble(d, fcols))
+        fitted = model.transform(assemble(d, fcols)).selectExpr(
+            "*", f"sum(w * residual) OVER (PARTITION BY {SERIES}) / sum(w) OVER (PARTITION BY {SERIES}) AS _m")
+        r2 = fitted.groupBy(SERIES).agg(F.expr(
+            "1.0D - sum(w * (residual - prediction) * (residual - prediction)) / sum(w * (residual - _m) * (residual - _m)) AS r2"))
+        if name == "promotions":
+            sc = last.selectExpr(SERIES, "series_idx", "is_promo AS cur", "explode(array(named_struct('p', 1.0D, 's', marketing_spend), "
+                                 "named_struct('p', 0.0D, 's', 0.0D))) AS v").selectExpr(SERIES, "series_idx", "cur", "v.p AS is_promo", "v.s AS marketing_spend")
+            pr = model.transform(assemble(sc, fcols)).groupBy(SERIES).agg(
+                F.expr("max(CASE WHEN is_promo = 1.0D THEN prediction END) AS _p1"), F.expr("max(CASE WHEN is_promo = 0.0D THEN prediction END) AS _p0"),
+                F.expr("max(cur) AS cur"))
+            val = pr.selectExpr(SERIES, "CASE WHEN cur = 1.0D THEN greatest(0.0D, exp(_p1 - _p0) - 1.0D) ELSE 0.0D END AS factor_value")
+        else:
+            p = model.transform(assemble(last, fcols)).selectExpr("*", "prediction AS pred")
+            rule = {
+                "seasonality": "greatest(0.3D, least(3.0D, exp(pred)))",
+                "competitor": "greatest(0.5D, least(2.0D, 1.0D + 0.2D * signum(gap) * least(abs(gap), 0.5D) - 0.1D * pred))",
+                "inventory": "CASE WHEN coverage < 7.0D THEN 1.15D + 0.1D * greatest(0.0D, pred) ELSE 1.0D END",
+                "lifecycle": ("greatest(0.5D, least(2.0D, (CASE WHEN phase_idx = 0.0D THEN 0.70D WHEN phase_idx = 1.0D THEN 0.85D "
+                              "WHEN phase_idx = 2.0D THEN 1.00D ELSE 1.20D END) * (1.0D - 0.1D * pred)))"),
+                "sentiment": ("CASE WHEN coalesce(cci_drop, 0.0D) > 10.0D THEN greatest(0.97D, 1.0D + 0.1D * signal - 0.05D * pred) "
+                              "ELSE 1.0D + 0.1D * signal - 0.05D * pred END"),
+            }[name]
+            val = p.selectExpr(SERIES, f"{rule} AS factor_value")
+        part = val.join(r2, SERIES).selectExpr(SERIES, f"'{name}' AS factor", "factor_value", "r2")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -76,3 +76,11 @@ def q_blend(spark, sf):
 def q_joint_model(spark, sf):
     out, _ = ML.joint_model(joint_for(spark, sf), [c for c in JF if c != "week"])
     return out
+
+
+@register("ml_factors")
+def q_ml_factors(spark, sf):
+    from pricefold.plans.queries_table import bundle_for
+    from pricefold.sources.panel import series_index
+
+    return ML.ml_factors(analysis(spark, sf).panel, series_index(bundle_for(spark, sf).sales))

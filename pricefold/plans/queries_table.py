@@ -454,8 +454,8 @@ def q_weekly_rollup(spark, sf):
 
 @register("anomaly_counts", with_views("""
 SELECT sku_id, n_type_a, n_type_b, n_stockout, n_type_a + n_type_b + n_stockout AS n_total FROM (
-  SELECT s.sku_id, count_if(s.spike_type = 'Type A') AS n_type_a, count_if(s.spike_type = 'Type B') AS n_type_b,
-         count_if(CAST(i.units_in_stock AS DOUBLE) / greatest(0.1, i.avg_daily_sales_14d) < 7.0) AS n_stockout
+  SELECT s.sku_id, CAST(count_if(s.spike_type = 'Type A') AS BIGINT) AS n_type_a, CAST(count_if(s.spike_type = 'Type B') AS BIGINT) AS n_type_b,
+         CAST(count_if(CAST(i.units_in_stock AS DOUBLE) / greatest(0.1, i.avg_daily_sales_14d) < 7.0) AS BIGINT) AS n_stockout
   FROM spiked s LEFT JOIN inventory_status i ON i.sku_id = s.sku_id AND i.date = s.date GROUP BY s.sku_id) t""",
     "spiked", "inventory_status"))
 def q_anomaly_counts(spark, sf):
@@ -467,8 +467,8 @@ def q_anomaly_counts(spark, sf):
 
 
 @register("pipeline_counts", with_views("""
-SELECT sku_id, count(*) AS n_raw, count_if(rebaseline_weight_multiplier < 1.0) AS n_discounted, count(*) AS n_cleaned,
-       count_if(NOT exclude_from_regression AND units_sold > 0) AS n_regression
+SELECT sku_id, count(*) AS n_raw, CAST(count_if(rebaseline_weight_multiplier < 1.0) AS BIGINT) AS n_discounted, count(*) AS n_cleaned,
+       CAST(count_if(NOT exclude_from_regression AND units_sold > 0) AS BIGINT) AS n_regression
 FROM spiked GROUP BY sku_id""", "spiked"))
 def q_pipeline_counts(spark, sf):
     return A.agg(analysis(spark, sf).spiked, [SERIES], [
