@@ -25,11 +25,14 @@ def time_split(panel: DataFrame, split_date: str | None = None) -> DataFrame:
     """Label rows train (< split) / test (>= split). Default split follows the
     reference rule: 2023-01-01 when the panel starts in 2016 or earlier, else 2024-07-01."""
     if split_date is not None:
-        split = f"DATE'{split_date}'"
+        staged = panel.selectExpr("*", f"DATE'{split_date}' AS _split")
     else:
-        split = f"CASE WHEN min(year(date)) OVER () <= {SPLIT_YEAR} THEN DATE'{SPLIT_EARLY}' ELSE DATE'{SPLIT_LATE}' END"
-    return panel.selectExpr("*", f"{split} AS _split").selectExpr(
-        "*", "CASE WHEN date < _split THEN 'train' ELSE 'test' END AS split").drop("_split")
+        # The first year comes from a one-row aggregate joined back (one row
+        # whatever the data size), not from a window over the whole table.
+        first = panel.agg(F.expr(
+            f"CASE WHEN min(year(date)) <= {SPLIT_YEAR} THEN DATE'{SPLIT_EARLY}' ELSE DATE'{SPLIT_LATE}' END AS _split"))
+        staged = panel.join(F.broadcast(first), how="inner")
+    return staged.selectExpr(*panel.columns, "CASE WHEN date < _split THEN 'train' ELSE 'test' END AS split")
 
 
 def sequence_windows(panel: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
