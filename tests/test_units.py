@@ -187,3 +187,18 @@ def test_batched_backtest_matches_per_origin_solves():
                     row = got.loc[(m, seas, dname, pdf.date.iloc[idx])]
                     assert row.predicted == pytest.approx(np.exp(pl), rel=1e-6)
                     assert row.elasticity == pytest.approx(np.clip(e, -10, 2), abs=1e-6)
+
+
+def test_end_to_end_on_driver_tables(spark, sf_dir):
+    """Weights sum to 1 per series; a +10 % price lowers demand and raises price."""
+    from pricefold.plans.queries_core import analysis
+    from pricefold.operators.reports import at_price
+
+    a = analysis(spark, sf_dir)
+    sums = a.factor_table().groupBy("sku_id").agg({"weight": "sum"}).collect()
+    assert sums and all(abs(r[1] - 1.0) < 1e-9 for r in sums)
+    up = at_price(a.summary, 10.0).join(a.summary.select("sku_id", "e_base"), "sku_id").collect()
+    for r in up:
+        assert r.p_new > r.p_base
+        if r.e_eff < 0:
+            assert r.q_new < r.rev_base / r.p_base + 1e-9
