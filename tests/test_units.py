@@ -197,8 +197,9 @@ def test_end_to_end_on_driver_tables(spark, sf_dir):
     a = analysis(spark, sf_dir)
     sums = a.factor_table().groupBy("sku_id").agg({"weight": "sum"}).collect()
     assert sums and all(abs(r[1] - 1.0) < 1e-9 for r in sums)
-    up = at_price(a.summary, 10.0).join(a.summary.select("sku_id", "e_base"), "sku_id").collect()
-    for r in up:
+    up = at_price(a.summary, 10.0).selectExpr("sku_id", "p_new", "p_base", "e_eff", "q_new AS q_up")
+    flat = at_price(a.summary, 0.0).selectExpr("sku_id", "q_new AS q_flat")
+    for r in up.join(flat, "sku_id").collect():
         assert r.p_new > r.p_base
         if r.e_eff < 0:
-            assert r.q_new < r.rev_base / r.p_base + 1e-9
+            assert r.q_up < r.q_flat
