@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from pricefold.operators.factors import factor_moments, factor_table, factor_values, factor_weights
 from pricefold.operators.joins import join_side_tables, present
 from pricefold.operators.regress import elasticity_fit, in_sample_mape, with_residuals
 from pricefold.operators.spikes import SERIES, detect_spikes
+from pricefold.session import materialize
 from pricefold.sources.panel import Bundle
 
 
@@ -39,7 +39,7 @@ def bound_panel(bundle: Bundle, partitions: int | None = None, persist: bool = T
     spark = panel.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     panel = panel.repartition(n, SERIES)
-    return panel.persist(StorageLevel.MEMORY_AND_DISK) if persist else panel
+    return materialize(panel) if persist else panel
 
 
 def analyse(bundle: Bundle, promo_model: str = "reference", panel: DataFrame | None = None) -> Analysis:

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from pricefold.operators import backtest as BT
 from pricefold.plans.oracle_views import with_views
 from pricefold.plans.queries_table import _MEMO, bpanel_for, bundle_for
 from pricefold.plans.registry import register
+from pricefold.session import materialize
 from pricefold.sources import bundle_io as IO
 from pricefold.sources.panel import SERIES
 
@@ -22,7 +22,7 @@ def preds_for(spark, sf) -> DataFrame:
     """Backtest predictions, persisted once per session (the expensive step)."""
     key = ("rbt", id(spark._jsparkSession), sf)
     if key not in _MEMO:
-        _MEMO[key] = BT.rolling_backtest(bpanel_for(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+        _MEMO[key] = materialize(BT.rolling_backtest(bpanel_for(spark, sf)))
     return _MEMO[key]
 
 

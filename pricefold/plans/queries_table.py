@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from pricefold.functions.columns import D, sig, sig_sql
@@ -13,6 +12,7 @@ from pricefold.plans.analysis import bound_panel
 from pricefold.plans.oracle_views import view, with_views
 from pricefold.plans.queries_core import analysis
 from pricefold.plans.registry import register
+from pricefold.session import materialize
 from pricefold.sources.panel import SERIES, build_bundle, brand_panel, weekly_base
 
 _MEMO: dict[tuple, DataFrame] = {}
@@ -39,7 +39,7 @@ def bpanel_for(spark: SparkSession, sf: str) -> DataFrame:
     if key not in _MEMO:
         b = bundle_for(spark, sf)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        _MEMO[key] = brand_panel(b.sales, b.promotions, b.competitor).repartition(n, SERIES).persist(StorageLevel.MEMORY_AND_DISK)
+        _MEMO[key] = materialize(brand_panel(b.sales, b.promotions, b.competitor).repartition(n, SERIES))
     return _MEMO[key]
 
 

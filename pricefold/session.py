@@ -44,3 +44,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="pricefold-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def materialize(df):
+    """Keep an expensive intermediate table for reuse.
+
+    ``pricefold.materialize`` = ``cache`` (default): persist in memory, spilling
+    to disk; lost blocks are recomputed from lineage. ``checkpoint``: write a
+    reliable checkpoint to the shared ``spark.checkpoint.dir`` (cuts the
+    lineage, survives executor loss, keeps the hash partitioning), the choice
+    for long cluster jobs.
+    """
+    from pyspark import StorageLevel
+
+    mode = df.sparkSession.conf.get("pricefold.materialize", "cache")
+    if mode == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    if mode == "none":
+        return df
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricefold.functions.columns import D
+from pricefold.session import materialize
 from pricefold.sources.tables import read_table
 
 SERIES = "sku_id"
@@ -215,7 +215,7 @@ def build_bundle(spark: SparkSession, sf_dir: str, level: str = "brand", persist
     """
     base = weekly_base(spark, sf_dir, level)
     if persist:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        base = materialize(base)
     sales = sales_demand(base)
     return Bundle(
         sales=sales,
