@@ -97,6 +97,6 @@ def standardize(df: DataFrame, cols: list[str], fit_filter: str | None = None) -
     (the training split) and applied to all rows; std 0 → scale 1."""
     src = df.filter(fit_filter) if fit_filter else df
     stats = src.agg(*[F.expr(x) for c in cols for x in (f"avg({c}) AS _m_{c}", f"stddev_pop({c}) AS _s_{c}")])
-    j = df.crossJoin(F.broadcast(stats)) if False else df.join(F.broadcast(stats), how="inner")
+    j = df.join(F.broadcast(stats), how="inner")  # one-row statistics table
     return j.selectExpr(*df.columns, *[
         f"({c} - _m_{c}) / (CASE WHEN _s_{c} > 0 THEN _s_{c} ELSE 1.0D END) AS {c}_z" for c in cols])

@@ -119,4 +119,4 @@ LEFT JOIN (SELECT x.date, y.series_idx, x.unit_price FROM sales_demand x JOIN se
 LEFT JOIN (SELECT x.date, y.series_idx, x.unit_price FROM sales_demand x JOIN series_index y USING (sku_id)) c3
   ON c3.date = s.date AND c3.series_idx = (i.series_idx + 3) % i.n_series""")
 
-__all__ = ["S", "VIEWS", "view", "with_views", "t975_sql"]
+__all__ = ["S", "VIEWS", "view", "with_views", "t975_sql"]  # t975_sql re-exported for oracle modules

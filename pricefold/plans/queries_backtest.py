@@ -3,8 +3,6 @@ seasonal R², baseline lookup; CSV bundle source / sink."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,5 +145,3 @@ def q_elasticity_map(spark, sf):
     return back.selectExpr(SERIES, "elasticity_json", "coalesce(element_at(m, 'WLS'), -1.45D) AS wls",
                            "coalesce(element_at(m, 'Blend'), -1.45D) AS blend_or_default")
 
-
-__all__ = ["math"]

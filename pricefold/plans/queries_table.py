@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricefold.functions.columns import D, sig, sig_sql
 from pricefold.operators import aggregates as A
 from pricefold.operators import features as FE
 from pricefold.operators.factors import age_months, comp_gap, phase_multiplier, phase_of, sentiment_signal, stock_coverage
@@ -13,7 +12,7 @@ from pricefold.plans.oracle_views import view, with_views
 from pricefold.plans.queries_core import analysis
 from pricefold.plans.registry import register
 from pricefold.session import materialize
-from pricefold.sources.panel import SERIES, build_bundle, brand_panel, weekly_base
+from pricefold.sources.panel import SERIES, brand_panel, build_bundle
 
 _MEMO: dict[tuple, DataFrame] = {}
 
@@ -545,5 +544,3 @@ def q_censored(spark, sf):
     cov = stock_coverage("units_in_stock", "avg_daily_sales_14d")
     return panel_for(spark, sf).filter(f"NOT ({cov} < 3.0D)").selectExpr(SERIES, "date", "units_sold")
 
-
-__all__ = ["bundle_for", "panel_for", "bpanel_for", "D", "weekly_base"]
