@@ -37,6 +37,7 @@ def q_rolling_backtest(spark, sf):
 for _m, _qid in (("Linear", "fit_linear"), ("IV_2SLS", "fit_2sls"), ("Ridge", "fit_ridge"), ("Huber", "fit_huber")):
     def _b(spark, sf, _m=_m):
         return preds_for(spark, sf).filter(f"model = '{_m}'")
+    _b.__name__ = f"q_{_qid}"
     register(_qid)(_b)
 
 

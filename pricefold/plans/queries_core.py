@@ -159,6 +159,7 @@ for _qid, _fname, _xs, _xc in [
     dbl = ["factor_value", "r2"] + [c for c in ("season_b0", "season_b_sin", "season_b_cos", "last_gap", "last_coverage", "last_age") if c in _xs]
     if _qid == "factor_sentiment":
         dbl.append("cci_drop")
+    _build.__name__ = f"q_{_qid}"
     register(_qid, _sql, doubles=dbl)(_build)
 
 
