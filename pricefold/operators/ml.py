@@ -79,12 +79,12 @@ def bootstrap_elasticity(spiked: DataFrame, replicates: int = N_REPLICATES, deca
 
 def split_by_fraction(df: DataFrame, frac: float = 0.8) -> DataFrame:
     """Label rows train / test at the date ``frac`` of the way through the
-    calendar. The bounds come from a one-row aggregate joined back (its size is
-    one row whatever the data), not from a global window."""
-    b = df.agg(F.expr("min(date) AS _d0"), F.expr("max(date) AS _d1"))
-    j = df.join(F.broadcast(b), how="inner")
-    return j.selectExpr("*", f"date_add(_d0, CAST(datediff(_d1, _d0) * {D(frac)} AS INT)) AS _split").selectExpr(
-        *df.columns, "CASE WHEN date < _split THEN 'train' ELSE 'test' END AS split")
+    calendar. The bounds are scalar subqueries (partial aggregates evaluated
+    once), not a global window or a join."""
+    d0 = df.select(F.min("date")).scalar()
+    d1 = df.select(F.max("date")).scalar()
+    split = F.date_add(d0, (F.datediff(d1, d0) * frac).cast("int"))
+    return df.select("*", F.when(F.col("date") < split, F.lit("train")).otherwise(F.lit("test")).alias("split"))
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:

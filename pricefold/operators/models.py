@@ -25,14 +25,13 @@ def time_split(panel: DataFrame, split_date: str | None = None) -> DataFrame:
     """Label rows train (< split) / test (>= split). Default split follows the
     reference rule: 2023-01-01 when the panel starts in 2016 or earlier, else 2024-07-01."""
     if split_date is not None:
-        staged = panel.selectExpr("*", f"DATE'{split_date}' AS _split")
+        split = F.expr(f"DATE'{split_date}'")
     else:
-        # The first year comes from a one-row aggregate joined back (one row
-        # whatever the data size), not from a window over the whole table.
-        first = panel.agg(F.expr(
-            f"CASE WHEN min(year(date)) <= {SPLIT_YEAR} THEN DATE'{SPLIT_EARLY}' ELSE DATE'{SPLIT_LATE}' END AS _split"))
-        staged = panel.join(F.broadcast(first), how="inner")
-    return staged.selectExpr(*panel.columns, "CASE WHEN date < _split THEN 'train' ELSE 'test' END AS split")
+        # The first year is a scalar subquery (one partial aggregate, evaluated
+        # once), not a window over the whole table.
+        split = panel.select(F.expr(
+            f"CASE WHEN min(year(date)) <= {SPLIT_YEAR} THEN DATE'{SPLIT_EARLY}' ELSE DATE'{SPLIT_LATE}' END")).scalar()
+    return panel.select("*", F.when(F.col("date") < split, F.lit("train")).otherwise(F.lit("test")).alias("split"))
 
 
 def sequence_windows(panel: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
@@ -96,7 +95,10 @@ def standardize(df: DataFrame, cols: list[str], fit_filter: str | None = None) -
     """(x − mean) / population std, with mean/std fitted on ``fit_filter`` rows
     (the training split) and applied to all rows; std 0 → scale 1."""
     src = df.filter(fit_filter) if fit_filter else df
-    stats = src.agg(*[F.expr(x) for c in cols for x in (f"avg({c}) AS _m_{c}", f"stddev_pop({c}) AS _s_{c}")])
-    j = df.join(F.broadcast(stats), how="inner")  # one-row statistics table
-    return j.selectExpr(*df.columns, *[
-        f"({c} - _m_{c}) / (CASE WHEN _s_{c} > 0 THEN _s_{c} ELSE 1.0D END) AS {c}_z" for c in cols])
+    out = []
+    for c in cols:
+        # scalar subqueries over the same relation; Catalyst merges them into one aggregate
+        m = src.select(F.expr(f"avg({c})")).scalar()
+        s = src.select(F.expr(f"CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0D END")).scalar()
+        out.append(((F.col(c) - m) / s).alias(f"{c}_z"))
+    return df.select(*df.columns, *out)
