@@ -258,10 +258,13 @@ def q_sentiment_signal(spark, sf):
 
 
 @register("onehot_brand", with_views("""
-SELECT sku_id, date, list_transform(range(CAST(n_series AS BIGINT)), lambda i: CASE WHEN i = series_idx THEN 1.0 ELSE 0.0 END::DOUBLE) AS brand_onehot
+SELECT sku_id, date, array_to_string(list_transform(range(CAST(n_series AS BIGINT)),
+                                                     lambda i: CASE WHEN i = series_idx THEN '1' ELSE '0' END), ',') AS brand_onehot
 FROM brand_panel""", "brand_panel"))
 def q_onehot(spark, sf):
-    return bpanel_for(spark, sf).selectExpr(SERIES, "date", FE.onehot_expr())
+    """The one-hot array (``FE.onehot_expr``) rendered as text for an engine-neutral check."""
+    return bpanel_for(spark, sf).selectExpr(SERIES, "date", FE.onehot_expr()).selectExpr(
+        SERIES, "date", "array_join(transform(brand_onehot, x -> CAST(CAST(x AS INT) AS STRING)), ',') AS brand_onehot")
 
 
 # ------------------------------------------------------------------ feature windows
@@ -360,7 +363,8 @@ def q_history_desc(spark, sf):
 
 
 @register("sequence_windows", with_views("""
-SELECT sku_id, date, seq, units_sold AS target FROM (
+SELECT sku_id, date, array_to_string(list_transform(seq, lambda r: printf('%.6f', r[1]) || ':' || printf('%.6f', r[2])), ';') AS seq,
+       units_sold AS target FROM (
   SELECT sku_id, date, units_sold,
          list([z_p, z_q]) OVER (PARTITION BY sku_id ORDER BY date ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS seq
   FROM (SELECT *, round((unit_price - avg(unit_price) OVER (PARTITION BY sku_id)) / stddev_pop(unit_price) OVER (PARTITION BY sku_id), 6) AS z_p,
@@ -370,7 +374,10 @@ WHERE len(seq) = 8""", "brand_panel"), doubles=["target"])
 def q_sequences(spark, sf):
     from pricefold.operators.models import sequence_windows
 
-    return sequence_windows(bpanel_for(spark, sf))
+    s = sequence_windows(bpanel_for(spark, sf))
+    # arrays of [z_price, z_units] rendered as text (6 decimals) for an engine-neutral check
+    return s.selectExpr(SERIES, "date", "array_join(transform(seq, r -> concat(format_string('%.6f', r[0]), ':', "
+                        "format_string('%.6f', r[1]))), ';') AS seq", "target")
 
 
 # ------------------------------------------------------------------ aggregates
