@@ -42,7 +42,8 @@ def bound_panel(bundle: Bundle, partitions: int | None = None, persist: bool = T
     return materialize(panel) if persist else panel
 
 
-def analyse(bundle: Bundle, promo_model: str = "reference", panel: DataFrame | None = None) -> Analysis:
+def analyse(bundle: Bundle, promo_model: str = "reference", panel: DataFrame | None = None,
+            materialize_summary: bool = True) -> Analysis:
     panel = bound_panel(bundle) if panel is None else panel
     spiked = detect_spikes(panel)
     fit = elasticity_fit(spiked)
@@ -56,4 +57,7 @@ def analyse(bundle: Bundle, promo_model: str = "reference", panel: DataFrame | N
         .join(fvals.hint("merge"), SERIES)
         .join(mape.hint("merge"), SERIES)
     )
+    # One row per series, reused by every projection, curve and report: computed
+    # once (it keeps the series partitioning) instead of once per consumer.
+    summary = materialize(summary) if materialize_summary else summary
     return Analysis(spiked, fit, resid, fvals, summary)

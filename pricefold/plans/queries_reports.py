@@ -180,26 +180,38 @@ def q_stock_cap(spark, sf):
 NEUTRAL = [f"'Left Out' AS {f}_status" for f in FACTORS[1:]] + [f"{1.0 if f != 'promotions' else 0.0}D AS {f}_value" for f in FACTORS[1:]]
 
 
-def constant_models(spark, sf) -> DataFrame:
-    """Base state × (model, elasticity): Math (factor model), DML, LogLog (constant elasticity)."""
-    key = ("cmodels", id(spark._jsparkSession), sf)
+MODEL_COLS = ["model", SERIES, "p_base", "q_base", "cost_base", "e_base", "ci_low", "ci_high"] + [
+    f"{f}_{k}" for f in FACTORS[1:] for k in ("status", "value")]
+
+
+def model_sources(spark, sf) -> dict[str, DataFrame]:
+    """Per model, the base state with that model's elasticity: Math (factor model),
+    DML and LogLog (constant elasticity). Each stays partitioned by series
+    (merge joins of per-series tables), so its curve needs no shuffle."""
+    key = ("msrc", id(spark._jsparkSession), sf)
     if key in _MEMO:
         return _MEMO[key]
     s = _summary(spark, sf)
-    math = s.selectExpr("'Math' AS model", "*")
+    base = s.selectExpr(SERIES, "p_base", "q_base", "cost_base")
     dml = dml_for(spark, sf).selectExpr(SERIES, "dml_elasticity AS _e")
     ll = analysis(spark, sf).spiked.groupBy(SERIES).agg(F.expr("regr_slope(ln(units_sold), ln(unit_price)) AS _e"))
-    base = s.selectExpr(SERIES, "p_base", "q_base", "cost_base")
-    out = math.select(*[c for c in ["model", SERIES, "p_base", "q_base", "cost_base", "e_base", "ci_low", "ci_high"]],
-                      *[f"{f}_{k}" for f in FACTORS[1:] for k in ("status", "value")])
+    out = {"Math": s.selectExpr("'Math' AS model", "*").selectExpr(*MODEL_COLS)}
     for name, e in (("DML", dml), ("LogLog", ll)):
-        m = base.join(e, SERIES).selectExpr(f"'{name}' AS model", SERIES, "p_base", "q_base", "cost_base", "_e AS e_base",
-                                            "_e AS ci_low", "_e AS ci_high", *NEUTRAL)
-        out = out.unionByName(m)
+        out[name] = base.join(e.hint("merge"), SERIES).selectExpr(
+            f"'{name}' AS model", SERIES, "p_base", "q_base", "cost_base", "_e AS e_base", "_e AS ci_low", "_e AS ci_high", *NEUTRAL)
     _MEMO[key] = out
     return out
 
 
+def constant_models(spark, sf) -> DataFrame:
+    """All model sources stacked (one row per series and model)."""
+    srcs = list(model_sources(spark, sf).values())
+    out = srcs[0]
+    for d in srcs[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 view("cm_src", ("summary", "dml", "spiked"), f"""
 SELECT 'Math' AS model, sku_id, p_base, q_base, cost_base, e_base, ci_low, ci_high,
        {', '.join(f'{f}_status, {f}_value' for f in FACTORS[1:])} FROM summary
@@ -212,10 +224,21 @@ view("cm_curve", ("cm_src",), curve_sql(-30.0, 30.0, 121, src="cm_src", keys="mo
 view("cm_opt", ("cm_curve",), optimum_sql("cm_curve", 121, keys="model, "))
 
 
+def model_optima(spark, sf) -> dict[str, DataFrame]:
+    """Profit / revenue optimum of every model's curve, per model (series-partitioned)."""
+    out = {}
+    for name, src in model_sources(spark, sf).items():
+        curve = project(with_grid(src, GRID_121), "price_change_pct", "false", keep=(SERIES, "model", "grid_idx", "price_change_pct"))
+        out[name] = optimize_curve(curve, 121, keys=("model",))
+    return out
+
+
 def cm_opt_for(spark, sf) -> DataFrame:
-    src = constant_models(spark, sf)
-    curve = project(with_grid(src, GRID_121), "price_change_pct", "false", keep=(SERIES, "model", "grid_idx", "price_change_pct"))
-    return optimize_curve(curve, 121, keys=("model",))
+    opts = list(model_optima(spark, sf).values())
+    out = opts[0]
+    for o in opts[1:]:
+        out = out.unionByName(o)
+    return out
 
 
 UM_D = ["opt_pct", "opt_price", "opt_profit", "opt_rev_price"]
@@ -256,8 +279,14 @@ def _mc_final() -> list[str]:
 SELECT sku_id, {', '.join(c for c in MC_D[:6])}, {', '.join(x.replace('0.0D', '0.0').replace('100.0D', '100.0') for x in _mc_final())}
 FROM (SELECT sku_id, {', '.join(_mc_exprs())} FROM cm_opt GROUP BY sku_id) t""", "cm_opt"), doubles=MC_D)
 def q_model_comparison(spark, sf):
-    p = cm_opt_for(spark, sf).groupBy(SERIES).agg(*[F.expr(x) for x in _mc_exprs()])
-    return p.selectExpr(SERIES, *MC_D[:6], *_mc_final())
+    """Each model's optimal prices side by side, joined on the series key
+    (merge joins of series-partitioned results, no re-grouping)."""
+    o = model_optima(spark, sf)
+    wide = None
+    for name, tag in (("Math", "math"), ("DML", "dml"), ("LogLog", "loglog")):
+        part = o[name].selectExpr(SERIES, f"opt_price AS {tag}_profit_price", f"opt_rev_price AS {tag}_revenue_price")
+        wide = part if wide is None else wide.join(part.hint("merge"), SERIES)
+    return wide.selectExpr(SERIES, *MC_D[:6], *_mc_final())
 
 
 @register("model_curves", with_views("SELECT sku_id, model, grid_idx, q_new, rev_new, profit_new FROM cm_curve", "cm_curve"),
