@@ -19,11 +19,18 @@ task. Metrics and ranking are then ordinary Spark aggregations.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The grouped-pandas functions below are shipped to Python workers by value, so
+# executors do not need this package on their path (no --py-files required).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SERIES = "sku_id"
 TRAIN_WINDOW = 104
 DECAY = 0.95
