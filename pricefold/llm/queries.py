@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pricefold.llm.common import table
+from pricefold.llm.common import crc_bucket, table
+from pricefold.llm.decontaminate import contaminated
+from pricefold.llm.mixing import mixed_corpus
 from pricefold.llm.near_dup import near_duplicates
+from pricefold.llm.pii import pseudonymise
+from pricefold.llm.topk import quantised, top_k
+from pricefold.llm.toxicity import score, train
+from pricefold.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +36,91 @@ SQL_SHINGLES = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_stri
 @_query("op5_minhash_near_dup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@_query("op2_poisson_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixed_corpus(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "copy", "shuffle_key", "text")
+
+
+ORACLES["op2_poisson_mixing"] = r"""
+WITH n AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
+r AS (SELECT s, (SELECT sum(n) FROM n) * sqrt(n::DOUBLE) / (SELECT sum(sqrt(n::DOUBLE)) FROM n) / n AS rate FROM n),
+p AS (SELECT s, ceil(rate / 500.0)::INT AS draws, rate / ceil(rate / 500.0) AS each FROM r),
+c AS (SELECT s, draws, [list_sum([exp(-each + j * ln(each) - lgamma(j + 1)) FOR j IN range(0, k + 1)])
+             FOR k IN range(0, ceil(each + 12 * sqrt(each) + 40)::INT + 1)] AS cdf FROM p),
+d AS (SELECT doc_id, source, text, cdf, draws, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS who
+      FROM documents JOIN c ON coalesce(source, '') = s),
+m AS (SELECT doc_id, source, text, who,
+             list_sum([len([x FOR x IN cdf IF x <= ('0x' || substr(md5('17|' || who || '|' || j), 1, 13))::BIGINT / 4503599627370496.0])
+                       FOR j IN range(1, draws + 1)])::INT AS copies FROM d)
+SELECT doc_id, source, copy::INT AS copy, md5('17|shuffle|' || who || '|' || copy) AS shuffle_key, text
+FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM m)
+"""
+
+
+@_query("op4_feistel_pseudonyms")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op6_minhash_containment")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op6_minhash_containment"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_WORDS} AS w FROM documents),
+ds AS (SELECT rid, doc_id, unnest({SQL_SHINGLES}) AS g FROM d),
+i AS (SELECT row_number() OVER () AS iid, item_id, {SQL_WORDS} AS w FROM benchmark),
+n AS (SELECT iid, item_id, {SQL_SHINGLES} AS gs FROM i),
+s AS (SELECT iid, item_id, len(gs) AS n_item_shingles, unnest(gs) AS g FROM n)
+SELECT doc_id, item_id, n_item_shingles, count(*) AS n_common, count(*) / n_item_shingles::DOUBLE AS containment
+FROM ds JOIN s USING (g) GROUP BY rid, doc_id, iid, item_id, n_item_shingles
+HAVING 100 * count(*) >= 75 * n_item_shingles
+"""
+
+
+@_query("op10_subsequence_svm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs.withColumn("held_out", crc_bucket(F.col("doc_id")) == 0), model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+@_query("op7_maxscore_topk")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+ORACLES["op7_maxscore_topk"] = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_sum([q.e[i] * c.e[i] FOR i IN range(1, least(len(q.e), len(c.e)) + 1)])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@_query("op9_warc_segments")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _sql_base32(sha: str) -> str:
+    """DuckDB: four groups of ten hex digits are eight base-32 digits each."""
+    groups = " || ".join(f"to_base(('0x' || substr({sha}, {at}, 10))::BIGINT, 32, 8)" for at in (1, 11, 21, 31))
+    return f"translate({groups}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
+
+ORACLES["op9_warc_segments"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, {_sql_base32('sha1(payload)')} AS payload_digest,
+             min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f
+"""
