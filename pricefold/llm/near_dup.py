@@ -8,12 +8,14 @@
    that its similarity reaches the threshold is below ``miss``. Survivors are verified on full sets.
 4. Buckets that still hold several components are finished exactly: the members outside the
    bucket's largest component are compared with all others of a different component, in blocks
-   of ``BLOCK`` rows, so no task holds a bucket and no pair within a component is formed.
+   of ``BLOCK`` rows, so no task holds a bucket, no pair within a component is formed, and only links leave a task.
 5. Components of the verified links give the groups.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ HASHES = BANDS * ROWS
 #: Hashes compared at once, and the chance that such a step drops a pair that reaches the threshold.
 BATCH, MISS = 32, 1e-6
 #: Rows of one side of a block comparison.
-BLOCK = 512
+BLOCK = 256
 #: Bits of the filter that selects the texts whose full sets are needed (2 MB, whatever the corpus).
 FILTER_BITS = 1 << 24
 
@@ -108,7 +110,7 @@ def _signed(batches):
                 rows.column("doc_id"),
                 pa.array(n.astype(np.int64)),
                 pa.array([key[i].tobytes() if f else None for f, i in zip(full, where)], pa.binary()),
-                pa.array([bands[i] if f else None for f, i in zip(full, where)], pa.list_(pa.int64())),
+                pa.array([bands[i].tobytes() if f else None for f, i in zip(full, where)], pa.binary()),
                 pa.array([low[i].tobytes() if f else None for f, i in zip(full, where)], pa.binary()),
             ],
             names=["doc_id", "n_shingles", "key", "bands", "sig"],
@@ -118,10 +120,15 @@ def _signed(batches):
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key (digest of the set; null for empty texts), bands, sig of every row."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _signed, "doc_id long, n_shingles long, key binary, bands array<long>, sig binary"
+        _signed, "doc_id long, n_shingles long, key binary, bands binary, sig binary"
     )
 
 
+def _unpacked(bands: str):
+    """The keys of a packed row of bands (little-endian) as an array of longs, with the band's number mixed in by band_keys."""
+    return F.expr(f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring({bands}, 8 * k + 1, 8)))")
+
+
 def _bayes_pairs(batches):
     for x in batches:
         a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
@@ -188,52 +195,100 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.mapInArrow(_linked, "a long, b long")
 
 
-def _block_pairs(rows: pa.Table) -> pa.Table:
-    """Candidates across components in one block: rows of side 0 against side 1, or side 0 against itself."""
-    side = rows.column("side").to_numpy()
-    ids, comp = rows.column("class_id").to_numpy(), rows.column("component").to_numpy()
+def _cross_pairs(rows: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(left row, right rows) of one block: rows of different components that share a band and that the test keeps."""
+    side, comp = rows.column("side").to_numpy(), rows.column("component").to_numpy()
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-    same = bool(rows.column("same")[0].as_py()) if len(rows) else False
+    bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
     left = np.flatnonzero(side == 0)
-    right = left if same else np.flatnonzero(side == 1)
-    found_a, found_b = [], []
-    for i in left:
-        other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if same else True)]
+    within = bool(rows.column("within")[0].as_py())
+    right = left if within else np.flatnonzero(side == 1)
+    for n, i in enumerate(left):
+        other = right[n + 1 :] if within else right
+        other = other[comp[other] != comp[i]]
+        other = other[(bands[other] == bands[i]).any(axis=1)]
+        if len(other):
+            yield i, other[bayes_keeps(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other])]
+
+
+def _block_members(rows: pa.Table) -> pa.Table:
+    """Rows of the block that are in any candidate pair."""
+    found = np.zeros(rows.num_rows, bool)
+    for i, other in _cross_pairs(rows):
         if len(other):
-            kept = other[bayes_keeps(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other])]
-            found_a.append(np.full(len(kept), ids[i]))
-            found_b.append(ids[kept])
-    a = np.concatenate(found_a) if found_a else np.empty(0, np.int64)
-    b = np.concatenate(found_b) if found_b else np.empty(0, np.int64)
-    return pa.table({"a": pa.array(np.minimum(a, b).astype(np.int64)), "b": pa.array(np.maximum(a, b).astype(np.int64))})
+            found[i] = True
+            found[other] = True
+    return rows.filter(pa.array(found)).select(["main", "class_id"])
 
 
-def _cross_candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates (a, b) between different components of one bucket. members: band, class_id, component.
+def _block_links(rows: pa.Table) -> pa.Table:
+    """Verified links of the block; none that joins components which its other links join already."""
+    ids, comp = rows.column("class_id").to_numpy(), rows.column("component").to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()]
+    size = np.array([len(s) for s in sets])
+    label = dict.fromkeys(comp.tolist())
+
+    def root(c):
+        while label[c] is not None:
+            c = label[c]
+        return c
+
+    a, b = [], []
+    for i, other in _cross_pairs(rows):
+        lo, hi = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+        other = other[100 * lo >= THRESHOLD_PCT * hi]
+        if not len(other):
+            continue
+        flat = np.concatenate([sets[j] for j in other])
+        at = np.searchsorted(sets[i], flat)
+        same = sets[i][np.minimum(at, len(sets[i]) - 1)] == flat
+        common = np.add.reduceat(same.astype(np.int64), np.concatenate(([0], np.cumsum(size[other])[:-1])))
+        for j in other[100 * common >= THRESHOLD_PCT * (size[i] + size[other] - common)]:
+            x, y = root(int(comp[i])), root(int(comp[j]))
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                a.append(int(ids[i]))
+                b.append(int(ids[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _jobs(members: DataFrame) -> DataFrame:
+    """The block comparisons that each member takes part in: columns i, j, within, side are added.
+
+    members: main, class_id, component. The rest (members outside the component main) meets main block by block,
+    and itself; main never meets itself. A row is copied once per opposite block of BLOCK rows.
+    """
+    sizes = members.groupBy("main").agg(F.ceil(F.sum(F.expr("int(component = main)")) / BLOCK).cast("int").alias("n_main"), F.ceil(F.sum(F.expr("int(component <> main)")) / BLOCK).cast("int").alias("n_rest"))
+    m = members.join(sizes.where("n_rest > 0"), "main")
+    m = m.withColumn("block", F.expr("int(pmod(xxhash64(class_id), if(component = main, n_main, n_rest)))"))
+    jobs = F.expr(
+        "if(component = main,"
+        " transform(sequence(0, n_rest - 1), r -> named_struct('i', r, 'j', -1 - block, 'side', 1)),"
+        " concat(if(n_main = 0, array(), transform(sequence(0, greatest(n_main, 1) - 1), q -> named_struct('i', block, 'j', -1 - q, 'side', 0))),"
+        " transform(sequence(0, n_rest - 1), s -> named_struct('i', least(block, s), 'j', greatest(block, s), 'side', int(s < block)))))"
+    )
+    rows = m.select("main", "class_id", "component", F.explode(jobs).alias("x")).select("main", "class_id", "component", "x.*")
+    return rows.withColumn("within", F.expr("i = j"))
+
 
-    The bucket's largest component ("main") is never compared with itself: the others meet it block by
-    block, and each other. Rows are copied once per opposite block of BLOCK rows.
+def _cross_links(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links (a, b) between different components that share a bucket. members: band, class_id, component.
+
+    Buckets are gathered by their largest component ("main"), so that a class meets the others once
+    and not in each of its buckets. Signatures alone pick the members of any candidate pair; only
+    these are compared again with their full sets.
     """
     parts = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     stats = parts.groupBy("band").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k"))
     # Two members were compared by the star already.
-    stats = stats.where("k > 1 AND total > 2").select("band", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("n_main"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("n_rest"))
-    m = members.join(stats, "band").withColumn("is_main", F.expr("component = main"))
-    block = F.when(F.col("is_main"), F.pmod(F.xxhash64("class_id"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("class_id"), F.col("n_rest"))).cast("int")
-    m = m.withColumn("block", block)
-    # Jobs: (0, r, m): rest block r against main block m; (1, r, s): rest block r against rest block s >= r.
-    jobs = F.when(
-        F.col("is_main"),
-        F.expr("transform(sequence(0, n_rest - 1), r -> named_struct('kind', 0, 'i', r, 'j', block, 'side', 1))"),
-    ).otherwise(
-        F.expr(
-            "concat(transform(sequence(0, n_main - 1), q -> named_struct('kind', 0, 'i', block, 'j', q, 'side', 0)),"
-            " transform(sequence(0, n_rest - 1), s -> named_struct('kind', 1, 'i', least(block, s), 'j', greatest(block, s), 'side', if(s < block, 1, 0))))"
-        )
-    )
-    rows = m.select("band", "class_id", "component", F.explode(jobs).alias("x")).select("band", "class_id", "component", "x.*").withColumn("same", F.expr("kind = 1 AND i = j"))
-    rows = rows.join(classes.select("class_id", "sig"), "class_id")
-    return rows.groupBy("band", "kind", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
+    mixed_buckets = stats.where("k > 1 AND total > 2").select("band", F.col("top.component").alias("main"))
+    group = stored(members.join(mixed_buckets, "band").select("main", "class_id", "component").distinct(), "group")
+    sig = classes.select("class_id", "sig", "bands")
+    key = ["main", "i", "j"]
+    picked = _jobs(group).join(sig, "class_id").groupBy(*key).applyInArrow(_block_members, "main long, class_id long").distinct()
+    picked = stored(group.join(picked, ["main", "class_id"], "left_semi"), "picked")
+    full = _jobs(picked).join(sig.join(sets, "class_id"), "class_id")
+    return full.groupBy(*key).applyInArrow(_block_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -252,7 +307,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = t.where("key IS NOT NULL AND doc_id IS NOT NULL")
     firsts = usable.groupBy("key").agg(F.min("doc_id").alias("class_id"))
     classes = stored(usable.join(firsts.select("key", F.col("class_id").alias("doc_id")), ["key", "doc_id"]).groupBy("key", "doc_id").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumnRenamed("doc_id", "class_id"), "classes")
-    banded = classes.select("class_id", F.explode("bands").alias("band"))
+    banded = classes.select("class_id", F.explode(_unpacked("bands")).alias("band"))
     hubs = banded.groupBy("band").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub < last").drop("last")
     members = stored(banded.join(hubs, "band"), "members")
     star = members.where("class_id <> hub").select(F.col("hub").alias("a"), F.col("class_id").alias("b")).distinct()
@@ -260,10 +315,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stored(_verify(_check(star, classes), sets), "links")
     labels = components(links)
     known = members.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("band", "class_id", F.coalesce("component", "class_id").alias("component"))
-    cross = _cross_candidates(known, classes).join(star, ["a", "b"], "left_anti")
-    more = stored(_verify(cross, sets), "more")
+    more = stored(_cross_links(known, classes, sets), "more")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     classed = classes.select("key", "class_id").join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("key", F.coalesce("component", "class_id").alias("component"))
     out = t.select("doc_id", "n_shingles", "key").join(classed, "key", "left")
     # A row without shingles has no key; one without an id has no component.
