@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricefold.llm.chunks import repeated_passages
 from pricefold.llm.common import crc_bucket, table
 from pricefold.llm.decontaminate import contaminated
 from pricefold.llm.mixing import mixed_corpus
 from pricefold.llm.near_dup import near_duplicates
 from pricefold.llm.pii import pseudonymise
+from pricefold.llm.ppm import score as ppm_score
+from pricefold.llm.secrets import secrets
 from pricefold.llm.topk import quantised, top_k
 from pricefold.llm.toxicity import score, train
 from pricefold.llm.warc import archived
@@ -124,3 +127,22 @@ f AS (SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, {_
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f
 """
+
+
+@_query("op8_credential_linking")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(table(spark, sf_dir, "documents"))
+    joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    base = "filter(spans, s -> s.kind IN ('assign', 'access', 'hex'))"
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
+
+
+@_query("op1_ppm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_score(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_gear_chunks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
