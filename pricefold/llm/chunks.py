@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A chunk ends where the gear hash of the last ``WINDOW`` bytes falls below a threshold (one place in ``AVERAGE``), at
-least ``LEAST`` bytes after the last end. Cuts depend on nearby bytes only, so an insertion moves no cuts but those next to it.
+least ``LEAST`` and at most ``MOST`` bytes after the last end. Cuts depend on nearby bytes only, so an insertion moves no cuts but those next to it.
 Chunks whose digest occurs in more than one document are shared; the first document (smallest doc_id) keeps them. A run of
 neighbouring shared chunks with at least ``MIN_WORDS`` word starts is a repeated passage.
 
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from pricefold.llm.common import _BASE, _INVERSE, _powers, mixed, steps, stored, word_spans
 
-#: With chunks of 24 bytes a passage of 50 words (some 300 bytes) loses about 64 bytes at its ends.
-AVERAGE, LEAST, WINDOW = 24, 8, 16
+#: With such chunks a passage of 50 words (some 300 bytes) loses about 60 bytes at its ends.
+AVERAGE, LEAST, WINDOW = 20, 8, 16
+#: Cuts a text that repeats a word over and over, where the hash may never fall below the threshold.
+MOST = 96
 MIN_WORDS = 25
 #: 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
@@ -48,9 +50,12 @@ def cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if hi == lo:
             continue
         # The window of the first places reaches into the text before.
-        last, n = lo + WINDOW - LEAST, len(ends)
-        for p in places[bounds[d] : bounds[d + 1]].tolist():
-            if p - last >= LEAST and p < hi:
+        last, n = lo, len(ends)
+        for p in [*places[bounds[d] : bounds[d + 1]].tolist(), hi]:
+            while p - last > MOST:
+                last += MOST
+                ends.append(last)
+            if p - last >= LEAST and p < hi and p - lo >= WINDOW:
                 ends.append(p)
                 last = p
         ends.append(hi)
