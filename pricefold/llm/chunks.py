@@ -110,9 +110,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = stored(shared_chunks(docs), "shared")
     # Bit of a digest: its highest 26 bits.
     bit = F.shiftrightunsigned("digest", 64 - 26)
-    packed = shared.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(digest, 38) & 63 as int))")).alias("m")).toPandas()  # FILTER_BITS / 64 rows at most
+    packed = shared.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(digest, 38) & 63 as int))")).alias("m")).toArrow()  # FILTER_BITS / 64 rows at most
     table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[packed["w"].to_numpy(np.int64)] = packed["m"].to_numpy(np.int64)
+    table[packed["w"].to_numpy()] = packed["m"].to_numpy()
     sent = spark.sparkContext.broadcast(table.tobytes())
 
     def candidates(batches):

@@ -161,8 +161,8 @@ def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     bit = F.pmod(F.xxhash64("class_id"), F.lit(FILTER_BITS))
     packed = needed.select(bit.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m"))
     table = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, m in packed.collect():  # at most FILTER_BITS / 64 rows
-        table[w] = m
+    packed = packed.toArrow()  # at most FILTER_BITS / 64 rows
+    table[packed["w"].to_numpy()] = packed["m"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def sets(batches):

@@ -291,8 +291,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
     texts = training_texts(docs, labels, sample, held_out).cache()
     held = texts.mapInArrow(_units_of_texts, "toxic int, units array<string>").select("toxic", F.explode("units").alias("unit"))
     counts = held.groupBy("unit").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-    found = counts.where(F.col("pos") + F.col("neg") >= LEAST_TEXTS).toPandas().sort_values("unit")  # units of the bounded sample
-    weight, bias = fit_units(found["unit"].tolist(), found["pos"].to_numpy(), found["neg"].to_numpy())
+    found = counts.where(F.col("pos") + F.col("neg") >= LEAST_TEXTS).toArrow().sort_by("unit")  # units of the bounded sample
+    weight, bias = fit_units(found["unit"].to_pylist(), found["pos"].to_numpy(), found["neg"].to_numpy())
     sent = spark.sparkContext.broadcast(cloudpickle.dumps((weight, bias)))
 
     names = [f"x{i}" for i in range(FEATURES)]
@@ -303,9 +303,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
             x = _features(data, offs, weight, bias)
             yield pa.RecordBatch.from_arrays([rows.column("toxic"), *(pa.array(x[:, i]) for i in range(FEATURES))], names=["toxic", *names])
 
-    x = texts.mapInArrow(featured, "toxic int" + "".join(f", {x} double" for x in names)).toPandas()
+    x = texts.mapInArrow(featured, "toxic int" + "".join(f", {x} double" for x in names)).toArrow()
     texts.unpersist()
-    return Model(weight, bias, fit_texts(x[names].to_numpy(), x["toxic"].to_numpy(float)))
+    return Model(weight, bias, fit_texts(np.stack([x[c].to_numpy() for c in names], axis=1), x["toxic"].to_numpy().astype(float)))
 
 
 # ---------------------------------------------------------------- scoring
