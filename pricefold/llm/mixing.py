@@ -55,24 +55,28 @@ def replicate(docs: DataFrame, rate: DataFrame, doc_id: str = "doc_id", source:
     rows draw alike and keep each their copies. Own columns copy and shuffle_key pass through; the added
     ones then end in an underscore. An empty table gives an empty one.
     """
-    copy, shuffle_key = "copy", "shuffle_key"
-    while copy in docs.columns:
-        copy += "_"
-    while shuffle_key in docs.columns:
-        shuffle_key += "_"
-    parts = rate.where("rate > 0").select(F.col("source").alias("_source"), F.ceil(F.col("rate") / LARGEST_RATE).cast("int").alias("_draws"), F.col("rate").alias("_rate"))
-    parts = parts.withColumn("_each", F.col("_rate") / F.col("_draws")).select("_source", "_draws", F.expr(_cdf("_each")).alias("_cdf"))
+    names = list(docs.columns)
+    added = []
+    for name in ("copy", "shuffle_key"):
+        while name in names:
+            name += "_"
+        added.append(name)
+    own = docs.toDF(*[f"own{i}" for i in range(len(names))])  # no name of the user's meets one used here
+    of = lambda c: F.col(f"own{names.index(c)}").cast("string")
+    parts = rate.where("rate > 0").select("source", F.ceil(F.col("rate") / LARGEST_RATE).cast("int").alias("draws"), "rate")
+    parts = parts.withColumn("each", F.col("rate") / F.col("draws")).select("source", "draws", F.expr(_cdf("each")).alias("cdf"))
     few = parts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    who = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))))
-    rows = docs.withColumn("_who", who).withColumn("_key", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
-    rows = rows.join(F.broadcast(parts) if few else parts, F.col("_key") == F.col("_source"))
-    uniform = f"CAST(conv(substr(md5(concat('{seed}|', _who, '|', j)), 1, 13), 16, 10) AS DOUBLE) / 4503599627370496D"
+    who = F.coalesce(of(doc_id), F.concat(F.lit("text:"), F.md5(F.coalesce(of(text), F.lit("")))))
+    rows = own.withColumn("who", who).withColumn("key", F.coalesce(of(source), F.lit("")))
+    rows = rows.join(F.broadcast(parts) if few else parts, F.col("key") == F.col("source"))
+    uniform = f"CAST(conv(substr(md5(concat('{seed}|', who, '|', j)), 1, 13), 16, 10) AS DOUBLE) / 4503599627370496D"
     # The inverse of the distribution: as many steps of it as lie at or below the uniform number.
-    count = f"aggregate(sequence(1, _draws), 0, (t, j) -> t + element_at(transform(array({uniform}), u -> size(filter(_cdf, c -> c <= u))), 1))"
-    drawn = rows.withColumn("_n", F.expr(count)).where("_n > 0").drop("_cdf", "_draws", "_source", "_key")
-    copies = drawn.withColumn(copy, F.explode(F.expr("sequence(1, _n)")))
-    copies = copies.withColumn(shuffle_key, F.md5(F.concat(F.lit(f"{seed}|shuffle|"), F.col("_who"), F.lit("|"), F.col(copy)))).drop("_who", "_n")
-    return copies.repartition(F.col(shuffle_key)).sortWithinPartitions(shuffle_key)
+    count = f"aggregate(sequence(1, draws), 0, (t, j) -> t + element_at(transform(array({uniform}), u -> size(filter(cdf, c -> c <= u))), 1))"
+    drawn = rows.withColumn("n", F.expr(count)).where("n > 0").drop("cdf", "draws", "source", "key")
+    copies = drawn.withColumn("copy", F.explode(F.expr("sequence(1, n)")))
+    copies = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}|shuffle|"), F.col("who"), F.lit("|"), F.col("copy"))))
+    dealt = copies.select(*own.columns, "copy", "shuffle_key").repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    return dealt.toDF(*names, *added)
 
 
 def mixed_corpus(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:

@@ -200,5 +200,9 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     count = "n_replaced"
     while count in docs.columns:
         count += "_"
-    made = [F.col(f"`{c}`") if c != text else F.col("_pii.text").alias(text) for c in docs.columns]
-    return docs.withColumn("_pii", pseudonymised(text, key)).select(*made, F.col("_pii.replaced").alias(count))
+    names = list(docs.columns)
+    own = docs.toDF(*[f"own{i}" for i in range(len(names))])  # no name of the user's meets one used here
+    at = f"own{names.index(text)}"
+    done = own.withColumn("done", pseudonymised(at, key))
+    made = [F.col("done.text") if c == at else F.col(c) for c in own.columns]
+    return done.select(*made, "done.replaced").toDF(*names, count)
