@@ -20,8 +20,9 @@ from pricefold.llm.common import _BASE, _INVERSE, _powers, mixed, steps, stored,
 
 #: With such chunks a passage of 50 words (some 300 bytes) loses about 60 bytes at its ends.
 AVERAGE, LEAST, WINDOW = 20, 8, 16
-#: Cuts a text that repeats a word over and over, where the hash may never fall below the threshold.
-MOST = 96
+#: Cuts a text that repeats a word over and over, where the hash may never fall below the threshold; a prime, so that
+#: such cuts come at every place of the repeated part.
+MOST = 97
 MIN_WORDS = 25
 #: 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
