@@ -108,10 +108,9 @@ class Trie:
             short = ((name >> np.uint64(8)) if k > 1 else np.zeros(len(name), np.uint64)) << np.uint64(9) | (own["cells"] & np.uint64(511))
             lost = up["count"][np.searchsorted(up["cells"], short)] if len(short) else np.zeros(0)
             own["lost"] = np.bincount(np.searchsorted(own["names"], name), lost, len(own["names"]))
-        self._table()
 
-    def _table(self) -> None:
-        """Open-addressed table: key of ORDER context bytes and a symbol, and its log10 probability."""
+    def open(self) -> Trie:
+        """Build, where it is used, the open-addressed table: key of ORDER context bytes and a symbol, and its log10 probability."""
         top = self.levels[ORDER]
         name = np.searchsorted(top["names"], top["cells"] >> np.uint64(9)) if len(top["cells"]) else np.zeros(0, int)
         value = np.log10((top["count"] - DISCOUNT) / top["total"][name]).astype(np.float32)
@@ -130,6 +129,7 @@ class Trie:
             left = left[~placed]
             slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
         self.mask = (1 << bits) - 1
+        return self
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -217,8 +217,8 @@ def train(docs: DataFrame, contexts: int = CONTEXTS) -> Trie:
         if room < 0:
             cutoff = row["total"] + 1
             break
-    cells = [c.where(F.col("total") >= cutoff if k else F.lit(True)).select("key", "n").toPandas() for k, c in enumerate(whole)]
-    return Trie([(c["key"].to_numpy(np.int64).astype(np.uint64), c["n"].to_numpy()) for c in cells])
+    cells = [c.where(F.col("total") >= cutoff if k else F.lit(True)).select("key", "n").toArrow() for k, c in enumerate(whole)]
+    return Trie([(c["key"].to_numpy().astype(np.uint64), c["n"].to_numpy()) for c in cells])
 
 
 # ---------------------------------------------------------------- scoring
@@ -252,7 +252,7 @@ def _postings(data: np.ndarray, offs: np.ndarray, held: np.ndarray):
 
 def _scorer(sent):
     def scored(batches):
-        trie = cloudpickle.loads(sent.value)
+        trie = cloudpickle.loads(sent.value).open()
         # Batches are numbered so that those of a task and those of others differ.
         number, part = 0, TaskContext.get().partitionId()
         for rows, data, offs in steps(batches, most=BATCH_BYTES):
