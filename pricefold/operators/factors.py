@@ -87,6 +87,12 @@ def sentiment_signal(cur: str, base: str) -> str:
     return f"try_divide({cur} - {base}, {base})"
 
 
+def last4_mean(col: str) -> str:
+    """Mean of the last four weeks, added oldest first: the same double in any partitioning."""
+    weeks = [f"coalesce(max(CASE WHEN t_idx = _n - {k} THEN {col} END), 0.0D)" for k in (4, 3, 2, 1)]
+    return f"((({weeks[0]} + {weeks[1]}) + {weeks[2]}) + {weeks[3]}) / nullif(count(CASE WHEN t_idx >= _n - 4 THEN {col} END), 0)"
+
+
 def factor_moments(panel: DataFrame, decay: float = FACTOR_DECAY, series: str = SERIES) -> DataFrame:
     """One row per series with every moment the six factor fits need, plus the
     base state (mean price, units, cost of the last 4 weeks) and latest-week values.
@@ -125,12 +131,11 @@ def factor_moments(panel: DataFrame, decay: float = FACTOR_DECAY, series: str =
     for name, _, _ in PHASES:
         life += [f"sum(CASE WHEN {lok} AND _phase = '{name}' THEN _w END) AS l_w_{name}",
                  f"sum(CASE WHEN {lok} AND _phase = '{name}' THEN _w * residual END) AS l_y_{name}"]
-    tail4 = "t_idx >= _n - 4"
     plain = [
         "count(1) AS n_rows",
-        f"avg(CASE WHEN {tail4} THEN unit_price END) AS p_base",
-        f"avg(CASE WHEN {tail4} THEN units_sold END) AS q_base",
-        f"avg(CASE WHEN {tail4} THEN cost_per_unit END) AS cost_base",
+        f"{last4_mean('unit_price')} AS p_base",
+        f"{last4_mean('units_sold')} AS q_base",
+        f"{last4_mean('cost_per_unit')} AS cost_base",
         *season, *life,
         "max_by(CAST(weekofyear(date) AS BIGINT), date) AS last_week",
         "max_by(_gap, date) AS last_gap",
@@ -159,14 +164,14 @@ def _season_exprs() -> list[str]:
     ]
 
 
-def factor_values(moments: DataFrame, present: dict[str, bool], promo_model: str = "reference",
+def factor_values(moments: DataFrame, present: dict[str, bool], promo_model: str = "fit",
                   series: str = SERIES) -> DataFrame:
     """Wide per-series factor results: <factor>_value, _r2, _status, plus base state.
 
-    ``promo_model="reference"`` reproduces the reference run, whose promotion
-    fit always fails ("Left Out (Error)"; a simulated promotion then uses the
-    0.1275 default lift). ``promo_model="fit"`` returns the intended lift
-    max(0, exp(b) − 1) when the latest week is a promotion week.
+    ``promo_model="fit"`` (default) is the promotion lift max(0, exp(b) − 1) of the
+    weighted fit of the residual on the promotion flag, in force when the latest week
+    is a promotion week. ``promo_model="reference"`` reproduces a failing fit:
+    "Left Out (Error)", and a simulated promotion uses the 0.1275 default lift.
     """
     m = moments.selectExpr("*", *_season_exprs()).selectExpr(
         "*",

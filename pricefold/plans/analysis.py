@@ -42,7 +42,7 @@ def bound_panel(bundle: Bundle, partitions: int | None = None, persist: bool = T
     return materialize(panel) if persist else panel
 
 
-def analyse(bundle: Bundle, promo_model: str = "reference", panel: DataFrame | None = None,
+def analyse(bundle: Bundle, promo_model: str = "fit", panel: DataFrame | None = None,
             materialize_summary: bool = True) -> Analysis:
     panel = bound_panel(bundle) if panel is None else panel
     spiked = detect_spikes(panel)

@@ -168,6 +168,12 @@ def slope_sql(p: str) -> str:
     return f"(CASE WHEN {cxx} > 0 THEN {cxy} / {cxx} END)"
 
 
+def _last_four(x: str) -> str:
+    """Mean of the last weeks, oldest first: list_reduce adds from the left."""
+    weeks = f"list({x} ORDER BY date) FILTER (t_idx >= n_all - 4 AND {x} IS NOT NULL)"
+    return f"list_reduce({weeks}, lambda a, b: a + b) / len({weeks})"
+
+
 _life = ", ".join(
     f"sum(CASE WHEN residual IS NOT NULL AND phase = '{ph}' THEN w END) AS l_w_{ph}, "
     f"sum(CASE WHEN residual IS NOT NULL AND phase = '{ph}' THEN w * residual END) AS l_y_{ph}"
@@ -176,9 +182,9 @@ _life = ", ".join(
 
 view("fmom", ("fstage2",), f"""
 SELECT sku_id, count(*) AS n_rows,
-       avg(CASE WHEN t_idx >= n_all - 4 THEN unit_price END) AS p_base,
-       avg(CASE WHEN t_idx >= n_all - 4 THEN units_sold END) AS q_base,
-       avg(CASE WHEN t_idx >= n_all - 4 THEN cost_per_unit END) AS cost_base,
+       {_last_four('unit_price')} AS p_base,
+       {_last_four('units_sold')} AS q_base,
+       {_last_four('cost_per_unit')} AS cost_base,
        sum(CASE WHEN residual IS NOT NULL THEN w END) AS s_sw,
        sum(CASE WHEN residual IS NOT NULL THEN w * sn END) AS s_s1,
        sum(CASE WHEN residual IS NOT NULL THEN w * cs END) AS s_s2,
@@ -235,7 +241,8 @@ SELECT m.sku_id, m.p_base, m.q_base, m.cost_base, m.n_rows, m.last_coverage, m.l
        CASE WHEN ss.st = 'Used' THEN ss.b2 END AS season_b_cos,
        coalesce(1.0 + 0.2 * sign(m.last_gap) * least(abs(m.last_gap), 0.5), 1.0) AS competitor_value,
        {r2_sql('c')} AS competitor_r2, 'Used' AS competitor_status,
-       0.0 AS promotions_value, 0.0 AS promotions_r2, 'Left Out (Error)' AS promotions_status,
+       CASE WHEN m.last_promo = 1.0 THEN greatest(0.0, exp(coalesce({slope_sql('p')}, 0.0)) - 1.0) ELSE 0.0 END AS promotions_value,
+       {r2_sql('p')} AS promotions_r2, 'Used' AS promotions_status,
        CASE WHEN {r2_sql('i')} < 0.03 THEN 1.0 WHEN m.last_coverage < 7.0 THEN 1.15 ELSE 1.0 END AS inventory_value,
        {r2_sql('i')} AS inventory_r2,
        CASE WHEN {r2_sql('i')} < 0.03 THEN 'Left Out (Low Explanatory Power)' ELSE 'Used' END AS inventory_status,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricefold.operators import factors as fx
 from pricefold.operators.project import GRID_121, optimal_prices, project_curve
 from pricefold.operators.spikes import SERIES
-from pricefold.plans import oracle_core  # noqa: F401  (registers oracle views)
+from pricefold.plans import oracle_core
 from pricefold.plans.analysis import Analysis, analyse
 from pricefold.plans.oracle_views import with_views
 from pricefold.plans.registry import register
@@ -256,6 +256,15 @@ def q_project_demand(spark, sf):
     return c.selectExpr(SERIES, "CAST(grid_idx AS BIGINT) AS grid_idx", *PD)
 
 
+@register("project_demand_promo", with_views(
+    f"SELECT sku_id, grid_idx, price_change_pct, q_new, lift_m FROM ({oracle_core.curve_sql(-30.0, 30.0, 121, promo_active=True)})", "summary"),
+    doubles=["price_change_pct", "q_new", "lift_m"])
+def q_project_demand_promo(spark, sf):
+    """The grid with a promotion simulated in every week: the fitted lift applies."""
+    c = project_curve(analysis(spark, sf).summary, GRID_121, promo_active=True)
+    return c.selectExpr(SERIES, "CAST(grid_idx AS BIGINT) AS grid_idx", "price_change_pct", "q_new", "lift_m")
+
+
 @register("demand_band", with_views("SELECT sku_id, grid_idx, q_p10, q_p50, q_p90 FROM curve121", "curve121"),
           doubles=["q_p10", "q_p50", "q_p90"])
 def q_demand_band(spark, sf):
