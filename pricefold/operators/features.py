@@ -71,9 +71,16 @@ def velocity_exprs() -> list[str]:
     ]
 
 
+def coerce_types(text: DataFrame, dates: tuple[str, ...] = ("date",), numbers: tuple[str, ...] = ("unit_price", "units_sold", "cost_per_unit")) -> DataFrame:
+    """Text columns → dates and doubles; a value that is neither becomes NULL, other columns pass."""
+    kinds = {**dict.fromkeys(dates, "DATE"), **dict.fromkeys(numbers, "DOUBLE")}
+    return text.selectExpr(*[f"try_cast({c} AS {kinds[c]}) AS {c}" if c in kinds else c for c in text.columns])
+
+
 def onehot_expr(idx: str = "series_idx", n: str = "n_series") -> str:
-    """Brand one-hot as an array ordered by brand name (all levels kept)."""
-    return f"transform(sequence(0, CAST({n} AS INT) - 1), i -> CASE WHEN i = {idx} THEN 1.0D ELSE 0.0D END) AS brand_onehot"
+    """Brand one-hot as a sparse vector (size, index of the 1) in brand-name order: one
+    cell a row, however many series there are."""
+    return f"named_struct('size', {n}, 'index', {idx}, 'value', 1.0D) AS brand_onehot"
 
 
 FEATURE_COLS = [

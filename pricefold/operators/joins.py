@@ -50,7 +50,7 @@ def join_side_tables(panel: DataFrame, bundle: Bundle) -> DataFrame:
     if bundle.lifecycle is not None:
         out = out.join(bundle.lifecycle.select(SERIES, "launch_date"), SERIES, "left")
     if bundle.sentiment is not None:
-        out = out.join(F.broadcast(bundle.sentiment.select("date", *SIDE_COLUMNS["sentiment"])), "date", "left")
+        out = out.join(bundle.sentiment.select("date", *SIDE_COLUMNS["sentiment"]), "date", "left")
     missing = [f"CAST(NULL AS {NULL_TYPES[c]}) AS {c}" for k, cols in SIDE_COLUMNS.items() if getattr(bundle, k) is None for c in cols]
     return out.selectExpr("*", *missing) if missing else out
 

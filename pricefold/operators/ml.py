@@ -77,16 +77,6 @@ def bootstrap_elasticity(spiked: DataFrame, replicates: int = N_REPLICATES, deca
                                        WHEN n_obs < 30 THEN 'PROVISIONAL' ELSE '90% HIGH' END AS reliability""")
 
 
-def split_by_fraction(df: DataFrame, frac: float = 0.8) -> DataFrame:
-    """Label rows train / test at the date ``frac`` of the way through the
-    calendar. The bounds are scalar subqueries (partial aggregates evaluated
-    once), not a global window or a join."""
-    d0 = df.select(F.min("date")).scalar()
-    d1 = df.select(F.max("date")).scalar()
-    split = F.date_add(d0, (F.datediff(d1, d0) * frac).cast("int"))
-    return df.select("*", F.when(F.col("date") < split, F.lit("train")).otherwise(F.lit("test")).alias("split"))
-
-
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 

@@ -11,9 +11,7 @@ from pricefold.functions.columns import D
 SERIES = "sku_id"
 
 # Fixed values of the reference's forecasting set-up.
-SPLIT_EARLY = "2023-01-01"      # split date when the panel starts in 2016 or earlier
-SPLIT_LATE = "2024-07-01"
-SPLIT_YEAR = 2016
+TRAIN_FIFTHS = 4                # of five parts of the calendar, when no split date is given
 DML_MIN_ROWS = 30
 DML_FALLBACK = -2.0
 SHOCK_CAP = -1.5                # augmentation uses min(DML, -1.5)
@@ -22,15 +20,15 @@ SEQ_LEN = 8
 
 
 def time_split(panel: DataFrame, split_date: str | None = None) -> DataFrame:
-    """Label rows train (< split) / test (>= split). Default split follows the
-    reference rule: 2023-01-01 when the panel starts in 2016 or earlier, else 2024-07-01."""
+    """Label rows train (< split) / test (>= split). Without a date the split is four
+    fifths through the panel's own calendar, so that both parts hold rows."""
     if split_date is not None:
         split = F.expr(f"DATE'{split_date}'")
     else:
-        # The first year is a scalar subquery (one partial aggregate, evaluated
-        # once), not a window over the whole table.
+        # The bounds are one scalar subquery (a partial aggregate, evaluated once),
+        # not a window over the whole table.
         split = panel.select(F.expr(
-            f"CASE WHEN min(year(date)) <= {SPLIT_YEAR} THEN DATE'{SPLIT_EARLY}' ELSE DATE'{SPLIT_LATE}' END")).scalar()
+            f"date_add(min(date), CAST(datediff(max(date), min(date)) * {TRAIN_FIFTHS} DIV 5 AS INT))")).scalar()
     return panel.select("*", F.when(F.col("date") < split, F.lit("train")).otherwise(F.lit("test")).alias("split"))
 
 

@@ -3,6 +3,8 @@ seasonal R², baseline lookup; CSV bundle source / sink."""
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +13,14 @@ from pricefold.operators import backtest as BT
 from pricefold.plans.oracle_views import with_views
 from pricefold.plans.queries_table import _MEMO, bpanel_for, bundle_for
 from pricefold.plans.registry import register
-from pricefold.session import materialize
+from pricefold.session import materialize, session_key
 from pricefold.sources import bundle_io as IO
 from pricefold.sources.panel import SERIES
 
 
 def preds_for(spark, sf) -> DataFrame:
     """Backtest predictions, persisted once per session (the expensive step)."""
-    key = ("rbt", id(spark._jsparkSession), sf)
+    key = ("rbt", session_key(spark), sf)
     if key not in _MEMO:
         _MEMO[key] = materialize(BT.rolling_backtest(bpanel_for(spark, sf)))
     return _MEMO[key]
@@ -86,9 +88,9 @@ def q_fourier(spark, sf):
 
 # ------------------------------------------------------------------ CSV source / sink
 def bundle_root(spark, sf) -> str:
-    key = ("bundle_csv", id(spark._jsparkSession), sf)
+    key = ("bundle_csv", session_key(spark), sf)
     if key not in _MEMO:
-        root = IO.output_root(spark, f"bundles-{abs(hash(sf)) % 10**8}")
+        root = IO.output_root(spark, f"bundles-{crc32(sf.encode()):08x}")
         b = bundle_for(spark, sf)
         IO.write_bundle({"sales": b.sales, "promotions": b.promotions, "inventory": b.inventory,
                          "competitor": b.competitor, "lifecycle": b.lifecycle}, root)
@@ -114,22 +116,25 @@ def q_sink_csv(spark, sf):
     """Write the optimal-price table as CSV to the shared output folder and read it back."""
     from pricefold.plans.registry import REGISTRY
 
-    path = IO.output_root(spark, f"optimal-prices-{abs(hash(sf)) % 10**8}")
+    path = IO.output_root(spark, f"optimal-prices-{crc32(sf.encode()):08x}")
     IO.sink_csv(REGISTRY["optimize_price"].run(spark, sf), path)
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
 @register("require_sales", with_views("""
-SELECT sku_id, count(*) AS n_rows, CASE WHEN count(*) > 0 THEN 'OK' ELSE 'MISSING' END AS status FROM sales_demand GROUP BY sku_id""",
-    "sales_demand"))
+SELECT concat('Part#', CAST(p.p_partkey AS VARCHAR)) AS product, coalesce(n, 0) AS n_rows, CASE WHEN coalesce(n, 0) > 0 THEN 'OK' ELSE 'MISSING' END AS status
+FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem
+  WHERE date_trunc('week', l_shipdate)::DATE > (SELECT max(l_shipdate) FROM lineitem)::DATE - 182 GROUP BY 1) s ON s.l_partkey = p.p_partkey"""))
 def q_require_sales(spark, sf):
-    """Reject series without sales rows (the analysis requires the sales table)."""
-    s = bundle_for(spark, sf).sales
-    missing = [c for c in ("date", SERIES, "unit_price", "units_sold", "cost_per_unit") if c not in s.columns]
-    if missing:
-        raise ValueError(f"sales table lacks {missing}")
-    return s.groupBy(SERIES).agg(F.expr("count(1) AS n_rows")).selectExpr(
-        "*", "CASE WHEN n_rows > 0 THEN 'OK' ELSE 'MISSING' END AS status")
+    """Products of the catalogue (parts) without sales in the last 26 weeks are rejected."""
+    from pricefold.sources.tables import read_table
+
+    lines = read_table(spark, sf, "lineitem", ["l_partkey", "l_shipdate"])
+    last = lines.select(F.max(F.to_date("l_shipdate"))).scalar()
+    recent = lines.where(F.to_date(F.date_trunc("week", "l_shipdate")) > F.date_sub(last, 182))
+    sales = recent.selectExpr("concat('Part#', CAST(l_partkey AS STRING)) AS product")
+    catalogue = read_table(spark, sf, "part", ["p_partkey"]).selectExpr("concat('Part#', CAST(p_partkey AS STRING)) AS product")
+    return IO.require_sales(catalogue, sales)
 
 
 @register("elasticity_map_json")

@@ -12,6 +12,7 @@ from pricefold.plans import oracle_core
 from pricefold.plans.analysis import Analysis, analyse
 from pricefold.plans.oracle_views import with_views
 from pricefold.plans.registry import register
+from pricefold.session import session_key
 from pricefold.sources.panel import build_bundle
 
 
@@ -24,7 +25,7 @@ def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     Only the bound weekly panel is cached data; the returned DataFrames are
     plans, re-executed by each query from that panel.
     """
-    key = (id(spark._jsparkSession), sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _PLANS:
         _PLANS[key] = analyse(build_bundle(spark, sf_dir))
     return _PLANS[key]

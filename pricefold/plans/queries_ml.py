@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 
 from pricefold.operators import features as FE
 from pricefold.operators import ml as ML
+from pricefold.operators.models import time_split
 from pricefold.plans.queries_core import analysis
 from pricefold.plans.queries_reports import JF, joint_for
 from pricefold.plans.queries_table import _MEMO, bpanel_for
 from pricefold.plans.registry import register
+from pricefold.session import session_key
 from pricefold.sources.panel import SERIES
 
 TREE_FEATURES = [c for c in FE.FEATURE_COLS]
@@ -17,15 +19,15 @@ TREE_FEATURES = [c for c in FE.FEATURE_COLS]
 
 def _ft(spark, sf) -> DataFrame:
     """Forecast table with a train/test split at 80 % of the calendar and brand one-hot columns."""
-    key = ("mlft", id(spark._jsparkSession), sf)
+    key = ("mlft", session_key(spark), sf)
     if key not in _MEMO:
         ft = FE.feature_table(bpanel_for(spark, sf))
-        _MEMO[key] = ML.split_by_fraction(ft, 0.8)
+        _MEMO[key] = time_split(ft)
     return _MEMO[key]
 
 
 def trees_for(spark, sf):
-    key = ("trees", id(spark._jsparkSession), sf)
+    key = ("trees", session_key(spark), sf)
     if key not in _MEMO:
         _MEMO[key] = ML.tree_forecasts(_ft(spark, sf), TREE_FEATURES + ["series_idx"])
     return _MEMO[key]

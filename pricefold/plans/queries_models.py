@@ -12,6 +12,7 @@ from pricefold.plans.oracle_views import view, with_views
 from pricefold.plans.queries_core import analysis
 from pricefold.plans.queries_table import _MEMO, bpanel_for
 from pricefold.plans.registry import register
+from pricefold.session import session_key
 from pricefold.sources.panel import SERIES
 
 # ------------------------------------------------------------------ DML / augmentation / scaling
@@ -27,7 +28,7 @@ FROM (SELECT *, cty - bt * czy - by_ * czt + bt * by_ * vz AS num, vt - 2.0 * bt
                          var_pop(ln(1.0 + cost_per_unit)) AS vz,
                          covar_pop(ln(1.0 + unit_price), ln(1.0 + units_sold)) AS cty,
                          var_pop(ln(1.0 + unit_price)) AS vt
-                  FROM (SELECT *, CASE WHEN min(year(date)) OVER () <= 2016 THEN DATE '2023-01-01' ELSE DATE '2024-07-01' END AS split
+                  FROM (SELECT *, min(date) OVER () + CAST(date_diff('day', min(date) OVER (), max(date) OVER ()) * 4 // 5 AS INTEGER) AS split
                         FROM brand_panel) b
                   WHERE date < split GROUP BY sku_id) m) a) t""")
 
@@ -71,7 +72,7 @@ STD_COLS = ["unit_price", "units_sold", "cost_per_unit", "qty_lag_1"]
 SELECT sku_id, date, {', '.join(f"({c} - m_{c}) / (CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END) AS {c}_z" for c in STD_COLS)}
 FROM (SELECT * FROM features WHERE qty_lag_13 IS NOT NULL) f,
      (SELECT {', '.join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in STD_COLS)}
-      FROM features WHERE qty_lag_13 IS NOT NULL AND date < DATE '2023-01-01') st""", "features"),
+      FROM (SELECT *, min(date) OVER () + CAST(date_diff('day', min(date) OVER (), max(date) OVER ()) * 4 // 5 AS INTEGER) AS split FROM features WHERE qty_lag_13 IS NOT NULL) f WHERE date < split) st""", "features"),
     doubles=[f"{c}_z" for c in STD_COLS])
 def q_standardize(spark, sf):
     ft = M.time_split(FE.feature_table(bpanel_for(spark, sf)))
@@ -172,7 +173,7 @@ FROM bt GROUP BY sku_id, model""")
 
 
 def bt_for(spark, sf) -> DataFrame:
-    key = ("bt", id(spark._jsparkSession), sf)
+    key = ("bt", session_key(spark), sf)
     if key not in _MEMO:
         _MEMO[key] = R.backtest_univariate(analysis(spark, sf).spiked.selectExpr(SERIES, "date", "unit_price", "units_sold"))
     return _MEMO[key]

@@ -16,6 +16,7 @@ from pricefold.plans.queries_core import analysis
 from pricefold.plans.queries_models import dml_for
 from pricefold.plans.queries_table import _MEMO, bpanel_for, panel_for
 from pricefold.plans.registry import register
+from pricefold.session import session_key
 from pricefold.sources.panel import SERIES
 
 _TP = repr(TWO_PI)
@@ -62,15 +63,17 @@ def q_anomaly_log(spark, sf):
 
 
 @register("join_week_index", with_views(f"""
-SELECT sku_id, CAST(w AS BIGINT) AS week,
-       CASE WHEN seasonality_status = 'Used' THEN exp(season_b0 + season_b_sin * sin({_TP} * CAST(w AS DOUBLE) / 52.0)
-            + season_b_cos * cos({_TP} * CAST(w AS DOUBLE) / 52.0)) ELSE 1.0 END AS season_multiplier
-FROM summary CROSS JOIN range(1, 53) r(w)""", "summary"), doubles=["season_multiplier"])
+SELECT d.sku_id, d.date, CAST(least(weekofyear(d.date), 52) AS BIGINT) AS week,
+       CASE WHEN seasonality_status = 'Used' THEN exp(season_b0 + season_b_sin * sin({_TP} * CAST(least(weekofyear(d.date), 52) AS DOUBLE) / 52.0)
+            + season_b_cos * cos({_TP} * CAST(least(weekofyear(d.date), 52) AS DOUBLE) / 52.0)) ELSE 1.0 END AS season_multiplier
+FROM sales_demand d JOIN summary s USING (sku_id)""", "summary", "sales_demand"), doubles=["season_multiplier"])
 def q_week_index(spark, sf):
-    s = _summary(spark, sf).selectExpr(SERIES, "seasonality_status", "season_b0", "season_b_sin", "season_b_cos",
-                                       "explode(sequence(1, 52)) AS week")
-    return s.selectExpr(SERIES, "CAST(week AS BIGINT) AS week",
-                        f"CASE WHEN seasonality_status = 'Used' THEN {RP.season_curve()} ELSE 1.0D END AS season_multiplier")
+    """Every week of the panel joined to its row of the series' 52-week curve (week 53 uses week 52)."""
+    curve = _summary(spark, sf).selectExpr(SERIES, "seasonality_status", "season_b0", "season_b_sin", "season_b_cos",
+                                           "explode(sequence(1, 52)) AS week").selectExpr(
+        SERIES, "CAST(week AS BIGINT) AS week", f"CASE WHEN seasonality_status = 'Used' THEN {RP.season_curve()} ELSE 1.0D END AS season_multiplier")
+    weeks = analysis(spark, sf).panel.selectExpr(SERIES, "date", "CAST(least(weekofyear(date), 52) AS BIGINT) AS week")
+    return weeks.join(curve, [SERIES, "week"]).select(SERIES, "date", "week", "season_multiplier")
 
 
 @register("fitted_vs_actual", with_views("""
@@ -188,7 +191,7 @@ def model_sources(spark, sf) -> dict[str, DataFrame]:
     """Per model, the base state with that model's elasticity: Math (factor model),
     DML and LogLog (constant elasticity). Each stays partitioned by series
     (merge joins of per-series tables), so its curve needs no shuffle."""
-    key = ("msrc", id(spark._jsparkSession), sf)
+    key = ("msrc", session_key(spark), sf)
     if key in _MEMO:
         return _MEMO[key]
     s = _summary(spark, sf)

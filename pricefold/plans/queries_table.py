@@ -11,14 +11,15 @@ from pricefold.plans.analysis import bound_panel
 from pricefold.plans.oracle_views import view, with_views
 from pricefold.plans.queries_core import analysis
 from pricefold.plans.registry import register
-from pricefold.session import materialize
+from pricefold.session import materialize, session_key
 from pricefold.sources.panel import SERIES, brand_panel, build_bundle
+from pricefold.sources.tables import read_table
 
 _MEMO: dict[tuple, DataFrame] = {}
 
 
 def bundle_for(spark: SparkSession, sf: str):
-    key = ("bundle", id(spark._jsparkSession), sf)
+    key = ("bundle", session_key(spark), sf)
     if key not in _MEMO:
         _MEMO[key] = build_bundle(spark, sf)
     return _MEMO[key]
@@ -26,7 +27,7 @@ def bundle_for(spark: SparkSession, sf: str):
 
 def panel_for(spark: SparkSession, sf: str) -> DataFrame:
     """Bound weekly panel (sales + side tables), partitioned by series, persisted."""
-    key = ("panel", id(spark._jsparkSession), sf)
+    key = ("panel", session_key(spark), sf)
     if key not in _MEMO:
         _MEMO[key] = bound_panel(bundle_for(spark, sf))
     return _MEMO[key]
@@ -34,7 +35,7 @@ def panel_for(spark: SparkSession, sf: str) -> DataFrame:
 
 def bpanel_for(spark: SparkSession, sf: str) -> DataFrame:
     """Branded long panel (comp_price_1..3, promo, festival), partitioned by series, persisted."""
-    key = ("bpanel", id(spark._jsparkSession), sf)
+    key = ("bpanel", session_key(spark), sf)
     if key not in _MEMO:
         b = bundle_for(spark, sf)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -138,15 +139,18 @@ def q_log_features(spark, sf):
     return FE.log_features(bpanel_for(spark, sf)).selectExpr(SERIES, "date", "log_q", "log_p", "log_comp_3", "log1p_q", "log1p_p", "log1p_cost")
 
 
-@register("coerce_types", with_views("SELECT sku_id, date, unit_price, units_sold, cost_per_unit FROM sales_demand", "sales_demand"),
-          doubles=["unit_price", "units_sold", "cost_per_unit"])
+@register("coerce_types", """
+SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 7 = 0 THEN '1997-02-30' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS DATE) AS date,
+       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS unit_price,
+       try_cast(regexp_extract(o_orderpriority, '^[0-9]+') AS DOUBLE) AS units_sold, CAST(NULL AS DOUBLE) AS cost_per_unit
+FROM orders""", doubles=["unit_price", "units_sold", "cost_per_unit"])
 def q_coerce(spark, sf):
-    """Text-typed table (as read from CSV) → typed: to_date + try_cast (invalid → NULL)."""
-    text = bundle_for(spark, sf).sales.selectExpr(
-        SERIES, "date_format(date, 'yyyy-MM-dd') AS date", "CAST(unit_price AS STRING) AS unit_price",
-        "CAST(units_sold AS STRING) AS units_sold", "CAST(cost_per_unit AS STRING) AS cost_per_unit")
-    return text.selectExpr(SERIES, "to_date(date) AS date", "try_cast(unit_price AS DOUBLE) AS unit_price",
-                           "try_cast(units_sold AS DOUBLE) AS units_sold", "try_cast(cost_per_unit AS DOUBLE) AS cost_per_unit")
+    """Text-typed table (as read from CSV) → typed: bad dates, words and blanks become NULL."""
+    text = read_table(spark, sf, "orders").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderkey % 7 = 0 THEN '1997-02-30' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS date",
+        "CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS STRING) END AS unit_price",
+        "regexp_extract(o_orderpriority, '^[0-9]+', 0) AS units_sold", "o_orderstatus AS cost_per_unit")
+    return FE.coerce_types(text)
 
 
 # ------------------------------------------------------------------ filters / projections
@@ -258,13 +262,11 @@ def q_sentiment_signal(spark, sf):
 
 
 @register("onehot_brand", with_views("""
-SELECT sku_id, date, array_to_string(list_transform(range(CAST(n_series AS BIGINT)),
-                                                     lambda i: CASE WHEN i = series_idx THEN '1' ELSE '0' END), ',') AS brand_onehot
-FROM brand_panel""", "brand_panel"))
+SELECT sku_id, date, n_series AS size, (SELECT count(*) FROM (SELECT DISTINCT sku_id FROM sales_demand) o WHERE o.sku_id < p.sku_id) AS index,
+       CAST(1.0 AS DOUBLE) AS value
+FROM brand_panel p""", "brand_panel"))
 def q_onehot(spark, sf):
-    """The one-hot array (``FE.onehot_expr``) rendered as text for an engine-neutral check."""
-    return bpanel_for(spark, sf).selectExpr(SERIES, "date", FE.onehot_expr()).selectExpr(
-        SERIES, "date", "array_join(transform(brand_onehot, x -> CAST(CAST(x AS INT) AS STRING)), ',') AS brand_onehot")
+    return bpanel_for(spark, sf).selectExpr(SERIES, "date", FE.onehot_expr()).select(SERIES, "date", "brand_onehot.*")
 
 
 # ------------------------------------------------------------------ feature windows
@@ -338,7 +340,7 @@ def q_drop_warmup(spark, sf):
 
 @register("time_split", with_views("""
 SELECT sku_id, date, CASE WHEN date < split THEN 'train' ELSE 'test' END AS split
-FROM (SELECT *, CASE WHEN min(year(date)) OVER () <= 2016 THEN DATE '2023-01-01' ELSE DATE '2024-07-01' END AS split FROM brand_panel) t""",
+FROM (SELECT *, min(date) OVER () + CAST(date_diff('day', min(date) OVER (), max(date) OVER ()) * 4 // 5 AS INTEGER) AS split FROM brand_panel) t""",
     "brand_panel"))
 def q_time_split(spark, sf):
     from pricefold.operators.models import time_split

@@ -35,8 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (tests on one machine) a scratch folder is
-    created; a cluster is expected to name a shared, durable location.
+    On a local master (tests) a scratch folder is made when nothing is configured;
+    on a cluster a driver-local folder would be lost on the executors, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,11 +44,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="pricefold-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+def session_key(spark: SparkSession) -> str:
+    """Key of tables memoised for a session: the application, never an object id that may be used again."""
+    return spark.sparkContext.applicationId
+
+
 def materialize(df):
     """Keep an expensive intermediate table for reuse.
 

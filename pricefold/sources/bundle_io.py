@@ -25,7 +25,6 @@ SCHEMAS = {
     "product_lifecycle": "sku_id STRING, launch_date DATE, category STRING",
     "consumer_sentiment": "date DATE, cci_current DOUBLE, cci_baseline DOUBLE, google_trends_score DOUBLE",
 }
-PATH_RE = r".*/([^/]+)/([^/]+)/([^/]+)/{table}/[^/]*$"
 
 
 def output_root(spark: SparkSession, name: str) -> str:
@@ -73,3 +72,10 @@ def scan_bundle(spark: SparkSession, root: str, table: str = "sales_demand") ->
 def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
     """Distinct (category, product, scenario) series found under ``root``, sorted."""
     return scan_bundle(spark, root).select("category", "product", "scenario").distinct().orderBy("category", "product", "scenario")
+
+
+def require_sales(catalogue: DataFrame, sales: DataFrame, key: str = "product") -> DataFrame:
+    """Each product of the catalogue with its number of sales rows; status MISSING rejects it (the analysis needs sales)."""
+    n = sales.groupBy(key).count().withColumnRenamed("count", "n_rows")
+    return catalogue.select(key).distinct().join(n, key, "left").selectExpr(
+        key, "coalesce(n_rows, 0L) AS n_rows", "CASE WHEN n_rows > 0 THEN 'OK' ELSE 'MISSING' END AS status")

@@ -162,10 +162,19 @@ def consumer_sentiment(spark: SparkSession, sf_dir: str, weeks: DataFrame) -> Da
 def series_index(sales: DataFrame) -> DataFrame:
     """Position of each series in name order (0-based) and the series count.
 
-    Runs over the distinct series names only (a dimension, one row per series).
+    The distinct names are range-partitioned and numbered within each partition; a
+    partition's offset is the number of names before it (one row per partition is all
+    that a single task sees). The partitioned names are kept, so that numbers and
+    offsets come from the same partitioning.
     """
-    return sales.select(SERIES).distinct().selectExpr(
-        SERIES, f"CAST(row_number() OVER (ORDER BY {SERIES}) - 1 AS BIGINT) AS series_idx", "count(1) OVER () AS n_series")
+    from pricefold.session import materialize
+
+    n = int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = materialize(sales.select(SERIES).distinct().repartitionByRange(n, SERIES).selectExpr(SERIES, "spark_partition_id() AS _part"))
+    sizes = names.groupBy("_part").agg(F.expr("count(1) AS _size")).selectExpr(
+        "_part", "sum(_size) OVER (ORDER BY _part) - _size AS _before", "sum(_size) OVER () AS n_series")
+    return names.selectExpr(SERIES, "_part", f"row_number() OVER (PARTITION BY _part ORDER BY {SERIES}) - 1 AS _at").join(sizes, "_part").selectExpr(
+        SERIES, "CAST(_before + _at AS BIGINT) AS series_idx", "n_series")
 
 
 def brand_panel(sales: DataFrame, promos: DataFrame, comp: DataFrame, n_comp: int = 3) -> DataFrame:
