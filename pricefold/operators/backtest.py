@@ -38,9 +38,11 @@ MODELS = ("Linear", "IV_2SLS", "Ridge", "Huber")
 SEASONALITIES = ("baseline", "fixed", "adaptive", "multi_period")
 HUBER_EPS = 1.35
 RIDGE_ALPHA = 1.0
+HUBER_STEPS = 1000
+TOO_SHORT = "TOO_SHORT"  # status of a series that has no week after a training window
 
 OUT_SCHEMA = ("sku_id string, model string, seasonality string, decay string, date date, "
-              "actual double, predicted double, elasticity double, fourier_k int")
+              "actual double, predicted double, elasticity double, fourier_k int, converged boolean, status string")
 
 
 def fourier(t: np.ndarray, period: float, k: int) -> np.ndarray:
@@ -61,84 +63,6 @@ def season_terms(t: np.ndarray, approach: str, k: int | None = None) -> np.ndarr
     return fourier(t, 52.0, k or 1)
 
 
-def wls(X: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted least squares via the normal equations (falls back to lstsq when singular)."""
-    Xw = X * w[:, None]
-    try:
-        return np.linalg.solve(X.T @ Xw, Xw.T @ y)
-    except np.linalg.LinAlgError:
-        sw = np.sqrt(w)
-        return np.linalg.lstsq(X * sw[:, None], y * sw, rcond=None)[0]
-
-
-def aicc_order(X0: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> int:
-    """Fourier order K in 1..5 minimising AICc of the (weighted) fit."""
-    n = len(y)
-    best_k, best = 1, np.inf
-    for k in range(1, 6):
-        X = np.hstack([X0, fourier(t, 52.0, k)])
-        beta = wls(X, y, w)
-        ssr = float(np.sum(w * (y - X @ beta) ** 2))
-        p = X.shape[1]
-        llf = -n / 2 * np.log(2 * np.pi) - n / 2 * np.log(ssr / n) - n / 2 + 0.5 * np.sum(np.log(w))
-        aic = -2 * llf + 2 * p
-        aicc = aic + (2 * p * (p + 1)) / (n - p - 1) if n - p - 1 > 0 else aic
-        if aicc < best:
-            best, best_k = aicc, k
-    return best_k
-
-
-def ridge(X: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float = RIDGE_ALPHA) -> tuple[float, np.ndarray]:
-    """Weighted ridge with a free (unpenalised) intercept; X has no constant column."""
-    sw = w.sum()
-    mx = (w[:, None] * X).sum(0) / sw
-    my = float((w * y).sum() / sw)
-    Xc, yc = X - mx, y - my
-    A = (Xc * w[:, None]).T @ Xc + alpha * np.eye(X.shape[1])
-    beta = np.linalg.solve(A, (Xc * w[:, None]).T @ yc)
-    return my - float(mx @ beta), beta
-
-
-def huber(X: np.ndarray, y: np.ndarray, w: np.ndarray, eps: float = HUBER_EPS, iters: int = 10) -> np.ndarray:
-    """Huber M-estimate by iteratively re-weighted least squares, scale fixed at
-    the MAD of the initial least-squares residuals."""
-    beta = wls(X, y, w)
-    r = y - X @ beta
-    scale = float(np.median(np.abs(r - np.median(r)))) / 0.6745
-    if not np.isfinite(scale) or scale <= 0:
-        return beta
-    for _ in range(iters):
-        u = np.abs(y - X @ beta) / scale
-        new = wls(X, y, w * np.minimum(1.0, eps / np.maximum(u, 1e-12)))
-        done = float(np.max(np.abs(new - beta))) < 1e-8
-        beta = new
-        if done:
-            break
-    return beta
-
-
-def _fit_predict(model: str, Xtr, ytr, w, xte, Ztr, zte):
-    """Return (elasticity, predicted ln q). Column 1 of X is ln p; Z swaps in ln cost."""
-    if model == "Linear":
-        b = wls(Xtr, ytr, w)
-        return b[1], float(xte @ b)
-    if model == "IV_2SLS":
-        g = wls(Ztr, Xtr[:, 1], w)
-        X2 = Xtr.copy()
-        X2[:, 1] = Ztr @ g
-        b = wls(X2, ytr, w)
-        x2 = xte.copy()
-        x2[1] = float(zte @ g)
-        return b[1], float(x2 @ b)
-    if model == "Ridge":
-        a, b = ridge(Xtr[:, 1:], ytr, w)
-        return b[0], a + float(xte[1:] @ b)
-    if model == "Huber":
-        b = huber(Xtr, ytr, w)
-        return b[1], float(xte @ b)
-    raise ValueError(model)
-
-
 def _bsolve(A: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Batched solve of A[o] x = b[o]; singular systems fall back to least squares."""
     try:
@@ -154,21 +78,27 @@ def _bwls(X: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _bsolve(Xt @ X, (Xt @ y[..., None])[..., 0])
 
 
-def _bhuber(X: np.ndarray, y: np.ndarray, w: np.ndarray, eps: float = HUBER_EPS, iters: int = 10) -> np.ndarray:
+def _bhuber(X: np.ndarray, y: np.ndarray, w: np.ndarray, eps: float = HUBER_EPS, most: int = HUBER_STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Huber M-estimates of all origins by re-weighted least squares, scale fixed at the MAD of the
+    least-squares residuals: (coefficients, converged). Origins iterate until their own step is below
+    1e-8; one that has not got there after ``most`` steps says so."""
     beta = _bwls(X, y, w)
     r = y - (X @ beta[..., None])[..., 0]
     scale = np.median(np.abs(r - np.median(r, axis=1, keepdims=True)), axis=1) / 0.6745
     ok = np.isfinite(scale) & (scale > 0)
     scale = np.where(ok, scale, 1.0)
-    for _ in range(iters):
-        u = np.abs(y - (X @ beta[..., None])[..., 0]) / scale[:, None]
-        hw = np.where(ok[:, None], np.minimum(1.0, eps / np.maximum(u, 1e-12)), 1.0)
-        new = _bwls(X, y, w * hw)
-        done = float(np.max(np.abs(new - beta))) < 1e-8
-        beta = new
-        if done:
+    left = np.flatnonzero(ok)
+    for _ in range(most):
+        if not len(left):
             break
-    return beta
+        u = np.abs(y[left] - (X[left] @ beta[left][..., None])[..., 0]) / scale[left, None]
+        new = _bwls(X[left], y[left], np.broadcast_to(w, y.shape)[left] * np.minimum(1.0, eps / np.maximum(u, 1e-12)))
+        step = np.max(np.abs(new - beta[left]), axis=1)
+        beta[left] = new
+        left = left[~(step < 1e-8)]
+    done = np.ones(len(y), bool)
+    done[left] = False
+    return beta, done
 
 
 def _baicc(X0: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -192,10 +122,11 @@ def _baicc(X0: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> np.nd
 
 
 def _bfit(model: str, X, y, w, xte, Z, zte):
-    """(elasticity, predicted ln q) for every origin; column 1 is ln p, Z swaps in ln cost."""
+    """(elasticity, predicted ln q, converged) for every origin; column 1 is ln p, Z swaps in ln cost."""
+    done = np.ones(len(y), bool)
     if model == "Linear":
         b = _bwls(X, y, w)
-        return b[:, 1], np.einsum("op,op->o", xte, b)
+        return b[:, 1], np.einsum("op,op->o", xte, b), done
     if model == "IV_2SLS":
         g = _bwls(Z, X[:, :, 1], w)
         X2 = X.copy()
@@ -203,7 +134,7 @@ def _bfit(model: str, X, y, w, xte, Z, zte):
         b = _bwls(X2, y, w)
         x2 = xte.copy()
         x2[:, 1] = np.einsum("op,op->o", zte, g)
-        return b[:, 1], np.einsum("op,op->o", x2, b)
+        return b[:, 1], np.einsum("op,op->o", x2, b), done
     if model == "Ridge":
         Xr = X[:, :, 1:]
         sw = w.sum()
@@ -212,21 +143,22 @@ def _bfit(model: str, X, y, w, xte, Z, zte):
         Xc, yc = Xr - mx[:, None, :], y - my[:, None]
         A = np.einsum("owp,w,owq->opq", Xc, w, Xc) + RIDGE_ALPHA * np.eye(Xr.shape[2])
         b = _bsolve(A, np.einsum("owp,w,ow->op", Xc, w, yc))
-        return b[:, 0], my - np.einsum("op,op->o", mx, b) + np.einsum("op,op->o", xte[:, 1:], b)
+        return b[:, 0], my - np.einsum("op,op->o", mx, b) + np.einsum("op,op->o", xte[:, 1:], b), done
     if model == "Huber":
-        b = _bhuber(X, y, w)
-        return b[:, 1], np.einsum("op,op->o", xte, b)
+        b, done = _bhuber(X, y, w)
+        return b[:, 1], np.einsum("op,op->o", xte, b), done
     raise ValueError(model)
 
 
 def backtest_series(pdf: pd.DataFrame, window: int = TRAIN_WINDOW, models=MODELS, seasonalities=SEASONALITIES) -> pd.DataFrame:
     """All origins of one series at once: the W-row training windows are strided
     views, every configuration is a batched normal-equation solve over origins."""
-    cols = ["sku_id", "model", "seasonality", "decay", "date", "actual", "predicted", "elasticity", "fourier_k"]
+    cols = ["sku_id", "model", "seasonality", "decay", "date", "actual", "predicted", "elasticity", "fourier_k", "converged", "status"]
     pdf = pdf.sort_values("date").reset_index(drop=True)
     n = len(pdf)
-    if n <= window:
-        return pd.DataFrame(columns=cols)
+    if n <= window:  # one row says so: the series is not lost
+        short = dict.fromkeys(cols) | {"sku_id": pdf["sku_id"].iloc[0], "date": pdf["date"].iloc[-1], "status": TOO_SHORT}
+        return pd.DataFrame([short]).astype({"fourier_k": "Int32", "actual": float, "predicted": float, "elasticity": float})
     y_all = np.log(pdf["units_sold"].to_numpy(float))
     base = np.column_stack([np.log(pdf["unit_price"].to_numpy(float)), np.log(pdf["comp_price_1"].to_numpy(float)),
                             np.log(pdf["comp_price_2"].to_numpy(float)), pdf["is_promo"].to_numpy(float)])
@@ -258,7 +190,7 @@ def backtest_series(pdf: pd.DataFrame, window: int = TRAIN_WINDOW, models=MODELS
                 zte[:, 1] = cost[test[sel]]
                 for model in models:
                     with np.errstate(all="ignore"):
-                        e, pl = _bfit(model, X, Y[sel], w, xte, Z, zte)
+                        e, pl, done = _bfit(model, X, Y[sel], w, xte, Z, zte)
                         pred = np.exp(pl)
                     bad = ~(np.isfinite(pred) & np.isfinite(e))
                     pred = np.where(bad, fallback[sel], pred)
@@ -266,7 +198,8 @@ def backtest_series(pdf: pd.DataFrame, window: int = TRAIN_WINDOW, models=MODELS
                     frames.append(pd.DataFrame({
                         "sku_id": pdf["sku_id"].iloc[0], "model": model, "seasonality": seas, "decay": decay_name,
                         "date": dates[sel], "actual": actual[sel], "predicted": pred, "elasticity": e,
-                        "fourier_k": (k if seas == "adaptive" else None)}))
+                        "fourier_k": (k if seas == "adaptive" else None),
+                        "converged": done, "status": "OK"}))
     res = pd.concat(frames, ignore_index=True)
     res["fourier_k"] = res["fourier_k"].astype("Int32")
     return res[cols]
@@ -307,7 +240,7 @@ def backtest_metrics(preds: DataFrame) -> DataFrame:
     """Per (series, model, seasonality, decay): MAPE, WMAPE, RMSE, elasticity
     moments, plausibility, stability, mean adaptive K and the rank score."""
     keys = [SERIES, "model", "seasonality", "decay"]
-    m = preds.groupBy(*keys).agg(*[F.expr(x) for x in (
+    m = preds.where("status = 'OK'").groupBy(*keys).agg(*[F.expr(x) for x in (
         "avg(abs(actual - predicted) / actual) * 100.0D AS MAPE", "sum(abs(actual - predicted)) / sum(actual) * 100.0D AS WMAPE",
         "sqrt(avg((actual - predicted) * (actual - predicted))) AS RMSE", "avg(elasticity) AS mean_elasticity",
         "stddev_pop(elasticity) AS std_elasticity", "avg(fourier_k) AS avg_adaptive_k")])
@@ -318,6 +251,11 @@ def backtest_metrics(preds: DataFrame) -> DataFrame:
         "*", "0.40D * greatest(0.0D, least(1.0D, 1.0D - (WMAPE - 10.0D) / 40.0D)) + 0.35D * plausibility + 0.25D * stability AS Rank_Score")
 
 
+def too_short(preds: DataFrame) -> DataFrame:
+    """Series that could not be tested, with their last week."""
+    return preds.where(f"status = '{TOO_SHORT}'").select(SERIES, "date", "status")
+
+
 def seasonal_gain(metrics: DataFrame) -> DataFrame:
     """baseline_lookup + seasonal_wmape_gain: WMAPE of the same (series, model,
     decay) without seasonality minus this row's WMAPE, via a window — no self-join."""

@@ -7,10 +7,10 @@
   retries. One aggregate per (series, replicate); nothing collected.
 * ``tree_forecasts`` — pooled RandomForest / GBT regressors (Spark ML) on the
   forecasting feature table with brand one-hot columns.
-* ``joint_model`` — pooled weighted linear model (Spark ML) on the joint
-  feature table with series fixed effects.
-* ``finite_diff_elasticity`` — (ln f(p·e^h) − ln f(p·e^-h)) / 2h at each
-  series' mean feature row, scored by the fitted model.
+* ``joint_model`` — bootstrap ensemble of pooled weighted linear models on the
+  joint feature table, series fixed effects removed by demeaning.
+* ``finite_diff_elasticity`` — slope of ln f in ln price around each series'
+  mean feature row, price-dependent features rebuilt, scored by the fitted model.
 * ``permutation_importance`` — each feature permuted *within* its series
   (random order per feature, cyclic shift), MAPE rise, floored at 0, normalised.
 * ``stack_blend`` — non-negative ridge (α = 1, free intercept) over base-model
@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,16 +107,26 @@ def scorecard(preds: DataFrame, keys: tuple[str, ...] = (SERIES, "model")) -> Da
     return s.selectExpr("*", "0.5D * (100.0D - wmape) + 30.0D * greatest(0.0D, r2) + 20.0D * greatest(0.0D, 1.0D - mase) AS rank_score")
 
 
-def finite_diff_elasticity(model, data: DataFrame, feature_cols: list[str], h: float = 1e-4) -> DataFrame:
-    """Local elasticity of a fitted model at each series' mean feature row,
-    by a central difference of ln predicted units in ln price."""
+def finite_diff_elasticity(model, data: DataFrame, feature_cols: list[str], span: float = 0.2, points: int = 9) -> DataFrame:
+    """Local elasticity of a fitted model at each series' mean feature row.
+
+    The least-squares slope of ln predicted units in ln price over ``points`` prices within ±``span``:
+    wider than a tree's leaves, where a small central difference is flat. The features that depend on the
+    price (ratios, margin, cross difference, velocity, discount depth) are computed anew for each price.
+    """
+    from pricefold.operators.features import EPS, ratio_exprs
+
+    n_comp = sum(c.startswith("price_ratio_comp") for c in feature_cols)
     means = data.filter("split = 'train'").groupBy(SERIES).agg(*[F.expr(f"avg({c}) AS {c}") for c in feature_cols])
-    rows = means.selectExpr("*", f"explode(array({D(-h)}, {D(h)})) AS _h").selectExpr(
-        *[c for c in means.columns if c != "unit_price"], "_h", "unit_price * exp(_h) AS unit_price")
-    p = model.transform(assemble(rows, feature_cols)).groupBy(SERIES).agg(
-        F.expr("max(CASE WHEN _h > 0 THEN ln(greatest(prediction, 1e-9D)) END) AS _up"),
-        F.expr("max(CASE WHEN _h < 0 THEN ln(greatest(prediction, 1e-9D)) END) AS _dn"))
-    return p.selectExpr(SERIES, f"(_up - _dn) / {D(2 * h)} AS elasticity")
+    steps = ", ".join(D(-span + 2 * span * i / (points - 1)) for i in range(points))
+    top = f"((unit_price + {D(EPS)} * discount_depth) / (1.0D - discount_depth))"  # the running maximum behind the depth
+    moved = means.selectExpr("*", f"{top} AS _top", f"explode(array({steps})) AS _h").selectExpr("*", "unit_price * exp(_h) AS _p")
+    derived = ratio_exprs(n_comp, "_p") + ["(_p - price_lag_1) / price_lag_1 AS price_velocity",
+                                           f"(greatest(_top, _p) - _p) / (greatest(_top, _p) + {D(EPS)}) AS discount_depth", "_p AS unit_price"]
+    made = {e.rsplit(" AS ", 1)[1] for e in derived}
+    rows = moved.selectExpr(SERIES, "_h", *[c for c in feature_cols if c not in made], *[e for e in derived if e.rsplit(" AS ", 1)[1] in feature_cols])
+    p = model.transform(assemble(rows, feature_cols))
+    return p.groupBy(SERIES).agg(F.expr("regr_slope(ln(greatest(prediction, 1e-9D)), _h) AS elasticity"))
 
 
 def permutation_importance(model, data: DataFrame, feature_cols: list[str]) -> DataFrame:
@@ -171,25 +181,50 @@ def stack_blend(val_preds: DataFrame, test_preds: DataFrame, models: list[str])
     return out, {"intercept": intercept, **{c: float(beta[i]) for i, c in enumerate(cols)}}
 
 
-def joint_model(joint: DataFrame, feature_cols: list[str], decay: float = 0.95) -> tuple[DataFrame, object]:
-    """Pooled weighted linear model of ln units on the joint features plus series
-    fixed effects (Spark ML, distributed normal equations). Returns per-series
-    R², MAPE and the price coefficient (local elasticity), and the model."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+JOINT_REPLICATES = 20
+
+
+def joint_model(joint: DataFrame, feature_cols: list[str], decay: float = 0.95, replicates: int = JOINT_REPLICATES) -> DataFrame:
+    """Ensemble of pooled weighted linear models of ln units with series fixed effects.
 
+    The fixed effects are removed by (weighted) demeaning within the series, so the system
+    has one row per feature, whatever the number of series: one aggregate gives the moments of the full fit and
+    of ``replicates`` Poisson bootstrap fits, the only numbers that reach the driver. Each series' elasticity is
+    the pooled price coefficient plus its own slope of the rest, shrunk by the average information of a series.
+    Columns per series: r2, mape, elasticity with its P10 / P90 over the ensemble, and the units of the latest week at P10 / P50 / P90.
+    """
     part = f"OVER (PARTITION BY {SERIES})"
-    d = joint.selectExpr("*", "ln(units_sold) AS y",
-                         f"pow({D(decay)}, CAST(datediff(max(date) {part}, date) AS DOUBLE) / 7.0D) AS w")
-    idx = StringIndexer(inputCol=SERIES, outputCol="_sidx").fit(d)
-    d = OneHotEncoder(inputCol="_sidx", outputCol="_sfe", dropLast=True).fit(idx.transform(d)).transform(idx.transform(d))
-    d = VectorAssembler(inputCols=feature_cols + ["_sfe"], outputCol="features", handleInvalid="keep").transform(d)
-    lr = LinearRegression(featuresCol="features", labelCol="y", weightCol="w", solver="normal", regParam=0.0).fit(d)
-    e = float(lr.coefficients[feature_cols.index("log_price")])
-    p = lr.transform(d).selectExpr("*", f"avg(y) {part} AS ymean")
+    cols = [*feature_cols, "y"]
+    d = joint.selectExpr("*", "ln(units_sold) AS y", f"pow({D(decay)}, CAST(datediff(max(date) {part}, date) AS DOUBLE) / 7.0D) AS w")
+    d = d.selectExpr(SERIES, "date", "units_sold", "w", "y", *[f"{c} - sum(w * {c}) {part} / sum(w) {part} AS d_{c}" for c in cols], f"sum(w * y) {part} / sum(w) {part} AS ymean").cache()
+    draws = d.selectExpr("*", f"explode(sequence(0, {replicates})) AS rep").selectExpr(
+        "*", f"(CAST(pmod(xxhash64({SERIES}, date, rep), 9007199254740992) AS DOUBLE) + 0.5D) / 9007199254740992.0D AS u")
+    draws = draws.selectExpr("*", f"w * CASE WHEN rep = 0 THEN 1.0D ELSE CAST({poisson_count('1.0D', 'u')} AS DOUBLE) END AS v")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    moments = draws.groupBy("rep").agg(F.countDistinct(SERIES).alias("series"), *[F.expr(f"sum(v * d_{a} * d_{b}) AS s{i}") for i, (a, b) in enumerate(pairs)])
+    betas, shrink, k = [], 0.0, len(feature_cols)
+    price = feature_cols.index("log_price")
+    for row in sorted(moments.collect(), key=lambda r: r["rep"]):  # replicates + 1 rows
+        m = np.zeros((k + 1, k + 1))
+        for i, (a, b) in enumerate(pairs):
+            m[cols.index(a), cols.index(b)] = m[cols.index(b), cols.index(a)] = row[f"s{i}"]
+        betas.append(np.linalg.lstsq(m[:k, :k], m[:k, k], rcond=None)[0])
+        if row["rep"] == 0:
+            shrink = m[price, price] / max(row["series"], 1)
+    fit = lambda beta: " + ".join(f"{D(float(x))} * d_{c}" for x, c in zip(beta, feature_cols))
+    ensemble = ", ".join(f"ymean + {fit(b)}" for b in betas[1:])
+    p = d.selectExpr("*", f"{fit(betas[0])} AS f").selectExpr("*", "d_y - f AS r", f"array({ensemble}) AS e")
     out = p.groupBy(SERIES).agg(*[F.expr(x) for x in (
-        "1.0D - sum((y - prediction) * (y - prediction)) / sum((y - ymean) * (y - ymean)) AS r2",
-        "avg(abs(exp(prediction) - units_sold) / units_sold) * 100.0D AS mape")])
-    return out.selectExpr(SERIES, "r2", "mape", f"{D(e)} AS elasticity"), lr
+        "1.0D - sum(w * r * r) / sum(w * d_y * d_y) AS r2", "avg(abs(exp(ymean + f) - units_sold) / units_sold) * 100.0D AS mape",
+        "sum(w * d_log_price * r) AS _xr", "sum(w * d_log_price * d_log_price) AS _xx", "sum(w * r * r) / sum(w) AS _var",
+        "max_by(ymean + f, date) AS _last", "max_by(e, date) AS _e")])
+    low, high = np.quantile([b[price] for b in betas[1:]], [0.1, 0.9]) if replicates else (betas[0][price],) * 2
+    own = f"_xr / (_xx + {D(float(shrink))})"
+    mean = "aggregate(_e, 0.0D, (a, x) -> a + x) / size(_e)"
+    spread = f"sqrt(_var + aggregate(_e, 0.0D, (a, x) -> a + (x - {mean}) * (x - {mean})) / size(_e))"
+    return out.selectExpr(
+        SERIES, "r2", "mape", f"{D(float(betas[0][price]))} + {own} AS elasticity", f"{D(float(low))} + {own} AS elasticity_p10", f"{D(float(high))} + {own} AS elasticity_p90",
+        f"exp(_last - 1.2815515655446004D * {spread}) AS units_p10", "exp(_last) AS units_p50", f"exp(_last + 1.2815515655446004D * {spread}) AS units_p90")
 
 
 # Fixed ML-factor definitions: (factor, learner, depth, feature columns).

@@ -32,8 +32,9 @@ def bt_metrics_for(spark, sf) -> DataFrame:
 
 @register("rolling_backtest")
 def q_rolling_backtest(spark, sf):
-    """Per (series, model, seasonality, decay) metrics and rank score."""
-    return bt_metrics_for(spark, sf)
+    """Per (series, model, seasonality, decay) metrics and rank score; a series too short to test has one row that says so."""
+    tested = bt_metrics_for(spark, sf).withColumn("status", F.lit("OK"))
+    return tested.unionByName(BT.too_short(preds_for(spark, sf)).select(SERIES, "status"), allowMissingColumns=True)
 
 
 for _m, _qid in (("Linear", "fit_linear"), ("IV_2SLS", "fit_2sls"), ("Ridge", "fit_ridge"), ("Huber", "fit_huber")):

@@ -76,8 +76,7 @@ def q_blend(spark, sf):
 
 @register("joint_model")
 def q_joint_model(spark, sf):
-    out, _ = ML.joint_model(joint_for(spark, sf), [c for c in JF if c != "week"])
-    return out
+    return ML.joint_model(joint_for(spark, sf), [c for c in JF if c != "week"])
 
 
 @register("ml_factors")

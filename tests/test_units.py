@@ -155,8 +155,106 @@ def test_sig_rounding_is_exact_and_engine_neutral(spark):
     assert got[0] == 1234.57 and math.isclose(got[1], -0.000123457)
 
 
+def _least_squares(X, y, w):
+    sw = np.sqrt(w)
+    return np.linalg.lstsq(X * sw[:, None], y * sw, rcond=None)[0]
+
+
+def _one_origin(model, X, y, w, xte, Z, zte):
+    """(elasticity, ln prediction) of one training window, by numpy's least squares."""
+    if model == "IV_2SLS":
+        g = _least_squares(Z, X[:, 1], w)
+        X, xte = X.copy(), xte.copy()
+        X[:, 1], xte[1] = Z @ g, zte @ g
+    if model == "Ridge":
+        mx, my = np.average(X[:, 1:], axis=0, weights=w), np.average(y, weights=w)
+        sw = np.sqrt(w)
+        A = np.vstack([(X[:, 1:] - mx) * sw[:, None], np.eye(X.shape[1] - 1)])
+        b = np.linalg.lstsq(A, np.concatenate([(y - my) * sw, np.zeros(X.shape[1] - 1)]), rcond=None)[0]
+        return b[0], my + (xte[1:] - mx) @ b
+    b = _least_squares(X, y, w)
+    if model == "Huber":
+        r = y - X @ b
+        scale = np.median(np.abs(r - np.median(r))) / 0.6745
+        for _ in range(5000):
+            b = _least_squares(X, y, w * np.minimum(1, 1.35 / np.maximum(np.abs(y - X @ b) / scale, 1e-12)))
+    return b[1], xte @ b
+
+
+def _aicc(X0, y, w, t, season):
+    """Fourier order 1 to 5 of least AICc."""
+    n, best = len(y), []
+    for k in range(1, 6):
+        X = np.hstack([X0, season(t, "adaptive", k)])
+        p = X.shape[1]
+        ssr = float(np.sum(w * (y - X @ _least_squares(X, y, w)) ** 2))
+        best.append((n * np.log(ssr / n) + 2 * p + 2 * p * (p + 1) / (n - p - 1), k))
+    return min(best)[1]
+
+
+def test_huber_needs_more_than_ten_steps_and_says_when_it_has_not_converged():
+    from pricefold.operators.backtest import _bhuber
+
+    rng = np.random.default_rng(4)
+    X = np.stack([np.column_stack([np.ones(60), rng.normal(size=60)]) for _ in range(8)])
+    y = X @ np.array([1.0, -2.0]) + rng.standard_t(1.2, (8, 60))
+    short, done = _bhuber(X, y, np.ones(60), most=10)
+    long, all_done = _bhuber(X, y, np.ones(60))
+    assert not done.all() and all_done.all()
+    assert np.abs(short - long).max() > 1e-7
+
+
+def test_series_too_short_to_test_is_reported(spark):
+    from pricefold.operators.backtest import backtest_metrics, rolling_backtest, too_short
+
+    rows = [("S", f"2020-01-{d:02d}", 1.0, 5.0, 0.5, 1.0, 1.0, 0) for d in range(1, 20)]
+    panel = spark.createDataFrame(rows, "sku_id string, date string, unit_price double, units_sold double, cost_per_unit double, comp_price_1 double, comp_price_2 double, is_promo int").selectExpr("* EXCEPT (date)", "to_date(date) AS date")
+    preds = rolling_backtest(panel)
+    assert [tuple(r) for r in too_short(preds).selectExpr("sku_id", "status").collect()] == [("S", "TOO_SHORT")]
+    assert backtest_metrics(preds).count() == 0
+
+
+def test_joint_model_recovers_each_series_elasticity(spark):
+    from pricefold.operators.ml import joint_model
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for s, e in (("a", -1.0), ("b", -2.0), ("c", -3.0)):
+        for w in range(150):
+            lp, promo = float(rng.normal(0, 0.3)), float(rng.integers(0, 2))
+            rows.append((s, f"{2015 + w // 50}-{1 + w % 12:02d}-{1 + w % 28:02d}", float(np.exp(4 + e * lp + 0.3 * promo + rng.normal(0, 0.05))), lp, promo))
+    joint = spark.createDataFrame(rows, "sku_id string, date string, units_sold double, log_price double, is_promo double").selectExpr("* EXCEPT (date)", "to_date(date) AS date")
+    got = {r.sku_id: r for r in joint_model(joint, ["log_price", "is_promo"]).collect()}
+    assert got["a"].elasticity > got["b"].elasticity > got["c"].elasticity
+    assert got["b"].elasticity == pytest.approx(-2, abs=0.25)
+    assert all(r.elasticity_p10 <= r.elasticity <= r.elasticity_p90 and r.units_p10 < r.units_p50 < r.units_p90 for r in got.values())
+
+
+def test_finite_difference_recovers_a_known_elasticity(spark):
+    """A stand-in model with elasticity -1.7 in its own price features."""
+    from pricefold.operators.features import EPS
+    from pricefold.operators.ml import finite_diff_elasticity
+
+    class Model:
+        def transform(self, df):
+            return df.selectExpr("*", "exp(5 - 1.7 * ln(unit_price) + 0 * margin_ratio) * pow(price_ratio_comp1 * (comp_price_1 + 1e-05) / unit_price, 3) AS prediction")
+
+    cols = ["unit_price", "cost_per_unit", "comp_price_1", "price_ratio_comp1", "margin_ratio", "price_lag_1", "price_velocity", "discount_depth"]
+    rows = [("a", "train", 10.0, 6.0, 9.0, 10 / (9 + EPS), 0.4, 10.0, 0.0, 0.1)]
+    data = spark.createDataFrame(rows, "sku_id string, split string, " + ", ".join(f"{c} double" for c in cols))
+    assert finite_diff_elasticity(Model(), data, cols).first().elasticity == pytest.approx(-1.7, abs=1e-3)
+
+
+def test_series_index_numbers_in_name_order(spark):
+    from pricefold.sources.panel import series_index
+
+    names = [f"Part#{i}" for i in range(700)]
+    got = series_index(spark.createDataFrame([(n,) for n in names * 2], "sku_id string")).orderBy("series_idx").collect()
+    assert [r.sku_id for r in got] == sorted(names) and [r.series_idx for r in got] == list(range(700)) and {r.n_series for r in got} == {700}
+
+
 def test_batched_backtest_matches_per_origin_solves():
-    """Brute force: re-fit every origin separately with the scalar solvers."""
+    """Brute force: re-fit every origin separately by numpy's least squares."""
     import pricefold.operators.backtest as BT
 
     rng = np.random.default_rng(11)
@@ -177,13 +275,13 @@ def test_batched_backtest_matches_per_origin_solves():
         for dname, w in (("NoDecay", np.ones(W)), ("WithDecay", dw / dw.mean())):
             X0 = np.hstack([np.ones((W, 1)), base[tr]])
             for seas in BT.SEASONALITIES:
-                k = BT.aicc_order(X0, y[tr], w, t_tr) if seas == "adaptive" else None
+                k = _aicc(X0, y[tr], w, t_tr, BT.season_terms) if seas == "adaptive" else None
                 X = np.hstack([X0, BT.season_terms(t_tr, seas, k)])
                 xte = np.concatenate([[1.0], base[idx], BT.season_terms(t_te, seas, k)[0]])
                 Z, zte = X.copy(), xte.copy()
                 Z[:, 1], zte[1] = cost[tr], cost[idx]
                 for m in BT.MODELS:
-                    e, pl = BT._fit_predict(m, X, y[tr], w, xte, Z, zte)
+                    e, pl = _one_origin(m, X, y[tr], w, xte, Z, zte)
                     row = got.loc[(m, seas, dname, pdf.date.iloc[idx])]
                     assert row.predicted == pytest.approx(np.exp(pl), rel=1e-6)
                     assert row.elasticity == pytest.approx(np.clip(e, -10, 2), abs=1e-6)
