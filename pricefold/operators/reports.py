@@ -72,12 +72,13 @@ def delta_at_price(summary: DataFrame, pct: float = 10.0) -> DataFrame:
                         "profit_increase_pct AS profit_delta_pct")
 
 
-def hard_stops(opt: DataFrame, summary: DataFrame, spiked: DataFrame, human_flags: tuple[str, ...] = (),
+def hard_stops(opt: DataFrame, summary: DataFrame, spiked: DataFrame, checklist: DataFrame | None = None,
                extended: bool = False, hist: DataFrame | None = None) -> DataFrame:
     """Guard rails for the recommended price change of each series.
 
     Reasons: |e_eff| > 5; CI width > 1.5; |change| > 25 %; CCI fell > 10 points in
-    4 weeks; uncategorised spike; any human checklist flag (YES / UNKNOWN).
+    4 weeks; uncategorised spike; the items of the series' human ``checklist``
+    (series, item, answer) answered YES or UNKNOWN.
     ``extended`` adds: new price beyond ±10 % of the historical min / max and a
     positive effective elasticity. Status BLOCKED when any reason applies.
     """
@@ -91,8 +92,10 @@ def hard_stops(opt: DataFrame, summary: DataFrame, spiked: DataFrame, human_flag
         f"CASE WHEN cci_lag4 - last_cci > {D(CCI_DROP)} THEN 'CRITICAL: CCI dropped more than 10 points in a month' END",
         "CASE WHEN _unc > 0 THEN 'CRITICAL: uncategorised spike in the sales series' END",
     ]
-    if human_flags:
-        reasons.append(f"'HUMAN SIGN-OFF BLOCKED: {', '.join(human_flags)}'")
+    if checklist is not None:
+        flagged = checklist.where("answer IN ('YES', 'UNKNOWN')").groupBy(SERIES).agg(F.expr("array_join(sort_array(collect_set(item)), ', ') AS _items"))
+        j = j.join(flagged, SERIES, "left")
+        reasons.append("CASE WHEN _items IS NOT NULL THEN concat('HUMAN SIGN-OFF BLOCKED: ', _items) END")
     if extended and hist is not None:
         j = j.join(hist, SERIES)
         reasons.append(f"CASE WHEN opt_price < {D(1 - HIST_BAND)} * hist_min OR opt_price > {D(1 + HIST_BAND)} * hist_max "

@@ -149,23 +149,40 @@ FROM (SELECT o.sku_id, o.opt_pct, list_filter([
         CASE WHEN abs(s.ci_high - s.ci_low) > 1.5 THEN 'WARNING: 95% interval of e wider than 1.5' END,
         CASE WHEN abs(o.opt_pct) > 25.0 THEN 'WARNING: price change outside the 25% safe range' END,
         CASE WHEN s.cci_lag4 - s.last_cci > 10.0 THEN 'CRITICAL: CCI dropped more than 10 points in a month' END,
-        CASE WHEN u.unc > 0 THEN 'CRITICAL: uncategorised spike in the sales series' END{extra}], lambda x: x IS NOT NULL) AS r
+        CASE WHEN u.unc > 0 THEN 'CRITICAL: uncategorised spike in the sales series' END,
+        CASE WHEN h1.items IS NOT NULL THEN 'HUMAN SIGN-OFF BLOCKED: ' || h1.items END{extra}], lambda x: x IS NOT NULL) AS r
       FROM optimum121 o JOIN summary s USING (sku_id)
       JOIN (SELECT sku_id, count_if(is_spike AND spike_type IS NULL) AS unc FROM spiked GROUP BY sku_id) u USING (sku_id)
-      JOIN hist_range h USING (sku_id)) t"""
+      JOIN hist_range h USING (sku_id)
+      LEFT JOIN (SELECT sku_id, string_agg(item, ', ' ORDER BY item) AS items FROM checklist WHERE answer IN ('YES', 'UNKNOWN') GROUP BY sku_id) h1 USING (sku_id)) t"""
 
 
-@register("hard_stops", with_views(_hs_sql(False), "optimum121", "summary", "spiked", "hist_range"), doubles=["opt_pct"])
+# The checklist answers of a series, from its number: H1 YES / UNKNOWN / NO by fours, U1 YES / NO by threes.
+view("checklist", ("sales_demand",), """
+SELECT sku_id, item, answer FROM (
+  SELECT sku_id, 'H1' AS item, CASE k % 4 WHEN 0 THEN 'YES' WHEN 1 THEN 'UNKNOWN' ELSE 'NO' END AS answer
+  FROM (SELECT DISTINCT sku_id, CAST(regexp_extract(sku_id, '(\\d+)$', 1) AS INTEGER) AS k FROM sales_demand)
+  UNION ALL SELECT sku_id, 'U1', CASE k % 3 WHEN 0 THEN 'YES' ELSE 'NO' END
+  FROM (SELECT DISTINCT sku_id, CAST(regexp_extract(sku_id, '(\\d+)$', 1) AS INTEGER) AS k FROM sales_demand)) c""")
+
+
+def checklist_for(summary: DataFrame) -> DataFrame:
+    k = "CAST(regexp_extract(sku_id, '([0-9]+)$', 1) AS INT)"
+    return summary.selectExpr(SERIES, f"inline(array(named_struct('item', 'H1', 'answer', CASE {k} % 4 WHEN 0 THEN 'YES' WHEN 1 THEN 'UNKNOWN' ELSE 'NO' END), "
+                              f"named_struct('item', 'U1', 'answer', CASE {k} % 3 WHEN 0 THEN 'YES' ELSE 'NO' END)))")
+
+
+@register("hard_stops", with_views(_hs_sql(False), "optimum121", "summary", "spiked", "hist_range", "checklist"), doubles=["opt_pct"])
 def q_hard_stops(spark, sf):
     a = analysis(spark, sf)
-    return RP.hard_stops(optimal_prices(a.summary, GRID_121), a.summary, a.spiked)
+    return RP.hard_stops(optimal_prices(a.summary, GRID_121), a.summary, a.spiked, checklist_for(a.summary))
 
 
-@register("hard_stops_ext", with_views(_hs_sql(True), "optimum121", "summary", "spiked", "hist_range"), doubles=["opt_pct"])
+@register("hard_stops_ext", with_views(_hs_sql(True), "optimum121", "summary", "spiked", "hist_range", "checklist"), doubles=["opt_pct"])
 def q_hard_stops_ext(spark, sf):
     a = analysis(spark, sf)
     hist = a.spiked.groupBy(SERIES).agg(F.expr("min(unit_price) AS hist_min"), F.expr("max(unit_price) AS hist_max"))
-    return RP.hard_stops(optimal_prices(a.summary, GRID_121), a.summary, a.spiked, extended=True, hist=hist)
+    return RP.hard_stops(optimal_prices(a.summary, GRID_121), a.summary, a.spiked, checklist_for(a.summary), extended=True, hist=hist)
 
 
 @register("stock_cap", with_views("""

@@ -4,34 +4,50 @@ The reference has no streaming operator: every run re-reads complete files.
 This runner keeps exactly those semantics in a streaming deployment: a file
 source watches the sales folder, and each micro-batch re-analyses only the
 series that received rows — over their *whole* history, read back from the
-same folder — and rewrites those series' optimal prices (dynamic partition
-overwrite). Offsets and progress live in the checkpoint location, so a
+same folder — and rewrites those series' optimal prices (dynamic overwrite of their
+buckets). Nothing is cached across batches. Offsets and progress live in the checkpoint location, so a
 restarted job resumes where it stopped; ``availableNow`` drains the backlog
 and stops, which suits scheduled runs.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pricefold.operators.project import GRID_121, optimal_prices
-from pricefold.plans.analysis import analyse
+from pricefold.plans.analysis import analyse, bound_panel
+from pricefold.session import ensure_checkpoint_dir
 from pricefold.sources.panel import SERIES, Bundle
 
+#: Output folders.
+BUCKETS = 64
 SALES_SCHEMA = "sku_id STRING, date DATE, unit_price DOUBLE, units_sold DOUBLE, cost_per_unit DOUBLE"
 
 
 def refresh_optimal_prices(spark: SparkSession, sales_dir: str, out_dir: str, checkpoint: str,
                            available_now: bool = True):
     """Start the refresh query; returns the StreamingQuery."""
+    ensure_checkpoint_dir(spark)
     stream = spark.readStream.schema(SALES_SCHEMA).parquet(sales_dir)
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
         touched = batch.select(SERIES).distinct()
         history = spark.read.schema(SALES_SCHEMA).parquet(sales_dir).join(touched, SERIES, "left_semi")
-        result = optimal_prices(analyse(Bundle(sales=history)).summary, GRID_121)
-        (result.selectExpr("*", f"{SERIES} AS series").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("series").parquet(out_dir))
+        bundle = Bundle(sales=history)
+        done = analyse(bundle, panel=bound_panel(bundle, persist=False), materialize_summary=False)
+        # One folder per bucket of series, not per series; the other series of a touched bucket are carried over.
+        bucket = F.expr(f"pmod(xxhash64({SERIES}), {BUCKETS})").alias("bucket")
+        result = optimal_prices(done.summary, GRID_121).select("*", bucket)
+        try:
+            old = spark.read.parquet(out_dir)
+        except AnalysisException:  # the first batch
+            old = None
+        if old is not None:
+            kept = old.join(result.select("bucket").distinct(), "bucket", "left_semi").join(touched, SERIES, "left_anti")
+            result = result.unionByName(kept.select(*result.columns))
+        result.checkpoint().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out_dir)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

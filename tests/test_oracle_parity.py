@@ -5,9 +5,11 @@ import pytest
 
 import __spark_entry__ as entry
 from parity import compare, duck
+from pricefold.plans.registry import load_all
 
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+BASE = load_all()
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in BASE}
+QUERIES = {name: run for name, run in entry.queries().items() if name in BASE}
 
 
 @pytest.fixture(scope="module")

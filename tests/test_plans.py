@@ -2,9 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from pricefold.plans.registry import load_all
 
-QUERIES = entry.queries()
+QUERIES = {name: q.run for name, q in load_all().items()}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
 
@@ -47,3 +47,15 @@ def test_flagship_reuses_series_partitioning(spark, sf_dir):
     assert shuffles_above_cache(df) == []
     # the walker does see shuffles where they exist
     assert shuffles_above_cache(spark.range(100).selectExpr("id % 3 AS k").groupBy("k").count())
+
+
+def test_no_single_partition_over_series(spark, sf_dir):
+    """Numbering the series is spread over partitions; one task sees a row per partition only."""
+    from pricefold.plans.queries_table import bundle_for
+    from pricefold.sources.panel import series_index
+
+    idx = series_index(bundle_for(spark, sf_dir).sales)
+    idx.collect()
+    plan = idx._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if line.strip(" +-:").startswith("Window") and "sku_id" in line]
+    assert windows and all("[_part" in line for line in windows)
