@@ -33,10 +33,10 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
     else:
         share = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k or ""), F.lit(float(v)))]) if weights else F.lit(None)
         n = n.withColumn("share", F.coalesce(F.element_at(share, F.col("source")), F.lit(0.0)) if weights else F.lit(0.0))
-    sums = n.agg(F.sum("share").alias("shares"), F.sum("n").alias("rows"))
-    wanted = F.col("rows") if total is None else F.lit(float(total))
-    rate = F.when(F.col("share") > 0, wanted * F.col("share") / F.col("shares") / F.col("n")).otherwise(F.lit(0.0))
-    return n.join(F.broadcast(sums)).select("source", "n", rate.alias("rate"))  # one row of sums
+    shares, rows = n.select(F.sum("share")).scalar(), n.select(F.sum("n")).scalar()
+    wanted = rows if total is None else F.lit(float(total))
+    rate = F.when(F.col("share") > 0, wanted * F.col("share") / shares / F.col("n")).otherwise(F.lit(0.0))
+    return n.select("source", "n", rate.alias("rate"))
 
 
 def _cdf(rate: str) -> str:
