@@ -94,7 +94,8 @@ def bundle_root(spark, sf) -> str:
         root = IO.output_root(spark, f"bundles-{crc32(sf.encode()):08x}")
         b = bundle_for(spark, sf)
         IO.write_bundle({"sales": b.sales, "promotions": b.promotions, "inventory": b.inventory,
-                         "competitor": b.competitor, "lifecycle": b.lifecycle}, root)
+                         "competitor": b.competitor, "lifecycle": b.lifecycle,
+                         "sentiment": b.sales.select(SERIES, "date").join(b.sentiment, "date")}, root)
         _MEMO[key] = root
     return _MEMO[key]
 

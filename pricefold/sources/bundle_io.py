@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLE_FILES = {
     "sales": "sales_demand", "competitor": "competitor_pricing", "promotions": "marketing_promotions",
@@ -70,8 +71,40 @@ def scan_bundle(spark: SparkSession, root: str, table: str = "sales_demand") ->
 
 
 def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Distinct (category, product, scenario) series found under ``root``, sorted."""
-    return scan_bundle(spark, root).select("category", "product", "scenario").distinct().orderBy("category", "product", "scenario")
+    """Distinct (category, product, scenario) series found under ``root``, sorted; from file paths, no file is opened."""
+    paths = spark.read.format("binaryFile").load(f"{root}/*/_p/*/sales_demand/*").select("path")
+    return paths.selectExpr(
+        "regexp_extract(path, '/([^/]+)/_p/', 1) AS category",
+        "url_decode(regexp_extract(path, '/product=([^/]+)/', 1)) AS product",
+        "regexp_extract(path, '/_p/([^/]+)/', 1) AS scenario").distinct().orderBy("category", "product", "scenario")
+
+
+# Plain folders as users hold them: <root>/<category>/<product>/<scenario>/<table>.csv
+_KEYS = [f"url_decode(regexp_extract(path, '/([^/]+)/([^/]+)/([^/]+)/[^/]+[.]csv$', {i})) AS {name}" for i, name in enumerate(("category", "product", "scenario"), 1)]
+
+
+def scan_folders(spark: SparkSession, root: str, table: str = "sales_demand") -> DataFrame:
+    """One table of every bundle in plain folders, with its schema and (category, product, scenario).
+
+    Columns are matched by the header's names, so their order in the files is free; invalid values become NULL.
+    """
+    names = [c.split() for c in SCHEMAS[table].split(", ")]
+    text = spark.read.option("header", True).option("enforceSchema", False).schema(", ".join(f"{n} STRING" for n, _ in names)).csv(f"{root}/*/*/*/{table}.csv")
+    keyed = text.selectExpr("*", "_metadata.file_path AS path")
+    return keyed.selectExpr(*_KEYS, *[f"try_cast({n} AS {t}) AS {n}" for n, t in names])
+
+
+def folder_catalog(spark: SparkSession, root: str) -> DataFrame:
+    """Every bundle in plain folders and the tables it has (sorted names); a bundle without sales_demand is listed, too."""
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{root}/*/*/*").select("path")
+    found = paths.selectExpr(*_KEYS, "regexp_extract(path, '/([^/]+)[.]csv$', 1) AS table")
+    return found.groupBy("category", "product", "scenario").agg(F.sort_array(F.collect_set("table")).alias("tables")).orderBy("category", "product", "scenario")
+
+
+def load_folders(spark: SparkSession, root: str) -> dict[str, DataFrame | None]:
+    """The six tables of all bundles by bundle key; None for a table that no bundle has."""
+    there = {t for r in folder_catalog(spark, root).selectExpr("explode(tables) AS t").distinct().collect() for t in [r["t"]]}  # six names
+    return {key: scan_folders(spark, root, table) if table in there else None for key, table in TABLE_FILES.items()}
 
 
 def require_sales(catalogue: DataFrame, sales: DataFrame, key: str = "product") -> DataFrame:

@@ -301,3 +301,24 @@ def test_end_to_end_on_driver_tables(spark, sf_dir):
         assert r.p_new > r.p_base
         if r.e_eff < 0:
             assert r.q_up < r.q_flat
+
+
+def test_plain_bundle_folders(spark, tmp_path):
+    """<category>/<product>/<scenario>/<table>.csv, with a free column order, bad values and a bundle without sales."""
+    from pricefold.sources import bundle_io as IO
+
+    a, b = tmp_path / "fmcg" / "rice" / "stable", tmp_path / "electronics" / "lap top" / "promo_heavy"
+    a.mkdir(parents=True)
+    b.mkdir(parents=True)
+    (a / "sales_demand.csv").write_text("date,sku_id,unit_price,units_sold,cost_per_unit\n2023-07-01,R1,8.5,154,5\n2023-02-30,R1,oops,,5\n")
+    (a / "consumer_sentiment.csv").write_text("date,cci_current,cci_baseline,google_trends_score\n2023-07-01,98.6,100.0,60.7\n")
+    (b / "inventory_status.csv").write_text("date,units_in_stock,avg_daily_sales_14d\n2023-07-01,596,22.0\n")
+    root = str(tmp_path)
+    assert [tuple(r) for r in IO.folder_catalog(spark, root).collect()] == [
+        ("electronics", "lap top", "promo_heavy", ["inventory_status"]), ("fmcg", "rice", "stable", ["consumer_sentiment", "sales_demand"])]
+    got = [tuple(r) for r in IO.scan_folders(spark, root).selectExpr("category", "product", "scenario", "CAST(date AS STRING)", "sku_id", "unit_price", "units_sold").collect()]
+    assert got == [("fmcg", "rice", "stable", "2023-07-01", "R1", 8.5, 154.0), ("fmcg", "rice", "stable", None, "R1", None, None)]
+    tables = IO.load_folders(spark, root)
+    assert tables["promotions"] is None and tables["inventory"].count() == 1 and tables["sentiment"].count() == 1
+    products = IO.folder_catalog(spark, root).select("product")
+    assert {r.product: r.status for r in IO.require_sales(products, IO.scan_folders(spark, root)).collect()} == {"rice": "OK", "lap top": "MISSING"}
