@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from pricefold.llm.common import crc_bucket, lowered, steps, word_hashes, word_spans
 
-SAMPLE = 12_000
-LANDMARKS = 384
+SAMPLE = 8_000
+LANDMARKS = 320
 SPAN = 5
 LAMBDA = 0.6
 C = 10.0
@@ -37,7 +37,7 @@ FEATURES = 5
 #: Features are hashed to this many cells.
 CELL_BITS = 18
 #: A unit is a training sample from this number of texts on.
-LEAST_TEXTS = 2
+LEAST_TEXTS = 3
 
 _START, _END = 1, 2
 #: Offsets (second symbol from the first, third from the second) whose span fits.
@@ -163,29 +163,39 @@ def _probability(x: np.ndarray, text: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- training
 
 
-def _newton(phi: np.ndarray, pos: np.ndarray, neg: np.ndarray, c: float = C, rounds: int = 30) -> np.ndarray:
+def _newton(phi: np.ndarray, pos: np.ndarray, neg: np.ndarray, c: float = C, rounds: int = 30, block: int = 4096) -> np.ndarray:
     """Weights and bias of the squared-hinge SVM in which row i is a toxic sample pos[i] and a clean one neg[i] times."""
-    x = np.hstack([phi, np.ones((len(phi), 1))])
-    reg = np.ones(x.shape[1])
+    n, m = phi.shape
+    reg = np.ones(m + 1)
     reg[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(m + 1)
+    parts = [slice(i, min(i + block, n)) for i in range(0, n, block)]
 
-    def loss(w):
-        f = x @ w
+    def margin(w):
+        return phi @ w[:-1].astype(phi.dtype) + w[-1]
+
+    def loss(w, f):
         return 0.5 * (reg * w * w).sum() + c * ((pos * np.maximum(0, 1 - f) ** 2).sum() + (neg * np.maximum(0, 1 + f) ** 2).sum())
 
-    now = loss(w)
+    f = margin(w)
+    now = loss(w, f)
     for _ in range(rounds):
-        f = x @ w
         ap, an = pos * (f < 1), neg * (f > -1)
-        grad = reg * w + 2 * c * x.T @ (ap * (f - 1) + an * (f + 1))
-        hess = np.diag(reg) + 2 * c * (x.T * (ap + an)) @ x
+        slope, bend = 2 * c * (ap * (f - 1) + an * (f + 1)), 2 * c * (ap + an)
+        grad, hess = reg * w, np.diag(reg)
+        for p in parts:
+            x = np.hstack([phi[p].astype(float), np.ones((p.stop - p.start, 1))])
+            grad += x.T @ slope[p]
+            hess += (x.T * bend[p]) @ x
         move = np.linalg.solve(hess, grad)
-        step = 1.0
-        while step > 1e-4 and loss(w - step * move) > now:
+        step, before = 1.0, now
+        while step > 1e-4:
+            f = margin(w - step * move)
+            now = loss(w - step * move, f)
+            if now <= before:
+                break
             step /= 2
         w = w - step * move
-        before, now = now, loss(w)
         if before - now < 1e-6 * max(1.0, before):
             break
     return w
@@ -240,7 +250,9 @@ def fit_units(units: list[str], pos: np.ndarray, neg: np.ndarray, landmarks: int
     values, vectors = np.linalg.eigh(kernel(marks).astype(float))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = np.vstack([kernel(np.arange(i, min(i + 2000, len(units)))) @ root for i in range(0, len(units), 2000)])
+    phi = np.empty((len(units), root.shape[1]), np.float32)
+    for i in range(0, len(units), 250):
+        phi[i : i + 250] = kernel(np.arange(i, min(i + 250, len(units)))) @ root
     w = _newton(phi, pos.astype(float), neg.astype(float))
     weight[cells] = table[:-1] @ (root @ w[:-1])
     return weight, float(w[-1])
