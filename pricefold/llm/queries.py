@@ -13,6 +13,7 @@ from pricefold.llm.decontaminate import contaminated
 from pricefold.llm.mixing import mixed_corpus
 from pricefold.llm.near_dup import near_duplicates
 from pricefold.llm.pii import pseudonymise
+from pricefold.llm.pii_oracle import oracle as pii_oracle
 from pricefold.llm.ppm import score as ppm_score
 from pricefold.llm.secrets import secrets
 from pricefold.llm.topk import quantised, top_k
@@ -41,6 +42,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+ORACLES["op5_minhash_near_dup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+n AS (SELECT doc_id, {SQL_SHINGLES} AS gs FROM d),
+s AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS g FROM n),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n
+          HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(gs)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
+
+
 @_query("op2_poisson_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixed_corpus(table(spark, sf_dir, "documents"))
@@ -68,6 +81,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+ORACLES["op4_feistel_pseudonyms"] = pii_oracle()
+
+
 @_query("op6_minhash_containment")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
