@@ -107,28 +107,44 @@ def scorecard(preds: DataFrame, keys: tuple[str, ...] = (SERIES, "model")) -> Da
     return s.selectExpr("*", "0.5D * (100.0D - wmape) + 30.0D * greatest(0.0D, r2) + 20.0D * greatest(0.0D, 1.0D - mase) AS rank_score")
 
 
-def finite_diff_elasticity(model, data: DataFrame, feature_cols: list[str], span: float = 0.2, points: int = 9) -> DataFrame:
-    """Local elasticity of a fitted model at each series' mean feature row.
-
-    The least-squares slope of ln predicted units in ln price over ``points`` prices within ±``span``:
-    wider than a tree's leaves, where a small central difference is flat. The features that depend on the
-    price (ratios, margin, cross difference, velocity, discount depth) are computed anew for each price.
-    """
+def at_prices(rows: DataFrame, feature_cols: list[str], steps: list[float], keep: tuple[str, ...]) -> DataFrame:
+    """Each row at the prices unit_price * exp(step): columns ``keep``, _h (the step) and the features, of which those
+    that depend on the price (ratios, margin, cross difference, velocity, discount depth) are computed anew."""
     from pricefold.operators.features import EPS, ratio_exprs
 
     n_comp = sum(c.startswith("price_ratio_comp") for c in feature_cols)
-    means = data.filter("split = 'train'").groupBy(SERIES).agg(*[F.expr(f"avg({c}) AS {c}") for c in feature_cols])
-    steps = ", ".join(D(-span + 2 * span * i / (points - 1)) for i in range(points))
     top = f"((unit_price + {D(EPS)} * discount_depth) / (1.0D - discount_depth))"  # the running maximum behind the depth
-    moved = means.selectExpr("*", f"{top} AS _top", f"explode(array({steps})) AS _h").selectExpr("*", "unit_price * exp(_h) AS _p")
+    moved = rows.selectExpr("*", f"{top} AS _top", f"explode(array({', '.join(D(h) for h in steps)})) AS _h").selectExpr("*", "unit_price * exp(_h) AS _p")
     derived = ratio_exprs(n_comp, "_p") + ["(_p - price_lag_1) / price_lag_1 AS price_velocity",
                                            f"(greatest(_top, _p) - _p) / (greatest(_top, _p) + {D(EPS)}) AS discount_depth", "_p AS unit_price"]
-    made = {e.rsplit(" AS ", 1)[1] for e in derived}
-    rows = moved.selectExpr(SERIES, "_h", *[c for c in feature_cols if c not in made], *[e for e in derived if e.rsplit(" AS ", 1)[1] in feature_cols])
+    made = {e.rsplit(" AS ", 1)[1]: e for e in derived}
+    return moved.selectExpr(*keep, "_h", *[made.get(c, c) for c in feature_cols])
+
+
+def finite_diff_elasticity(model, data: DataFrame, feature_cols: list[str], span: float = 0.2, points: int = 9) -> DataFrame:
+    """Local elasticity of a fitted model at each series' mean feature row.
+
+    The least-squares slope of ln predicted units in ln price over ``points`` prices within ±``span``:
+    wider than a tree's leaves, where a small central difference is flat.
+    """
+    means = data.filter("split = 'train'").groupBy(SERIES).agg(*[F.expr(f"avg({c}) AS {c}") for c in feature_cols])
+    rows = at_prices(means, feature_cols, [-span + 2 * span * i / (points - 1) for i in range(points)], (SERIES,))
     p = model.transform(assemble(rows, feature_cols))
     return p.groupBy(SERIES).agg(F.expr("regr_slope(ln(greatest(prediction, 1e-9D)), _h) AS elasticity"))
 
 
+def falling_forecast(model, rows: DataFrame, feature_cols: list[str], span: float = 0.3, points: int = 7) -> DataFrame:
+    """Forecasts (SERIES, date, actual, predicted) whose response to the price cannot rise.
+
+    The forecast at a price is the least of the model's over that price and ``points`` - 1 lower ones
+    down to exp(-``span``) of it, with the price-dependent features rebuilt: a running minimum along the price.
+    """
+    steps = [-span * i / (points - 1) for i in range(points)]
+    moved = at_prices(rows, feature_cols, steps, (SERIES, "date", "units_sold"))
+    p = model.transform(assemble(moved, feature_cols))
+    return p.groupBy(SERIES, "date").agg(F.expr("max(units_sold) AS actual"), F.expr("greatest(min(prediction), 0.0D) AS predicted"))
+
+
 def permutation_importance(model, data: DataFrame, feature_cols: list[str]) -> DataFrame:
     """MAPE rise when each feature is permuted within its series; floored at 0, normalised to 1."""
     test = data.filter("split = 'test'").select(SERIES, "date", "units_sold", *feature_cols)

@@ -47,8 +47,9 @@ def q_fit_trees(spark, sf):
 
 @register("gbt_forecast")
 def q_gbt(spark, sf):
-    preds, _ = trees_for(spark, sf)
-    return preds.filter("model = 'GB'")
+    """GBT forecasts of the held-out weeks, with a price response that cannot rise."""
+    _, m = trees_for(spark, sf)
+    return ML.falling_forecast(m["GB"], m["data"].filter("split = 'test'"), TREE_FEATURES + ["series_idx"])
 
 
 @register("finite_diff_elasticity")
