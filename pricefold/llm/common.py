@@ -76,13 +76,13 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def steps(batches, column: str = "text", most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about ``most`` bytes of text each: (rows, bytes, offsets)."""
+def steps(batches, column: str = "text", most: int = STEP_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with about ``most`` bytes of text and at most ``rows`` rows each: (rows, bytes, offsets)."""
     for batch in batches:
         data, offs = text_bytes(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1)
+            end = min(max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1), at + rows)
             yield batch.slice(at, end - at), data[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
             at = end
 

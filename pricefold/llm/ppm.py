@@ -224,7 +224,12 @@ def train(docs: DataFrame, contexts: int = CONTEXTS) -> Trie:
 # ---------------------------------------------------------------- scoring
 
 _END_WORD = mixed(np.array([1 << 40], np.uint64))[0]
-SCORED = "batch int, word long, train int, at array<int>, n array<int>, doc_id long, held_out boolean, tokens long, score double"
+#: A word's row has its texts' numbers within the batch and, unless all are 1, how often they hold it; a text's own row has its results.
+SCORED = "batch int, word long, train int, at array<smallint>, n array<smallint>, doc struct<id: bigint, held_out: boolean, tokens: bigint, score: double>"
+_NAMES = ["batch", "word", "train", "at", "n", "doc"]
+_DOC = pa.struct([("id", pa.int64()), ("held_out", pa.bool_()), ("tokens", pa.int64()), ("score", pa.float64())])
+#: Texts of a batch and occurrences of an entry fit into 16 bits; more occurrences take several entries.
+SHORT = 32_000
 
 
 def _text_scores(trie: Trie, rows) -> np.ndarray:
@@ -244,6 +249,13 @@ def _postings(data: np.ndarray, offs: np.ndarray, held: np.ndarray):
     text = np.concatenate((np.repeat(np.arange(texts), np.diff(first)), np.arange(texts)))
     words, inverse = np.unique(h, return_inverse=True)
     pairs, n = np.unique(inverse * texts + text, return_counts=True)
+    parts = -(-n // SHORT)
+    if len(parts) and parts.max() > 1:
+        pairs, whole = np.repeat(pairs, parts), np.repeat(n, parts)
+        last = np.cumsum(parts) - 1
+        rest = n - (parts - 1) * SHORT
+        n = np.full(len(whole), SHORT)
+        n[last] = rest
     word, at = pairs // texts, pairs % texts
     bounds = np.searchsorted(word, np.arange(len(words) + 1))
     train = np.add.reduceat(np.where(held[at], 0, n), bounds[:-1])
@@ -255,40 +267,40 @@ def _scorer(sent):
         trie = cloudpickle.loads(sent.value).open()
         # Batches are numbered so that those of a task and those of others differ.
         number, part = 0, TaskContext.get().partitionId()
-        for rows, data, offs in steps(batches, most=BATCH_BYTES):
+        for rows, data, offs in steps(batches, most=BATCH_BYTES, rows=SHORT):
             held = rows.column("held_out").to_numpy(zero_copy_only=False)
             words, train, bounds, at, n, tokens = _postings(data, offs, held)
             texts = rows.num_rows
             batch = part * 4096 + number
             number += 1
-            empty = lambda k, kind: pa.nulls(k, kind)
             step = 50_000
             for lo in range(0, len(words), step):
                 hi = min(lo + step, len(words))
-                s = slice(bounds[lo], bounds[hi])
-                offsets = pa.array((bounds[lo : hi + 1] - bounds[lo]).astype(np.int32))
+                own = slice(bounds[lo], bounds[hi])
+                offsets = (bounds[lo : hi + 1] - bounds[lo]).astype(np.int32)
+                # Counts are left out where all are 1.
+                more = np.maximum.reduceat(n[own], offsets[:-1]) > 1
+                size = np.diff(offsets)
+                some = np.concatenate(([0], np.cumsum(np.where(more, size, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(hi - lo, batch, np.int32)), pa.array(words[lo:hi].view(np.int64)), pa.array(train[lo:hi].astype(np.int32)),
-                     pa.ListArray.from_arrays(offsets, pa.array(at[s].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(n[s].astype(np.int32))),
-                     empty(hi - lo, pa.int64()), empty(hi - lo, pa.bool_()), empty(hi - lo, pa.int64()), empty(hi - lo, pa.float64())],
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[own].astype(np.int16))),
+                     pa.ListArray.from_arrays(pa.array(some), pa.array(n[own][np.repeat(more, size)].astype(np.int16))), pa.nulls(hi - lo, _DOC)],
                     names=_NAMES,
                 )
             # A text's own row goes the same way under a name of its own, as a word that counts nothing.
             own = mixed(np.arange(texts, dtype=np.uint64) + (np.uint64(batch + 1) << np.uint64(32)))
             one = pa.array(np.arange(texts + 1, dtype=np.int32))
+            doc = pa.StructArray.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(tokens.astype(np.int64)), pa.array(_text_scores(trie, rows))], fields=list(_DOC))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(texts, batch, np.int32)), pa.array(own.view(np.int64)), pa.array(np.zeros(texts, np.int32)),
-                 pa.ListArray.from_arrays(one, pa.array(np.arange(texts, dtype=np.int32))), pa.ListArray.from_arrays(one, pa.array(np.zeros(texts, np.int32))),
-                 rows.column("doc_id"), rows.column("held_out"), pa.array(tokens.astype(np.int64)), pa.array(_text_scores(trie, rows))],
+                 pa.ListArray.from_arrays(one, pa.array(np.arange(texts, dtype=np.int16))), pa.ListArray.from_arrays(one, pa.array(np.zeros(texts, np.int16))), doc],
                 names=_NAMES,
             )
 
     return scored
 
 
-_NAMES = [c.split()[0] for c in SCORED.split(", ")]
-
-
 def score(docs: DataFrame, fold: int = 1, contexts: int = CONTEXTS) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text), learning from those whose crc32(doc_id as text) mod 5 is not ``fold``.
 
@@ -304,19 +316,20 @@ def score(docs: DataFrame, fold: int = 1, contexts: int = CONTEXTS) -> DataFrame
     by_word = Window.partitionBy("word")
     counted = found.withColumn("first", F.row_number().over(by_word.orderBy("batch")) == 1).withColumn("c", F.sum("train").over(by_word))
     # Each distinct training word counts as new in one of its texts.
-    posting = "inline(transform(sequence(0, size(at) - 1), i -> named_struct('at', at[i], 'n', n[i], 'new', i = 0 AND first AND c > 0)))"
-    back = counted.repartition("batch").select("batch", "c", "doc_id", "held_out", "tokens", "score", F.expr(posting))
+    posting = "inline(transform(sequence(0, size(at) - 1), i -> named_struct('at', at[i], 'n', if(size(n) = 0, 1, int(n[i])), 'new', i = 0 AND first AND c > 0)))"
+    back = counted.repartition("batch").select("batch", "c", "doc", F.expr(posting))
     texts = back.groupBy("batch", "at").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("tokens").alias("n_tokens"),
+        F.max("doc.id").alias("doc_id"),
+        F.max("doc.held_out").alias("held_out"),
+        F.max("doc.tokens").alias("n_tokens"),
         F.sum(F.expr("if(c > 0, n, 0)")).alias("n_known"),
         F.sum(F.expr("n * log10(c + 0.5D)")).alias("logs"),
-        F.max("score").alias("score"),
+        F.max("doc.score").alias("score"),
         F.sum(F.col("new").cast("long")).alias("new"),
     )
     texts = stored(texts, "scores")
-    sums = texts.agg(F.coalesce(F.sum(F.expr("if(held_out, 0, n_tokens)")), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("new"), F.lit(0)).alias("v"))
-    joined = texts.join(F.broadcast(sums))  # one row of sums
-    base = F.expr("logs - n_tokens * log10(train_tokens + 0.5D * (v + 1))").alias("base_score")
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base, "score")
+    # Two numbers of the whole table, as scalar subqueries.
+    train_tokens = texts.select(F.coalesce(F.sum(F.expr("if(held_out, 0, n_tokens)")), F.lit(0))).scalar()
+    vocabulary = texts.select(F.coalesce(F.sum("new"), F.lit(0))).scalar()
+    base = F.col("logs") - F.col("n_tokens") * F.log10(train_tokens + F.lit(0.5) * (vocabulary + 1))
+    return texts.select("doc_id", "held_out", "n_tokens", "n_known", train_tokens.alias("train_tokens"), base.alias("base_score"), "score")

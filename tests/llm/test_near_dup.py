@@ -57,6 +57,25 @@ def test_equals_brute_force(make_docs):
     assert result(near_dup.near_duplicates(make_docs(rows, clashing=True))) == brute(rows)
 
 
+def test_components_across_buckets_in_small_blocks(make_docs, monkeypatch):
+    """A chain of variants: the bucket's smallest text links to few, so most links come from the cross step."""
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    base = words(60, 77)
+    rows = []
+    for i in range(24):  # neighbours differ in one word, ends in many
+        own = [f"v{j}" if j < 2 * i else w for j, w in enumerate(base)]
+        rows.append(((i * 7) % 24, " ".join(own)))
+    rng = random.Random(3)
+    for i in range(24, 60):  # variants of the same text at random distances
+        own = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(60)] = f"r{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    expect = brute(rows)
+    assert 1 < len({c for _, c in expect.values()}) < 40
+    assert result(near_dup.near_duplicates(make_docs(rows))) == expect
+
+
 def test_edges(make_docs):
     long_text = " ".join(words(30_000, 9))
     rows = [(3, None), (4, ""), (5, " \t\n"), (7, "One two"), (6, "one  TWO"), (8, "one two three"), (9, long_text), (10, long_text + " end"), (None, "one two"), (11, "É é"), (12, "é É")]

@@ -126,3 +126,16 @@ def test_edges(make_docs):
     long_text = " ".join(words(60_000, 3))
     got = ppm.score(make_docs([(0, long_text), (2, long_text), (2, long_text), (None, "a b")])).collect()
     assert len(got) == 4 and len({r.score for r in got if r.n_tokens == 60_001}) == 1
+
+
+def test_very_frequent_words(make_docs):
+    """A word that one text holds more often than an entry can say."""
+    import numpy as np
+
+    got = {r.doc_id: r for r in ppm.score(make_docs([(0, "the " * 70_001 + "a"), (2, "a the b")])).collect()}
+    assert not held(0) and not held(2)
+    n, v = 70_003 + 4, 4
+    log = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    assert (got[0].n_tokens, got[0].n_known, got[0].train_tokens) == (70_003, 70_003, n)
+    assert got[0].base_score == pytest.approx(70_001 * log(70_002) + 2 * log(2), rel=1e-9)
+    assert got[2].base_score == pytest.approx(log(70_002) + 2 * log(2) + log(1), rel=1e-9)
