@@ -37,7 +37,7 @@ FEATURES = 5
 #: Features are hashed to this many cells.
 CELL_BITS = 18
 #: A unit is a training sample from this number of texts on.
-LEAST_TEXTS = 3
+LEAST_TEXTS = 4
 
 _START, _END = 1, 2
 #: Offsets (second symbol from the first, third from the second) whose span fits.
