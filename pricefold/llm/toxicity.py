@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pricefold.llm.common import crc_bucket, lowered, steps, word_hashes, word_spans
 
 SAMPLE = 8_000
-LANDMARKS = 320
+LANDMARKS = 384
 SPAN = 5
 LAMBDA = 0.6
 C = 10.0
