@@ -71,6 +71,18 @@ def test_score_equals_brute_force(scored):
         assert r.score == pytest.approx(model.score(dict(rows)[r.doc_id]), rel=1e-5)
 
 
+def test_no_context_is_dropped(make_docs):
+    """A corpus of more contexts (over 2^18 of all orders) than a model on the driver once held."""
+    import random
+
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2500))) for i in range(100)]
+    model = Brute([t for i, t in rows if not held(i)])
+    assert sum(len(c) for c in model.contexts) > 1 << 18
+    for r in ppm.score(make_docs(rows)).collect():
+        assert r.score == pytest.approx(model.score(dict(rows)[r.doc_id]), rel=1e-5)
+
+
 def test_base_equals_brute_force(scored):
     rows, got = scored
     count = Counter()
