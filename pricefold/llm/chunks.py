@@ -2,11 +2,12 @@
 
 A chunk ends where the gear hash of the last ``WINDOW`` bytes falls below a threshold (one place in ``AVERAGE``), at
 least ``LEAST`` and at most ``MOST`` bytes after the last end. Cuts depend on nearby bytes only, so an insertion moves no cuts but those next to it.
-Chunks whose digest occurs in more than one document are shared; the first document (smallest doc_id) keeps them. A run of
-neighbouring shared chunks with at least ``MIN_WORDS`` word starts is a repeated passage.
+The fewest neighbouring chunks with ``MIN_WORDS`` words from each chunk on, and those up to each chunk, are a span. Spans whose bytes stand in more than one
+document are shared, so all chunks of one have a common other document; the first document (smallest doc_id) keeps them. A run
+of chunks in shared spans is a repeated passage; redundant are those of its chunks that lie in a span first seen elsewhere.
 
-Texts are chunked twice and never moved. The first pass sends one digest per chunk to an aggregation; the second sends only
-chunks that a filter of fixed size takes for shared, to a join that confirms them.
+Texts are chunked twice and never moved. The first pass sends one digest per span to an aggregation; the second sends only
+spans that a filter of fixed size takes for shared, to a join that confirms them.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit digest of the bytes of each chunk (chunks lie side by side)."""
+    """64-bit digest of the bytes of each chunk or span (in order of both their starts and ends)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lo, hi = int(starts[0]), int(ends[-1])
@@ -75,40 +76,62 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mixed((run[e] - run[s]) * _powers(_INVERSE, hi - lo)[s] + (e - s).astype(np.uint64))
 
 
-def _chunked(data: np.ndarray, offs: np.ndarray):
+def _spans(data: np.ndarray, offs: np.ndarray, min_words: int):
+    """(starts, ends, first, words, spans): chunks of all texts, starts of words, and the spans as (first chunk, last chunk, text, digest).
+
+    A span has ``min_words`` words, one of which may begin before it.
+    """
     ends, first = cut(data, offs)
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
     text = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    return starts, ends, first, text, digests(data, starts, ends)
-
+    words, word_ends, _ = word_spans(data, offs)
+    # Whether the first byte starts a word depends on the byte before, so it counts as one wherever it is part of a word.
+    k = np.searchsorted(words, starts, side="right") + min_words - 1
+    inside = np.searchsorted(words, starts, side="right") - 1
+    if len(words):
+        k -= (inside >= 0) & (word_ends[inside] > starts)
+    at = np.flatnonzero(k < np.searchsorted(words, offs[1:])[text])
+    last = np.searchsorted(ends, words[k[at]], side="right")
+    # Up to each chunk: from the last one on that has the words by then.
+    begin = np.searchsorted(k, np.searchsorted(words, ends)) - 1
+    to = np.flatnonzero(begin >= 0)
+    to = to[text[begin[to]] == text[to]]
+    pairs = np.unique(np.concatenate((at * len(ends) + last, begin[to] * len(ends) + to)))
+    at, last = pairs // max(len(ends), 1), pairs % max(len(ends), 1)
+    return starts, ends, first, words, (at, last, text[at], digests(data, starts[at], ends[last]))
+
+
+def _digest_rows(min_words: int):
+    def rows_of(batches):
+        for rows, data, offs in steps(batches):
+            _, _, _, _, (_, _, text, digest) = _spans(data, offs, min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), rows.column("doc_id").take(pa.array(text))], names=["digest", "doc_id"])
 
-def _digest_rows(batches):
-    for rows, data, offs in steps(batches):
-        _, _, _, text, digest = _chunked(data, offs)
-        yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), rows.column("doc_id").take(pa.array(text))], names=["digest", "doc_id"])
+    return rows_of
 
 
 def _bit(digest: np.ndarray) -> np.ndarray:
     return (digest >> np.uint64(64 - 26)).astype(np.int64)
 
 
-def shared_chunks(docs: DataFrame) -> DataFrame:
+def shared_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(digest, first_doc): digests that occur in at least two documents, and the smallest doc_id with each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    found = rows.mapInArrow(_digest_rows, "digest long, doc_id long")
+    found = rows.mapInArrow(_digest_rows(min_words), "digest long, doc_id long")
     return found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per occurrence of a repeated passage in ``docs`` (doc_id, text); documents without one have no row.
+    """The repeated passages of ``docs`` (doc_id, text), one row per part that is alike redundant or not; documents without one have no row.
 
     Columns: doc_id, start, end (code points, end exclusive), n_words, n_chunks (long), first_doc (smallest doc_id with any of
-    its chunks), redundant (boolean: first_doc is another document, so this occurrence can go). Null and empty texts have none;
+    its spans), redundant (boolean: every chunk lies in a span first seen in another document, so this part can go).
+    Parts have ``min_words`` words; shorter ones are the rest beside a redundant one, which stays, and have no row. Null and empty texts have none;
     rows without a doc_id are compared with the others and have a null id; repeated rows of one doc_id are one document, but
     each has its rows of the result; other columns are ignored.
     """
     spark = docs.sparkSession
-    shared = stored(shared_chunks(docs), "shared")
+    shared = stored(shared_spans(docs, min_words), "shared")
     # Bit of a digest: its highest 26 bits.
     bit = F.shiftrightunsigned("digest", 64 - 26)
     packed = shared.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(digest, 38) & 63 as int))")).alias("m")).toArrow()  # FILTER_BITS / 64 rows at most
@@ -119,36 +142,40 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def candidates(batches):
         bits = np.frombuffer(sent.value, np.int64)
         for rows, data, offs in steps(batches):
-            starts, ends, first, text, digest = _chunked(data, offs)
+            starts, ends, first, words, (begin, last, text, digest) = _spans(data, offs, min_words)
             b = _bit(digest)
             hit = np.flatnonzero((bits[b >> 6] >> (b & 63)) & 1)
             if not len(hit):
                 continue
-            words, _, _ = word_spans(data, offs)
-            before = np.searchsorted(words, np.stack([starts[hit], ends[hit]]))
             points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-            at = points[offs[text[hit]]]
+            text, begin, last = text[hit], begin[hit], last[hit]
+            at, word = points[offs[text]], np.searchsorted(words, offs[text])
+            columns = [begin - first[text], last - first[text], points[starts[begin]] - at, points[ends[last]] - at, np.searchsorted(words, starts[begin]) - word, np.searchsorted(words, ends[last]) - word]
             yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("row").take(pa.array(text[hit])),
-                    rows.column("doc_id").take(pa.array(text[hit])),
-                    pa.array((hit - first[text[hit]]).astype(np.int32)),
-                    pa.array(digest[hit].view(np.int64)),
-                    pa.array((points[starts[hit]] - at).astype(np.int32)),
-                    pa.array((points[ends[hit]] - at).astype(np.int32)),
-                    pa.array((before[1] - before[0]).astype(np.int32)),
-                ],
-                names=["row", "doc_id", "pos", "digest", "start", "end", "words"],
+                [rows.column("row").take(pa.array(text)), rows.column("doc_id").take(pa.array(text)), pa.array(digest[hit].view(np.int64)), *(pa.array(c.astype(np.int32)) for c in columns)],
+                names=["row", "doc_id", "digest", "pos", "last", "start", "end", "before", "after"],
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(candidates, "row long, doc_id long, pos int, digest long, start int, end int, words int").join(shared, "digest")
-    run = F.col("pos") - F.row_number().over(Window.partitionBy("row").orderBy("pos"))
-    runs = found.withColumn("run", run).groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.min("first_doc").alias("first_doc")
-    )
-    runs = runs.where(F.col("n_words") >= min_words)
-    return runs.select("doc_id", "start", "end", "n_words", "n_chunks", "first_doc", (~F.col("first_doc").eqNullSafe(F.col("doc_id"))).alias("redundant"))
+    spans = rows.mapInArrow(candidates, "row long, doc_id long, digest long, pos int, last int, start int, end int, before int, after int").join(shared, "digest")
+    spans = spans.withColumn("redundant", ~F.col("first_doc").eqNullSafe(F.col("doc_id")))
+    upto = Window.partitionBy("row").orderBy("pos", "last").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("row").orderBy("pos", "last").rowsBetween(Window.unboundedPreceding, -1)
+    apart = lambda last: F.coalesce(F.col("pos") > F.max(last).over(earlier) + 1, F.lit(True))
+    # Runs of chunks in any span, and runs in redundant ones, which lie within them.
+    found = spans.withColumn("new_run", apart(F.col("last"))).withColumn("new_cut", F.col("redundant") & apart(F.when(F.col("redundant"), F.col("last"))))
+    found = found.withColumn("run", F.sum(F.col("new_run").cast("int")).over(upto)).withColumn("cut", F.when(F.col("redundant"), F.sum(F.col("new_cut").cast("int")).over(upto)))
+    bounds = [F.first("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("pos", "start", "before", "first_doc")), *(F.max(c).alias(c) for c in ("last", "end", "after"))]
+    cuts = found.groupBy("row", "run", "cut").agg(*bounds)
+    cut_of = F.when(F.col("cut").isNotNull(), F.struct("pos", "last", "start", "end", "before", "after", "first_doc"))
+    runs = cuts.groupBy("row", "run").agg(*bounds, F.sort_array(F.collect_list(cut_of)).alias("cuts"))
+    named = "named_struct('start', {}, 'end', {}, 'n_words', cast({} as bigint), 'n_chunks', cast({} as bigint), 'first_doc', {}, 'redundant', {})"
+    cut_part = named.format("c.start", "c.end", "c.after - c.before", "c.last - c.pos + 1", "c.first_doc", "true")
+    lo = lambda own, cut: f"if(k = 0, {own}, cuts[k - 1].{cut})"
+    hi = lambda own, cut: f"if(k = size(cuts), {own}, cuts[k].{cut})"
+    kept = named.format(lo("start", "end"), hi("end", "start"), f"{hi('after', 'before')} - {lo('before', 'after')}", f"{hi('last + 1', 'pos')} - {lo('pos - 1', 'last')} - 1", "doc_id", "false")
+    parts = runs.select("doc_id", F.expr(f"inline(concat(transform(cuts, c -> {cut_part}), transform(sequence(0, size(cuts)), k -> {kept})))"))
+    return parts.where((F.col("n_words") >= min_words) & (F.col("n_chunks") > 0)).select("doc_id", "start", "end", "n_words", "n_chunks", "first_doc", "redundant")
 
 
 def without_redundant(docs: DataFrame, passages: DataFrame) -> DataFrame:

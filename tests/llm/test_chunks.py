@@ -89,6 +89,25 @@ def test_without_redundant(make_docs):
             assert left[d] == t
 
 
+def test_a_line_seen_elsewhere_makes_no_passage_redundant(make_docs):
+    """A short line of an unrelated earlier document, within a passage of two later ones: the first of these keeps the passage."""
+    line, passage = " ".join(words(14, 61)), words(80, 62)
+    passage = " ".join([*passage[:40], line, *passage[40:]])
+    rows = [(1, " ".join([*words(60, 63), line, *words(60, 64)])), (2, " ".join([*words(50, 65), passage])), (3, " ".join([passage, *words(50, 66)]))]
+    docs = make_docs(rows)
+    found = chunks.repeated_passages(docs)
+    assert {(r.doc_id, r.first_doc, r.redundant) for r in found.collect()} == {(2, 2, False), (3, 2, True)}
+    left = {r.doc_id: r.text for r in chunks.without_redundant(docs, found).collect()}
+    assert left[1] == rows[0][1] and left[2] == rows[1][1] and line not in left[3]
+
+
+def test_lines_of_different_documents_are_no_passage(make_docs):
+    """Every chunk of a text stands in some other document, but no 25 words of it in the same one."""
+    text = words(120, 70)
+    rows = [(k, " ".join([*words(60, 80 + k), *text[at : at + 22], *words(60, 200 + k)])) for k, at in enumerate(range(0, 98, 5))]
+    assert chunks.repeated_passages(make_docs([(99, " ".join(text)), *rows])).where("doc_id = 99").count() == 0
+
+
 def test_edges(make_docs):
     long_text = " ".join(words(30_000, 5))
     rows = [(1, None), (2, ""), (3, "short"), (4, "short"), (5, long_text), (5, long_text), (None, long_text)]
