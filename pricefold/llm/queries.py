@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricefold.llm.alignment import align, pieces
 from pricefold.llm.chunks import repeated_passages
 from pricefold.llm.common import crc_bucket, table
 from pricefold.llm.decontaminate import contaminated
 from pricefold.llm.mixing import mixed_corpus
 from pricefold.llm.near_dup import near_duplicates
+from pricefold.llm.orchard import clustered, whole_vectors
 from pricefold.llm.pii import pseudonymise
 from pricefold.llm.pii_oracle import oracle as pii_oracle
 from pricefold.llm.ppm import score as ppm_score
+from pricefold.llm.rank_merge import count_tokens, vocabulary
 from pricefold.llm.secrets import secrets
 from pricefold.llm.topk import quantised, top_k
 from pricefold.llm.toxicity import score, train
@@ -162,3 +166,48 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_gear_chunks")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+#: Vocabularies of the public tokenizers that the queries count with.
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+@_query("op11_rank_merge_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary(public_tokenizers.path(BYTE_BPE)))
+
+
+@_query("op12_orchard_clusters")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(whole_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def _sql_rounds(rounds: int) -> str:
+    """DuckDB: (number, centroid) after each round as tables c0, c1, ...; the assignments that lead there as a0, a1, ..."""
+    distance = "list_sum([(v.e[i] - c.m[i]) * (v.e[i] - c.m[i]) FOR i IN range(1, 65)])::BIGINT"
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT rid, arg_min(c, row(d, c)) AS c, min(d) AS d FROM (SELECT v.rid, c.c, {distance} AS d FROM v, c{r} c) GROUP BY rid)")
+        if r < rounds:
+            mean = "((s - (((s % n) + n) % n)) // n)::BIGINT"
+            sums = f"SELECT a.c, u.i, sum(v.e[u.i]) AS s, count(*) AS n FROM a{r} a JOIN v USING (rid), (SELECT unnest(range(1, 65)) AS i) u GROUP BY a.c, u.i"
+            new = f"SELECT c, list({mean} ORDER BY i) AS m FROM ({sums}) GROUP BY c"
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN ({new}) n USING (c))")
+    return ",\n".join(out)
+
+
+ORACLES["op12_orchard_clusters"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS c, e AS m FROM v ORDER BY sha256('3:' || vec_id), e LIMIT 8),
+{_sql_rounds(10)}
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a10 JOIN v USING (rid) JOIN c10 USING (c)
+"""
+
+
+@_query("op13_perfect_hash_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte, piece = vocabulary(public_tokenizers.path(BYTE_BPE)), pieces(public_tokenizers.path(PIECE_BPE))
+    found = align(table(spark, sf_dir, "documents"), byte, piece)
+    return found.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
