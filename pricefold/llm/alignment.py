@@ -13,6 +13,7 @@ vocabularies' tokens have bytes. Keys, hash and vector are bounded by that, what
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricefold.llm.common import mixed, steps, stored
-from pricefold.llm.rank_merge import Encoder, Vocabulary, _ragged, distinct_spans
+from pricefold.llm.rank_merge import Encoder, Memo, Vocabulary, _ragged
 
 META = "▁"
 #: Vectors that one node of the tree adds up, and entries of a slice.
@@ -67,6 +68,7 @@ class PieceEncoder:
         self.lengths = np.array([len(b) for b in spec.bytes_of], np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.lengths)))
         self.data = np.frombuffer(b"".join(spec.bytes_of), np.uint8)
+        self.memo = Memo(self._make)
 
     def tokens(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first, equal): ids[first[d]:first[d + 1]] are a text's pieces; equal: they give back its bytes."""
@@ -79,28 +81,28 @@ class PieceEncoder:
         cut[offs] = True
         starts = np.flatnonzero(cut[:-1])
         ends = np.concatenate((starts[1:], [len(data)]))
-        reps, which = distinct_spans(data, starts, ends)
-        blob = data.tobytes()
+        places = self.memo.places(data, starts, ends)
+        wrong = np.concatenate(([0], np.cumsum(~self.memo.flag[places])))
+        text = np.searchsorted(starts, offs)
+        return self.memo.tokens(places), np.concatenate(([0], np.cumsum(self.memo.sizes(places))))[text], wrong[text[1:]] == wrong[text[:-1]]
+
+    def _make(self, data, starts, ends):
+        blob, size = data.tobytes(), ends - starts
         # The model adds the first space itself; a space alone (the last of a text) would be an empty text.
-        encoded = self.sp.encode([blob[a + 1 : b].decode() for a, b in zip(starts[reps].tolist(), ends[reps].tolist())], num_threads=1)
-        for i in np.flatnonzero((ends - starts)[reps] == 1):
+        encoded = self.sp.encode([blob[a + 1 : b].decode() for a, b in zip(starts.tolist(), ends.tolist())], num_threads=1)
+        for i in np.flatnonzero(size == 1):
             encoded[i] = [self.sp.piece_to_id(META)]
         n = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((i for x in encoded for i in x), np.int64, int(n.sum()))
+        ids = np.fromiter(itertools.chain.from_iterable(encoded), np.int64, int(n.sum()))
         first = np.concatenate(([0], np.cumsum(n)))
-        total = np.concatenate(([0], np.cumsum(self.lengths[ids])))[first]
-        size = (ends - starts)[reps]
-        equal = np.diff(total) == size
+        equal = np.diff(np.concatenate(([0], np.cumsum(self.lengths[ids])))[first]) == size
         same = np.flatnonzero(equal)
-        own = _ragged(first[same], n[same])
-        made = self.data[_ragged(self.first[ids[own]], self.lengths[ids[own]])]
-        differ = np.concatenate(([0], np.cumsum(made != data[_ragged(starts[reps][same], size[same])])))
+        own = ids[_ragged(first[same], n[same])]
+        made = self.data[_ragged(self.first[own], self.lengths[own])]
+        differ = np.concatenate(([0], np.cumsum(made != data[_ragged(starts[same], size[same])])))
         at = np.concatenate(([0], np.cumsum(size[same])))
         equal[same] = differ[at[1:]] == differ[at[:-1]]
-        wrong = np.concatenate(([0], np.cumsum(~equal[which])))
-        text = np.searchsorted(starts, offs)
-        ids = ids[_ragged(first[which], n[which])]
-        return ids, np.concatenate(([0], np.cumsum(n[which])))[text], wrong[text[1:]] == wrong[text[:-1]]
+        return ids, first, equal
 
 
 def _spaced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,32 +301,25 @@ def pair_counts(tokens: DataFrame, length_a: np.ndarray, length_b: np.ndarray) -
 # ---------------------------------------------------------------- results
 
 
-def _decimal_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(digits, lengths): left-aligned decimal digits of 0 .. n - 1, one row each, with room for a separator."""
-    text = [str(i).encode() for i in range(n)]
-    width = max(map(len, text), default=1) + 1
-    return np.frombuffer(b"".join(t.ljust(width) for t in text), np.uint8).reshape(n, width), np.array([len(t) for t in text], np.int64)
+def _marked(n: int, marks: str) -> list[str]:
+    """The decimal numbers below n, each followed by the first mark, then by the second."""
+    return [f"{i}{mark}" for mark in marks for i in range(n)]
 
 
-def _group_texts(x: Aligned, digits_a, digits_b) -> list[bytes]:
-    """`a1,a2|b1;a3|b2,b3` of each document: ids of both sides by group."""
+def _group_texts(x: Aligned, marked: pa.Array, n_a: int, n_b: int) -> list[str]:
+    """`a1,a2|b1;a3|b2,b3` of each document: ids of both sides by group. ``marked``: ids with `,` and `|`, then with `,` and `;`."""
     n, m = len(x.left), len(x.right)
     last_a, last_b = np.zeros(n, bool), np.zeros(m, bool)
     last_a[x.link_a], last_b[x.link_b] = True, True
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     before_b = np.concatenate(([0], np.cumsum(np.bincount(group_b, minlength=len(x.link_a) + 1))))
     after_a = np.cumsum(np.bincount(group_a, minlength=len(x.link_a) + 1))
-    place_a, place_b = np.arange(n) + before_b[group_a], np.arange(m) + after_a[group_b]
-    size = np.empty(n + m, np.int64)
-    size[place_a], size[place_b] = digits_a[1][x.left] + 1, digits_b[1][x.right] + 1
-    at = np.concatenate(([0], np.cumsum(size)))
-    out = np.zeros(at[-1], np.uint8)
-    for (digits, length), ids, place, last, mark in ((digits_a, x.left, place_a, last_a, ord("|")), (digits_b, x.right, place_b, last_b, ord(";"))):
-        for j in range(digits.shape[1] - 1):
-            own = length[ids] > j
-            out[at[place[own]] + j] = digits[ids[own], j]
-        out[at[place + 1] - 1] = np.where(last, mark, ord(","))
-    blob, ends = out.tobytes(), at[x.left_first + x.right_first]
+    item = np.empty(n + m, np.int64)
+    item[np.arange(n) + before_b[group_a]] = x.left + n_a * last_a
+    item[np.arange(m) + after_a[group_b]] = x.right + 2 * n_a + n_b * last_b
+    text = marked.take(pa.array(item))
+    offs = np.frombuffer(text.buffers()[1], np.int64)[: n + m + 1]
+    blob, ends = (text.buffers()[2] or pa.py_buffer(b"")).to_pybytes().decode("ascii"), offs[x.left_first + x.right_first]
     return [blob[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
@@ -352,7 +347,8 @@ def align(docs: DataFrame, a: Vocabulary, b: Pieces, doc_id: str = "doc_id", tex
     def look_up(batches):
         levels, keys, n, best = found.value
         hashed = PerfectHash(levels, keys)
-        digits_a, digits_b = _decimal_table(len(length_a)), _decimal_table(len(length_b))
+        n_a, n_b = len(length_a), len(length_b)
+        marked = pa.array(_marked(n_a, ",|") + _marked(n_b, ",;"), pa.large_string())
         for x in aligned(batches, length_a, length_b):
             place = hashed.index(x.keys)
             if (place < 0).any():
@@ -361,7 +357,7 @@ def align(docs: DataFrame, a: Vocabulary, b: Pieces, doc_id: str = "doc_id", tex
             sums = lambda v: pa.array(np.diff(np.concatenate(([0], np.cumsum(v, dtype=np.int64)))[links]))  # noqa: B023, E731
             n_links = pa.array(np.diff(links))
             yield pa.RecordBatch.from_arrays(
-                [x.rows.column("doc_id"), pa.array(np.diff(x.left_first)), pa.array(np.diff(x.right_first)), n_links, n_links, sums(best[place]), sums(n[place]), pa.array([t.decode() for t in _group_texts(x, digits_a, digits_b)])],
+                [x.rows.column("doc_id"), pa.array(np.diff(x.left_first)), pa.array(np.diff(x.right_first)), n_links, n_links, sums(best[place]), sums(n[place]), pa.array(_group_texts(x, marked, n_a, n_b), pa.string())],
                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"],
             )
 

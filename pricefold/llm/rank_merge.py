@@ -28,6 +28,8 @@ NEVER = np.int32(2**31 - 1)
 #: Sequences of more symbols are merged one at a time, with a table of least ranks by block.
 LONG = 2_048
 BLOCK = 512
+#: Strings whose tokens a task remembers; it may exceed this by those of one step.
+MEMO_STRINGS = 1 << 18
 #: The pattern's contractions after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -42,13 +44,13 @@ def byte_symbols() -> list[str]:
 
 @dataclass
 class Vocabulary:
-    """Byte-level BPE as arrays: ids of bytes, merges sorted by (left, right) with rank and result, special strings.
+    """Byte-level BPE as arrays: ids of bytes, an open table of merges (pair to rank), their results, bytes of each token, special strings.
 
     ``splitter`` is the description of the library's pre-tokenizer, which tells the classes of code points.
     """
 
     byte_ids: np.ndarray
-    pairs: np.ndarray
+    slots: np.ndarray
     ranks: np.ndarray
     results: np.ndarray
     lengths: np.ndarray
@@ -57,12 +59,39 @@ class Vocabulary:
 
     def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols, NEVER where it is no merge."""
-        if not len(self.pairs):
-            return np.full(len(left), NEVER)
         key = (left.astype(np.int64) << 32) | right
-        at = np.searchsorted(self.pairs, key)
-        at[at == len(self.pairs)] = 0
-        return np.where(self.pairs[at] == key, self.ranks[at], NEVER)
+        slot = _slot(key, len(self.slots))
+        held = self.slots[slot]
+        out = np.where(held == key, self.ranks[slot], NEVER)
+        todo = np.flatnonzero((held != key) & (held != -1))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) % len(self.slots)
+            held = self.slots[slot]
+            found = held == key[todo]
+            out[todo[found]] = self.ranks[slot[found]]
+            more = ~found & (held != -1)
+            todo, slot = todo[more], slot[more]
+        return out
+
+
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+
+
+def _pair_table(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ranks) by slot of an open table, a quarter full at most; empty slots hold -1. A pair's rank is its place in ``keys``."""
+    size = 1 << max(4, (4 * len(keys)).bit_length())
+    slots, ranks = np.full(size, -1, np.int64), np.full(size, NEVER)
+    todo, at = np.arange(len(keys)), _slot(keys, size)
+    while len(todo):
+        free = slots[at] == -1
+        order = np.flatnonzero(free)[np.unique(at[free], return_index=True)[1]]
+        slots[at[order]], ranks[at[order]] = keys[todo[order]], todo[order]
+        left = np.ones(len(todo), bool)
+        left[order] = False
+        todo, at = todo[left], (at[left] + 1) % size
+    return slots, ranks
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -78,12 +107,11 @@ def vocabulary(path: str) -> Vocabulary:
     ids, symbols = model["vocab"], byte_symbols()
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     keys = np.array([(ids[a] << 32) | ids[b] for a, b in merges], np.int64).reshape(-1)
-    order = np.argsort(keys, kind="stable")
     lengths = np.zeros(max([*ids.values(), 0]) + 1, np.int64)
     for s, i in ids.items():
         lengths[i] = len(s)  # one character for each byte
     return Vocabulary(
-        np.array([ids.get(s, -1) for s in symbols], np.int32), keys[order], order.astype(np.int32), np.array([ids[a + b] for a, b in merges], np.int32).reshape(-1), lengths,
+        np.array([ids.get(s, -1) for s in symbols], np.int32), *_pair_table(keys), np.array([ids[a + b] for a, b in merges], np.int32).reshape(-1), lengths,
         tuple((t["content"], t["id"]) for t in spec["added_tokens"]), json.dumps(split),
     )
 
@@ -235,9 +263,11 @@ def merged(symbols: np.ndarray, first: np.ndarray, vocab: Vocabulary) -> tuple[n
     for s in np.flatnonzero(length > LONG):
         left = _merged_long(symbols[first[s] : first[s + 1]], vocab)
         done.append((np.full(len(left), s), left))
-    seq = np.repeat(np.arange(total), length)
-    keep = (length <= LONG)[seq]
-    symbols, seq = symbols[keep].astype(np.int64), seq[keep]
+    seq = np.repeat(np.arange(total, dtype=np.int32), length)
+    symbols = symbols.astype(np.int32)
+    if done:
+        keep = (length <= LONG)[seq]
+        symbols, seq = symbols[keep], seq[keep]
     rank = np.full(len(symbols), NEVER)
     inner = np.flatnonzero(seq[1:] == seq[:-1])
     rank[inner] = vocab.ranked(symbols[inner], symbols[inner + 1])
@@ -272,20 +302,56 @@ def merged(symbols: np.ndarray, first: np.ndarray, vocab: Vocabulary) -> tuple[n
     return symbols[order], np.concatenate(([0], np.cumsum(counts)))
 
 
+class Memo:
+    """Tokens of byte strings that a task has met, as one ragged array; when they are many, the task begins anew.
+
+    ``make(starts, ends)`` gives (ids, first, flag) for the strings at these spans; the flag is kept with each string.
+    """
+
+    def __init__(self, make):
+        self.make = make
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.first, self.flag = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Place of each span's string in ``ids``, ``first`` and ``flag``; new strings are made first."""
+        if len(self.known) > MEMO_STRINGS or len(self.ids) > 8 * MEMO_STRINGS:
+            self._clear()
+        reps, which = distinct_spans(data, starts, ends)
+        blob = data.tobytes()
+        strings = [blob[a:b] for a, b in zip(starts[reps].tolist(), ends[reps].tolist())]
+        at = list(map(self.known.get, strings))
+        new = [i for i, place in enumerate(at) if place is None]
+        if new:
+            ids, first, flag = self.make(data, starts[reps[new]], ends[reps[new]])
+            for place, i in enumerate(new, len(self.flag)):
+                at[i] = self.known[strings[i]] = place
+            self.ids, self.first = np.concatenate((self.ids, ids)), np.concatenate((self.first, len(self.ids) + first[1:]))
+            self.flag = np.concatenate((self.flag, flag))
+        at = np.array(at, np.int64)
+        return at[which]
+
+    def sizes(self, places: np.ndarray) -> np.ndarray:
+        return np.diff(self.first)[places]
+
+    def tokens(self, places: np.ndarray) -> np.ndarray:
+        return self.ids[_ragged(self.first[places], self.sizes(places))]
+
+
 class Encoder:
     """Tokens of batches of texts; one for each task."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.classes = vocab, Classes(vocab.splitter)
+        self.vocab, self.classes, self.memo = vocab, Classes(vocab.splitter), Memo(self._make)
 
-    def _merged_spans(self, data, starts, ends):
-        """(which, symbols, first): the tokens of each distinct span, and the place of each span's own."""
-        reps, which = distinct_spans(data, starts, ends)
-        length = (ends - starts)[reps]
-        symbols = self.vocab.byte_ids[data[_ragged(starts[reps], length)]]
+    def _make(self, data, starts, ends):
+        symbols = self.vocab.byte_ids[data[_ragged(starts, ends - starts)]]
         if (symbols < 0).any():
             raise ValueError("the vocabulary lacks a byte that a text holds")
-        return which, *merged(symbols, np.concatenate(([0], np.cumsum(length))), self.vocab)
+        return *merged(symbols, np.concatenate(([0], np.cumsum(ends - starts))), self.vocab), np.ones(len(starts), bool)
 
     def counts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Number of tokens of each text data[offs[d]:offs[d + 1]]; a special string inside a text is one token."""
@@ -297,16 +363,14 @@ class Encoder:
         if len(a):  # pre-tokens inside a special string count as nothing, their string as one token
             inside = np.searchsorted(a, starts, side="right") - 1
             special = (inside >= 0) & (starts < b[np.maximum(inside, 0)])
-        which, _, first = self._merged_spans(data, starts[~special], ends[~special])
-        total = np.concatenate(([0], np.cumsum(np.diff(first)[which])))
+        total = np.concatenate(([0], np.cumsum(self.memo.sizes(self.memo.places(data, starts[~special], ends[~special])))))
         at = np.searchsorted(starts[~special], offs)
         return np.diff(total[at]) + np.diff(np.searchsorted(a, offs))
 
     def tokens(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Ids of all tokens in order, special strings being plain text; their lengths are ``vocab.lengths[ids]``."""
         starts = pretokens(data, offs[:-1], self.classes)
-        which, ids, first = self._merged_spans(data, starts, np.concatenate((starts[1:], [len(data)])) if len(starts) else starts)
-        return ids[_ragged(first[which], np.diff(first)[which])]
+        return self.memo.tokens(self.memo.places(data, starts, np.concatenate((starts[1:], [len(data)])) if len(starts) else starts))
 
 
 def count_tokens(docs: DataFrame, vocab: Vocabulary, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
