@@ -5,16 +5,16 @@ the previous W weeks with design [1, ln p, ln comp₁, ln comp₂, promo, Fourie
 for each model × seasonality × decay configuration:
 
 * models: Linear (W)LS, IV-2SLS (ln p instrumented by ln cost), Ridge (α = 1,
-  free intercept), Huber (ε = 1.35, IRLS with a MAD scale);
+  free intercept), Huber (ε = 1.35, coefficients and scale estimated together);
 * seasonality: baseline (none), fixed (P=52, K=2), multi_period (P=52 K=2 +
   P=13 K=1), adaptive (K ∈ 1..5 by AICc); t restarts at 0 in every window and
   the test row has t = W;
 * decay: weights 0.95^(rows from newest), normalised to mean 1.
 
-Spark partitions the work by series with ``groupBy(series).applyInPandas``: a
-group is one series' weekly rows (bounded by the number of weeks, never by raw
-volume) and the small per-origin least-squares solves run in numpy inside the
-task. Metrics and ranking are then ordinary Spark aggregations.
+Linear, IV-2SLS, Ridge and the AICc orders are solved inside Spark expressions on sliding Gram matrices
+(:mod:`pricefold.operators.window_fits`). Huber has no closed form: each tested week carries its window (W rows) as
+arrays, weeks are dealt over all tasks (not by series), and a batch of windows is iterated to convergence in numpy.
+Metrics and ranking are ordinary Spark aggregations.
 """
 
 from __future__ import annotations
@@ -22,218 +22,166 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The grouped-pandas functions below are shipped to Python workers by value, so
-# executors do not need this package on their path (no --py-files required).
+from pricefold.operators.window_fits import CLAMP, SEASONALITIES, least_squares_backtest, logged
+
+# The functions below are shipped to Python workers by value, so executors
+# do not need this package on their path (no --py-files required).
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SERIES = "sku_id"
 TRAIN_WINDOW = 104
 DECAY = 0.95
 MODELS = ("Linear", "IV_2SLS", "Ridge", "Huber")
-SEASONALITIES = ("baseline", "fixed", "adaptive", "multi_period")
 HUBER_EPS = 1.35
-RIDGE_ALPHA = 1.0
+#: Penalty on the squared coefficients (not the intercept), as small as the reference's library has it by default.
+HUBER_ALPHA = 1e-4
 HUBER_STEPS = 1000
+HUBER_TOLERANCE = 1e-10
+#: Windows that one numpy step holds.
+HUBER_ROWS = 512
 TOO_SHORT = "TOO_SHORT"  # status of a series that has no week after a training window
 
 OUT_SCHEMA = ("sku_id string, model string, seasonality string, decay string, date date, "
               "actual double, predicted double, elasticity double, fourier_k int, converged boolean, status string")
 
 
-def fourier(t: np.ndarray, period: float, k: int) -> np.ndarray:
-    cols = []
-    for j in range(1, k + 1):
-        cols.append(np.sin(2 * np.pi * j * t / period))
-        cols.append(np.cos(2 * np.pi * j * t / period))
-    return np.column_stack(cols) if cols else np.empty((len(t), 0))
-
+def season_terms(t: np.ndarray, approach: str, k: int = 0) -> np.ndarray:
+    """Fourier columns of a seasonality at times t; ``k``: the adaptive order."""
+    pairs = {"baseline": [], "fixed": [(52, 1), (52, 2)], "multi_period": [(52, 1), (52, 2), (13, 1)]}.get(approach, [(52, j) for j in range(1, k + 1)])
+    waves = [f(2 * np.pi * j * t / period) for period, j in pairs for f in (np.sin, np.cos)]
+    return np.stack(waves, axis=1) if waves else np.empty((len(t), 0))
 
-def season_terms(t: np.ndarray, approach: str, k: int | None = None) -> np.ndarray:
-    if approach == "baseline":
-        return np.empty((len(t), 0))
-    if approach == "fixed":
-        return fourier(t, 52.0, 2)
-    if approach == "multi_period":
-        return np.hstack([fourier(t, 52.0, 2), fourier(t, 13.0, 1)])
-    return fourier(t, 52.0, k or 1)
 
+def huber_loss(beta: np.ndarray, sigma: float, X: np.ndarray, y: np.ndarray, w: np.ndarray, eps: float = HUBER_EPS, alpha: float = HUBER_ALPHA) -> float:
+    """The loss that :func:`huber` minimises jointly in the coefficients and the scale (column 0 is the intercept)."""
+    r = np.abs(y - X @ beta)
+    inner = r < eps * sigma
+    return float(sigma * w.sum() + (w * np.where(inner, r**2 / sigma, 2 * eps * r - eps**2 * sigma)).sum() + alpha * (beta[1:] ** 2).sum())
 
-def _bsolve(A: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Batched solve of A[o] x = b[o]; singular systems fall back to least squares."""
-    try:
-        return np.linalg.solve(A, b[..., None])[..., 0]
-    except np.linalg.LinAlgError:
-        return np.stack([np.linalg.lstsq(A[o], b[o], rcond=None)[0] for o in range(len(A))])
 
+def huber(X: np.ndarray, y: np.ndarray, w: np.ndarray, eps: float = HUBER_EPS, alpha: float = HUBER_ALPHA, most: int = HUBER_STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, scale, converged) of all windows at once: X (o, n, p), y (o, n), w (n,).
 
-def _bwls(X: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted least squares for every origin at once: X (o, W, p), y (o, W), w (W,) or (o, W)."""
-    ww = np.broadcast_to(w, y.shape)
-    Xt = np.swapaxes(X, 1, 2) * ww[:, None, :]
-    return _bsolve(Xt @ X, (Xt @ y[..., None])[..., 0])
+    The loss is convex in coefficients and scale together. A step solves the coefficients with weights
+    w * min(1, eps * scale / |residual|) and then sets the scale to the zero of the loss's derivative:
+    scale² = sum over small residuals of w r² / (sum of w - eps² * sum of w over large ones).
+    Windows iterate until a step changes nothing beyond 1e-10; one that has not got there after ``most`` steps says so.
+    """
+    o, n, p = X.shape
+    penalty = np.zeros(p)
+    penalty[1:] = alpha
 
+    def solve(x, v, t, scale):
+        xt = np.swapaxes(x, 1, 2) * v[:, None, :]
+        left = xt @ x + scale[:, None, None] * np.diag(penalty)
+        right = (xt @ t[..., None])
+        try:
+            return np.linalg.solve(left, right)[..., 0]
+        except np.linalg.LinAlgError:
+            return (np.linalg.pinv(left) @ right)[..., 0]
 
-def _bhuber(X: np.ndarray, y: np.ndarray, w: np.ndarray, eps: float = HUBER_EPS, most: int = HUBER_STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Huber M-estimates of all origins by re-weighted least squares, scale fixed at the MAD of the
-    least-squares residuals: (coefficients, converged). Origins iterate until their own step is below
-    1e-8; one that has not got there after ``most`` steps says so."""
-    beta = _bwls(X, y, w)
+    ones = np.broadcast_to(w, (o, n))
+    beta = solve(X, ones, y, np.zeros(o))
     r = y - (X @ beta[..., None])[..., 0]
-    scale = np.median(np.abs(r - np.median(r, axis=1, keepdims=True)), axis=1) / 0.6745
-    ok = np.isfinite(scale) & (scale > 0)
-    scale = np.where(ok, scale, 1.0)
-    left = np.flatnonzero(ok)
+    sigma = np.maximum(np.sqrt((ones * r**2).sum(axis=1) / w.sum()), 1e-12)
+    left, done = np.arange(o), np.zeros(o, bool)
     for _ in range(most):
         if not len(left):
             break
-        u = np.abs(y[left] - (X[left] @ beta[left][..., None])[..., 0]) / scale[left, None]
-        new = _bwls(X[left], y[left], np.broadcast_to(w, y.shape)[left] * np.minimum(1.0, eps / np.maximum(u, 1e-12)))
-        step = np.max(np.abs(new - beta[left]), axis=1)
-        beta[left] = new
-        left = left[~(step < 1e-8)]
-    done = np.ones(len(y), bool)
-    done[left] = False
-    return beta, done
-
-
-def _baicc(X0: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """AICc-optimal Fourier order (1..5) for every origin."""
-    n = y.shape[1]
-    best = np.full(len(y), np.inf)
-    best_k = np.ones(len(y), dtype=int)
-    for k in range(1, 6):
-        F_ = np.broadcast_to(fourier(t, 52.0, k), (len(y),) + fourier(t, 52.0, k).shape)
-        X = np.concatenate([X0, F_], axis=2)
-        beta = _bwls(X, y, w)
-        ssr = np.einsum("w,ow->o", w, (y - (X @ beta[..., None])[..., 0]) ** 2)
-        p = X.shape[2]
-        llf = -n / 2 * np.log(2 * np.pi) - n / 2 * np.log(ssr / n) - n / 2 + 0.5 * np.sum(np.log(w))
-        aic = -2 * llf + 2 * p
-        aicc = aic + (2 * p * (p + 1)) / (n - p - 1) if n - p - 1 > 0 else aic
-        better = aicc < best
-        best = np.where(better, aicc, best)
-        best_k = np.where(better, k, best_k)
-    return best_k
-
-
-def _bfit(model: str, X, y, w, xte, Z, zte):
-    """(elasticity, predicted ln q, converged) for every origin; column 1 is ln p, Z swaps in ln cost."""
-    done = np.ones(len(y), bool)
-    if model == "Linear":
-        b = _bwls(X, y, w)
-        return b[:, 1], np.einsum("op,op->o", xte, b), done
-    if model == "IV_2SLS":
-        g = _bwls(Z, X[:, :, 1], w)
-        X2 = X.copy()
-        X2[:, :, 1] = (Z @ g[..., None])[..., 0]
-        b = _bwls(X2, y, w)
-        x2 = xte.copy()
-        x2[:, 1] = np.einsum("op,op->o", zte, g)
-        return b[:, 1], np.einsum("op,op->o", x2, b), done
-    if model == "Ridge":
-        Xr = X[:, :, 1:]
-        sw = w.sum()
-        mx = np.einsum("w,owp->op", w, Xr) / sw
-        my = np.einsum("w,ow->o", w, y) / sw
-        Xc, yc = Xr - mx[:, None, :], y - my[:, None]
-        A = np.einsum("owp,w,owq->opq", Xc, w, Xc) + RIDGE_ALPHA * np.eye(Xr.shape[2])
-        b = _bsolve(A, np.einsum("owp,w,ow->op", Xc, w, yc))
-        return b[:, 0], my - np.einsum("op,op->o", mx, b) + np.einsum("op,op->o", xte[:, 1:], b), done
-    if model == "Huber":
-        b, done = _bhuber(X, y, w)
-        return b[:, 1], np.einsum("op,op->o", xte, b), done
-    raise ValueError(model)
-
-
-def backtest_series(pdf: pd.DataFrame, window: int = TRAIN_WINDOW, models=MODELS, seasonalities=SEASONALITIES) -> pd.DataFrame:
-    """All origins of one series at once: the W-row training windows are strided
-    views, every configuration is a batched normal-equation solve over origins."""
-    cols = ["sku_id", "model", "seasonality", "decay", "date", "actual", "predicted", "elasticity", "fourier_k", "converged", "status"]
-    pdf = pdf.sort_values("date").reset_index(drop=True)
-    n = len(pdf)
-    if n <= window:  # one row says so: the series is not lost
-        short = dict.fromkeys(cols) | {"sku_id": pdf["sku_id"].iloc[0], "date": pdf["date"].iloc[-1], "status": TOO_SHORT}
-        return pd.DataFrame([short]).astype({"fourier_k": "Int32", "actual": float, "predicted": float, "elasticity": float})
-    y_all = np.log(pdf["units_sold"].to_numpy(float))
-    base = np.column_stack([np.log(pdf["unit_price"].to_numpy(float)), np.log(pdf["comp_price_1"].to_numpy(float)),
-                            np.log(pdf["comp_price_2"].to_numpy(float)), pdf["is_promo"].to_numpy(float)])
-    cost = np.log(pdf["cost_per_unit"].to_numpy(float))
-    n_o = n - window
-    win = np.lib.stride_tricks.sliding_window_view(np.arange(n), window)[:n_o]
-    test = np.arange(window, n)
-    Y, B, C = y_all[win], base[win], cost[win]
-    X0 = np.concatenate([np.ones((n_o, window, 1)), B], axis=2)
-    xte0 = np.concatenate([np.ones((n_o, 1)), base[test]], axis=1)
-    t_tr, t_te = np.arange(window, dtype=float), np.array([float(window)])
-    decay_w = DECAY ** np.arange(window)[::-1]
-    decay_w = decay_w / decay_w.mean()
-    dates = pdf["date"].to_numpy()[test]
-    actual = pdf["units_sold"].to_numpy(float)[test]
-    fallback = np.exp(Y.mean(axis=1))
-    frames = []
-    for decay_name, w in (("NoDecay", np.ones(window)), ("WithDecay", decay_w)):
-        for seas in seasonalities:
-            ks = _baicc(X0, Y, w, t_tr) if seas == "adaptive" else np.zeros(n_o, dtype=int)
-            for k in np.unique(ks):
-                sel = np.nonzero(ks == k)[0]
-                S_tr, S_te = season_terms(t_tr, seas, int(k)), season_terms(t_te, seas, int(k))
-                X = np.concatenate([X0[sel], np.broadcast_to(S_tr, (len(sel),) + S_tr.shape)], axis=2)
-                xte = np.concatenate([xte0[sel], np.broadcast_to(S_te[0], (len(sel), S_te.shape[1]))], axis=1)
-                Z = X.copy()
-                Z[:, :, 1] = C[sel]
-                zte = xte.copy()
-                zte[:, 1] = cost[test[sel]]
-                for model in models:
-                    with np.errstate(all="ignore"):
-                        e, pl, done = _bfit(model, X, Y[sel], w, xte, Z, zte)
-                        pred = np.exp(pl)
-                    bad = ~(np.isfinite(pred) & np.isfinite(e))
-                    pred = np.where(bad, fallback[sel], pred)
-                    e = np.clip(np.where(bad, -1.0, e), -10.0, 2.0)
-                    frames.append(pd.DataFrame({
-                        "sku_id": pdf["sku_id"].iloc[0], "model": model, "seasonality": seas, "decay": decay_name,
-                        "date": dates[sel], "actual": actual[sel], "predicted": pred, "elasticity": e,
-                        "fourier_k": (k if seas == "adaptive" else None),
-                        "converged": done, "status": "OK"}))
-    res = pd.concat(frames, ignore_index=True)
-    res["fourier_k"] = res["fourier_k"].astype("Int32")
-    return res[cols]
-
-
-def rolling_backtest(bpanel: DataFrame, window: int = TRAIN_WINDOW) -> DataFrame:
-    """Predictions of every configuration for every test week of every series."""
-    cols = [SERIES, "date", "unit_price", "units_sold", "cost_per_unit", "comp_price_1", "comp_price_2", "is_promo"]
-    return bpanel.select(*cols).groupBy(SERIES).applyInPandas(lambda pdf: backtest_series(pdf, window), OUT_SCHEMA)
-
-
-SEASONAL_R2_SCHEMA = "sku_id string, seasonality string, seasonal_r2 double"
-
-
-def seasonal_r2_series(pdf: pd.DataFrame) -> pd.DataFrame:
-    """R² of Fourier terms fitted to the residuals of ln q ~ ln p over the whole series."""
-    pdf = pdf.sort_values("date")
-    y = np.log(pdf["units_sold"].to_numpy(float))
-    x = np.log(pdf["unit_price"].to_numpy(float))
-    X = np.column_stack([np.ones_like(x), x])
-    res = y - X @ np.linalg.lstsq(X, y, rcond=None)[0]
-    t = np.arange(len(y), dtype=float)
-    k_adapt = int(round(pdf["avg_k"].iloc[0])) if "avg_k" in pdf and pd.notna(pdf["avg_k"].iloc[0]) else 2
-    rows = []
-    for seas in SEASONALITIES:
-        if seas == "baseline":
-            rows.append((pdf[SERIES].iloc[0], seas, 0.0))
-            continue
-        S = season_terms(t, seas, k_adapt)
-        Z = np.column_stack([np.ones_like(t), S])
-        fit = Z @ np.linalg.lstsq(Z, res, rcond=None)[0]
-        sst = float(np.sum((res - res.mean()) ** 2))
-        rows.append((pdf[SERIES].iloc[0], seas, 1.0 - float(np.sum((res - fit) ** 2)) / sst if sst > 0 else 0.0))
-    return pd.DataFrame(rows, columns=["sku_id", "seasonality", "seasonal_r2"])
+        x, t, s = X[left], y[left], sigma[left]
+        a = np.abs(t - (x @ beta[left][..., None])[..., 0])
+        new = solve(x, ones[left] * np.minimum(1.0, eps * s[:, None] / np.maximum(a, 1e-300)), t, s)
+        a = np.abs(t - (x @ new[..., None])[..., 0])
+        small = a < eps * s[:, None]
+        free = w.sum() - eps**2 * (ones[left] * ~small).sum(axis=1)
+        scale = np.where(free > 0, np.sqrt((ones[left] * small * a**2).sum(axis=1) / np.where(free > 0, free, 1.0)), 2 * s)
+        scale = np.maximum(scale, 1e-12)
+        step = np.maximum(np.abs(new - beta[left]).max(axis=1), np.abs(scale - s) / s)
+        beta[left], sigma[left] = new, scale
+        finished = step < HUBER_TOLERANCE
+        done[left[finished]] = True
+        left = left[~finished]
+    return beta, sigma, done
+
+
+_VALUES = ("c1", "c2", "promo", "p", "y")
+
+
+def _huber_batches(window: int, decay: float):
+    t, now = np.arange(window, dtype=float), np.array([float(window)])
+    falling = decay ** np.arange(window)[::-1]
+    weights = {"NoDecay": np.ones(window), "WithDecay": falling / falling.mean()}
+
+    def solve(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, HUBER_ROWS):
+                rows = batch.slice(at, HUBER_ROWS)
+                n = rows.num_rows
+                own = {c: rows.column(f"w_{c}").flatten().to_numpy(zero_copy_only=False).reshape(n, window) for c in _VALUES}
+                test = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in _VALUES[:4]}
+                mean, flat = rows.column("y_mean").to_numpy(zero_copy_only=False), own["y"].mean(axis=1)
+                base = np.stack([np.ones((n, window)), own["p"], own["c1"], own["c2"], own["promo"]], axis=2)
+                tested = np.stack([np.ones(n), test["p"], test["c1"], test["c2"], test["promo"]], axis=1)
+                whole = np.isfinite(base).all(axis=(1, 2)) & np.isfinite(own["y"]).all(axis=1) & np.isfinite(tested).all(axis=1)
+                for label, w in weights.items():
+                    order = rows.column(f"k_{label}").to_numpy(zero_copy_only=False)
+                    for approach in SEASONALITIES:
+                        pred, e, done = np.exp(mean + flat), np.full(n, -1.0), np.zeros(n, bool)
+                        for k in np.unique(order) if approach == "adaptive" else [0]:
+                            sel = np.flatnonzero(whole & ((order == k) | (approach != "adaptive")))
+                            if not len(sel):
+                                continue
+                            S, S0 = season_terms(t, approach, int(k)), season_terms(now, approach, int(k))
+                            X = np.concatenate([base[sel], np.broadcast_to(S, (len(sel), *S.shape))], axis=2)
+                            x0 = np.concatenate([tested[sel], np.broadcast_to(S0, (len(sel), S0.shape[1]))], axis=1)
+                            beta, _, ok = huber(X, own["y"][sel], w)
+                            with np.errstate(all="ignore"):
+                                fit = np.exp(mean[sel] + (x0 * beta).sum(axis=1))
+                            good = np.isfinite(fit) & np.isfinite(beta[:, 1])
+                            pred[sel[good]], e[sel[good]], done[sel] = fit[good], beta[good, 1], ok
+                        k_out = pa.array(order.astype(np.int32)) if approach == "adaptive" else pa.nulls(n, pa.int32())
+                        text = lambda s: pa.array([s] * n)  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays(
+                            [rows.column(SERIES), text("Huber"), text(approach), text(label), rows.column("date"), rows.column("actual"), pa.array(pred), pa.array(np.clip(e, *CLAMP)), k_out, pa.array(done), text("OK")],
+                            names=[f.split(" ")[0] for f in OUT_SCHEMA.split(", ")])
+
+    return solve
+
+
+def huber_backtest(panel: DataFrame, orders: DataFrame, window: int = TRAIN_WINDOW, decay: float = DECAY) -> DataFrame:
+    """Huber predictions of every seasonality and decay. orders: (sku_id, date, k_NoDecay, k_WithDecay), the adaptive orders."""
+    frame = f"OVER (PARTITION BY {SERIES} ORDER BY date ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING)"
+    nan = "double('NaN')"
+    rows = logged(panel).selectExpr(SERIES, "date", "CAST(actual AS DOUBLE) AS actual", "t", "y_mean", *[f"coalesce({c}, {nan}) AS {c}" for c in _VALUES])
+    rows = rows.selectExpr("*", *[f"collect_list({c}) {frame} AS w_{c}" for c in _VALUES]).where(f"t >= {window}").drop("t", "y")
+    dealt = rows.join(orders, [SERIES, "date"]).withColumn("y", F.lit(0.0))
+    n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, SERIES, "date").mapInArrow(_huber_batches(window, decay), OUT_SCHEMA)
+
+
+def rolling_backtest(bpanel: DataFrame, window: int = TRAIN_WINDOW, decay: float = DECAY, closed: DataFrame | None = None) -> DataFrame:
+    """Predictions of every configuration for every test week of every series; a series without one has a row that says so.
+
+    ``closed``: the least-squares predictions, if they are at hand.
+    """
+    cols = [f.split(" ")[0] for f in OUT_SCHEMA.split(", ")]
+    panel = bpanel.select(SERIES, "date", "unit_price", "units_sold", "cost_per_unit", "comp_price_1", "comp_price_2", "is_promo")
+    closed = least_squares_backtest(panel, window, decay) if closed is None else closed
+    orders = adaptive_orders(closed).groupBy(SERIES, "date").agg(*[F.expr(f"max(CASE WHEN decay = '{d}' THEN fourier_k END) AS k_{d}") for d in ("NoDecay", "WithDecay")])
+    full = closed.selectExpr("*", "true AS converged", "'OK' AS status").select(*cols)
+    short = panel.groupBy(SERIES).agg(F.count("*").alias("n"), F.max("date").alias("date")).where(f"n <= {window}")
+    short = short.selectExpr(*[c if c in (SERIES, "date") else f"'{TOO_SHORT}' AS status" if c == "status" else f"CAST(NULL AS {f.split(' ')[1]}) AS {c}" for c, f in zip(cols, OUT_SCHEMA.split(", "))])
+    return full.unionByName(huber_backtest(panel, orders, window, decay)).unionByName(short)
+
+
+def adaptive_orders(preds: DataFrame) -> DataFrame:
+    """Fourier order of least AICc for every training window: (sku_id, decay, date, fourier_k)."""
+    return preds.where("seasonality = 'adaptive' AND model = 'Linear'").select(SERIES, "decay", "date", "fourier_k")
 
 
 def backtest_metrics(preds: DataFrame) -> DataFrame:

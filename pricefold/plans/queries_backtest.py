@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pricefold.functions.columns import TWO_PI, D
 from pricefold.operators import backtest as BT
+from pricefold.operators import window_fits as WF
+from pricefold.plans import oracle_backtest  # noqa: F401  (its views)
 from pricefold.plans.oracle_views import with_views
 from pricefold.plans.queries_table import _MEMO, bpanel_for, bundle_for
 from pricefold.plans.registry import register
@@ -18,54 +20,71 @@ from pricefold.sources import bundle_io as IO
 from pricefold.sources.panel import SERIES
 
 
+def closed_for(spark, sf) -> DataFrame:
+    """Least-squares backtest predictions, persisted once per session."""
+    key = ("lsbt", session_key(spark), sf)
+    if key not in _MEMO:
+        _MEMO[key] = materialize(WF.least_squares_backtest(bpanel_for(spark, sf)))
+    return _MEMO[key]
+
+
 def preds_for(spark, sf) -> DataFrame:
-    """Backtest predictions, persisted once per session (the expensive step)."""
+    """Predictions of all models, persisted once per session (the expensive step)."""
     key = ("rbt", session_key(spark), sf)
     if key not in _MEMO:
-        _MEMO[key] = materialize(BT.rolling_backtest(bpanel_for(spark, sf)))
+        _MEMO[key] = materialize(BT.rolling_backtest(bpanel_for(spark, sf), closed=closed_for(spark, sf)))
     return _MEMO[key]
 
 
-def bt_metrics_for(spark, sf) -> DataFrame:
-    return BT.seasonal_gain(BT.backtest_metrics(preds_for(spark, sf)))
+def gains_for(spark, sf) -> DataFrame:
+    closed = closed_for(spark, sf).selectExpr("*", "'OK' AS status")
+    return BT.seasonal_gain(BT.backtest_metrics(closed))
 
 
 @register("rolling_backtest")
 def q_rolling_backtest(spark, sf):
-    """Per (series, model, seasonality, decay) metrics and rank score; a series too short to test has one row that says so."""
-    tested = bt_metrics_for(spark, sf).withColumn("status", F.lit("OK"))
-    return tested.unionByName(BT.too_short(preds_for(spark, sf)).select(SERIES, "status"), allowMissingColumns=True)
+    """Per (series, model, seasonality, decay) metrics and rank score of all four models; a series too short to test has one row that says so."""
+    preds = preds_for(spark, sf)
+    tested = BT.seasonal_gain(BT.backtest_metrics(preds)).withColumn("status", F.lit("OK"))
+    return tested.unionByName(BT.too_short(preds).select(SERIES, "status"), allowMissingColumns=True)
 
 
-for _m, _qid in (("Linear", "fit_linear"), ("IV_2SLS", "fit_2sls"), ("Ridge", "fit_ridge"), ("Huber", "fit_huber")):
+for _m, _qid in (("Linear", "fit_linear"), ("IV_2SLS", "fit_2sls"), ("Ridge", "fit_ridge")):
     def _b(spark, sf, _m=_m):
-        return preds_for(spark, sf).filter(f"model = '{_m}'")
+        return closed_for(spark, sf).filter(f"model = '{_m}'")
     _b.__name__ = f"q_{_qid}"
-    register(_qid)(_b)
+    register(_qid, with_views(f"SELECT * FROM bt_least_squares WHERE model = '{_m}'", "bt_least_squares"), doubles=["predicted", "elasticity"])(_b)
+
+
+@register("fit_huber")
+def q_huber(spark, sf):
+    """Huber's estimates (coefficients and scale together): predictions of every test week and configuration."""
+    return preds_for(spark, sf).filter("model = 'Huber'")
 
 
-@register("aicc_order")
+@register("aicc_order", with_views("SELECT sku_id, decay, date, fourier_k FROM bt_aicc", "bt_aicc"))
 def q_aicc(spark, sf):
     """Fourier order chosen by AICc for every training window (adaptive seasonality)."""
-    return preds_for(spark, sf).filter("seasonality = 'adaptive' AND model = 'Linear'").select(SERIES, "decay", "date", "fourier_k")
+    return BT.adaptive_orders(closed_for(spark, sf))
 
 
-@register("baseline_lookup")
+@register("baseline_lookup", with_views("SELECT sku_id, model, seasonality, decay, wmape AS \"WMAPE\", baseline_wmape FROM bt_ls_gain", "bt_ls_gain"), doubles=["WMAPE", "baseline_wmape"])
 def q_baseline_lookup(spark, sf):
-    return bt_metrics_for(spark, sf).select(SERIES, "model", "seasonality", "decay", "WMAPE", "baseline_wmape")
+    """WMAPE beside that of the same (series, model, decay) without seasonality; least-squares models (``rolling_backtest`` has Huber's too)."""
+    return gains_for(spark, sf).select(SERIES, "model", "seasonality", "decay", "WMAPE", "baseline_wmape")
 
 
-@register("seasonal_gain")
+@register("seasonal_gain", with_views("SELECT sku_id, model, seasonality, decay, coalesce(baseline_wmape - wmape, 0.0) AS seasonal_wmape_gain FROM bt_ls_gain", "bt_ls_gain"),
+          doubles=["seasonal_wmape_gain"])
 def q_seasonal_gain(spark, sf):
-    return bt_metrics_for(spark, sf).select(SERIES, "model", "seasonality", "decay", "seasonal_wmape_gain")
+    return gains_for(spark, sf).select(SERIES, "model", "seasonality", "decay", "seasonal_wmape_gain")
 
 
-@register("seasonal_r2")
+@register("seasonal_r2", with_views("SELECT * FROM bt_seasonal_r2", "bt_seasonal_r2"), doubles=["seasonal_r2"])
 def q_seasonal_r2(spark, sf):
     """R² of each seasonality's Fourier terms on the ln q ~ ln p residuals (whole series)."""
-    k = preds_for(spark, sf).groupBy(SERIES).agg(F.expr("avg(fourier_k) AS avg_k"))
-    p = bpanel_for(spark, sf).select(SERIES, "date", "unit_price", "units_sold").join(k, SERIES, "left")
-    return p.groupBy(SERIES).applyInPandas(BT.seasonal_r2_series, BT.SEASONAL_R2_SCHEMA)
+    orders = BT.adaptive_orders(closed_for(spark, sf)).groupBy(SERIES).agg(F.expr("CAST(bround(avg(fourier_k)) AS INT) AS k"))
+    return WF.seasonal_r2(bpanel_for(spark, sf), orders)
 
 
 _F = ", ".join(

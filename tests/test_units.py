@@ -126,22 +126,6 @@ def test_poisson_counts_have_the_requested_mean(spark):
         assert m == pytest.approx(lam, rel=0.05)
 
 
-def test_backtest_recovers_linear_elasticity():
-    from pricefold.operators.backtest import backtest_series
-
-    rng = np.random.default_rng(3)
-    n = 130
-    p = np.exp(rng.normal(2.0, 0.2, n))
-    c1, c2 = np.exp(rng.normal(2.0, 0.1, n)), np.exp(rng.normal(2.0, 0.1, n))
-    q = np.exp(4.0 - 1.8 * np.log(p) + rng.normal(0, 0.01, n))
-    pdf = pd.DataFrame({"sku_id": "B", "date": pd.date_range("2020-01-06", periods=n, freq="7D").date, "unit_price": p,
-                        "units_sold": q, "cost_per_unit": p * 0.6, "comp_price_1": c1, "comp_price_2": c2, "is_promo": 0})
-    r = backtest_series(pdf, window=104, models=("Linear", "Ridge"), seasonalities=("baseline",))
-    lin = r[r.model == "Linear"]
-    assert lin.elasticity.mean() == pytest.approx(-1.8, abs=0.05)
-    assert (abs(lin.predicted - lin.actual) / lin.actual).mean() < 0.05
-
-
 def test_sig_rounding_is_exact_and_engine_neutral(spark):
     import duckdb
 
@@ -155,65 +139,6 @@ def test_sig_rounding_is_exact_and_engine_neutral(spark):
     assert got[0] == 1234.57 and math.isclose(got[1], -0.000123457)
 
 
-def _least_squares(X, y, w):
-    sw = np.sqrt(w)
-    return np.linalg.lstsq(X * sw[:, None], y * sw, rcond=None)[0]
-
-
-def _one_origin(model, X, y, w, xte, Z, zte):
-    """(elasticity, ln prediction) of one training window, by numpy's least squares."""
-    if model == "IV_2SLS":
-        g = _least_squares(Z, X[:, 1], w)
-        X, xte = X.copy(), xte.copy()
-        X[:, 1], xte[1] = Z @ g, zte @ g
-    if model == "Ridge":
-        mx, my = np.average(X[:, 1:], axis=0, weights=w), np.average(y, weights=w)
-        sw = np.sqrt(w)
-        A = np.vstack([(X[:, 1:] - mx) * sw[:, None], np.eye(X.shape[1] - 1)])
-        b = np.linalg.lstsq(A, np.concatenate([(y - my) * sw, np.zeros(X.shape[1] - 1)]), rcond=None)[0]
-        return b[0], my + (xte[1:] - mx) @ b
-    b = _least_squares(X, y, w)
-    if model == "Huber":
-        r = y - X @ b
-        scale = np.median(np.abs(r - np.median(r))) / 0.6745
-        for _ in range(5000):
-            b = _least_squares(X, y, w * np.minimum(1, 1.35 / np.maximum(np.abs(y - X @ b) / scale, 1e-12)))
-    return b[1], xte @ b
-
-
-def _aicc(X0, y, w, t, season):
-    """Fourier order 1 to 5 of least AICc."""
-    n, best = len(y), []
-    for k in range(1, 6):
-        X = np.hstack([X0, season(t, "adaptive", k)])
-        p = X.shape[1]
-        ssr = float(np.sum(w * (y - X @ _least_squares(X, y, w)) ** 2))
-        best.append((n * np.log(ssr / n) + 2 * p + 2 * p * (p + 1) / (n - p - 1), k))
-    return min(best)[1]
-
-
-def test_huber_needs_more_than_ten_steps_and_says_when_it_has_not_converged():
-    from pricefold.operators.backtest import _bhuber
-
-    rng = np.random.default_rng(4)
-    X = np.stack([np.column_stack([np.ones(60), rng.normal(size=60)]) for _ in range(8)])
-    y = X @ np.array([1.0, -2.0]) + rng.standard_t(1.2, (8, 60))
-    short, done = _bhuber(X, y, np.ones(60), most=10)
-    long, all_done = _bhuber(X, y, np.ones(60))
-    assert not done.all() and all_done.all()
-    assert np.abs(short - long).max() > 1e-7
-
-
-def test_series_too_short_to_test_is_reported(spark):
-    from pricefold.operators.backtest import backtest_metrics, rolling_backtest, too_short
-
-    rows = [("S", f"2020-01-{d:02d}", 1.0, 5.0, 0.5, 1.0, 1.0, 0) for d in range(1, 20)]
-    panel = spark.createDataFrame(rows, "sku_id string, date string, unit_price double, units_sold double, cost_per_unit double, comp_price_1 double, comp_price_2 double, is_promo int").selectExpr("* EXCEPT (date)", "to_date(date) AS date")
-    preds = rolling_backtest(panel)
-    assert [tuple(r) for r in too_short(preds).selectExpr("sku_id", "status").collect()] == [("S", "TOO_SHORT")]
-    assert backtest_metrics(preds).count() == 0
-
-
 def test_joint_model_recovers_each_series_elasticity(spark):
     from pricefold.operators.ml import joint_model
 
@@ -253,40 +178,6 @@ def test_series_index_numbers_in_name_order(spark):
     assert [r.sku_id for r in got] == sorted(names) and [r.series_idx for r in got] == list(range(700)) and {r.n_series for r in got} == {700}
 
 
-def test_batched_backtest_matches_per_origin_solves():
-    """Brute force: re-fit every origin separately by numpy's least squares."""
-    import pricefold.operators.backtest as BT
-
-    rng = np.random.default_rng(11)
-    n, W = 140, 104
-    p = np.exp(rng.normal(2.0, 0.2, n))
-    pdf = pd.DataFrame({"sku_id": "B", "date": pd.date_range("2020-01-06", periods=n, freq="7D").date, "unit_price": p,
-                        "units_sold": np.exp(4.0 - 1.2 * np.log(p) + 0.2 * np.sin(np.arange(n) / 8) + rng.normal(0, 0.05, n)),
-                        "cost_per_unit": p * rng.uniform(0.5, 0.7, n), "comp_price_1": np.exp(rng.normal(2.0, 0.1, n)),
-                        "comp_price_2": np.exp(rng.normal(2.0, 0.1, n)), "is_promo": rng.integers(0, 2, n)})
-    got = BT.backtest_series(pdf, W).set_index(["model", "seasonality", "decay", "date"]).sort_index()
-    y, base = np.log(pdf.units_sold.to_numpy()), np.column_stack([np.log(pdf.unit_price), np.log(pdf.comp_price_1),
-                                                                  np.log(pdf.comp_price_2), pdf.is_promo.to_numpy(float)])
-    cost = np.log(pdf.cost_per_unit.to_numpy())
-    t_tr, t_te = np.arange(W, dtype=float), np.array([float(W)])
-    dw = BT.DECAY ** np.arange(W)[::-1]
-    for idx in (W, W + 17, n - 1):
-        tr = slice(idx - W, idx)
-        for dname, w in (("NoDecay", np.ones(W)), ("WithDecay", dw / dw.mean())):
-            X0 = np.hstack([np.ones((W, 1)), base[tr]])
-            for seas in BT.SEASONALITIES:
-                k = _aicc(X0, y[tr], w, t_tr, BT.season_terms) if seas == "adaptive" else None
-                X = np.hstack([X0, BT.season_terms(t_tr, seas, k)])
-                xte = np.concatenate([[1.0], base[idx], BT.season_terms(t_te, seas, k)[0]])
-                Z, zte = X.copy(), xte.copy()
-                Z[:, 1], zte[1] = cost[tr], cost[idx]
-                for m in BT.MODELS:
-                    e, pl = _one_origin(m, X, y[tr], w, xte, Z, zte)
-                    row = got.loc[(m, seas, dname, pdf.date.iloc[idx])]
-                    assert row.predicted == pytest.approx(np.exp(pl), rel=1e-6)
-                    assert row.elasticity == pytest.approx(np.clip(e, -10, 2), abs=1e-6)
-
-
 def test_end_to_end_on_driver_tables(spark, sf_dir):
     """Weights sum to 1 per series; a +10 % price lowers demand and raises price."""
     from pricefold.plans.queries_core import analysis
