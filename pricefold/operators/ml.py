@@ -11,25 +11,20 @@
   joint feature table, series fixed effects removed by demeaning.
 * ``finite_diff_elasticity`` — slope of ln f in ln price around each series'
   mean feature row, price-dependent features rebuilt, scored by the fitted model.
-* ``permutation_importance`` — each feature permuted *within* its series
-  (random order per feature, cyclic shift), MAPE rise, floored at 0, normalised.
-* ``stack_blend`` — non-negative ridge (α = 1, free intercept) over base-model
-  predictions fitted on a validation slice from aggregated moments (a k×k
-  system with k ≤ 3, solved on the driver: its size never grows with data).
+* ``stack_blend`` — non-negative ridge (α = 1, free intercept) over any number of
+  base models' predictions, fitted on a validation slice from aggregated moments
+  (a k×k system solved on the driver: its size never grows with data).
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricefold.functions.columns import D
+from pricefold.operators.forecasts import assemble, at_prices
 from pricefold.operators.spikes import CLEAN, SERIES
 
 N_REPLICATES = 10
@@ -39,7 +34,10 @@ CLAMP = (-10.0, 2.0)
 
 
 def poisson_count(lam: str, u: str) -> str:
-    """Inverse-CDF Poisson draw (SQL text): number of k with CDF(k) < u, in log space."""
+    """Inverse-CDF Poisson draw (SQL text): number of k with CDF(k) < u, in log space.
+
+    The sum ends at lam + 10 sqrt(lam) + 10; beyond lie less than 2^-53, the distance of ``u`` from 1.
+    """
     kmax = f"CAST(ceil({lam} + 10.0D * sqrt({lam}) + 10.0D) AS INT)"
     return (f"aggregate(sequence(0, {kmax}), named_struct('lp', -({lam}), 'cdf', 0.0D, 'n', 0), "
             f"(acc, k) -> named_struct('lp', CASE WHEN k = 0 THEN acc.lp ELSE acc.lp + ln({lam}) - ln(CAST(k AS DOUBLE)) END, "
@@ -48,6 +46,12 @@ def poisson_count(lam: str, u: str) -> str:
             f"acc -> acc.n)")
 
 
+def uniform(*parts: str) -> str:
+    """A number in (0, 1) from the first 52 bits of the md5 of the parts, joined by ``|`` (SQL text); other engines get the same."""
+    text = ", '|', ".join(f"CAST({p} AS STRING)" for p in parts)
+    return f"(CAST(CAST(conv(substr(md5(concat({text})), 1, 13), 16, 10) AS BIGINT) AS DOUBLE) + 0.5D) / 4503599627370496.0D"
+
+
 def bootstrap_elasticity(spiked: DataFrame, replicates: int = N_REPLICATES, decay: float = BOOT_DECAY) -> DataFrame:
     part = f"OVER (PARTITION BY {SERIES})"
     c = spiked.filter(CLEAN).selectExpr(
@@ -56,7 +60,7 @@ def bootstrap_elasticity(spiked: DataFrame, replicates: int = N_REPLICATES, deca
         f"count(1) {part} AS n", f"avg(ln(unit_price)) {part} AS cx", f"avg(ln(units_sold)) {part} AS cy",
     ).selectExpr("*", f"CAST(n AS DOUBLE) * w / sum(w) {part} AS lam")
     reps = c.selectExpr("*", f"explode(sequence(0, {replicates - 1})) AS rep").selectExpr(
-        "*", "(CAST(pmod(xxhash64(sku_id, date, rep), 9007199254740992) AS DOUBLE) + 0.5D) / 9007199254740992.0D AS u")
+        "*", f"{uniform('sku_id', 'date', 'rep')} AS u")
     reps = reps.selectExpr("*", f"CAST({poisson_count('lam', 'u')} AS DOUBLE) AS cnt")
     m = reps.groupBy(SERIES, "rep").agg(*[F.expr(x) for x in (
         "sum(cnt) AS sw", "sum(cnt * (x - cx)) AS sx", "sum(cnt * (y - cy)) AS sy", "sum(cnt * (x - cx) * (x - cx)) AS sxx",
@@ -77,10 +81,6 @@ def bootstrap_elasticity(spiked: DataFrame, replicates: int = N_REPLICATES, deca
                                        WHEN n_obs < 30 THEN 'PROVISIONAL' ELSE '90% HIGH' END AS reliability""")
 
 
-def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
-
-
 def tree_forecasts(ft: DataFrame, feature_cols: list[str], seed: int = 42) -> tuple[DataFrame, dict]:
     """Fit RF (50 trees, depth 4) and GBT (50 iterations, depth 3) on train rows;
     return test-row predictions (long: model, predicted) and the fitted models."""
@@ -107,20 +107,6 @@ def scorecard(preds: DataFrame, keys: tuple[str, ...] = (SERIES, "model")) -> Da
     return s.selectExpr("*", "0.5D * (100.0D - wmape) + 30.0D * greatest(0.0D, r2) + 20.0D * greatest(0.0D, 1.0D - mase) AS rank_score")
 
 
-def at_prices(rows: DataFrame, feature_cols: list[str], steps: list[float], keep: tuple[str, ...]) -> DataFrame:
-    """Each row at the prices unit_price * exp(step): columns ``keep``, _h (the step) and the features, of which those
-    that depend on the price (ratios, margin, cross difference, velocity, discount depth) are computed anew."""
-    from pricefold.operators.features import EPS, ratio_exprs
-
-    n_comp = sum(c.startswith("price_ratio_comp") for c in feature_cols)
-    top = f"((unit_price + {D(EPS)} * discount_depth) / (1.0D - discount_depth))"  # the running maximum behind the depth
-    moved = rows.selectExpr("*", f"{top} AS _top", f"explode(array({', '.join(D(h) for h in steps)})) AS _h").selectExpr("*", "unit_price * exp(_h) AS _p")
-    derived = ratio_exprs(n_comp, "_p") + ["(_p - price_lag_1) / price_lag_1 AS price_velocity",
-                                           f"(greatest(_top, _p) - _p) / (greatest(_top, _p) + {D(EPS)}) AS discount_depth", "_p AS unit_price"]
-    made = {e.rsplit(" AS ", 1)[1]: e for e in derived}
-    return moved.selectExpr(*keep, "_h", *[made.get(c, c) for c in feature_cols])
-
-
 def finite_diff_elasticity(model, data: DataFrame, feature_cols: list[str], span: float = 0.2, points: int = 9) -> DataFrame:
     """Local elasticity of a fitted model at each series' mean feature row.
 
@@ -128,69 +114,48 @@ def finite_diff_elasticity(model, data: DataFrame, feature_cols: list[str], span
     wider than a tree's leaves, where a small central difference is flat.
     """
     means = data.filter("split = 'train'").groupBy(SERIES).agg(*[F.expr(f"avg({c}) AS {c}") for c in feature_cols])
-    rows = at_prices(means, feature_cols, [-span + 2 * span * i / (points - 1) for i in range(points)], (SERIES,))
+    steps = ", ".join(D(-span + 2 * span * i / (points - 1)) for i in range(points))
+    rows = at_prices(means, feature_cols, f"transform(array({steps}), h -> unit_price * exp(h))", (SERIES,))
     p = model.transform(assemble(rows, feature_cols))
-    return p.groupBy(SERIES).agg(F.expr("regr_slope(ln(greatest(prediction, 1e-9D)), _h) AS elasticity"))
+    return p.groupBy(SERIES).agg(F.expr("regr_slope(ln(greatest(prediction, 1e-9D)), ln(_p)) AS elasticity"))
 
 
-def falling_forecast(model, rows: DataFrame, feature_cols: list[str], span: float = 0.3, points: int = 7) -> DataFrame:
-    """Forecasts (SERIES, date, actual, predicted) whose response to the price cannot rise.
+def nnls_ridge(xtx: np.ndarray, xty: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """Non-negative ridge coefficients from centred moments, for any number of predictors (Lawson and Hanson's active sets).
 
-    The forecast at a price is the least of the model's over that price and ``points`` - 1 lower ones
-    down to exp(-``span``) of it, with the price-dependent features rebuilt: a running minimum along the price.
+    Minimises b'(X'X + alpha I)b - 2 b'X'y over b >= 0; alpha > 0 makes the minimum unique.
     """
-    steps = [-span * i / (points - 1) for i in range(points)]
-    moved = at_prices(rows, feature_cols, steps, (SERIES, "date", "units_sold"))
-    p = model.transform(assemble(moved, feature_cols))
-    return p.groupBy(SERIES, "date").agg(F.expr("max(units_sold) AS actual"), F.expr("greatest(min(prediction), 0.0D) AS predicted"))
-
-
-def permutation_importance(model, data: DataFrame, feature_cols: list[str]) -> DataFrame:
-    """MAPE rise when each feature is permuted within its series; floored at 0, normalised to 1."""
-    test = data.filter("split = 'test'").select(SERIES, "date", "units_sold", *feature_cols)
-    w = lambda c: f"PARTITION BY {SERIES} ORDER BY xxhash64(date, '{c}')"
-    shifted = test.selectExpr("*", *[f"coalesce(lead({c}) OVER ({w(c)}), first({c}) OVER ({w(c)})) AS _p_{c}" for c in feature_cols])
-    variants = ", ".join(["'__none__'"] + [f"'{c}'" for c in feature_cols])
-    v = shifted.selectExpr("*", f"explode(array({variants})) AS permuted").selectExpr(
-        SERIES, "units_sold", "permuted", *[f"CASE WHEN permuted = '{c}' THEN _p_{c} ELSE {c} END AS {c}" for c in feature_cols])
-    mape = model.transform(assemble(v, feature_cols)).groupBy("permuted").agg(
-        F.expr("avg(abs(greatest(prediction, 0.0D) - units_sold) / units_sold) * 100.0D AS mape"))
-    rise = mape.selectExpr("permuted AS feature", "greatest(0.0D, mape - max(CASE WHEN permuted = '__none__' THEN mape END) OVER ()) AS rise") \
-        .filter("feature <> '__none__'")
-    return rise.selectExpr("feature", "rise", "CASE WHEN sum(rise) OVER () > 0 THEN rise / sum(rise) OVER () ELSE 0.0D END AS importance")
-
-
-def nnls_ridge(xtx: np.ndarray, xty: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    """Non-negative ridge on centred moments by exhaustive active sets (k <= 3)."""
-    k = len(xty)
-    best, best_obj = np.zeros(k), math.inf
-    for r in range(k + 1):
-        for act in itertools.combinations(range(k), r):
-            b = np.zeros(k)
-            if act:
-                idx = list(act)
-                sol = np.linalg.solve(xtx[np.ix_(idx, idx)] + alpha * np.eye(len(idx)), xty[idx])
-                if np.any(sol < 0):
-                    continue
-                b[idx] = sol
-            obj = float(b @ xtx @ b - 2 * b @ xty + alpha * b @ b)
-            if obj < best_obj:
-                best, best_obj = b, obj
-    return best
+    a = xtx + alpha * np.eye(len(xty))
+    b, free = np.zeros(len(xty)), np.zeros(len(xty), bool)
+    tiny = 1e-12 * max(1.0, float(np.abs(xty).max(initial=0.0)))
+    while True:
+        gain = np.where(free, -np.inf, xty - a @ b)
+        if not len(b) or gain.max() <= tiny:
+            return b
+        free[int(np.argmax(gain))] = True
+        while True:
+            best = np.zeros_like(b)
+            best[free] = np.linalg.solve(a[np.ix_(free, free)], xty[free])
+            if (best[free] > 0).all():
+                b = best
+                break
+            # Go towards the solution until the first coefficient is zero; that one is bound again.
+            falling = free & (best <= 0)
+            step = float(np.min(b[falling] / np.maximum(b[falling] - best[falling], 1e-300)))
+            b = b + step * (best - b)
+            free &= b > tiny
+            b[~free] = 0.0
 
 
 def stack_blend(val_preds: DataFrame, test_preds: DataFrame, models: list[str]) -> tuple[DataFrame, dict]:
     """Fit the blend on validation predictions (wide: one column per model),
-    apply to test predictions. Only k×k moments reach the driver."""
+    apply to test predictions. Only k×k moments reach the driver, about the mean of each column."""
     cols = models
-    exprs = [F.expr("count(1) AS n"), F.expr("avg(actual) AS my")] + [F.expr(f"avg({c}) AS m_{c}") for c in cols]
-    exprs += [F.expr(f"sum({a} * {b}) AS s_{a}_{b}") for a in cols for b in cols] + [F.expr(f"sum({a} * actual) AS s_{a}_y") for a in cols]
+    exprs = [F.expr("avg(actual) AS my")] + [F.expr(f"avg({c}) AS m_{c}") for c in cols]
+    exprs += [F.expr(f"count(1) * covar_pop({a}, {b}) AS s_{a}_{b}") for i, a in enumerate(cols) for b in [*cols[i:], "actual"]]
     row = val_preds.agg(*exprs).first()
-    n = row["n"]
-    k = len(cols)
-    xtx = np.array([[row[f"s_{a}_{b}"] - n * row[f"m_{a}"] * row[f"m_{b}"] for b in cols] for a in cols], dtype=float)
-    xty = np.array([row[f"s_{a}_y"] - n * row[f"m_{a}"] * row["my"] for a in cols], dtype=float)
-    beta = nnls_ridge(xtx, xty) if k else np.zeros(0)
+    xtx = np.array([[row[f"s_{a}_{b}" if i <= j else f"s_{b}_{a}"] for j, b in enumerate(cols)] for i, a in enumerate(cols)], dtype=float)
+    beta = nnls_ridge(xtx, np.array([row[f"s_{a}_actual"] for a in cols], dtype=float))
     intercept = float(row["my"] - sum(beta[i] * row[f"m_{c}"] for i, c in enumerate(cols)))
     blend = " + ".join([D(intercept)] + [f"{D(float(beta[i]))} * {c}" for i, c in enumerate(cols)])
     out = test_preds.selectExpr(SERIES, "date", "actual", f"greatest(0.0D, {blend}) AS predicted")

@@ -213,21 +213,3 @@ def test_plain_bundle_folders(spark, tmp_path):
     assert tables["promotions"] is None and tables["inventory"].count() == 1 and tables["sentiment"].count() == 1
     products = IO.folder_catalog(spark, root).select("product")
     assert {r.product: r.status for r in IO.require_sales(products, IO.scan_folders(spark, root)).collect()} == {"rice": "OK", "lap top": "MISSING"}
-
-
-def test_forecasts_do_not_rise_with_the_price(spark):
-    """A stand-in model that rises with the price: the forecast takes the lowest price's value; a falling one is left alone."""
-    from pricefold.operators.ml import falling_forecast
-
-    class Model:
-        def __init__(self, slope):
-            self.slope = slope
-
-        def transform(self, df):
-            return df.selectExpr("*", f"100 * pow(unit_price / 10, {self.slope}) AS prediction")
-
-    cols = ["unit_price", "cost_per_unit", "comp_price_1", "price_ratio_comp1", "margin_ratio", "price_lag_1", "price_velocity", "discount_depth"]
-    rows = [("a", "2020-01-06", 90.0, 10.0, 6.0, 9.0, 1.1, 0.4, 10.0, 0.0, 0.1)]
-    data = spark.createDataFrame(rows, "sku_id string, date string, units_sold double, " + ", ".join(f"{c} double" for c in cols))
-    rising, falling = (falling_forecast(Model(k), data, cols, span=0.3).first() for k in (1.0, -2.0))
-    assert rising.predicted == pytest.approx(100 * np.exp(-0.3)) and falling.predicted == pytest.approx(100.0) and rising.actual == 90.0
