@@ -144,7 +144,7 @@ def first_centroids(rows: DataFrame, k: int, seed: str = "3") -> np.ndarray:
     """The k vectors with the smallest sha256 of ``seed:vec_id``; equal ids by their components, null ids last; all vectors, if fewer."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     picked = rows.withColumn("_key", key).orderBy(F.asc_nulls_last("_key"), "terms").limit(k).collect()  # k rows
-    return np.array([r["terms"] for r in picked], np.int64).reshape(len(picked), -1)
+    return np.array([r["terms"] for r in picked], np.int64) if picked else np.zeros((0, 0), np.int64)
 
 
 def clustered(rows: DataFrame, k: int = 8, rounds: int = 10, seed: str = "3") -> DataFrame:

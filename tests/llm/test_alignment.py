@@ -24,6 +24,7 @@ def brute(texts):
     for t in texts:
         raw = (" " + (t or "")).encode()
         e, right = library.encode(" " + (t or ""), add_special_tokens=False), sp.encode(t or "")
+        left = e.ids
         names = [sp.id_to_piece(i) for i in right]
         a = [bytes(byte[c] for c in x) for x in e.tokens]
         b = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(right, names)]
@@ -34,11 +35,11 @@ def brute(texts):
         links, groups, i, j = [], [], 0, 0
         for at in sorted(set(end_a) & set(end_b)):
             n, m = end_a.index(at, i) + 1, end_b.index(at, j) + 1
-            groups.append(",".join(map(str, e.ids[i:n])) + "|" + ",".join(map(str, right[j:m])))
-            links.append((e.ids[n - 1], right[m - 1]))
+            groups.append(",".join(map(str, left[i:n])) + "|" + ",".join(map(str, right[j:m])))
+            links.append((left[n - 1], right[m - 1]))
             i, j = n, m
         count.update(links)
-        found.append((len(a), len(b), links, ";".join(groups)))
+        found.append((len(left), len(right), links, ";".join(groups)))
     best = {}
     for (_, b), n in count.items():
         best[b] = max(best.get(b, 0), n)
