@@ -34,7 +34,7 @@ def whole_vectors(vectors: DataFrame, dims: int = 64, scale: int = 1024, vec_id:
     x = F.col(f"`{embedding}`").cast("array<double>")
     rows = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), x.alias("x")).where(f"x IS NOT NULL AND size(x) = {dims}")
     rows = rows.where("NOT exists(x, v -> v IS NULL OR isnan(v) OR abs(v) = double('Infinity'))")
-    whole = f"CASE WHEN abs(floor({scale} * v)) <= {MOST} THEN floor({scale} * v) ELSE raise_error('a component is beyond the range of exact distances') END"
+    whole = f"CASE WHEN abs({scale} * v) <= {MOST} THEN floor({scale} * v) ELSE raise_error('a component is beyond the range of exact distances') END"
     return rows.select("vec_id", F.expr(f"transform(x, v -> CAST({whole} AS INT))").alias("terms"))
 
 
