@@ -80,11 +80,3 @@ def t975(v: str) -> str:
         f" + {t4!r}D / ({vv} * {vv} * {vv} * {vv}))"
     )
 
-
-def t975_sql(v: str) -> str:
-    t1, t2, t3, t4 = _t_terms()
-    vv = f"CAST({v} AS DOUBLE)"
-    return (
-        f"({Z975!r} + {t1!r} / {vv} + {t2!r} / ({vv} * {vv}) + {t3!r} / ({vv} * {vv} * {vv})"
-        f" + {t4!r} / ({vv} * {vv} * {vv} * {vv}))"
-    )

@@ -110,6 +110,11 @@ def backtest_univariate(panel: DataFrame, window: int = BACKTEST_WINDOW, decay:
         SERIES, "date", "model", f"{_clamp('e')} AS elasticity", "pred AS predicted", "actual")
 
 
+def short_series(panel: DataFrame, window: int = BACKTEST_WINDOW) -> DataFrame:
+    """Series without a week after a whole training window: (sku_id, date of the last week, status)."""
+    return panel.groupBy(SERIES).agg({"*": "count", "date": "max"}).where(f"`count(1)` <= {window}").selectExpr(SERIES, "`max(date)` AS date", "'TOO_SHORT' AS status")
+
+
 def error_metrics(bt: DataFrame, keys: tuple[str, ...] = (SERIES, "model")) -> DataFrame:
     """MAE, MAPE, WMAPE, RMSE and elasticity mean / population std per group."""
     from pyspark.sql import functions as F
@@ -161,8 +166,9 @@ def rank_score_b(metrics: DataFrame, group: str = SERIES, exclude_model: str | N
 
 
 def backtest_window_weights(panel: DataFrame, window: int = 104, decay: float = 0.95) -> DataFrame:
-    """0.95^(rank from newest) over the latest ``window`` rows of each series,
+    """0.95^(rank from newest) over the latest ``window`` rows of each series (all rows of a shorter one),
     normalised to mean 1 (mean of a geometric sequence in closed form)."""
-    mean = f"((1.0D - pow({D(decay)}, {D(window)})) / (1.0D - {D(decay)}) / {D(window)})"
-    r = panel.selectExpr(SERIES, "date", f"row_number() OVER (PARTITION BY {SERIES} ORDER BY date DESC) - 1 AS rk").filter(f"rk < {window}")
+    n = f"CAST(least({window}, _n) AS DOUBLE)"
+    mean = f"((1.0D - pow({D(decay)}, {n})) / (1.0D - {D(decay)}) / {n})"
+    r = panel.selectExpr(SERIES, "date", f"row_number() OVER (PARTITION BY {SERIES} ORDER BY date DESC) - 1 AS rk", f"count(1) OVER (PARTITION BY {SERIES}) AS _n").filter(f"rk < {window}")
     return r.selectExpr(SERIES, "date", "CAST(rk AS BIGINT) AS rank_from_newest", f"pow({D(decay)}, CAST(rk AS DOUBLE)) / {mean} AS weight")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pricefold.plans.oracle_views import t975_sql, view
+from pricefold.plans.oracle_views import view
 
 TWO_PI = repr(2.0 * math.pi)
 
@@ -75,8 +75,9 @@ SELECT sku_id, n, cx, cy, mx, my, cxx, cxy, cyy,
        (n >= 10 AND cxx > 0) AS has_model,
        CASE WHEN n >= 10 AND cxx > 0 THEN cxy / cxx END AS slope,
        CASE WHEN n >= 10 AND cxx > 0 THEN
-         {t975_sql('(n - 2)')} * sqrt(greatest(0.0, cyy - (cxy / cxx) * cxy) / (n - 2) / cxx) END AS half
-FROM efit_c""")
+         (z + (z*z*z + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v * v) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3))
+           + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / (92160 * pow(v, 4))) * sqrt(greatest(0.0, cyy - (cxy / cxx) * cxy) / (n - 2) / cxx) END AS half
+FROM (SELECT *, 1.959963984540054::DOUBLE AS z, (n - 2)::DOUBLE AS v FROM efit_c) t""")
 
 view("efit_all", ("spiked", "efit_core"), """
 SELECT d.sku_id, coalesce(c.n, 0) AS n, c.cx, c.cy, c.mx, c.my, c.cxx, c.cxy, c.cyy,

@@ -6,7 +6,7 @@ resolves view dependencies and emits the CTEs in order.
 
 from __future__ import annotations
 
-from pricefold.functions.columns import sig_sql, t975_sql
+from pricefold.functions.columns import sig_sql
 
 S = sig_sql  # short alias used throughout the oracle text
 
@@ -118,5 +118,3 @@ LEFT JOIN (SELECT x.date, y.series_idx, x.unit_price FROM sales_demand x JOIN se
   ON c2.date = s.date AND c2.series_idx = (i.series_idx + 2) % i.n_series
 LEFT JOIN (SELECT x.date, y.series_idx, x.unit_price FROM sales_demand x JOIN series_index y USING (sku_id)) c3
   ON c3.date = s.date AND c3.series_idx = (i.series_idx + 3) % i.n_series""")
-
-__all__ = ["S", "VIEWS", "view", "with_views", "t975_sql"]  # t975_sql re-exported for oracle modules

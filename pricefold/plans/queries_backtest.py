@@ -8,16 +8,19 @@ from zlib import crc32
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricefold.functions.columns import TWO_PI, D
+from pricefold.functions.columns import TWO_PI, D, sig, sig_sql
 from pricefold.operators import backtest as BT
 from pricefold.operators import window_fits as WF
 from pricefold.plans import oracle_backtest  # noqa: F401  (its views)
 from pricefold.plans.oracle_views import with_views
+from pricefold.plans.queries_core import OPT_D, analysis
+from pricefold.plans.queries_models import dml_for
 from pricefold.plans.queries_table import _MEMO, bpanel_for, bundle_for
-from pricefold.plans.registry import register
+from pricefold.plans.registry import REGISTRY, register
 from pricefold.session import materialize, session_key
 from pricefold.sources import bundle_io as IO
 from pricefold.sources.panel import SERIES
+from pricefold.sources.tables import read_table
 
 
 def closed_for(spark, sf) -> DataFrame:
@@ -110,7 +113,7 @@ def q_fourier(spark, sf):
 def bundle_root(spark, sf) -> str:
     key = ("bundle_csv", session_key(spark), sf)
     if key not in _MEMO:
-        root = IO.output_root(spark, f"bundles-{crc32(sf.encode()):08x}")
+        root = IO.output_root(spark, f"bundles-{session_key(spark)}-{crc32(sf.encode()):08x}")
         b = bundle_for(spark, sf)
         IO.write_bundle({"sales": b.sales, "promotions": b.promotions, "inventory": b.inventory,
                          "competitor": b.competitor, "lifecycle": b.lifecycle,
@@ -132,43 +135,34 @@ def q_scan_catalog(spark, sf):
     return IO.scan_catalog(spark, bundle_root(spark, sf))
 
 
-@register("sink_csv")
+@register("sink_csv", with_views("SELECT * FROM optimum121", "optimum121"), doubles=OPT_D)
 def q_sink_csv(spark, sf):
-    """Write the optimal-price table as CSV to the shared output folder and read it back."""
-    from pricefold.plans.registry import REGISTRY
-
-    path = IO.output_root(spark, f"optimal-prices-{crc32(sf.encode()):08x}")
-    IO.sink_csv(REGISTRY["optimize_price"].run(spark, sf), path)
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """Write the optimal-price table as CSV to the shared output folder and read it back with its schema."""
+    path = IO.output_root(spark, f"optimal-prices-{session_key(spark)}-{crc32(sf.encode()):08x}")
+    table = REGISTRY["optimize_price"].run(spark, sf)
+    IO.sink_csv(table, path)
+    return spark.read.option("header", True).schema(table.schema).csv(path)
 
 
 @register("require_sales", with_views("""
 SELECT concat('Part#', CAST(p.p_partkey AS VARCHAR)) AS product, coalesce(n, 0) AS n_rows, CASE WHEN coalesce(n, 0) > 0 THEN 'OK' ELSE 'MISSING' END AS status
-FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem
-  WHERE date_trunc('week', l_shipdate)::DATE > (SELECT max(l_shipdate) FROM lineitem)::DATE - 182 GROUP BY 1) s ON s.l_partkey = p.p_partkey"""))
+FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) s ON s.l_partkey = p.p_partkey"""))
 def q_require_sales(spark, sf):
-    """Products of the catalogue (parts) without sales in the last 26 weeks are rejected."""
-    from pricefold.sources.tables import read_table
-
-    lines = read_table(spark, sf, "lineitem", ["l_partkey", "l_shipdate"])
-    last = lines.select(F.max(F.to_date("l_shipdate"))).scalar()
-    recent = lines.where(F.to_date(F.date_trunc("week", "l_shipdate")) > F.date_sub(last, 182))
-    sales = recent.selectExpr("concat('Part#', CAST(l_partkey AS STRING)) AS product")
+    """Products of the catalogue (parts) with their number of sales rows, whatever their date; those without any are rejected."""
+    sales = read_table(spark, sf, "lineitem", ["l_partkey"]).selectExpr("concat('Part#', CAST(l_partkey AS STRING)) AS product")
     catalogue = read_table(spark, sf, "part", ["p_partkey"]).selectExpr("concat('Part#', CAST(p_partkey AS STRING)) AS product")
     return IO.require_sales(catalogue, sales)
 
 
-@register("elasticity_map_json")
+@register("elasticity_map_json", with_views(f"""
+SELECT sku_id, '{{"DML":' || dml || ',"WLS":' || wls || '}}' AS elasticity_json, wls, -1.45 AS blend_or_default
+FROM (SELECT e.sku_id, {sig_sql('e.elasticity')} AS wls, {sig_sql('d.dml_elasticity')} AS dml FROM efit e JOIN dml d USING (sku_id)) t""", "efit", "dml"))
 def q_elasticity_map(spark, sf):
-    """Nested series → model → elasticity map as JSON, read back with the
+    """Nested series → model → elasticity map as JSON (models in name order, six digits), read back with the
     default (-1.45) for a model the map does not hold."""
-    from pricefold.plans.queries_models import dml_for
-    from pricefold.plans.queries_core import analysis
-
-    e = (analysis(spark, sf).fit.selectExpr(SERIES, "'WLS' AS model", "elasticity")
-         .unionByName(dml_for(spark, sf).selectExpr(SERIES, "'DML' AS model", "dml_elasticity AS elasticity")))
-    js = e.groupBy(SERIES).agg(F.expr("to_json(map_from_entries(collect_list(struct(model, elasticity)))) AS elasticity_json"))
+    e = (analysis(spark, sf).fit.selectExpr(SERIES, "'WLS' AS model", f"{sig('elasticity')} AS elasticity")
+         .unionByName(dml_for(spark, sf).selectExpr(SERIES, "'DML' AS model", f"{sig('dml_elasticity')} AS elasticity")))
+    js = e.groupBy(SERIES).agg(F.expr("to_json(map_from_entries(array_sort(collect_list(struct(model, elasticity))))) AS elasticity_json"))
     back = js.selectExpr(SERIES, "elasticity_json", "from_json(elasticity_json, 'map<string,double>') AS m")
     return back.selectExpr(SERIES, "elasticity_json", "coalesce(element_at(m, 'WLS'), -1.45D) AS wls",
                            "coalesce(element_at(m, 'Blend'), -1.45D) AS blend_or_default")
-

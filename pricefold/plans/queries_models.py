@@ -183,9 +183,13 @@ def metrics_for(spark, sf) -> DataFrame:
     return R.error_metrics(bt_for(spark, sf))
 
 
-@register("backtest_univariate", with_views("SELECT * FROM bt", "bt"), doubles=["elasticity", "predicted", "actual"])
+@register("backtest_univariate", with_views("""
+SELECT *, 'OK' AS status FROM bt
+UNION ALL SELECT sku_id, max(date), NULL, NULL, NULL, NULL, 'TOO_SHORT' FROM sales_demand GROUP BY sku_id HAVING count(*) <= 200""", "bt", "sales_demand"), doubles=["elasticity", "predicted", "actual"])
 def q_bt(spark, sf):
-    return bt_for(spark, sf)
+    """Every tested week of every model; a series of 200 weeks or fewer has one row that says so."""
+    tested = bt_for(spark, sf).selectExpr("*", "'OK' AS status")
+    return tested.unionByName(R.short_series(analysis(spark, sf).spiked), allowMissingColumns=True)
 
 
 @register("rolling_origin_join", with_views("""
@@ -339,7 +343,7 @@ def q_top3(spark, sf):
 
 @register("backtest_decay", with_views("""
 SELECT sku_id, date, CAST(rk AS BIGINT) AS rank_from_newest,
-       pow(0.95, CAST(rk AS DOUBLE)) / ((1.0 - pow(0.95, 104.0)) / (1.0 - 0.95) / 104.0) AS weight
+       pow(0.95, CAST(rk AS DOUBLE)) / avg(pow(0.95, CAST(rk AS DOUBLE))) OVER (PARTITION BY sku_id) AS weight
 FROM (SELECT sku_id, date, row_number() OVER (PARTITION BY sku_id ORDER BY date DESC) - 1 AS rk FROM sales_demand) t
 WHERE rk < 104""", "sales_demand"), doubles=["weight"])
 def q_backtest_decay(spark, sf):

@@ -121,17 +121,30 @@ def q_factor_report(spark, sf):
         "weight * 100.0D AS weight_pct", "CASE WHEN status LIKE '%Used%' THEN 'Active' ELSE 'Inactive' END AS model_status")
 
 
-@register("summary_record", None)
-def q_summary_record(spark, sf):
-    """Per-series analysis summary serialised to JSON (scalars, weight map, factor list)."""
-    a = analysis(spark, sf)
+def summary_json(a) -> DataFrame:
+    """(sku_id, summary_json): the analysis of each series as one JSON text: scalars, the weights by factor, the factors in name order."""
     ft = a.factor_table().groupBy(SERIES).agg(
-        F.expr("map_from_entries(collect_list(struct(factor, weight))) AS weights"),
-        F.expr("collect_list(struct(factor, factor_value, r2, reliability, status)) AS factor_results"))
-    s = a.summary.selectExpr(SERIES, "e_base", "ci_low", "ci_high", "mape", "p_base", "q_base", "cost_base").join(ft, SERIES)
+        F.expr("map_from_entries(array_sort(collect_list(struct(factor, weight)))) AS weights"),
+        F.expr("array_sort(collect_list(struct(factor, factor_value, r2, reliability, status))) AS factor_results"))
+    s = a.summary.selectExpr(SERIES, *SUMMARY_SCALARS).join(ft, SERIES)
     return s.selectExpr(SERIES, "to_json(struct(*)) AS summary_json")
 
 
+SUMMARY_SCALARS = ["e_base", "ci_low", "ci_high", "mape", "p_base", "q_base", "cost_base"]
+SUMMARY_SCHEMA = (", ".join(f"{c} double" for c in SUMMARY_SCALARS)
+                  + ", weights map<string,double>, factor_results array<struct<factor:string,factor_value:double,r2:double,reliability:string,status:string>>")
+
+
+@register("summary_record", with_views(f"""
+SELECT s.sku_id, {', '.join(f's.{c}' for c in SUMMARY_SCALARS)}, f.factor, f.factor_value, f.r2, f.reliability, f.status, f.weight
+FROM summary s JOIN fweights f USING (sku_id)""", "summary", "fweights"), doubles=[*SUMMARY_SCALARS, "factor_value", "r2", "weight"])
+def q_summary_record(spark, sf):
+    """The JSON records of all series, read back: scalars, and one row per factor with its weight."""
+    back = summary_json(analysis(spark, sf)).selectExpr(SERIES, f"from_json(summary_json, '{SUMMARY_SCHEMA}') AS j")
+    return back.selectExpr(SERIES, *[f"j.{c} AS {c}" for c in SUMMARY_SCALARS], "j.weights AS _w", "inline(j.factor_results)").selectExpr(
+        SERIES, *SUMMARY_SCALARS, "factor", "factor_value", "r2", "reliability", "status", "element_at(_w, factor) AS weight")
+
+
 # ------------------------------------------------------------------ guard rails
 view("hist_range", ("sales_demand",), "SELECT sku_id, min(unit_price) AS hist_min, max(unit_price) AS hist_max FROM sales_demand GROUP BY sku_id")
 

@@ -517,6 +517,16 @@ def q_cci_drop(spark, sf):
                                                   "coalesce((cci_lag4 - last_cci) > 10.0D, false) AS cci_drop_flag")
 
 
+@register("cci_drop_history", with_views("""
+SELECT date, cci_current, lag(cci_current, 4) OVER w - cci_current AS cci_drop, coalesce(lag(cci_current, 4) OVER w - cci_current > 10.0, false) AS cci_drop_flag
+FROM consumer_sentiment WINDOW w AS (ORDER BY date)""", "consumer_sentiment"), doubles=["cci_current", "cci_drop"])
+def q_cci_history(spark, sf):
+    """The same test at every week of the market's calendar, not only the latest."""
+    w = "OVER (ORDER BY date)"  # one row per week of the calendar
+    return bundle_for(spark, sf).sentiment.selectExpr("date", "cci_current", f"lag(cci_current, 4) {w} - cci_current AS cci_drop",
+                                                      f"coalesce(lag(cci_current, 4) {w} - cci_current > 10.0D, false) AS cci_drop_flag")
+
+
 @register("decay_weight", with_views("""
 SELECT sku_id, date,
        CASE WHEN cln THEN pow(0.92, date_diff('day', date, maxd) / 7.0) * rebaseline_weight_multiplier END AS w_elasticity,

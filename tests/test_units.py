@@ -213,3 +213,30 @@ def test_plain_bundle_folders(spark, tmp_path):
     assert tables["promotions"] is None and tables["inventory"].count() == 1 and tables["sentiment"].count() == 1
     products = IO.folder_catalog(spark, root).select("product")
     assert {r.product: r.status for r in IO.require_sales(products, IO.scan_folders(spark, root)).collect()} == {"rice": "OK", "lap top": "MISSING"}
+
+
+def test_hard_stops_fire_on_each_rule(spark):
+    """One series for each rule, one that breaks none, one that breaks all."""
+    from pricefold.operators.reports import hard_stops
+
+    calm = {"opt_pct": 5.0, "opt_price": 10.0, "e_eff": -2.0, "ci_low": -2.5, "ci_high": -1.5, "cci_lag4": 100.0, "last_cci": 95.0, "kind": "Type A", "answer": "NO"}
+    broken = {"opt_pct": -30.0, "e_eff": -6.0, "ci_high": 0.5, "last_cci": 80.0, "kind": None, "answer": "UNKNOWN"}
+    rows = {"calm": calm, "all": calm | broken} | {k: calm | {k: v} for k, v in broken.items()}
+    frame = lambda cols, types: spark.createDataFrame([(s, *[r[c] for c in cols]) for s, r in rows.items()], "sku_id string, " + ", ".join(f"{c} {t}" for c, t in zip(cols, types)))
+    opt, summary = frame(["opt_pct", "opt_price", "e_eff"], ["double"] * 3), frame(["ci_low", "ci_high", "cci_lag4", "last_cci"], ["double"] * 4)
+    spiked = frame(["kind"], ["string"]).selectExpr("sku_id", "true AS is_spike", "kind AS spike_type")
+    checklist = frame(["answer"], ["string"]).selectExpr("sku_id", "'H1' AS item", "answer")
+    got = {r.sku_id: r for r in hard_stops(opt, summary, spiked, checklist).collect()}
+    assert got["calm"].status == "CLEARED" and got["calm"].n_stops == 0
+    assert got["all"].n_stops == 6
+    words = {"opt_pct": "25%", "e_eff": "magnitude", "ci_high": "interval", "last_cci": "CCI dropped", "kind": "uncategorised", "answer": "H1"}
+    for k, word in words.items():
+        assert got[k].status == "BLOCKED" and got[k].n_stops == 1 and word in got[k].reasons
+
+
+def test_monitor_flags_a_fall_of_sentiment(spark, sf_dir):
+    """Over the whole calendar the drop is seen in some weeks and not in others."""
+    from pricefold.plans.registry import load_all
+
+    flags = {r.cci_drop_flag for r in load_all()["cci_drop_history"].run(spark, sf_dir).collect()}
+    assert flags == {True, False}
