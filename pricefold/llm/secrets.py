@@ -15,11 +15,15 @@ weak endpoint if an identifier and a secret do.
 | pass   | secret     | weak     | pass, pwd, pin, auth or key, = or :, and a value |
 | user   | identifier | weak     | user, login, account or client id, = or :, and a value |
 | host   | endpoint   | weak     | a URL, or host, server, endpoint or database, = or :, and a value |
+
+Values and URLs run to their delimiter, whatever their length, and scopes are measured from the true ends. A weak part that lies inside a
+strong one of its role is left out; one that reaches beyond it is kept whole.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,9 +40,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEY = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-_PASS = re.compile(r"""(?<![A-Za-z])(?:pass(?:phrase|code)?|pwd|pin|auth|key)["']?\x20*[:=]\x20*["']?([^\s"',;]{3,64})""", _ANY)
-_USER = re.compile(r"""(?<![A-Za-z])(?:user(?:_?name|_?id)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{2,64})""", _ANY)
-_HOST = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{3,256}|(?<![A-Za-z])(?:host(?:_?name)?|server|endpoint|database)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._:-]{3,128})""", _ANY)
+_PASS = re.compile(r"""(?<![A-Za-z])(?:pass(?:phrase|code)?|pwd|pin|auth|key)["']?\x20*[:=]\x20*["']?([^\s"',;]{3,})""", _ANY)
+_USER = re.compile(r"""(?<![A-Za-z])(?:user(?:_?name|_?id)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{2,})""", _ANY)
+_HOST = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{3,}|(?<![A-Za-z])(?:host(?:_?name)?|server|endpoint|database)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._:-]{3,})""", _ANY)
 
 # Words without which a pattern cannot match: a cheap test before the pattern runs.
 _NEEDS = (
@@ -66,9 +70,19 @@ def parts_of(text: str) -> list[tuple[str, int, int]]:
         value = m[0]
         if re.search(r"[A-Z]", value) and re.search(r"[a-z]", value) and re.search(r"[0-9]", value):
             out.append(("key", m.start(), m.end()))
-    # A weak part inside a strong one of its role says nothing new.
-    strong = [(ROLE[k], s, e) for k, s, e in out if k in STRONG]
-    return [(k, s, e) for k, s, e in out if k in STRONG or not any(r == ROLE[k] and s < b and a < e for r, a, b in strong)]
+    # A weak part inside a strong one of its role says nothing new: of the strong ones that start no later, does the furthest reach its end?
+    begins: dict[str, list[int]] = {}
+    reach: dict[str, list[int]] = {}
+    for k, s, e in sorted((p for p in out if p[0] in STRONG), key=lambda p: p[1]):
+        begins.setdefault(ROLE[k], []).append(s)
+        far = reach.setdefault(ROLE[k], [])
+        far.append(max(e, far[-1]) if far else e)
+
+    def inside(k: str, s: int, e: int) -> bool:
+        at = bisect_right(begins.get(ROLE[k], []), s)
+        return at > 0 and reach[ROLE[k]][at - 1] >= e
+
+    return [(k, s, e) for k, s, e in out if k in STRONG or not inside(k, s, e)]
 
 
 _PARTS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

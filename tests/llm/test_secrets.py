@@ -98,3 +98,33 @@ def test_query_digest(spark, tmp_path, make_docs):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex"))
         assert [s for s in r.spans.split(",") if s.split(":")[0] in secrets.STRONG] == base
     assert secrets.secrets(make_docs([])).count() == 0
+
+
+def test_values_and_urls_of_any_length(make_docs):
+    """Values run to their delimiter and scopes start at their true ends."""
+    long, url = "x9" * 5_000, "https://example.com/" + "p/" * 5_000
+    texts = [f"user=bob auth={long} end", f"{url} auth=qwerty99", f"user={long} pass=abc", f"host={long} user=bob pass=abc", f"user=bob {url} x pass={long}!@# tail"]
+    got = spans(make_docs, texts)
+    at = len(url) + 1
+    assert got == [
+        ["user:0:8", f"pass:9:{14 + len(long)}"],
+        [f"pass:{at}:{at + 13}"],
+        [f"user:0:{5 + len(long)}", f"pass:{6 + len(long)}:{14 + len(long)}"],
+        [f"host:0:{5 + len(long)}", f"user:{6 + len(long)}:{14 + len(long)}", f"pass:{15 + len(long)}:{23 + len(long)}"],
+        [f"host:9:{9 + len(url)}", f"pass:{12 + len(url)}:{20 + len(url) + len(long)}"],  # the name is farther from the secret than a scope
+    ]
+
+
+def test_weak_parts_inside_strong_ones(make_docs):
+    got = spans(make_docs, ["user=bob api_key=abcdef123", "user=bob api_key=abcdef123!@#"])
+    assert got == [["user:0:8", "assign:9:26"], ["user:0:8", "assign:9:26", "pass:13:29"]]
+
+
+def test_many_parts_in_one_text():
+    """100,000 weak parts beside 100,000 strong ones: time grows with the number of parts, not with its square."""
+    import time
+
+    began = time.process_time()
+    found = secrets.parts_of("pass=abc token=abcdef " * 100_000)
+    assert len(found) == 200_000
+    assert time.process_time() - began < 20
