@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,9 @@ META = "▁"
 #: Vectors that one node of the tree adds up, and entries of a slice.
 FAN_IN = 16
 SLICE = 1 << 16
-#: Tokens that an alignment step holds.
-STEP_TOKENS = 1 << 20
+#: Bytes of text that an encoding step holds, and tokens that an alignment step holds.
+STEP_BYTES = 1 << 20
+STEP_TOKENS = 1 << 18
 
 
 # ---------------------------------------------------------------- encoding
@@ -114,17 +116,22 @@ def _spaced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, to
 
 
-def _cells(ids: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Binary cells of the 32-bit ids of each text."""
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer((first * 4).astype(np.int64)), pa.py_buffer(ids.astype(np.int32))])
+def _width(vocabulary: int) -> type:
+    """Type of the ids of a vocabulary of this size in stored cells."""
+    return np.uint16 if vocabulary <= 1 << 16 else np.int32
 
 
-def _values(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The opposite of _cells."""
-    col = col.cast(pa.large_binary())
-    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+def _cells(ids: np.ndarray, first: np.ndarray, kind: type) -> pa.Array:
+    """Binary cells of the ids of each text."""
+    cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer((first * np.dtype(kind).itemsize).astype(np.int64)), pa.py_buffer(ids.astype(kind))])
+    return cells.cast(pa.binary())
+
+
+def _values(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The opposite of _cells: (ids, first)."""
+    offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
-    return np.frombuffer(data.tobytes(), np.int32).astype(np.int64), (offs - offs[0]) // 4
+    return np.frombuffer(data.tobytes(), kind).astype(np.int64), (offs - offs[0]) // np.dtype(kind).itemsize
 
 
 def encoded(docs: DataFrame, a: Vocabulary, b: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,14 +141,14 @@ def encoded(docs: DataFrame, a: Vocabulary, b: Pieces, doc_id: str = "doc_id", t
 
     def encode(batches):
         first_of, second = Encoder(a), PieceEncoder(b)
-        for rows, data, offs in steps(batches):
+        for rows, data, offs in steps(batches, most=STEP_BYTES):
             data, offs = _spaced(data, offs)
             left = first_of.tokens(data, offs)
             # A byte-level vocabulary has a token for every byte: its tokens' ends cover the texts.
             left_first = np.searchsorted(np.concatenate(([0], np.cumsum(a.lengths[left]))), offs)
             right, right_first, equal = second.tokens(data, offs)
-            use = [_kept(left, left_first, equal), _kept(right, right_first, equal)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[_cells(*x).cast(pa.binary()) for x in use]], names=["doc_id", "a", "b"])
+            cells = [_cells(*_kept(left, left_first, equal), _width(len(a.lengths))), _cells(*_kept(right, right_first, equal), _width(len(b.bytes_of)))]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *cells], names=["doc_id", "a", "b"])
 
     return rows.mapInArrow(encode, f"doc_id {kind}, a binary, b binary")
 
@@ -174,13 +181,13 @@ class Aligned:
 def aligned(batches, length_a: np.ndarray, length_b: np.ndarray):
     """Align encoded documents, about STEP_TOKENS tokens (or one longer document) at a time."""
     for batch in batches:
-        at, size = 0, (np.diff(_values(batch.column("a"))[1]) if batch.num_rows else np.zeros(0, np.int64))
-        upto = np.concatenate(([0], np.cumsum(size)))
+        at, kinds = 0, (_width(len(length_a)), _width(len(length_b)))
+        upto = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column("a")).to_numpy(zero_copy_only=False)))) // np.dtype(kinds[0]).itemsize
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(upto, upto[at] + STEP_TOKENS, side="right")) - 1)
             rows = batch.slice(at, end - at)
-            left, left_first = _values(rows.column("a"))
-            right, right_first = _values(rows.column("b"))
+            left, left_first = _values(rows.column("a"), kinds[0])
+            right, right_first = _values(rows.column("b"), kinds[1])
             ends_a, ends_b = np.cumsum(length_a[left]), np.cumsum(length_b[right])
             place = np.searchsorted(ends_b, ends_a)
             place[place == len(ends_b)] = 0
