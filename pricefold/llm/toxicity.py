@@ -6,8 +6,11 @@ its symbols: bytes of letters and digits. Its features are all subsequences of t
 skipped place. So "id-iot" and "idxiot" share most of the features of "idiot". The kernel of two units is the inner
 product of their features, scaled by the lengths of both.
 
-Model. Units of labelled training texts are samples weighted by the number of toxic and of clean texts that hold
-them. ``LANDMARKS`` units span the Nyström space; a squared-hinge SVM is fitted there by Newton steps. As the kernel's
+Model. A text is toxic for a few of its units. Every unit of a clean labelled text is a clean sample, weighted by the
+number of clean texts that hold it; of a toxic text the ``WITNESSES`` units with the strongest evidence over the
+whole sample are toxic samples. All units take part, however rare. ``LANDMARKS`` units span the Nyström space; a squared-hinge SVM is fitted there by
+Newton steps: tasks hold the samples' Nyström features and return the loss, gradient and Hessian at given weights, which
+are of fixed size and the only things that reach the driver, besides the landmarks. As the kernel's
 features are explicit, the fitted function folds to one weight per feature: scoring a unit is a few table look-ups.
 A text's score is a logistic function, fitted on the same training texts, of its three highest unit margins, the number of units that lean toxic, and its length.
 
@@ -21,11 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricefold.llm.common import crc_bucket, lowered, steps, word_hashes, word_spans
+from pricefold.llm.common import crc_bucket, lowered, steps, stored, word_hashes, word_spans
 
 SAMPLE = 8_000
 LANDMARKS = 384
@@ -36,8 +39,11 @@ C = 10.0
 FEATURES = 5
 #: Features are hashed to this many cells.
 CELL_BITS = 18
-#: A unit is a training sample from this number of texts on.
-LEAST_TEXTS = 4
+#: Units of a toxic text that are toxic samples.
+WITNESSES = 2
+#: Tasks of the fit, and samples in a block of features.
+FIT_TASKS = 12
+BLOCK = 512
 
 _START, _END = 1, 2
 #: Offsets (second symbol from the first, third from the second) whose span fits.
@@ -163,40 +169,43 @@ def _probability(x: np.ndarray, text: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- training
 
 
-def _newton(phi: np.ndarray, pos: np.ndarray, neg: np.ndarray, c: float = C, rounds: int = 30, block: int = 4096) -> np.ndarray:
-    """Weights and bias of the squared-hinge SVM in which row i is a toxic sample pos[i] and a clean one neg[i] times."""
-    n, m = phi.shape
+def block_sums(phi: np.ndarray, pos: np.ndarray, neg: np.ndarray, w: np.ndarray, c: float = C) -> np.ndarray:
+    """Loss, gradient and Hessian (flat, without the penalty) of the squared hinge at weights w (bias last).
+
+    Row i of phi is a toxic sample pos[i] and a clean one neg[i] times.
+    """
+    x = np.hstack([phi, np.ones((len(phi), 1), phi.dtype)])
+    f = (x @ w.astype(x.dtype)).astype(float)
+    ap, an = pos * (f < 1), neg * (f > -1)
+    loss = c * ((ap * (1 - f) ** 2).sum() + (an * (1 + f) ** 2).sum())
+    grad = x.T @ (2 * c * (ap * (f - 1) + an * (f + 1))).astype(x.dtype)
+    hess = (x.T * (2 * c * (ap + an)).astype(x.dtype)) @ x
+    return np.concatenate(([loss], grad.astype(float), hess.astype(float).ravel()))
+
+
+def newton(sums, m: int, rounds: int = 30) -> np.ndarray:
+    """Weights and bias of the squared-hinge SVM over m features; sums(w): block_sums added over all samples."""
     reg = np.ones(m + 1)
     reg[-1] = 1e-3
-    w = np.zeros(m + 1)
-    parts = [slice(i, min(i + block, n)) for i in range(0, n, block)]
 
-    def margin(w):
-        return phi @ w[:-1].astype(phi.dtype) + w[-1]
+    def at(w):
+        s = sums(w)
+        return s[0] + 0.5 * (reg * w * w).sum(), s[1 : m + 2] + reg * w, s[m + 2 :].reshape(m + 1, m + 1) + np.diag(reg)
 
-    def loss(w, f):
-        return 0.5 * (reg * w * w).sum() + c * ((pos * np.maximum(0, 1 - f) ** 2).sum() + (neg * np.maximum(0, 1 + f) ** 2).sum())
-
-    f = margin(w)
-    now = loss(w, f)
+    w = np.zeros(m + 1)
+    loss, grad, hess = at(w)
     for _ in range(rounds):
-        ap, an = pos * (f < 1), neg * (f > -1)
-        slope, bend = 2 * c * (ap * (f - 1) + an * (f + 1)), 2 * c * (ap + an)
-        grad, hess = reg * w, np.diag(reg)
-        for p in parts:
-            x = np.hstack([phi[p].astype(float), np.ones((p.stop - p.start, 1))])
-            grad += x.T @ slope[p]
-            hess += (x.T * bend[p]) @ x
-        move = np.linalg.solve(hess, grad)
-        step, before = 1.0, now
-        while step > 1e-4:
-            f = margin(w - step * move)
-            now = loss(w - step * move, f)
-            if now <= before:
+        move, step = np.linalg.solve(hess, grad), 1.0
+        while True:
+            new = at(w - step * move)
+            if new[0] <= loss or step < 1e-4:
                 break
             step /= 2
-        w = w - step * move
-        if before - now < 1e-6 * max(1.0, before):
+        if new[0] > loss:
+            break
+        before = loss
+        w, (loss, grad, hess) = w - step * move, new
+        if before - loss < 1e-6 * max(1.0, before):
             break
     return w
 
@@ -207,55 +216,114 @@ def _encode(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends
 
 
-def fit_units(units: list[str], pos: np.ndarray, neg: np.ndarray, landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
-    """(weight per cell, bias) from distinct units and the numbers of toxic and clean texts that hold them."""
-    weight = np.zeros(1 << CELL_BITS, np.float32)
-    if not len(units) or not pos.sum() or not neg.sum():
-        return weight, 0.0
-    rate = lambda n: (n + 0.5) / (n.sum() + 1)
-    odds = pos * np.log(rate(pos) / rate(neg))
-    toxic = np.argsort(-odds, kind="stable")[: landmarks // 2]
-    toxic = toxic[odds[toxic] > 0]
-    clean = np.argsort(-(neg - pos * 1e3 * (odds > 0)), kind="stable")[: landmarks - len(toxic)]
-    marks = np.unique(np.concatenate((toxic, clean)))
-    data, starts, ends = _encode(units)
-
-    def stream(which):
-        sym, place, bounds = symbol_stream(data, starts[which], ends[which])
-        unit = np.repeat(np.arange(len(which)), np.diff(bounds))
-        parts = [(unit[r], k, w) for r, k, w in triples(sym, place, bounds)]
-        u, k, w = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        scale = 1 / np.sqrt(np.maximum(np.bincount(u, w.astype(float) ** 2, len(which)), 1e-12))
-        return u, k, w * scale[u]
-
-    u, k, w = stream(marks)
-    cells, at = np.unique(k, return_inverse=True)
-    table = np.zeros((len(cells) + 1, len(marks)), np.float32)  # the last row: cells of no landmark
-    np.add.at(table, (at, u), w)
-    where = np.full(1 << CELL_BITS, len(cells), np.int64)
-    where[cells] = np.arange(len(cells))
-
-    def kernel(which):
-        u, k, w = stream(which)
-        k = where[k]
-        u, k, w = u[k < len(cells)], k[k < len(cells)], w[k < len(cells)]
+def _rows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, cell, weight) of the units' features, scaled to length 1."""
+    sym, place, bounds = symbol_stream(data, starts, ends)
+    unit = np.repeat(np.arange(len(starts)), np.diff(bounds))
+    parts = [(unit[r], k, w) for r, k, w in triples(sym, place, bounds)]
+    u, k, w = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+    scale = 1 / np.sqrt(np.maximum(np.bincount(u, w.astype(float) ** 2, len(starts)), 1e-12))
+    return u, k, (w * scale[u]).astype(np.float32)
+
+
+class Landmarks:
+    """The Nyström space of some units: features of a unit are its kernel with the landmarks, whitened."""
+
+    def __init__(self, units: list[str]):
+        self.n = len(units)
+        u, k, w = _rows(*_encode(units))
+        self.cells, at = np.unique(k, return_inverse=True)
+        self.table = np.zeros((len(self.cells), self.n), np.float32)
+        np.add.at(self.table, (at, u), w)
+        self.where = np.full(1 << CELL_BITS, -1, np.int64)
+        self.where[self.cells] = np.arange(len(self.cells))
+        values, vectors = np.linalg.eigh(self.kernel(units).astype(float))
+        good = values > 1e-6 * values.max()
+        self.root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
+
+    def kernel(self, units: list[str]) -> np.ndarray:
+        u, k, w = _rows(*_encode(units))
+        k = self.where[k]
+        u, k, w = u[k >= 0], k[k >= 0], w[k >= 0]
         order = np.argsort(u, kind="stable")
         u, k, w = u[order], k[order], w[order]
-        out = np.zeros((len(which), len(marks)), np.float32)
+        out = np.zeros((len(units), self.n), np.float32)
         if len(u):
             heads = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
-            out[u[heads]] = np.add.reduceat(table[k] * w[:, None], heads)
+            out[u[heads]] = np.add.reduceat(self.table[k] * w[:, None], heads)
         return out
 
-    values, vectors = np.linalg.eigh(kernel(marks).astype(float))
-    good = values > 1e-6 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
-    phi = np.empty((len(units), root.shape[1]), np.float32)
-    for i in range(0, len(units), 250):
-        phi[i : i + 250] = kernel(np.arange(i, min(i + 250, len(units)))) @ root
-    w = _newton(phi, pos.astype(float), neg.astype(float))
-    weight[cells] = table[:-1] @ (root @ w[:-1])
-    return weight, float(w[-1])
+    def features(self, units: list[str], block: int = 256) -> np.ndarray:
+        parts = [self.kernel(units[i : i + block]) @ self.root for i in range(0, len(units), block)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.root.shape[1]), np.float32)
+
+    def folded(self, w: np.ndarray) -> tuple[np.ndarray, float]:
+        """(weight per cell, bias) of the fitted function."""
+        weight = np.zeros(1 << CELL_BITS, np.float32)
+        weight[self.cells] = self.table @ (self.root.astype(float) @ w[:-1])
+        return weight, float(w[-1])
+
+
+def samples_of(units: DataFrame, witnesses: int = WITNESSES) -> DataFrame:
+    """(unit, pos, neg, odds) from (key, toxic, units) of the training texts.
+
+    neg: clean texts that hold the unit; pos: toxic texts in which it is one of the strongest units. A unit's evidence is the number of
+    toxic texts that hold it times the log of its rate in them over its rate in clean ones; equal evidence goes by the unit.
+    odds: the same from pos and neg. Equal rows of a text (same key) count each.
+    """
+    each = units.select("key", "toxic", F.explode("units").alias("unit")).groupBy("key", "toxic", "unit").agg(F.count("*").alias("n"))
+    counts = each.groupBy("unit").agg(F.sum(F.expr("n * toxic")).alias("pos"), F.sum(F.expr("n * (1 - toxic)")).alias("neg"))
+
+    def evidence(counts: DataFrame) -> DataFrame:
+        total = lambda c: counts.select(F.coalesce(F.sum(c), F.lit(0))).scalar()
+        rate = lambda c: (F.col(c) + 0.5) / (total(c) + 1)
+        return counts.withColumn("odds", F.col("pos") * F.log(rate("pos") / rate("neg")))
+
+    strongest = Window.partitionBy("key").orderBy(F.desc("odds"), "unit")
+    seen = each.where("toxic = 1").join(evidence(counts).select("unit", "odds"), "unit").withColumn("rank", F.row_number().over(strongest))
+    witness = seen.where(F.col("rank") <= witnesses).groupBy("unit").agg(F.sum("n").alias("pos"))
+    return evidence(counts.select("unit", "neg").join(witness, "unit", "left").select("unit", F.coalesce("pos", F.lit(0)).alias("pos"), "neg"))
+
+
+def fit_units(samples: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
+    """(weight per cell, bias) fitted on samples (unit, pos, neg, odds); zeros if one class is missing.
+
+    Landmarks: the toxic samples of strongest evidence, up to half, and the commonest clean ones.
+    """
+    zero = np.zeros(1 << CELL_BITS, np.float32), 0.0
+    toxic = [r["unit"] for r in samples.where("odds > 0").orderBy(F.desc("odds"), "unit").limit(landmarks // 2).select("unit").collect()]
+    clean = [r["unit"] for r in samples.where("odds <= 0 AND neg > 0").orderBy(F.desc("neg"), "unit").limit(landmarks - len(toxic)).select("unit").collect()]
+    if not toxic or not clean:
+        return zero
+    marks = sorted(toxic + clean)
+    space = Landmarks(marks)
+    m = space.root.shape[1]
+
+    def features(batches):
+        own = Landmarks(marks)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                rows = batch.slice(at, BLOCK)
+                phi = own.features(rows.column("unit").to_pylist())
+                cells = [phi.astype(np.float32).tobytes(), *(rows.column(c).to_numpy().astype(float).tobytes() for c in ("pos", "neg"))]
+                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["phi", "pos", "neg"])
+
+    used = samples.where("pos + neg > 0").select("unit", "pos", "neg").repartition(FIT_TASKS)  # a bounded sample's units
+    blocks = used.mapInArrow(features, "phi binary, pos binary, neg binary").cache()
+
+    def sums(w):
+        def add(batches):
+            total = np.zeros(1 + (m + 1) + (m + 1) ** 2)
+            for batch in batches:
+                for phi, pos, neg in zip(*(batch.column(c) for c in ("phi", "pos", "neg"))):
+                    total += block_sums(np.frombuffer(phi.as_buffer(), np.float32).reshape(-1, m), np.frombuffer(pos.as_buffer()), np.frombuffer(neg.as_buffer()), w)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["s"])
+
+        return sum(np.frombuffer(r["s"]) for r in blocks.mapInArrow(add, "s binary").toLocalIterator())  # FIT_TASKS rows of fixed size
+
+    w = newton(sums, m)
+    blocks.unpersist()
+    return space.folded(w)
 
 
 def fit_texts(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -282,15 +350,15 @@ def _units_of_texts(batches):
         raw = data.tobytes()
         units = [list({raw[s:e] for s, e in zip(starts[a:b], ends[a:b])}) for a, b in zip(first[:-1], first[1:])]
         units = [[u.decode("utf-8", "replace") for u in us] for us in units]
-        yield pa.RecordBatch.from_arrays([rows.column("toxic"), pa.array(units, pa.list_(pa.string()))], names=["toxic", "units"])
+        yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("toxic"), pa.array(units, pa.list_(pa.string()))], names=["key", "toxic", "units"])
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int = 0) -> DataFrame:
-    """(toxic, text): at most ``sample`` labelled texts outside the held-out fold, by lowest hash of doc_id."""
+    """(key, toxic, text): at most ``sample`` labelled texts outside the held-out fold, by lowest hash of doc_id."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(crc_bucket(F.col("_id")) != held_out).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(known), "_id").select("toxic", "text")  # at most SAMPLE rows
+    return texts.join(F.broadcast(known), "_id").select(F.xxhash64("_id", "text").alias("key"), "toxic", "text")  # at most SAMPLE rows
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int = 0) -> Model:
@@ -301,10 +369,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
     """
     spark = docs.sparkSession
     texts = training_texts(docs, labels, sample, held_out).cache()
-    held = texts.mapInArrow(_units_of_texts, "toxic int, units array<string>").select("toxic", F.explode("units").alias("unit"))
-    counts = held.groupBy("unit").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-    found = counts.where(F.col("pos") + F.col("neg") >= LEAST_TEXTS).toArrow().sort_by("unit")  # units of the bounded sample
-    weight, bias = fit_units(found["unit"].to_pylist(), found["pos"].to_numpy(), found["neg"].to_numpy())
+    units = texts.mapInArrow(_units_of_texts, "key long, toxic int, units array<string>")
+    weight, bias = fit_units(stored(samples_of(units), "samples"))
     sent = spark.sparkContext.broadcast(cloudpickle.dumps((weight, bias)))
 
     names = [f"x{i}" for i in range(FEATURES)]

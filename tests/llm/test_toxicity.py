@@ -114,5 +114,44 @@ def test_newton_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5))
     y = x[:, 0] - 0.5 * x[:, 1] > 0
-    w = toxicity._newton(x, y.astype(float), (~y).astype(float))
+    w = toxicity.newton(lambda w: toxicity.block_sums(x, y.astype(float), (~y).astype(float), w), 5)
     assert ((x @ w[:-1] + w[-1] > 0) == y).mean() > 0.97
+
+
+def samples(spark, rows, witnesses=toxicity.WITNESSES):
+    return toxicity.samples_of(spark.createDataFrame(rows, "key long, toxic int, units array<string>"), witnesses)
+
+
+def test_every_unit_stays_and_toxic_texts_have_their_witnesses(spark):
+    rows = [(1, 1, ["idiot", "alone", "the", "of", "and"]), (2, 1, ["idiot", "the", "of", "and", "rare"]), (2, 1, ["idiot", "the", "of", "and", "rare"]), (3, 0, ["the", "of", "and", "once"]), (4, 0, ["the", "of", "and"])]
+    got = {r.unit: (r.pos, r.neg) for r in samples(spark, rows, 3).collect()}
+    assert got == {"idiot": (3, 0), "alone": (1, 0), "rare": (2, 0), "and": (3, 2), "the": (0, 2), "of": (0, 2), "once": (0, 1)}
+
+
+def test_fit_on_spark_equals_one_block(spark):
+    """Brute force: the same SVM solved over all samples at once, by gradient descent on the explicit kernel's Nyström features."""
+    rows = [(i, int(i % 4 == 0), words(12, i) + (["idiot", "worth-less"] if i % 4 == 0 else [])) for i in range(80)]
+    found = samples(spark, rows)
+    weight, bias = toxicity.fit_units(found, landmarks=40)
+    table = found.where("pos + neg > 0").toPandas()
+    toxic = found.where("odds > 0").toPandas().sort_values(["odds", "unit"], ascending=[False, True]).unit[:20].tolist()
+    clean = found.where("odds <= 0 AND neg > 0").toPandas().sort_values(["neg", "unit"], ascending=[False, True]).unit[: 40 - len(toxic)].tolist()
+    space = toxicity.Landmarks(sorted(toxic + clean))
+    phi, pos, neg = space.features(table.unit.tolist()).astype(float), table.pos.to_numpy(float), table.neg.to_numpy(float)
+    x, reg = np.hstack([phi, np.ones((len(phi), 1))]), np.append(np.ones(phi.shape[1]), 1e-3)
+
+    def gradient(w):
+        f = x @ w
+        return reg * w + 2 * toxicity.C * x.T @ (pos * np.minimum(f - 1, 0) + neg * np.maximum(f + 1, 0))
+
+    w = np.zeros(x.shape[1])
+    rate = 1 / (2 * toxicity.C * np.linalg.norm((x.T * (pos + neg)) @ x, 2) + 1)
+    momentum, last = w.copy(), 1.0
+    for _ in range(20_000):
+        new = momentum - rate * gradient(momentum)
+        now = (1 + (1 + 4 * last**2) ** 0.5) / 2
+        momentum, w, last = new + (last - 1) / now * (new - w), new, now
+    want, b = space.folded(w)
+    data, starts, ends = toxicity._encode(table.unit.tolist())
+    got = toxicity.margins(data, starts, ends, weight, bias)
+    assert got == pytest.approx(toxicity.margins(data, starts, ends, want, b), abs=2e-2)
