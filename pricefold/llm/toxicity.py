@@ -178,8 +178,10 @@ def block_sums(phi: np.ndarray, pos: np.ndarray, neg: np.ndarray, w: np.ndarray,
     f = (x @ w.astype(x.dtype)).astype(float)
     ap, an = pos * (f < 1), neg * (f > -1)
     loss = c * ((ap * (1 - f) ** 2).sum() + (an * (1 + f) ** 2).sum())
-    grad = x.T @ (2 * c * (ap * (f - 1) + an * (f + 1))).astype(x.dtype)
-    hess = (x.T * (2 * c * (ap + an)).astype(x.dtype)) @ x
+    slope, bend = 2 * c * (ap * (f - 1) + an * (f + 1)), 2 * c * (ap + an)
+    near = bend > 0  # the others lie beyond the margin and add nothing
+    x, slope, bend = x[near], slope[near].astype(x.dtype), bend[near].astype(x.dtype)
+    grad, hess = x.T @ slope, (x.T * bend) @ x
     return np.concatenate(([loss], grad.astype(float), hess.astype(float).ravel()))
 
 
@@ -271,18 +273,18 @@ def samples_of(units: DataFrame, witnesses: int = WITNESSES) -> DataFrame:
     toxic texts that hold it times the log of its rate in them over its rate in clean ones; equal evidence goes by the unit.
     odds: the same from pos and neg. Equal rows of a text (same key) count each.
     """
-    each = units.select("key", "toxic", F.explode("units").alias("unit")).groupBy("key", "toxic", "unit").agg(F.count("*").alias("n"))
-    counts = each.groupBy("unit").agg(F.sum(F.expr("n * toxic")).alias("pos"), F.sum(F.expr("n * (1 - toxic)")).alias("neg"))
+    each = stored(units.select("key", "toxic", F.explode("units").alias("unit")).groupBy("key", "toxic", "unit").agg(F.count("*").alias("n")), "units")
+    counts = stored(each.groupBy("unit").agg(F.sum(F.expr("n * toxic")).alias("pos"), F.sum(F.expr("n * (1 - toxic)")).alias("neg")), "counts")
 
     def evidence(counts: DataFrame) -> DataFrame:
-        total = lambda c: counts.select(F.coalesce(F.sum(c), F.lit(0))).scalar()
-        rate = lambda c: (F.col(c) + 0.5) / (total(c) + 1)
+        total = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("neg")).first()  # two numbers
+        rate = lambda c: (F.col(c) + 0.5) / (total[c] + 1)
         return counts.withColumn("odds", F.col("pos") * F.log(rate("pos") / rate("neg")))
 
     strongest = Window.partitionBy("key").orderBy(F.desc("odds"), "unit")
     seen = each.where("toxic = 1").join(evidence(counts).select("unit", "odds"), "unit").withColumn("rank", F.row_number().over(strongest))
     witness = seen.where(F.col("rank") <= witnesses).groupBy("unit").agg(F.sum("n").alias("pos"))
-    return evidence(counts.select("unit", "neg").join(witness, "unit", "left").select("unit", F.coalesce("pos", F.lit(0)).alias("pos"), "neg"))
+    return evidence(stored(counts.select("unit", "neg").join(witness, "unit", "left").select("unit", F.coalesce("pos", F.lit(0)).alias("pos"), "neg"), "samples"))
 
 
 def fit_units(samples: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
@@ -319,7 +321,7 @@ def fit_units(samples: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarra
                     total += block_sums(np.frombuffer(phi.as_buffer(), np.float32).reshape(-1, m), np.frombuffer(pos.as_buffer()), np.frombuffer(neg.as_buffer()), w)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["s"])
 
-        return sum(np.frombuffer(r["s"]) for r in blocks.mapInArrow(add, "s binary").toLocalIterator())  # FIT_TASKS rows of fixed size
+        return sum(np.frombuffer(r["s"]) for r in blocks.mapInArrow(add, "s binary").collect())  # FIT_TASKS rows of fixed size
 
     w = newton(sums, m)
     blocks.unpersist()
@@ -370,7 +372,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
     spark = docs.sparkSession
     texts = training_texts(docs, labels, sample, held_out).cache()
     units = texts.mapInArrow(_units_of_texts, "key long, toxic int, units array<string>")
-    weight, bias = fit_units(stored(samples_of(units), "samples"))
+    weight, bias = fit_units(samples_of(units))
     sent = spark.sparkContext.broadcast(cloudpickle.dumps((weight, bias)))
 
     names = [f"x{i}" for i in range(FEATURES)]
