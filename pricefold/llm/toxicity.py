@@ -319,9 +319,14 @@ def fit_units(samples: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarra
             for batch in batches:
                 for phi, pos, neg in zip(*(batch.column(c) for c in ("phi", "pos", "neg"))):
                     total += block_sums(np.frombuffer(phi.as_buffer(), np.float32).reshape(-1, m), np.frombuffer(pos.as_buffer()), np.frombuffer(neg.as_buffer()), w)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["s"])
-
-        return sum(np.frombuffer(r["s"]) for r in blocks.mapInArrow(add, "s binary").collect())  # FIT_TASKS rows of fixed size
+            # The Hessian is symmetric: half of it, which keeps a task's result small.
+            half = total[m + 2 :].reshape(m + 1, m + 1)[np.triu_indices(m + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((total[: m + 2], half)).tobytes()])], names=["s"])
+
+        parts = sum(np.frombuffer(r["s"]) for r in blocks.mapInArrow(add, "s binary").collect())  # FIT_TASKS rows of fixed size
+        hess = np.zeros((m + 1, m + 1))
+        hess[np.triu_indices(m + 1)] = parts[m + 2 :]
+        return np.concatenate((parts[: m + 2], (hess + np.triu(hess, 1).T).ravel()))
 
     w = newton(sums, m)
     blocks.unpersist()
