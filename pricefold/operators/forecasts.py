@@ -130,6 +130,19 @@ def score_price_grid(model, scenarios: DataFrame, feature_cols: list[str], grid:
 # ---------------------------------------------------------------- rolling origins of tree models
 
 TREE_COLS = ["p", "c1", "c2", "promo", "sin1", "cos1", "sin2", "cos2"]
+#: Tasks of a fold's fit: one for each of these rows of the panel, and no fewer than the least.
+FIT_ROWS = 200_000
+LEAST_FIT_TASKS = 8
+
+
+def sized_for_fits(panel: DataFrame, rows: int = FIT_ROWS, least: int = LEAST_FIT_TASKS) -> DataFrame:
+    """``panel`` by series in as many partitions as its rows need, if the session's shuffles have more.
+
+    Boosting runs several jobs a tree, each with a task for every partition: hundreds of partitions of a few rows
+    cost far more than the rows themselves.
+    """
+    tasks = max(least, -(-panel.count() // rows))
+    return panel.repartition(tasks, SERIES) if tasks < int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")) else panel
 
 
 def stacked_origins(panel: DataFrame, step: int = 52, window: int = 104, decay: float | None = 0.95) -> DataFrame:
@@ -162,9 +175,10 @@ def rolling_tree_forecasts(panel: DataFrame, step: int = 52, window: int = 104,
 
     A fold's model is pooled over the series and fitted on its weighted rows of the stacked table alone; it predicts the ``step`` weeks from its origin
     on. elasticity: the slope of the fitted ln units in ln price within 20 % of the training rows' means (trees are flat in smaller steps).
-    The number of folds is the calendar's, whatever the number of rows; ``parallelism`` of their fits run at a time. ``keep`` persists the stacked table.
+    The number of folds is the calendar's, whatever the number of rows; ``parallelism`` of their fits run at a time, each in tasks that follow the rows
+    of the panel. ``keep`` persists the stacked table.
     """
-    stacked = keep(stacked_origins(panel, step, window, decay))
+    stacked = keep(stacked_origins(sized_for_fits(panel), step, window, decay))
     spark = panel.sparkSession
     folds = sorted(r["fold"] for r in stacked.where("role = 'test'").select("fold").distinct().collect())  # as many as the calendar has steps
 

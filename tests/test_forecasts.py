@@ -137,6 +137,22 @@ def test_rolling_trees_know_the_answer_and_not_the_future(spark):
     assert len(both) == 2 * 3 * 33 and both.predicted_x.to_numpy() == pytest.approx(both.predicted_y.to_numpy())
 
 
+def test_fits_of_rolling_trees_run_in_as_many_tasks_as_the_rows_need(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        panel = tree_panel(spark).repartition(40, "sku_id")
+        kept = []
+        got = FC.rolling_tree_forecasts(panel, step=66, trees=2, keep=lambda df: kept.append(df.cache()) or kept[0])
+        assert got.count() == 2 * 3 * 66 and kept[0].rdd.getNumPartitions() == FC.LEAST_FIT_TASKS
+        kept[0].unpersist()
+        assert FC.sized_for_fits(panel, rows=17, least=2).rdd.getNumPartitions() == 30
+        assert FC.sized_for_fits(panel, rows=10, least=2) is panel
+        assert sorted(FC.sized_for_fits(panel).collect()) == sorted(panel.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_permutations_are_keyed_and_complete(spark):
     rows = feature_rows(spark, 12)
     first = FC.permuted_features(rows, ["unit_price", "margin_ratio"]).toPandas().sort_values(["sku_id", "date"])
