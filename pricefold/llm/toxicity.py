@@ -9,7 +9,7 @@ product of their features, scaled by the lengths of both.
 Model. A text is toxic for a few of its units. Every unit of a clean labelled text is a clean sample, weighted by the
 number of clean texts that hold it; of a toxic text the ``WITNESSES`` units with the strongest evidence over the
 whole sample are toxic samples. All units take part, however rare. ``LANDMARKS`` units span the Nyström space; a squared-hinge SVM is fitted there by
-Newton steps: tasks hold the samples' Nyström features and return the loss, gradient and Hessian at given weights, which
+Newton steps: tasks hold the samples' Nyström features and add up the loss, gradient and Hessian at given weights, which
 are of fixed size and the only things that reach the driver, besides the landmarks. As the kernel's
 features are explicit, the fitted function folds to one weight per feature: scoring a unit is a few table look-ups.
 A text's score is a logistic function, fitted on the same training texts, of its three highest unit margins, the number of units that lean toxic, and its length.
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -239,7 +239,7 @@ class Landmarks:
         np.add.at(self.table, (at, u), w)
         self.where = np.full(1 << CELL_BITS, -1, np.int64)
         self.where[self.cells] = np.arange(len(self.cells))
-        values, vectors = np.linalg.eigh(self.kernel(units).astype(float))
+        values, vectors = np.linalg.eigh(self.in_blocks(units, self.kernel).astype(float))
         good = values > 1e-6 * values.max()
         self.root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
 
@@ -255,9 +255,12 @@ class Landmarks:
             out[u[heads]] = np.add.reduceat(self.table[k] * w[:, None], heads)
         return out
 
+    def in_blocks(self, units: list[str], of, block: int = 32) -> np.ndarray:
+        """Rows of ``of`` for a few units at a time: a unit's rows of the table are copied, so many at once take much memory."""
+        return np.concatenate([of(units[i : i + block]) for i in range(0, len(units), block)])
+
     def features(self, units: list[str], block: int = 256) -> np.ndarray:
-        parts = [self.kernel(units[i : i + block]) @ self.root for i in range(0, len(units), block)]
-        return np.concatenate(parts) if parts else np.zeros((0, self.root.shape[1]), np.float32)
+        return self.in_blocks(units, lambda some: self.kernel(some) @ self.root, block) if units else np.zeros((0, self.root.shape[1]), np.float32)
 
     def folded(self, w: np.ndarray) -> tuple[np.ndarray, float]:
         """(weight per cell, bias) of the fitted function."""
@@ -287,6 +290,12 @@ def samples_of(units: DataFrame, witnesses: int = WITNESSES) -> DataFrame:
     return evidence(stored(counts.select("unit", "neg").join(witness, "unit", "left").select("unit", F.coalesce("pos", F.lit(0)).alias("pos"), "neg"), "samples"))
 
 
+def added(batches):
+    """One row: the sum of the vectors ``s`` (doubles as bytes), in the order of ``part``."""
+    rows = sorted((p, s) for b in batches for p, s in zip(b.column("part").to_pylist(), b.column("s").to_pylist()))
+    yield pa.RecordBatch.from_arrays([pa.array([sum(np.frombuffer(s) for _, s in rows).tobytes()])], names=["s"])
+
+
 def fit_units(samples: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
     """(weight per cell, bias) fitted on samples (unit, pos, neg, odds); zeros if one class is missing.
 
@@ -321,9 +330,11 @@ def fit_units(samples: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarra
                     total += block_sums(np.frombuffer(phi.as_buffer(), np.float32).reshape(-1, m), np.frombuffer(pos.as_buffer()), np.frombuffer(neg.as_buffer()), w)
             # The Hessian is symmetric: half of it, which keeps a task's result small.
             half = total[m + 2 :].reshape(m + 1, m + 1)[np.triu_indices(m + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((total[: m + 2], half)).tobytes()])], names=["s"])
+            row = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.concatenate((total[: m + 2], half)).tobytes()])]
+            yield pa.RecordBatch.from_arrays(row, names=["part", "s"])
 
-        parts = sum(np.frombuffer(r["s"]) for r in blocks.mapInArrow(add, "s binary").collect())  # FIT_TASKS rows of fixed size
+        # FIT_TASKS rows of fixed size, added in a task: the driver gets one of them a step.
+        parts = np.frombuffer(blocks.mapInArrow(add, "part int, s binary").repartition(1).mapInArrow(added, "s binary").collect()[0]["s"])
         hess = np.zeros((m + 1, m + 1))
         hess[np.triu_indices(m + 1)] = parts[m + 2 :]
         return np.concatenate((parts[: m + 2], (hess + np.triu(hess, 1).T).ravel()))

@@ -155,3 +155,34 @@ def test_fit_on_spark_equals_one_block(spark):
     data, starts, ends = toxicity._encode(table.unit.tolist())
     got = toxicity.margins(data, starts, ends, weight, bias)
     assert got == pytest.approx(toxicity.margins(data, starts, ends, want, b), abs=2e-2)
+
+
+def test_landmarks_take_little_memory(spark):
+    """A unit's rows of the table are copied for a few units at a time only: the driver builds the space too."""
+    import tracemalloc
+
+    units = sorted({a + b + c for a, b, c in zip(words(900, 1), words(900, 2), words(900, 3))})[:384]
+    tracemalloc.start()
+    space = toxicity.Landmarks(units)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert space.n == 384 and peak < 4 * space.table.nbytes + (30 << 20)
+    assert np.array_equal(space.in_blocks(units, space.kernel), space.kernel(units))
+
+
+def test_steps_of_the_fit_send_the_driver_one_row(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    rows = [(i, int(i % 4 == 0), words(12, i) + (["idiot", "worth-less"] if i % 4 == 0 else [])) for i in range(40)]
+    found, sent, collect = samples(spark, rows), [], Frame.collect
+    monkeypatch.setattr(Frame, "collect", lambda self: (sent.append((self.columns, out := collect(self))), out)[1])
+    weight, _ = toxicity.fit_units(found, landmarks=20)
+    assert weight.any()
+    assert {len(out) for columns, out in sent if columns == ["s"]} == {1}
+
+
+def test_vectors_are_added_in_order_of_their_parts():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([np.full(2, x).tobytes() for x in v])], names=["part", "s"]) for p, v in (([2, 0], [1.0, 1e16]), ([1], [-1e16]))]
+    assert np.frombuffer(next(toxicity.added(batches)).column("s")[0].as_py()).tolist() == [1.0, 1.0]
