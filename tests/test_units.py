@@ -240,3 +240,29 @@ def test_monitor_flags_a_fall_of_sentiment(spark, sf_dir):
 
     flags = {r.cci_drop_flag for r in load_all()["cci_drop_history"].run(spark, sf_dir).collect()}
     assert flags == {True, False}
+
+
+def test_whole_numbers_and_weeks_are_those_of_round_and_date_trunc(spark):
+    from pricefold.sources.panel import week_of, whole
+
+    odd = [0.0, -0.0, 0.49999999999999994, 0.5, -0.5, 1.5, 2.5, -2.5, 90105.45, 1.005 * 100, 4503599627370497.0, 9007199254740991.0, -4503599627370495.5, 1e-300, None]
+    rows = spark.createDataFrame([(x,) for x in odd + [i * 0.35 for i in range(-400, 400)]], "x double")
+    assert rows.where(f"NOT ({whole('x')} <=> CAST(round(x) AS BIGINT))").count() == 0
+    days = spark.range(-800, 800).selectExpr("TIMESTAMP'2000-02-29 23:59:59.999999' + make_interval(0, 0, 0, CAST(id AS INT), CAST(id % 24 AS INT)) AS t").selectExpr("t", "CAST(t AS TIMESTAMP_NTZ) AS n", "CAST(t AS DATE) AS d")
+    days = days.unionByName(spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS t, CAST(NULL AS TIMESTAMP_NTZ) AS n, CAST(NULL AS DATE) AS d"))
+    for c in ("t", "n", "d"):
+        assert days.where(f"NOT ({week_of(c)} <=> to_date(date_trunc('week', {c})))").count() == 0
+
+
+def test_line_items_flow_through_the_weekly_sums_unsorted(spark, sf_dir):
+    """Neither a sort of line items by part nor decimals and calendars in each row, also where part is too large to be sent to all."""
+    from pricefold.sources.panel import weekly_base
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = weekly_base(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "round(" not in plan and "date_trunc" not in plan
