@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step holds at once; a single longer text is one step.
 STEP_BYTES = 4 << 20
+#: Bytes that word_hashes takes at once: each needs some 40 bytes of memory.
+HASH_BYTES = 256 << 10
 
 
 def lower_ascii(col: Column) -> Column:
@@ -131,12 +133,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, from differences of a running polynomial; about STEP_BYTES at a time."""
+    """64-bit hash of each word, from differences of a running polynomial; about HASH_BYTES at a time."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         lo = int(starts[at])
-        end = max(at + 1, int(np.searchsorted(ends, lo + STEP_BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(ends, lo + HASH_BYTES, side="right")))
         hi = int(ends[end - 1])
         run = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, hi - lo), out=run[1:])

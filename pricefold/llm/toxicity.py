@@ -44,6 +44,8 @@ WITNESSES = 2
 #: Tasks of the fit, and samples in a block of features.
 FIT_TASKS = 12
 BLOCK = 512
+#: Units that margins takes at once.
+UNITS = 8192
 
 _START, _END = 1, 2
 #: Offsets (second symbol from the first, third from the second) whose span fits.
@@ -120,14 +122,17 @@ def distinct_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
 
 def margins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
-    """The fitted function of each unit, clipped to [-2, 2]."""
-    sym, place, bounds = symbol_stream(data, starts, ends)
-    total = np.zeros(len(sym), np.float32)
-    square = np.zeros(len(sym), np.float32)
-    for rows, cell, w in triples(sym, place, bounds):
-        total[rows] += w * weight[cell]
-        square[rows] += w * w
-    return np.clip(_sums(total, bounds) / np.sqrt(np.maximum(_sums(square, bounds), 1e-12)) + bias, -2, 2)
+    """The fitted function of each unit, clipped to [-2, 2]; UNITS of them at a time."""
+    parts = [np.zeros(0, np.float32)]
+    for at in range(0, len(starts), UNITS):
+        sym, place, bounds = symbol_stream(data, starts[at : at + UNITS], ends[at : at + UNITS])
+        total = np.zeros(len(sym), np.float32)
+        square = np.zeros(len(sym), np.float32)
+        for rows, cell, w in triples(sym, place, bounds):
+            total[rows] += w * weight[cell]
+            square[rows] += w * w
+        parts.append(np.clip(_sums(total, bounds) / np.sqrt(np.maximum(_sums(square, bounds), 1e-12)) + bias, -2, 2))
+    return np.concatenate(parts)
 
 
 @dataclass
@@ -260,7 +265,7 @@ class Landmarks:
         return np.concatenate([of(units[i : i + block]) for i in range(0, len(units), block)])
 
     def features(self, units: list[str], block: int = 256) -> np.ndarray:
-        return self.in_blocks(units, lambda some: self.kernel(some) @ self.root, block) if units else np.zeros((0, self.root.shape[1]), np.float32)
+        return self.in_blocks(units, lambda some: self.in_blocks(some, self.kernel) @ self.root, block) if units else np.zeros((0, self.root.shape[1]), np.float32)
 
     def folded(self, w: np.ndarray) -> tuple[np.ndarray, float]:
         """(weight per cell, bias) of the fitted function."""
@@ -315,32 +320,34 @@ def fit_units(samples: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarra
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 rows = batch.slice(at, BLOCK)
-                phi = own.features(rows.column("unit").to_pylist())
-                cells = [phi.astype(np.float32).tobytes(), *(rows.column(c).to_numpy().astype(float).tobytes() for c in ("pos", "neg"))]
-                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["phi", "pos", "neg"])
+                phi = pa.array([x.tobytes() for x in own.features(rows.column("unit").to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([phi, *(rows.column(c).cast(pa.float64()) for c in ("pos", "neg"))], names=["phi", "pos", "neg"])
 
     used = samples.where("pos + neg > 0").select("unit", "pos", "neg").repartition(FIT_TASKS)  # a bounded sample's units
-    blocks = used.mapInArrow(features, "phi binary, pos binary, neg binary").cache()
+    # A sample a row: Spark bounds the rows of a batch, so a task holds some MB of them whatever the sample's size.
+    held = used.mapInArrow(features, "phi binary, pos double, neg double").cache()
 
     def sums(w):
         def add(batches):
             total = np.zeros(1 + (m + 1) + (m + 1) ** 2)
             for batch in batches:
-                for phi, pos, neg in zip(*(batch.column(c) for c in ("phi", "pos", "neg"))):
-                    total += block_sums(np.frombuffer(phi.as_buffer(), np.float32).reshape(-1, m), np.frombuffer(pos.as_buffer()), np.frombuffer(neg.as_buffer()), w)
+                for at in range(0, batch.num_rows, BLOCK):
+                    rows = batch.slice(at, BLOCK)
+                    phi = np.frombuffer(b"".join(rows.column("phi").to_pylist()), np.float32).reshape(-1, m)
+                    total += block_sums(phi, rows.column("pos").to_numpy(), rows.column("neg").to_numpy(), w)
             # The Hessian is symmetric: half of it, which keeps a task's result small.
             half = total[m + 2 :].reshape(m + 1, m + 1)[np.triu_indices(m + 1)]
             row = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.concatenate((total[: m + 2], half)).tobytes()])]
             yield pa.RecordBatch.from_arrays(row, names=["part", "s"])
 
         # FIT_TASKS rows of fixed size, added in a task: the driver gets one of them a step.
-        parts = np.frombuffer(blocks.mapInArrow(add, "part int, s binary").repartition(1).mapInArrow(added, "s binary").collect()[0]["s"])
+        parts = np.frombuffer(held.mapInArrow(add, "part int, s binary").repartition(1).mapInArrow(added, "s binary").collect()[0]["s"])
         hess = np.zeros((m + 1, m + 1))
         hess[np.triu_indices(m + 1)] = parts[m + 2 :]
         return np.concatenate((parts[: m + 2], (hess + np.triu(hess, 1).T).ravel()))
 
     w = newton(sums, m)
-    blocks.unpersist()
+    held.unpersist()
     return space.folded(w)
 
 

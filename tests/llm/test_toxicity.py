@@ -186,3 +186,60 @@ def test_vectors_are_added_in_order_of_their_parts():
 
     batches = [pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([np.full(2, x).tobytes() for x in v])], names=["part", "s"]) for p, v in (([2, 0], [1.0, 1e16]), ([1], [-1e16]))]
     assert np.frombuffer(next(toxicity.added(batches)).column("s")[0].as_py()).tolist() == [1.0, 1.0]
+
+
+def test_rows_of_the_fit_hold_one_sample_each(spark, monkeypatch):
+    """Spark bounds a batch by rows: blocks of samples in a row made batches that grew with the sample."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    rows = [(i, int(i % 4 == 0), words(12, i) + (["idiot", "worth-less"] if i % 4 == 0 else [])) for i in range(40)]
+    found, cached, cache = samples(spark, rows), [], Frame.cache
+    monkeypatch.setattr(Frame, "cache", lambda self: (cached.append(self), cache(self))[1])
+    toxicity.fit_units(found, landmarks=20)
+    held = [f for f in cached if "phi" in f.columns][0]
+    assert held.count() == found.where("pos + neg > 0").count()
+    assert held.selectExpr("max(length(phi))").first()[0] <= 4 * 20
+
+
+def traced(f):
+    """(result, peak bytes of Python memory)."""
+    import tracemalloc
+
+    tracemalloc.start()
+    out = f()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_features_of_samples_take_little_memory():
+    units = sorted({a + b + c for a, b, c in zip(words(3000, 1), words(3000, 2), words(3000, 3))})
+    space, some = toxicity.Landmarks(units[:384]), units[384 : 384 + toxicity.BLOCK]
+    got, peak = traced(lambda: space.features(some))
+    assert len(some) == toxicity.BLOCK and peak < 10 * got.nbytes + (8 << 20)
+    assert got == pytest.approx(space.kernel(some) @ space.root, abs=1e-4)
+
+
+def test_scoring_a_step_takes_little_memory():
+    from pricefold.llm import common
+
+    texts = [" ".join(a + b + c for a, b, c in zip(words(20_000, 3 * i), words(20_000, 3 * i + 1), words(20_000, 3 * i + 2))) for i in range(12)]
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8)[: common.STEP_BYTES], np.cumsum([0] + [len(r) for r in raw])
+    offs = np.minimum(offs, len(data))
+    weight = np.random.default_rng(0).normal(size=1 << toxicity.CELL_BITS).astype(np.float32)
+    got, peak = traced(lambda: toxicity._features(data, offs, weight, 0.1))
+    assert len(data) == common.STEP_BYTES and peak < 25 * len(data), peak / len(data)
+
+
+def test_blocks_of_bytes_and_units_change_nothing(monkeypatch):
+    from pricefold.llm import common
+
+    data, starts, ends = toxicity._encode([*words(3000, 5), "x" * 5000, "id-iot", "\u00e9"])
+    weight = np.random.default_rng(0).normal(size=1 << toxicity.CELL_BITS).astype(np.float32)
+    whole = common.word_hashes(data, starts, ends), toxicity.margins(data, starts, ends, weight, 0.1)
+    monkeypatch.setattr(common, "HASH_BYTES", 100)
+    monkeypatch.setattr(toxicity, "UNITS", 7)
+    assert np.array_equal(common.word_hashes(data, starts, ends), whole[0])
+    assert np.array_equal(toxicity.margins(data, starts, ends, weight, 0.1), whole[1])
+    assert len(toxicity.margins(data, starts[:0], ends[:0], weight, 0.1)) == 0
