@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Jobs that run inside exchange Arrow batches of at most ``most`` rows; the session's own setting holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    if not 0 < int(before or 0) <= most:
+        spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 # ---------------------------------------------------------------- Arrow text
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricefold.llm.common import crc_bucket, lowered, steps, stored, word_hashes, word_spans
+from pricefold.llm.common import arrow_rows, crc_bucket, lowered, steps, stored, word_hashes, word_spans
 
 SAMPLE = 8_000
 LANDMARKS = 384
@@ -46,6 +46,8 @@ FIT_TASKS = 12
 BLOCK = 512
 #: Units that margins takes at once.
 UNITS = 8192
+#: Bytes of text that are turned into features at once: each needs some 20 bytes of memory.
+TEXT_BYTES = 1 << 20
 
 _START, _END = 1, 2
 #: Offsets (second symbol from the first, third from the second) whose span fits.
@@ -324,7 +326,7 @@ def fit_units(samples: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarra
                 yield pa.RecordBatch.from_arrays([phi, *(rows.column(c).cast(pa.float64()) for c in ("pos", "neg"))], names=["phi", "pos", "neg"])
 
     used = samples.where("pos + neg > 0").select("unit", "pos", "neg").repartition(FIT_TASKS)  # a bounded sample's units
-    # A sample a row: Spark bounds the rows of a batch, so a task holds some MB of them whatever the sample's size.
+    # A sample a row and BLOCK of them in a batch, so a task holds about 1 MB of them whatever the sample's size.
     held = used.mapInArrow(features, "phi binary, pos double, neg double").cache()
 
     def sums(w):
@@ -346,7 +348,8 @@ def fit_units(samples: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarra
         hess[np.triu_indices(m + 1)] = parts[m + 2 :]
         return np.concatenate((parts[: m + 2], (hess + np.triu(hess, 1).T).ravel()))
 
-    w = newton(sums, m)
+    with arrow_rows(samples.sparkSession, BLOCK):
+        w = newton(sums, m)
     held.unpersist()
     return space.folded(w)
 
@@ -369,7 +372,7 @@ def fit_texts(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def _units_of_texts(batches):
-    for rows, data, offs in steps(batches):
+    for rows, data, offs in steps(batches, most=TEXT_BYTES):
         data = lowered(data)
         starts, ends, first = unit_spans(data, offs)
         raw = data.tobytes()
@@ -395,18 +398,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
     spark = docs.sparkSession
     texts = training_texts(docs, labels, sample, held_out).cache()
     units = texts.mapInArrow(_units_of_texts, "key long, toxic int, units array<string>")
-    weight, bias = fit_units(samples_of(units))
+    with arrow_rows(spark, BLOCK):
+        weight, bias = fit_units(samples_of(units))
     sent = spark.sparkContext.broadcast(cloudpickle.dumps((weight, bias)))
 
     names = [f"x{i}" for i in range(FEATURES)]
 
     def featured(batches):
         weight, bias = cloudpickle.loads(sent.value)
-        for rows, data, offs in steps(batches):
+        for rows, data, offs in steps(batches, most=TEXT_BYTES):
             x = _features(data, offs, weight, bias)
             yield pa.RecordBatch.from_arrays([rows.column("toxic"), *(pa.array(x[:, i]) for i in range(FEATURES))], names=["toxic", *names])
 
-    x = texts.mapInArrow(featured, "toxic int" + "".join(f", {x} double" for x in names)).toArrow()
+    with arrow_rows(spark, BLOCK):
+        x = texts.mapInArrow(featured, "toxic int" + "".join(f", {x} double" for x in names)).toArrow()
     texts.unpersist()
     return Model(weight, bias, fit_texts(np.stack([x[c].to_numpy() for c in names], axis=1), x["toxic"].to_numpy().astype(float)))
 
@@ -431,7 +436,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches):
         m = cloudpickle.loads(sent.value)
-        for rows, data, offs in steps(batches, f"c{text}"):
+        for rows, data, offs in steps(batches, f"c{text}", TEXT_BYTES):
             p = _probability(_features(data, offs, m.weight, m.bias), m.text)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(p)], names=[*rows.schema.names, "p"])
 

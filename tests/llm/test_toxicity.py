@@ -243,3 +243,55 @@ def test_blocks_of_bytes_and_units_change_nothing(monkeypatch):
     assert np.array_equal(common.word_hashes(data, starts, ends), whole[0])
     assert np.array_equal(toxicity.margins(data, starts, ends, weight, 0.1), whole[1])
     assert len(toxicity.margins(data, starts[:0], ends[:0], weight, 0.1)) == 0
+
+
+def test_batches_of_the_fit_are_small_and_the_session_keeps_its_setting(spark, make_docs, monkeypatch):
+    """Batches of 10,000 samples or texts took tens of MB in the JVM and again in each Python worker."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, collect, to_arrow = spark.conf.get(key, None), Frame.collect, Frame.toArrow
+    monkeypatch.setattr(Frame, "collect", lambda self: (seen.append(spark.conf.get(key, None)) if self.columns == ["s"] else None, collect(self))[1])
+    monkeypatch.setattr(Frame, "toArrow", lambda self: (seen.append(spark.conf.get(key, None)), to_arrow(self))[1])
+    rows, labels = corpus(80)
+    toxicity.train(make_docs(rows), spark.createDataFrame(labels, LABELS))
+    assert len(seen) > 2 and {int(n or 10_000) for n in seen} == {toxicity.BLOCK}
+    assert spark.conf.get(key, None) == before
+
+
+@pytest.mark.parametrize("own, inside", [(None, 7), ("3", 3), ("50", 7), ("0", 7), ("-1", 7)])
+def test_arrow_rows(spark, own, inside):
+    import pyarrow as pa
+
+    from pricefold.llm.common import arrow_rows
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    sizes = spark.range(0, 60, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    try:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+        with pytest.raises(ValueError), arrow_rows(spark, 7):
+            assert max(r.n for r in sizes.collect()) == inside
+            raise ValueError
+        assert spark.conf.get(key, None) == own
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_scoring_a_batch_takes_little_memory(make_docs, monkeypatch):
+    """A batch of many MB of text is scored about 1 MB at a time."""
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    texts = [" ".join(a + b + c for a, b, c in zip(words(3000, 3 * i), words(3000, 3 * i + 1), words(3000, 3 * i + 2))) for i in range(150)]
+    weight = np.random.default_rng(0).normal(size=1 << toxicity.CELL_BITS).astype(np.float32)
+    model, run, map_in_arrow = toxicity.Model(weight, 0.1, np.append(np.ones(toxicity.FEATURES), -3.0)), [], Frame.mapInArrow
+    monkeypatch.setattr(Frame, "mapInArrow", lambda self, f, *a, **b: (run.append(f), map_in_arrow(self, f, *a, **b))[1])
+    docs = make_docs([])
+    toxicity.score(docs, model)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts) if c == "text" else pa.nulls(len(texts), pa.string()) for c in docs.columns], names=[f"c{i}" for i in range(len(docs.columns))])
+    assert sum(map(len, texts)) > 4 << 20
+    got, peak = traced(lambda: [b.column("p").to_pylist() for b in run[0]([batch])])
+    assert peak < 48 << 20, peak
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 1 << 30)
+    assert [p for part in got for p in part] == [p for b in run[0]([batch]) for p in b.column("p").to_pylist()]
