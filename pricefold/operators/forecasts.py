@@ -11,14 +11,17 @@ from __future__ import annotations
 
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricefold.functions.columns import TWO_PI, D
+from pricefold.operators import boosting
 from pricefold.operators.features import EPS, ratio_exprs
+from pricefold.session import settle
 
 SERIES = "sku_id"
 GRID_POINTS = 21
@@ -175,36 +178,43 @@ def rolling_tree_forecasts(panel: DataFrame, step: int = 52, window: int = 104,
 
     A fold's model is pooled over the series and fitted on its weighted rows of the stacked table alone; it predicts the ``step`` weeks from its origin
     on. elasticity: the slope of the fitted ln units in ln price within 20 % of the training rows' means (trees are flat in smaller steps).
-    The number of folds is the calendar's, whatever the number of rows; ``parallelism`` of their fits run at a time, each in tasks that follow the rows
-    of the panel. ``keep`` persists the stacked table.
+    The number of folds is the calendar's, whatever the number of rows; ``parallelism`` of their forests are fitted at a time and the boosted trees of all folds together,
+    in tasks that follow the rows of the panel. The panel and the stacked table are read from checkpoints, so that the driver keeps no copy of the panel's plan for
+    each job of the fits. ``keep`` persists the stacked table.
     """
-    stacked = keep(stacked_origins(sized_for_fits(panel), step, window, decay))
+    panel = settle(panel.select(SERIES, "date", "units_sold", "unit_price", "comp_price_1", "comp_price_2", "is_promo"))
+    stacked = keep(settle(stacked_origins(sized_for_fits(panel), step, window, decay)))
     spark = panel.sparkSession
     folds = sorted(r["fold"] for r in stacked.where("role = 'test'").select("fold").distinct().collect())  # as many as the calendar has steps
+    if not folds:
+        return spark.createDataFrame([], f"{SERIES} string, date date, fold int, model string, actual double, predicted double, elasticity double")
+    steps = [i * 0.05 for i in range(-4, 5)]  # of ln price, about the training rows' means
 
-    def fitted(fold: int, name: str) -> DataFrame:
+    def forest(fold: int) -> DataFrame:
         rows = assemble(stacked.where(f"fold = {fold} AND role = 'train'"), TREE_COLS)
-        tested = stacked.where(f"fold = {fold} AND role = 'test'").selectExpr(SERIES, "date", "actual", "y_mean", "CAST(NULL AS DOUBLE) AS h", *TREE_COLS)
-        centre = rows.agg(*[F.avg(c).alias(c) for c in TREE_COLS])
-        probes = centre.selectExpr(f"CAST(NULL AS STRING) AS {SERIES}", "CAST(NULL AS DATE) AS date", "CAST(NULL AS DOUBLE) AS actual", "CAST(NULL AS DOUBLE) AS y_mean",
-                                   "explode(transform(sequence(-4, 4), i -> i * 0.05D)) AS h", *TREE_COLS).selectExpr(SERIES, "date", "actual", "y_mean", "h", "p + h AS p", *TREE_COLS[1:])
-        if name == "RF":
-            est = RandomForestRegressor(numTrees=trees, maxDepth=4, featureSubsetStrategy="all", seed=seed)
-        else:
-            est = GBTRegressor(maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed)
-        model = est.setFeaturesCol("features").setLabelCol("y").setWeightCol("w").fit(rows)
-        p = model.transform(assemble(tested.unionByName(probes), TREE_COLS))
-        slope = p.where("h IS NOT NULL").select(F.expr("regr_slope(prediction, h)")).scalar()
-        return p.where("h IS NULL").select(SERIES, "date", F.lit(fold).alias("fold"), F.lit(name).alias("model"), "actual", F.expr("exp(y_mean + prediction)").alias("predicted"),
-                                           F.greatest(F.lit(-10.0), F.least(F.lit(2.0), slope)).alias("elasticity"))
+        tested = stacked.where(f"fold = {fold} AND role = 'test'").select(SERIES, "date", "actual", "y_mean", *TREE_COLS)
+        probes = rows.agg(*[F.avg(c).alias(c) for c in TREE_COLS]).selectExpr(f"explode(array({', '.join(map(D, steps))})) AS h", *TREE_COLS).selectExpr("h", "p + h AS p", *TREE_COLS[1:])
+        model = RandomForestRegressor(numTrees=trees, maxDepth=4, featureSubsetStrategy="all", seed=seed).setFeaturesCol("features").setLabelCol("y").setWeightCol("w").fit(rows)
+        slope = model.transform(assemble(probes, TREE_COLS)).select(F.expr("regr_slope(prediction, h)")).scalar()
+        return model.transform(assemble(tested, TREE_COLS)).select(SERIES, "date", F.lit(fold).alias("fold"), F.lit("RF").alias("model"), "actual", F.expr("exp(y_mean + prediction)").alias("predicted"),
+                                                                   F.greatest(F.lit(-10.0), F.least(F.lit(2.0), slope)).alias("elasticity"))
+
+    def boosted() -> DataFrame:
+        train = stacked.where("role = 'train'").where(F.col("fold").isin(folds))
+        about = {r["fold"]: r for r in train.groupBy("fold").agg(F.count("*").alias("n"), F.sum("w").alias("weight"), *[F.avg(c).alias(c) for c in TREE_COLS]).collect()}
+        models = boosting.fit(train, TREE_COLS, {k: (r["n"], r["weight"]) for k, r in about.items()}, [SERIES, "date"], trees, 3, seed)
+        h, slopes = np.array(steps), []
+        for k, r in about.items():
+            y = models[k].fitted(np.stack([r["p"] + h, *(np.full(len(h), r[c]) for c in TREE_COLS[1:])], axis=1))
+            slopes.append(f"WHEN {k} THEN {D(max(-10.0, min(2.0, float(((h - h.mean()) * (y - y.mean())).sum() / ((h - h.mean()) ** 2).sum()))))}")
+        p = boosting.predicted(stacked.where("role = 'test'"), TREE_COLS, models, [SERIES, "date", "fold", "actual", "y_mean"])
+        return p.selectExpr(SERIES, "date", "fold", "'GB' AS model", "actual", "exp(y_mean + prediction) AS predicted", f"CASE fold {' '.join(slopes)} END AS elasticity")
 
     with ThreadPool(parallelism) as pool:
-        parts = pool.map(inheritable_thread_target(spark)(lambda x: fitted(*x)), [(f, m) for f in folds for m in ("RF", "GB")])
-    out = None
+        parts = pool.map(inheritable_thread_target(spark)(forest), folds)
+    out = boosted()
     for part in parts:
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"{SERIES} string, date date, fold int, model string, actual double, predicted double, elasticity double")
+        out = out.unionByName(part)
     return out
 
 

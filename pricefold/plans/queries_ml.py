@@ -14,7 +14,7 @@ from pricefold.plans.queries_core import analysis
 from pricefold.plans.queries_reports import JF, joint_for
 from pricefold.plans.queries_table import _MEMO, bpanel_for
 from pricefold.plans.registry import register
-from pricefold.session import materialize, session_key
+from pricefold.session import materialize, session_key, settle
 from pricefold.sources.panel import SERIES
 
 FEATURES = [*FE.FEATURE_COLS, "series_idx"]
@@ -63,7 +63,7 @@ def q_fit_trees(spark, sf):
 
     key = ("rolling_trees", session_key(spark), sf)
     if key not in _MEMO:
-        _MEMO[key] = FC.rolling_tree_forecasts(bpanel_for(spark, sf), keep=materialize)
+        _MEMO[key] = settle(FC.rolling_tree_forecasts(bpanel_for(spark, sf), keep=lambda df: materialize(df, settled=True)))
     preds = _MEMO[key]
     return ML.scorecard(preds).join(preds.groupBy(SERIES, "model").agg(F.countDistinct("fold").alias("n_origins"), F.avg("elasticity").alias("mean_elasticity")), [SERIES, "model"])
 
