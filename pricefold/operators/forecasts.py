@@ -182,9 +182,12 @@ def rolling_tree_forecasts(panel: DataFrame, step: int = 52, window: int = 104,
     in tasks that follow the rows of the panel. The panel and the stacked table are read from checkpoints, so that the driver keeps no copy of the panel's plan for
     each job of the fits. ``keep`` persists the stacked table.
     """
-    panel = settle(panel.select(SERIES, "date", "units_sold", "unit_price", "comp_price_1", "comp_price_2", "is_promo"))
-    stacked = keep(settle(stacked_origins(sized_for_fits(panel), step, window, decay)))
     spark = panel.sparkSession
+    panel = settle(panel.select(SERIES, "date", "units_sold", "unit_price", "comp_price_1", "comp_price_2", "is_promo"))
+    sized = sized_for_fits(panel)
+    if sized is panel:  # dealt by series anew: a checkpoint does not tell how its rows are dealt, and windows over few rows would meet in one task
+        sized = panel.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), SERIES)
+    stacked = keep(settle(stacked_origins(sized, step, window, decay)))
     folds = sorted(r["fold"] for r in stacked.where("role = 'test'").select("fold").distinct().collect())  # as many as the calendar has steps
     if not folds:
         return spark.createDataFrame([], f"{SERIES} string, date date, fold int, model string, actual double, predicted double, elasticity double")

@@ -74,6 +74,7 @@ def test_jobs_and_plans_of_rolling_trees_do_not_grow_with_the_folds(spark):
             sc._jsc.sc().clearJobGroup()
         jobs[folds] = len(sc.statusTracker().getJobIdsForGroup(f"rolling trees {folds}"))
     assert 24 <= jobs[1] and jobs[3] - jobs[1] < 2 * 24  # 24 levels of boosted trees a fold; a forest has a few jobs
+    assert [df.rdd.getNumPartitions() for df in kept] == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * 2
     assert "Exchange" not in (plan := kept[0]._jdf.queryExecution().optimizedPlan().toString()) and "Window" not in plan
     for df in (*kept, panel):
         df.unpersist()
